@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-MODULES = ("series", "features", "labels")
+MODULES = ("series", "features", "labels", "matching", "verification")
 
 
 def load_queries() -> dict[str, Query]:
