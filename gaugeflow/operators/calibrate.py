@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from ..policy import BiasPolicy, IntervalPolicy
 from .asof import nearest_within
 from .chunks import CHUNK, KEY, ordinal, with_chunk
@@ -53,14 +54,14 @@ def fit_bias(pairs: DataFrame, error: str = "error_c", by: Sequence[str] = (), p
     """
     fit = _fit(pairs, error, (GLOBAL, LEAD, HOUR_SCOPE), by, (0.5,), policy.min_samples)
     return fit.select(
-        *by, "scope", "key", "n", F.round(F.element_at("q", 1), 6).alias("median_c"), F.round("mean", 6).alias("mean_c"))
+        *by, "scope", "key", "n", rounded(F.element_at("q", 1), 6).alias("median_c"), rounded(F.col("mean"), 6).alias("mean_c"))
 
 
 def fit_interval(pairs: DataFrame, error: str = "error_c", by: Sequence[str] = (), policy: IntervalPolicy = IntervalPolicy()) -> DataFrame:
     """Residual quantiles bounding ``coverage`` of the errors: global and per lead."""
     tail = (1.0 - policy.coverage) * 50.0 / 100.0
     fit = _fit(pairs, error, (GLOBAL, LEAD), by, (tail, 1.0 - tail, 0.5), policy.min_samples)
-    q = [F.round(F.element_at("q", i), 4) for i in (1, 2, 3)]
+    q = [rounded(F.element_at("q", i), 4) for i in (1, 2, 3)]
     return fit.select(
         *by, "scope", "key", "n",
         q[0].alias("lower_error_c"), q[1].alias("upper_error_c"), q[2].alias("median_error_c"))
@@ -96,7 +97,7 @@ def apply_bias(timeline: DataFrame, model: DataFrame, valid_hour: Column, by: Se
     return df.withColumns({
         "temp_raw": F.col("temp"),
         "temp_bias_correction": F.when(known, F.col("correction")).otherwise(0.0),
-        "temp": F.when(known, F.round(F.col("temp") + F.col("correction"), 3)),
+        "temp": F.when(known, rounded(F.col("temp") + F.col("correction"), 3)),
     }).drop("correction")
 
 
@@ -125,8 +126,8 @@ def apply_interval(
     if center == "nwp_bias_correction":
         usable = usable & F.coalesce(corrected if corrected is not None else F.lit(False), F.lit(False))
     return df.withColumns({
-        "interval_lower": F.when(usable, F.round(F.col("temp") + F.col("lower_error_c"), 2)),
-        "interval_upper": F.when(usable, F.round(F.col("temp") + F.col("upper_error_c"), 2)),
+        "interval_lower": F.when(usable, rounded(F.col("temp") + F.col("lower_error_c"), 2)),
+        "interval_upper": F.when(usable, rounded(F.col("temp") + F.col("upper_error_c"), 2)),
         "interval_samples": F.when(usable, F.col("samples")),
     }).drop("lower_error_c", "upper_error_c", "samples")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from ..functions import units as U
 from .chunks import CHUNK, KEY, carry, micros, with_chunk
 
@@ -47,48 +48,52 @@ def assemble(states: DataFrame, now: Column, fresh: Freshness = Freshness(), pol
     state = {e: F.col(f"{e}.state") for e in at}
     stale = {e: age[e] > limit[e] for e in at}
 
-    value = {
-        "temp": U.celsius(state["temp"], F.col("temp.unit")),
-        "humidity": U.humidity_percent(state["humidity"], F.col("humidity.unit")),
-        "pressure": U.hectopascal(state["pressure"], F.col("pressure.unit")),
-        "wind_speed": U.metres_per_second(state["wind_speed"], F.col("wind_speed.unit")),
-        "wind_gust": U.metres_per_second(state["wind_gust"], F.col("wind_gust.unit")),
-        "wind_direction": U.wind_degrees(state["wind_direction"]),
-    }
-    for e in ("wind_speed", "wind_gust", "wind_direction"):
-        value[e] = F.when(~F.coalesce(stale[e], F.lit(False)), value[e])
-    light = F.when(~F.coalesce(stale["light"], F.lit(False)), U.light_text(state["light"]))
-    has_rain = F.col("rain").isNotNull()
-    contact = F.lit(True) if fresh.binary_rain else U.is_contact_word(state["rain"])
-    amount = U.rain_amount(state["rain"])
+    def unless_stale(e: str, value: Column) -> Column:
+        return F.when(~F.coalesce(stale[e], F.lit(False)), value)
 
+    def unit(e: str) -> Column:
+        return F.col(f"{e}.unit")
+
+    contact = F.lit(True) if fresh.binary_rain else U.is_contact_word(state["rain"])
+    # Three projections, so that no conversion is repeated inside the later ones.
+    df = df.withColumns({
+        "_temp": U.celsius(state["temp"], unit("temp")),
+        "_humidity": U.humidity_percent(state["humidity"], unit("humidity")),
+        "_pressure": U.hectopascal(state["pressure"], unit("pressure")),
+        "_wind_speed": unless_stale("wind_speed", U.metres_per_second(state["wind_speed"], unit("wind_speed"))),
+        "_wind_gust": unless_stale("wind_gust", U.metres_per_second(state["wind_gust"], unit("wind_gust"))),
+        "_wind_direction": unless_stale("wind_direction", U.wind_degrees(state["wind_direction"])),
+        "_light": unless_stale("light", U.light_text(state["light"])),
+        "_amount": U.rain_amount(state["rain"]),
+        "_timed_rain": F.col("rain").isNotNull() & ~contact,
+        "_rain_at": F.when(F.col("rain").isNotNull() & (~contact | ~F.coalesce(stale["rain"], F.lit(True))), at["rain"]),
+    })
     reason = F.lit(None).cast("string")
     checks = []
     for e in REQUIRED:
         checks += [(at[e].isNull(), f"missing_timestamp_{e}"), (stale[e], f"stale_{e}")]
     checks += [
-        (has_rain & ~contact & at["rain"].isNull(), "missing_timestamp_rain"),
-        (has_rain & ~contact & stale["rain"], "stale_rain"),
+        (F.col("_timed_rain") & at["rain"].isNull(), "missing_timestamp_rain"),
+        (F.col("_timed_rain") & stale["rain"], "stale_rain"),
     ]
-    checks += [(value[e].isNull(), f"invalid_{e}") for e in REQUIRED]
-    checks += [(has_rain & amount.isNull(), "invalid_rain")]
+    checks += [(F.col(f"_{e}").isNull(), f"invalid_{e}") for e in REQUIRED]
+    checks += [(F.col("rain").isNotNull() & F.col("_amount").isNull(), "invalid_rain")]
     for test, name in reversed(checks):
         reason = F.when(test, name).otherwise(reason)
+    df = df.withColumn("reason", reason)
     status = (
-        F.when(reason.isNull(), "ready").when(reason.startswith("stale"), "stale").otherwise("unavailable")
-    )
-    rain_time = F.when(has_rain & (~contact | ~F.coalesce(stale["rain"], F.lit(True))), at["rain"])
-    wet = amount > 0.1
-    wind = F.coalesce(value["wind_speed"], value["wind_gust"], value["wind_direction"]).isNotNull()
-    ok = reason.isNull()
+        F.when(F.col("reason").isNull(), "ready").when(F.col("reason").startswith("stale"), "stale").otherwise("unavailable"))
+    wet = F.col("_amount") > 0.1
+    wind = F.coalesce("_wind_speed", "_wind_gust", "_wind_direction").isNotNull()
+    ok = F.col("reason").isNull()
     out = {
-        "ts": F.least(*[at[e] for e in REQUIRED], rain_time),
-        **{e: F.round(value[e], 4) for e in REQUIRED},
-        "rain": wet, "rain_flag": F.when(F.coalesce(wet, F.lit(False)), 1.0).otherwise(0.0), "rain_sensor": amount,
-        "light": light, "wind_available": wind.cast("double"),
-        **{e: F.round(value[e], 4) for e in ("wind_speed", "wind_gust", "wind_direction")},
+        "ts": F.least(*[at[e] for e in REQUIRED], F.col("_rain_at")),
+        **{e: rounded(F.col(f"_{e}"), 4) for e in REQUIRED},
+        "rain": wet, "rain_flag": F.when(F.coalesce(wet, F.lit(False)), 1.0).otherwise(0.0), "rain_sensor": F.col("_amount"),
+        "light": F.col("_light"), "wind_available": wind.cast("double"),
+        **{e: rounded(F.col(f"_{e}"), 4) for e in ("wind_speed", "wind_gust", "wind_direction")},
     }
-    return df.select(KEY, poll, status.alias("status"), reason.alias("reason"), *[F.when(ok, c).alias(n) for n, c in out.items()])
+    return df.select(KEY, poll, status.alias("status"), "reason", *[F.when(ok, c).alias(n) for n, c in out.items()])
 
 
 def fingerprint(*cols: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..policy import AUDIT_GAPS, EPISODE_THRESHOLDS, HOUR, LabelRule
 from .chunks import CHUNK, CORE, KEY, US, bucket, core_only, micros, ordinal, running_total, spread
+from .lineage import cut
 from .labels import dry_flags, future_onset, future_rain, label_reach, onset_flag, segment_window
 from .quantiles import exact_quantiles
 from .segments import FILLED, SEG, mark_segments
@@ -115,12 +116,18 @@ def episodes_of(alerts: DataFrame) -> DataFrame:
     ).withColumn("complete", ~(F.col("left_censored") | F.col("right_censored"))).withColumn("false_alarm", ~F.col("observed_rain"))
 
 
-def onset_rows(frame: DataFrame) -> DataFrame:
+def station_rows(frame: DataFrame) -> DataFrame:
+    """Per station: usable rows and the span they can speak about."""
+    usable = F.col("_usable") == 1
+    return core_only(frame).groupBy(KEY).agg(
+        F.sum("_usable").cast("long").alias("usable_forecast_rows"),
+        F.min(F.when(usable, F.col(US))).alias("_from"), F.max(F.when(usable, F.col("_future_end"))).alias("_to"))
+
+
+def onset_rows(marks: DataFrame, stations: DataFrame) -> DataFrame:
     """New-rain onsets inside the span the forecasts can speak about, numbered per station."""
-    core = core_only(frame)
-    span = core.filter("_usable = 1").groupBy(KEY).agg(F.min(US).alias("_from"), F.max("_future_end").alias("_to"))
-    onsets = core.filter("_new_rain = 1").select(KEY, CHUNK, US, "_evaluable", "_prior_best", "_prior_us")
-    onsets = onsets.join(span, KEY).filter((F.col(US) > F.col("_from")) & (F.col(US) <= F.col("_to")))
+    onsets = core_only(marks).filter("_new_rain = 1").select(KEY, CHUNK, US, "_evaluable", "_prior_best", "_prior_us")
+    onsets = onsets.join(stations, KEY).filter((F.col(US) > F.col("_from")) & (F.col(US) <= F.col("_to")))
     onsets = ordinal(onsets, [KEY], [US], "event_id")
     return onsets.select(
         KEY, "event_id", F.col(US).alias("onset_us"), F.coalesce("_evaluable", F.lit(False)).alias("evaluable"),
@@ -149,9 +156,17 @@ def audit(
 ) -> dict[str, DataFrame]:
     """Events, episodes and summary per (station, threshold) for one horizon."""
     frame = audit_frame(history, predictions, rule)
-    alerts = alert_rows(frame, thresholds, rule)
-    onsets = onset_rows(frame)
-    matches = match_events(onsets, alerts)
+    # Only possible alerts and onsets matter from here on; they are sparse and
+    # every table below is built from them, so they are stored once.
+    marks = frame.filter((F.col("_score") >= min(thresholds)) | (F.col(CORE) & (F.col("_new_rain") == 1)))
+    marks = cut(marks.select(
+        KEY, CHUNK, SEG, US, CORE, "_score", "_left", "_right", "_block_us", "_future", "_new_rain",
+        "_evaluable", "_prior_best", "_prior_us"), "marks")
+    stations = cut(station_rows(frame), "stations")
+    alerts = cut(alert_rows(marks, thresholds, rule).select(
+        KEY, "threshold", "episode_id", US, "_left", "_right", "_future"), "alerts")
+    onsets = cut(onset_rows(marks, stations), "onsets")
+    matches = cut(match_events(onsets, alerts), "matches")
     grid = F.explode(_levels(thresholds)).alias("threshold")
     events = onsets.select("*", grid).join(matches.drop("onset_us"), [KEY, "event_id", "threshold"], "left")
     lead = (F.col("onset_us") - F.col("first_matching_alert_us")) / 60e6
@@ -164,14 +179,13 @@ def audit(
     matched = matched.groupBy(KEY, "threshold", "episode_id").agg(F.sort_array(F.collect_set("event_id")).alias("matched_event_ids"))
     episodes = episodes_of(alerts).join(matched, [KEY, "threshold", "episode_id"], "left").withColumn(
         "matched_event_ids", F.coalesce("matched_event_ids", F.array().cast("array<bigint>")))
-    return {"events": events, "episodes": episodes, "summary": summarise(frame, events, episodes, predictions, thresholds, rule)}
+    return {"events": events, "episodes": episodes, "summary": summarise(stations, events, episodes, predictions, thresholds, rule)}
 
 
-def summarise(frame, events, episodes, predictions, thresholds, rule: AuditRule) -> DataFrame:
+def summarise(stations, events, episodes, predictions, thresholds, rule: AuditRule) -> DataFrame:
     """Recall, false-alarm ratio and lead times per (station, threshold)."""
     key = [KEY, "threshold"]
-    core = core_only(frame)
-    rows = core.groupBy(KEY).agg(F.sum("_usable").cast("long").alias("usable_forecast_rows"))
+    rows = stations.select(KEY, "usable_forecast_rows")
     given = predictions.groupBy(KEY).agg(F.count(F.lit(1)).alias("input_forecast_rows"))
     base = given.join(rows, KEY, "left").withColumn("usable_forecast_rows", F.coalesce("usable_forecast_rows", F.lit(0).cast("long")))
     base = base.select("*", F.explode(_levels(thresholds)).alias("threshold"))

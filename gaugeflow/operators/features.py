@@ -7,7 +7,7 @@ caller that selects a family of columns pays only for that family.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,9 @@ OPTIONAL_DEFAULTS = {
 RAIN_DERIVED = ("rain_flag", "rain_sensor", "rain_now")
 
 
+Recipe = dict[str, Callable[[], Column]]  # columns are only built when asked for
+
+
 def _lag(c: Column | str, n: int) -> Column:
     return F.lag(c, n).over(segment_window())
 
@@ -51,61 +54,65 @@ def _rolling(fn, c: str, n: int) -> Column:
     return F.when(F.count(c).over(frame) == n, fn(c).over(frame))
 
 
-def lag_columns(cols: Sequence[str], windows: Sequence[int]) -> dict[str, Column]:
+def _change(c: str, n: int) -> Column:
+    return F.col(c) - _lag(c, n)
+
+
+def _slope(c: str, n: int) -> Column:
+    """Change per elapsed minute (measured time, not row count)."""
+    elapsed = (F.col(US) - _lag(US, n)) / 60e6
+    return _change(c, n) / F.when(elapsed > 0, elapsed)
+
+
+def _bright(value: Column) -> Column:
+    return F.when(F.col("daylight_available") > 0.0, F.coalesce(value, F.lit(0.0))).otherwise(0.0)
+
+
+def lag_columns(cols: Sequence[str], windows: Sequence[int]) -> Recipe:
     out = {}
     for c in cols:
         for n in windows:
-            out[f"{c}_{n}m_ago"] = _lag(c, n)
-            out[f"{c}_delta_{n}m"] = F.col(c) - _lag(c, n)
-            out[f"{c}_trend_{n}m"] = F.col(c) - _lag(c, n)
+            out[f"{c}_{n}m_ago"] = lambda c=c, n=n: _lag(c, n)
+            out[f"{c}_delta_{n}m"] = out[f"{c}_trend_{n}m"] = lambda c=c, n=n: _change(c, n)
     return out
 
 
-def rolling_columns(cols: Sequence[str], windows: Sequence[int], stats: Sequence[str]) -> dict[str, Column]:
+def rolling_columns(cols: Sequence[str], windows: Sequence[int], stats: Sequence[str]) -> Recipe:
     fns = {"avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return {f"{c}_{s}_{n}m": _rolling(fns[s], c, n) for c in cols for n in windows for s in stats}
+    return {
+        f"{c}_{s}_{n}m": lambda c=c, n=n, s=s: _rolling(fns[s], c, n) for c in cols for n in windows for s in stats}
 
 
-def rain_columns() -> dict[str, Column]:
-    out = {f"rain_last_{n}m": _rolling(F.max, "rain_flag", n) for n in (15, 30, 60, 120)}
-    return out | {f"rain_frac_{n}m": _rolling(F.avg, "rain_flag", n) for n in (5, 10, 30, 60)}
+def rain_columns() -> Recipe:
+    last = {f"rain_last_{n}m": lambda n=n: _rolling(F.max, "rain_flag", n) for n in (15, 30, 60, 120)}
+    return last | {f"rain_frac_{n}m": lambda n=n: _rolling(F.avg, "rain_flag", n) for n in (5, 10, 30, 60)}
 
 
-def rain_slopes() -> dict[str, Column]:
-    return {f"rain_slope_{n}m": F.col(f"rain_frac_{n}m") - _lag(f"rain_frac_{n}m", n) for n in (5, 10, 30)}
+def rain_slopes() -> Recipe:
+    return {f"rain_slope_{n}m": lambda n=n: _change(f"rain_frac_{n}m", n) for n in (5, 10, 30)}
 
 
-def slope_columns(cols: Sequence[str], windows: Sequence[int]) -> dict[str, Column]:
-    """Change per elapsed minute (measured time, not row count)."""
-    out = {}
-    for n in windows:
-        elapsed = (F.col(US) - _lag(US, n)) / 60e6
-        elapsed = F.when(elapsed > 0, elapsed)
-        for c in cols:
-            out[f"{c}_slope_{n}m"] = (F.col(c) - _lag(c, n)) / elapsed
-    return out
+def slope_columns(cols: Sequence[str], windows: Sequence[int]) -> Recipe:
+    return {f"{c}_slope_{n}m": lambda c=c, n=n: _slope(c, n) for n in windows for c in cols}
 
 
-def rate_columns() -> dict[str, Column]:
-    return {f"{c}_roc_{n}m": (F.col(c) - _lag(c, n)) / n for c in CORE3 for n in (15, 30, 60)}
+def rate_columns() -> Recipe:
+    return {f"{c}_roc_{n}m": lambda c=c, n=n: _change(c, n) / n for c in CORE3 for n in (15, 30, 60)}
 
 
-def momentum_columns() -> dict[str, Column]:
+def momentum_columns() -> Recipe:
     return {
-        "pressure_accel_30m": F.col("pressure_delta_30m") - _lag("pressure_delta_30m", 30),
-        "dewpoint_gap_delta_30m": F.col("temp_dewpoint_gap") - _lag("temp_dewpoint_gap", 30),
-        "dew_point_delta_30m": F.col("dew_point") - _lag("dew_point", 30),
+        "pressure_accel_30m": lambda: _change("pressure_delta_30m", 30),
+        "dewpoint_gap_delta_30m": lambda: _change("temp_dewpoint_gap", 30),
+        "dew_point_delta_30m": lambda: _change("dew_point", 30),
     }
 
 
-def light_columns() -> dict[str, Column]:
-    bright = F.col("daylight_available") > 0.0
+def light_columns() -> Recipe:
     out = {}
     for n in (5, 10, 30):
-        drop = F.col("clear_sky_light_ratio") - _lag("clear_sky_light_ratio", n)
-        slope = (F.col("light") - _lag("light", n)) / float(n)
-        out[f"light_drop_vs_expected_{n}m"] = F.when(bright, F.coalesce(drop, F.lit(0.0))).otherwise(0.0)
-        out[f"light_slope_{n}m"] = F.when(bright, F.coalesce(slope, F.lit(0.0))).otherwise(0.0)
+        out[f"light_drop_vs_expected_{n}m"] = lambda n=n: _bright(_change("clear_sky_light_ratio", n))
+        out[f"light_slope_{n}m"] = lambda n=n: _bright(_change("light", n) / float(n))
     return out
 
 
@@ -236,15 +243,8 @@ def missing_features(df: DataFrame, names: Sequence[str]) -> list[str]:
     return sorted(set(names) - set(df.columns))
 
 
-def add_features(df: DataFrame) -> DataFrame:
-    """All 202 features on a repaired, chunked, segmented frame (``_us``, ``_chunk``, ``_seg``)."""
-    df = with_calendar(with_light(with_context(df)))
-    df = df.withColumns({
-        "dew_point": dew_point(F.col("temp"), F.col("humidity")),
-        "temp_dewpoint_gap": F.col("temp") - dew_point(F.col("temp"), F.col("humidity")),
-        "rain_now": F.col("rain_flag"),
-    })
-    first = (
+def first_level() -> Recipe:
+    return (
         lag_columns(CORE3, LAGS) | lag_columns(LONG2, LONG_LAGS)
         | rolling_columns(CORE3, ROLLS, ("avg", "std", "min", "max"))
         | rolling_columns(LONG2, LONG_LAGS, ("avg", "std"))
@@ -252,7 +252,35 @@ def add_features(df: DataFrame) -> DataFrame:
         | slope_columns(CORE3, (5, 10, 30)) | slope_columns(("wind_speed", "wind_gust"), (10, 30, 60))
         | rate_columns() | light_columns()
     )
-    return df.withColumns(first).withColumns(rain_slopes() | momentum_columns())
+
+
+def add_features(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Features on a repaired, chunked, segmented frame (``_us``, ``_chunk``, ``_seg``).
+
+    ``names`` limits the work to those columns and what they are built from.
+    """
+    second = rain_slopes() | momentum_columns()
+    wanted = set(names or feature_names())
+    inputs = {f"rain_frac_{n}m" for n in (5, 10, 30) if f"rain_slope_{n}m" in wanted}
+    if "pressure_accel_30m" in wanted:
+        inputs.add("pressure_delta_30m")
+    first = {n: make() for n, make in first_level().items() if n in wanted | inputs}
+    then = {n: make() for n, make in second.items() if n in wanted}
+    if any("dew" in n for n in wanted):
+        df = df.withColumns({
+            "dew_point": dew_point(F.col("temp"), F.col("humidity")),
+            "temp_dewpoint_gap": F.col("temp") - dew_point(F.col("temp"), F.col("humidity"))})
+    if any(n.startswith(("radar", "cloud", "wind", "nwp")) for n in wanted):
+        df = with_context(df)
+    if any("light" in n or "solar" in n for n in wanted):
+        df = with_light(df)
+    if wanted & {"hour_sin", "hour_cos", "day_sin", "day_cos"}:
+        df = with_calendar(df)
+    if "rain_now" in wanted:
+        df = df.withColumn("rain_now", F.col("rain_flag"))
+    if first:
+        df = df.withColumns(first)
+    return df.withColumns(then) if then else df
 
 
 def feature_reach(cadence: Cadence = Cadence()) -> float:
@@ -260,7 +288,9 @@ def feature_reach(cadence: Cadence = Cadence()) -> float:
     return CONTEXT_ROWS * cadence.fill_over
 
 
-def feature_frame(readings: DataFrame, cadence: Cadence = Cadence(), after: float = 0.0) -> DataFrame:
-    """Repaired readings with every feature; one shuffle on (station, chunk)."""
+def feature_frame(
+    readings: DataFrame, names: Sequence[str] | None = None, cadence: Cadence = Cadence(), after: float = 0.0
+) -> DataFrame:
+    """Repaired readings with their features (all 202 by default); one shuffle on (station, chunk)."""
     df = repaired_chunks(readings, before=feature_reach(cadence), after=after, cadence=cadence)
-    return core_only(add_features(df)).drop(US, CHUNK, SEG, "_start")
+    return core_only(add_features(df, names)).drop(US, CHUNK, SEG, "_start")

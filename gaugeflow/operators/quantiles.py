@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK, running_total
+from .lineage import cut
 
 
 def exact_quantiles(
@@ -28,9 +29,11 @@ def quantiles_of_counts(
     The built-in exact percentile keeps every distinct value of a group in one
     task.  Here each group's range is cut into buckets, counts are carried
     across the buckets, and only the values sitting on a wanted rank reach the
-    final aggregate.  ``extra`` aggregates may use ``value`` and ``_c``.
+    final aggregate.  ``extra`` aggregates may use ``value`` and ``_c``.  The
+    counts feed three steps, so they are stored once.
     """
     by = list(by)
+    counts = cut(counts, "counts")
     span = counts.groupBy(*by).agg(
         F.sum("_c").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *extra
     ).filter(F.col("n") >= min_n)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from ..functions.geo import bearing
 from ..policy import GridPolicy, RINGS
 from .alerts import rising
@@ -107,9 +108,9 @@ def velocity(shifts: DataFrame, by: Sequence[str], frame_count: Column | int, me
     even = F.when(F.col("pairs") >= 2, F.greatest(F.lit(0.0), 1.0 - F.col("_spread") / F.greatest(speed, F.lit(1e-6)))).otherwise(0.5)
     share = F.col("pairs") / ((F.lit(frame_count) if isinstance(frame_count, int) else frame_count) - 1)
     return out.withColumns({
-        "speed": speed, "motion_kmh": F.round(speed * meters_per_pixel / 1000.0 * 60.0, 1),
+        "speed": speed, "motion_kmh": rounded(speed * meters_per_pixel / 1000.0 * 60.0, 1),
         "motion_deg": bearing(F.col("vx"), F.col("vy")),
-        "confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), even * share)), 2),
+        "confidence": rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), even * share)), 2),
     }).drop("_spread")
 
 

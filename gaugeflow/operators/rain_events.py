@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from ..policy import RAIN_STOP_GAPS, RAIN_THRESHOLD, GapRule, RainStopPolicy
 from .chunks import KEY, US, core_only, running_total, spread
 from .labels import segment_window
@@ -37,7 +38,7 @@ def _events(marked: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_closes"), F.col(US))).alias("last_wet_us"),
         F.max(F.when(F.col("_closes") & F.col("_complete"), F.col("_stop"))).alias("stop_us"),
     )
-    minutes = F.round((F.col("stop_us") - F.col("start_us")) / 60e6, 2)
+    minutes = rounded((F.col("stop_us") - F.col("start_us")) / 60e6, 2)
     return events.withColumns({"complete": F.col("stop_us").isNotNull(), "duration_minutes": minutes})
 
 
@@ -99,9 +100,9 @@ def rain_stop_at(
     return df.withColumn("status", status).select(
         KEY, "latest", "status", n.alias("completed_events"),
         F.coalesce("censored_events", F.lit(0)).alias("censored_events"),
-        F.when(F.col("status").isin("experimental", "insufficient_completed_events"), F.round(elapsed, 2)).alias("elapsed_minutes"),
-        F.when(ok, F.round(F.greatest(low - elapsed, F.lit(0.0)), 1)).alias("remaining_lower"),
-        F.when(ok, F.round(remaining, 1)).alias("remaining_median"),
-        F.when(ok, F.round(F.greatest(remaining, high - elapsed), 1)).alias("remaining_upper"),
-        F.when(ok, F.round(low, 1)).alias("p20"), F.when(ok, F.round(mid, 1)).alias("p50"), F.when(ok, F.round(high, 1)).alias("p80"),
+        F.when(F.col("status").isin("experimental", "insufficient_completed_events"), rounded(elapsed, 2)).alias("elapsed_minutes"),
+        F.when(ok, rounded(F.greatest(low - elapsed, F.lit(0.0)), 1)).alias("remaining_lower"),
+        F.when(ok, rounded(remaining, 1)).alias("remaining_median"),
+        F.when(ok, rounded(F.greatest(remaining, high - elapsed), 1)).alias("remaining_upper"),
+        F.when(ok, rounded(low, 1)).alias("p20"), F.when(ok, rounded(mid, 1)).alias("p50"), F.when(ok, rounded(high, 1)).alias("p80"),
     )

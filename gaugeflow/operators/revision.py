@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from ..policy import RevisionPolicy
 from .alerts import cooldown_gate
 from .chunks import KEY
@@ -45,9 +46,9 @@ def compare_issues(hourly: DataFrame, policy: RevisionPolicy = RevisionPolicy(),
     status = F.when(~comparable, "not_comparable").when(F.size(reasons) > 0, "changed").otherwise("unchanged")
     return df.select(
         KEY, issue, "previous_issue", status.alias("status"), F.coalesce("common_valid_times", F.lit(0)).alias("common_valid_times"),
-        F.when(comparable, F.round(dp, 2)).alias("max_rain_probability_delta_points"),
-        F.when(comparable, F.round(dt, 2)).alias("max_temperature_delta_c"),
-        F.when(comparable, F.round(shift, 1)).alias("rain_window_shift_minutes"),
+        F.when(comparable, rounded(dp, 2)).alias("max_rain_probability_delta_points"),
+        F.when(comparable, rounded(dt, 2)).alias("max_temperature_delta_c"),
+        F.when(comparable, rounded(shift, 1)).alias("rain_window_shift_minutes"),
         F.when(comparable, F.col("_old_wet")).alias("previous_rain_window_start"),
         F.when(comparable, F.col("first_wet")).alias("current_rain_window_start"),
         F.when(comparable, reasons).otherwise(missing).alias("reasons"))
@@ -62,6 +63,6 @@ def revision_notices(revisions: DataFrame, policy: RevisionPolicy = RevisionPoli
 
 def snapshot_fingerprint(df: DataFrame, by: Sequence[str], order: str, doubles: Sequence[str], others: Sequence[str] = ()) -> DataFrame:
     """Short hash of each snapshot (a few dozen rows): ordered JSON with doubles rounded to 6 places."""
-    row = F.struct(F.col(order).cast("string").alias("_o"), *[F.round(c, 6).alias(c) for c in doubles], *others)
+    row = F.struct(F.col(order).cast("string").alias("_o"), *[rounded(F.col(c), 6).alias(c) for c in doubles], *others)
     text = F.to_json(F.sort_array(F.collect_list(row)), {"ignoreNullFields": "false"})
     return df.groupBy(*by).agg(F.substring(F.sha2(text, 256), 1, 20).alias("snapshot_id"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-MODULES = ("series", "features", "labels", "matching", "verification", "calibration", "happenings")
+MODULES = ("cleaning", "series", "features", "labels", "matching", "verification", "calibration", "happenings", "outlooks")
 
 
 def load_queries() -> dict[str, Query]:

@@ -13,12 +13,12 @@ from .series import SERIES
 W = "(partition by station_id, segment_id order by ts)"
 
 
-def _frame(spark, sf):
-    return X.feature_frame(readings(spark, sf).drop("rn"))
+def _frame(spark, sf, names=None):
+    return X.feature_frame(readings(spark, sf).drop("rn"), names)
 
 
 def _pick(spark, sf, names):
-    return _frame(spark, sf).select(KEY, ts_us("ts"), *[rd(n, 5).alias(n) for n in names])
+    return _frame(spark, sf, list(names)).select(KEY, ts_us("ts"), *[rd(n, 5).alias(n) for n in names])
 
 
 def _sql(cols: dict[str, str], source: str = "rseg", ctes: tuple = SERIES) -> str:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
+
 
 @dataclass(frozen=True)
 class Query:
@@ -36,7 +38,7 @@ def query(name: str, oracle: str | None = None):
 def rd(col: Column | str, digits: int = 6) -> Column:
     """Round for comparison; adding zero turns -0.0 into 0.0."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.round(col.cast("double"), digits) + F.lit(0.0)
+    return rounded(col.cast("double"), digits) + F.lit(0.0)
 
 
 def ts_us(name: str) -> Column:

@@ -29,7 +29,11 @@ def parse_documents(df: DataFrame, text: str = "document") -> DataFrame:
 
 
 def _rows(df: DataFrame, block: str, fields: dict[str, str], keep) -> DataFrame:
-    arrays = [F.col(f"_doc.{block}.time").alias("time"), *[F.col(f"_doc.{block}.{src}").alias(n) for n, src in fields.items()]]
+    kinds = {f.name: f.dataType for f in df.schema["_doc"].dataType[block].dataType.fields}
+    # An absent array counts as empty, so its column is null instead of losing the rows.
+    arrays = [F.col(f"_doc.{block}.time").alias("time"), *[
+        F.coalesce(F.col(f"_doc.{block}.{src}"), F.array().cast(kinds[src])).alias(n)
+        for n, src in fields.items()]]
     return df.select(*keep, "_doc", F.posexplode(F.arrays_zip(*arrays)).alias("_i", "_e")).select(*keep, "_doc", "_i", "_e.*")
 
 
