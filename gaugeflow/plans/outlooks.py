@@ -68,15 +68,15 @@ def day_night(spark, sf):
 
 
 @query("pressure_baseline", with_ctes(READINGS) + """
-, w as (select *, ts + interval 7 hours as l from readings where ts >= timestamp '2024-01-05 00:30:00' - interval 8 days and ts < timestamp '2024-01-05 00:30:00'),
-d as (select station_id, l::date as d, avg(pressure) as m from w where hour(l)=6 and l::date <> date '2024-01-05' group by 1,2),
+, w as (select *, ts + interval 7 hours as l from readings where ts >= timestamp '2024-01-04 00:30:00' - interval 8 days and ts < timestamp '2024-01-04 00:30:00'),
+d as (select station_id, l::date as d, avg(pressure) as m from w where hour(l)=6 and l::date <> date '2024-01-04' group by 1,2),
 k as (select *, row_number() over (partition by station_id order by d desc) as r from d),
-b as (select station_id, count(*) as days, avg(m) as base from k where r<=7 group by 1 having count(*)>=3),
+b as (select station_id, count(*) as days, avg(m) as base from k where r<=7 group by 1 having count(*)>=2),
 c as (select station_id, arg_max(pressure, ts) as cur from w group by 1)
 select b.station_id, days, round(base,5)+0.0 as baseline, round(cur-base,5)+0.0 as anomaly, case when cur-base < -0.5 then 'below' when cur-base > 0.5 then 'above' else 'near' end as direction
 from b join c on c.station_id=b.station_id""")
 def pressure_baseline(spark, sf):
-    out = S.pressure_baseline(readings(spark, sf), F.expr("timestamp'2024-01-05 00:30:00'"))
+    out = S.pressure_baseline(readings(spark, sf), F.expr("timestamp'2024-01-04 00:30:00'"), min_days=2)
     return out.select(KEY, "days", rd("baseline", 5).alias("baseline"), rd("anomaly", 5).alias("anomaly"), "direction")
 
 
