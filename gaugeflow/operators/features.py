@@ -294,3 +294,20 @@ def feature_frame(
     """Repaired readings with their features (all 202 by default); one shuffle on (station, chunk)."""
     df = repaired_chunks(readings, before=feature_reach(cadence), after=after, cadence=cadence)
     return core_only(add_features(df, names)).drop(US, CHUNK, SEG, "_start")
+
+
+def labelled_features(readings: DataFrame, horizons: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
+    """Features and future labels side by side, still from the one shuffle of the repair.
+
+    Adds ``rain_<h>m``, ``onset_<h>m`` and ``temp_ahead_30m`` to the feature frame.
+    """
+    from .labels import LabelRule, future_onset, future_rain, label_reach, onset_flag
+    from .segments import FILLED
+
+    rule = LabelRule()
+    df = repaired_chunks(readings, before=feature_reach(), after=label_reach(max(*horizons, 30), rule))
+    df = df.withColumn("onset", onset_flag(df, rule))
+    labels = {f"rain_{h}m": future_rain(df, h, rule) for h in horizons}
+    labels |= {f"onset_{h}m": future_onset(df, h, "onset", rule) for h in horizons}
+    labels["temp_ahead_30m"] = F.when(F.lead(FILLED, 30).over(segment_window()) == 0, F.lead("temp", 30).over(segment_window()))
+    return core_only(add_features(df.withColumns(labels), names)).drop(US, CHUNK, SEG, "_start")

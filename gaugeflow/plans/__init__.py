@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-MODULES = ("cleaning", "series", "features", "labels", "matching", "verification", "calibration", "happenings", "outlooks", "live")
+MODULES = ("cleaning", "series", "features", "labels", "matching", "verification", "calibration", "happenings", "outlooks", "live", "learning")
 
 
 def load_queries() -> dict[str, Query]:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.physics import comfort_class, heat_index
-from ..operators.chunks import KEY
-from ..policy import LiveRule, MatchRule
+from ..operators.chunks import KEY, bucket, micros
+from ..policy import MINUTE, LiveRule, MatchRule
 
 
 def unique_readings(stream: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -21,16 +21,26 @@ def fresh_rows(stream: DataFrame, now: Column, observed: Column, limit: Column |
     return stream.filter((age <= limit) & (age >= -rule.future))
 
 
-def outcomes(forecasts: DataFrame, readings: DataFrame, delay: str = "3 hours", rule: MatchRule = MatchRule()) -> DataFrame:
+def outcomes(
+    forecasts: DataFrame, readings: DataFrame, delay: str = "3 hours", rule: MatchRule = MatchRule(), width: int = 10 * MINUTE
+) -> DataFrame:
     """Forecasts joined to the readings around their valid time, as both streams arrive.
 
-    The time-range condition bounds the state on both sides.
+    The join key holds a time bucket (a forecast is copied to the one or two
+    buckets its tolerance touches), so a row probes a few neighbours instead
+    of all buffered rows of its station; the time-range condition bounds the
+    state on both sides.
     """
-    f = forecasts.withWatermark("valid_at", delay).select(KEY, "issued_at", "valid_at", "lead_minutes", "rain_prob", "source_layer")
-    r = readings.withWatermark("ts", delay).select(F.col(KEY).alias("_station"), "ts", "rain_flag")
+    tol = micros(rule.point_tolerance)
+    at = F.unix_micros("valid_at")
+    f = forecasts.withWatermark("valid_at", delay).select(
+        KEY, "issued_at", "valid_at", "lead_minutes", "rain_prob", "source_layer",
+        F.explode(F.sequence(bucket(at - tol, width), bucket(at + tol, width))).alias("_bucket"))
+    r = readings.withWatermark("ts", delay).select(
+        F.col(KEY).alias("_station"), "ts", "rain_flag", bucket(F.unix_micros("ts"), width).alias("_slot"))
     slack = f"interval {int(rule.point_tolerance)} seconds"
-    near = F.expr(f"{KEY} = _station and ts >= valid_at - {slack} and ts <= valid_at + {slack}")
-    return f.join(r, near).drop("_station")
+    near = F.expr(f"{KEY} = _station and _bucket = _slot and ts >= valid_at - {slack} and ts <= valid_at + {slack}")
+    return f.join(r, near).drop("_station", "_bucket", "_slot")
 
 
 def summaries(stream: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "1 hour", offset: str | None = None) -> DataFrame:

@@ -25,11 +25,12 @@ def staged_stream(df: DataFrame, name: str) -> DataFrame:
     return file_stream(df.sparkSession, path, df.schema)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str] | None = None) -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str] | None = None, machine: bool = False) -> DataFrame:
     """Process everything available, each micro-batch landing in its own directory.
 
     Rewriting the directory of a batch makes a replay after a failure
     harmless.  In update mode ``key`` keeps the newest version of each row.
+    ``machine`` selects the state store that arbitrary state machines need.
     """
     spark = stream.sparkSession
     out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
@@ -39,7 +40,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str]
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # the stateful operators need it
+    if machine:
+        spark.conf.set(PROVIDER, ROCKSDB)
     try:
         running = (
             stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(land)
