@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.rounding import rounded
 from ..policy import BiasPolicy, IntervalPolicy
 from .asof import nearest_within
-from .chunks import CHUNK, KEY, ordinal, with_chunk
+from .chunks import KEY, cut_points
+from .lineage import cut
 from .quantiles import quantiles_of_counts
 from .scoring import hour_of
 
@@ -152,10 +153,10 @@ def error_pairs(
 def holdout_split(pairs: DataFrame, by: Sequence[str], order: Sequence[str], policy: IntervalPolicy = IntervalPolicy()) -> DataFrame:
     """Flag the last fraction of each group in time order as ``holdout``."""
     by = list(by)
-    df = ordinal(with_chunk(pairs, ts=order[0]), by, order, "_ord")
-    totals = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    cut = F.greatest(F.lit(1), F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(1.0 - policy.holdout))))
-    return df.join(totals, by).withColumn("holdout", F.col("_ord") > cut).drop("_ord", "_total", CHUNK)
+    first = {"_start": lambda n: F.greatest(F.lit(1), F.least(n - 1, F.floor(n * F.lit(1.0 - policy.holdout))))}
+    starts = cut(cut_points(pairs, by, order, first), "starts")
+    late = F.coalesce(F.struct(*order) >= F.col("_start"), F.lit(False))
+    return pairs.join(starts, by).withColumn("holdout", late).drop("_start", "_total")
 
 
 def evaluate_interval(split: DataFrame, by: Sequence[str], policy: IntervalPolicy = IntervalPolicy()) -> tuple[DataFrame, DataFrame]:

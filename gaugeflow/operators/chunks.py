@@ -92,18 +92,22 @@ def carry(
     return df.join(marks, keys)
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
-    """Inclusive running sum of ``value`` over ``by`` in ``order``; needs ``_chunk`` ordered with ``order``."""
-    v, base = f"_{out}_v", f"_{out}_base"
-    df = df.withColumn(v, value.cast("long"))
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums over ``by`` in ``order``; needs ``_chunk`` ordered with ``order``."""
+    df = df.withColumns({f"_{out}_v": value.cast("long") for out, value in values.items()})
+
+    def before(out: str):
+        return lambda w: F.coalesce(F.sum(f"_{out}_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
     df = carry(
-        df,
-        by,
-        [F.sum(v).alias("_s")],
-        {base: lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))},
-    )
+        df, by, [F.sum(f"_{out}_v").alias(f"_{out}_s") for out in values], {f"_{out}_base": before(out) for out in values})
     w = Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.col(base) + F.sum(v).over(w)).drop(v, base)
+    df = df.withColumns({out: F.col(f"_{out}_base") + F.sum(f"_{out}_v").over(w) for out in values})
+    return df.drop(*[f"_{out}_{x}" for out in values for x in ("v", "base")])
+
+
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    return running_totals(df, by, order, {out: value})
 
 
 def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -117,3 +121,32 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) ->
     )
     w = Window.partitionBy(*by, CHUNK).orderBy(*order)
     return df.withColumn(out, F.col(base) + F.row_number().over(w)).drop(base)
+
+
+def cut_points(df: DataFrame, by: Sequence[str], order: Sequence[str], ranks: dict[str, Callable]) -> DataFrame:
+    """Per key the row count ``_total`` and, per named rank, the order struct of the row at that 0-based rank.
+
+    ``ranks`` maps a name to a function of the total count.  Chunks are counted
+    first; only the chunks holding a wanted rank are then sorted.  The result
+    has one row per key, so wide rows can be split by comparing their order
+    columns with it instead of being numbered.
+    """
+    by = list(by)
+    keys = with_chunk(df.select(*by, *order), ts=order[0])
+    w = Window.partitionBy(*by)
+    counts = keys.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({
+        "_total": F.sum("_n").over(w),
+        "_base": F.sum("_n").over(w.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
+    })
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("name"), make(F.col("_total")).cast("long").alias("rank")) for name, make in ranks.items()])
+    spots = counts.withColumn("_w", F.explode(wanted)).select(
+        *by, CHUNK, "_total", F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_base")).alias("_k"), "_n"
+    ).filter((F.col("_k") >= 0) & (F.col("_k") < F.col("_n")))
+    number = F.row_number().over(Window.partitionBy(*by, CHUNK, "_name").orderBy(*order)) - 1
+    hit = keys.join(spots, [*by, CHUNK]).withColumn("_i", number).filter(F.col("_i") == F.col("_k"))
+    found = hit.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_name") == name, F.struct(*order))).alias(name) for name in ranks])
+    totals = counts.groupBy(*by).agg(F.max("_total").alias("_total"))
+    return totals.join(found, by, "left")

@@ -48,12 +48,6 @@ def _lag(c: Column | str, n: int) -> Column:
     return F.lag(c, n).over(segment_window())
 
 
-def _rolling(fn, c: str, n: int) -> Column:
-    """Aggregate of the last ``n`` rows, null until ``n`` values exist."""
-    frame = segment_window().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(c).over(frame) == n, fn(c).over(frame))
-
-
 def _change(c: str, n: int) -> Column:
     return F.col(c) - _lag(c, n)
 
@@ -77,15 +71,81 @@ def lag_columns(cols: Sequence[str], windows: Sequence[int]) -> Recipe:
     return out
 
 
-def rolling_columns(cols: Sequence[str], windows: Sequence[int], stats: Sequence[str]) -> Recipe:
-    fns = {"avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return {
-        f"{c}_{s}_{n}m": lambda c=c, n=n, s=s: _rolling(fns[s], c, n) for c in cols for n in windows for s in stats}
+# A window of n rows is put together from shorter ones, newest first: the five-row
+# frames are the only ones Spark slides over, all others are lags of results.
+LADDER = ({10: (5, 5), 15: (5, 5, 5)}, {30: (15, 15)}, {60: (30, 30)}, {90: (60, 30), 120: (60, 60)})
+BASE = 5
+
+
+def _part(stat: str, c: str, n: int) -> str:
+    return f"_{stat}_{c}_{n}"
+
+
+def _base_stat(stat: str, c: str) -> Column:
+    frame = segment_window().rowsBetween(-(BASE - 1), 0)
+    fn = {"mean": F.avg, "min": F.min, "max": F.max, "m2": F.var_pop}[stat]
+    value = fn(c).over(frame) * float(BASE) if stat == "m2" else fn(c).over(frame)
+    return F.when(F.count(c).over(frame) == BASE, value)
 
 
-def rain_columns() -> Recipe:
-    last = {f"rain_last_{n}m": lambda n=n: _rolling(F.max, "rain_flag", n) for n in (15, 30, 60, 120)}
-    return last | {f"rain_frac_{n}m": lambda n=n: _rolling(F.avg, "rain_flag", n) for n in (5, 10, 30, 60)}
+def _joined(stat: str, c: str, n: int, pieces: tuple) -> Column:
+    """Statistic of ``n`` rows from those of its pieces; null unless all exist."""
+    offsets = [sum(pieces[:i]) for i in range(len(pieces))]
+
+    def piece(s: str, i: int) -> Column:
+        col = F.col(_part(s, c, pieces[i]))
+        return _lag(col, offsets[i]) if offsets[i] else col
+
+    values = [piece(stat, i) for i in range(len(pieces))]
+    oldest = values[-1].isNotNull()  # then the newer ones exist, too
+    if stat in ("min", "max"):
+        return F.when(oldest, (F.least if stat == "min" else F.greatest)(*values))
+    means = values if stat == "mean" else [piece("mean", i) for i in range(len(pieces))]
+    mean = sum((m * float(k) for m, k in zip(means, pieces)), F.lit(0.0)) / float(n)
+    if stat == "mean":
+        return mean
+    # Sums of squared deviations add up with the spread between the pieces' means.
+    return sum((v + float(k) * (m - mean) * (m - mean) for v, m, k in zip(values, means, pieces)), F.lit(0.0))
+
+
+def rolling_names() -> dict[str, tuple[str, str, int]]:
+    """Feature name -> (statistic, column, rows) of every rolling feature."""
+    out = {}
+    for c in CORE3:
+        for n in (*ROLLS, *(LONG_LAGS if c in LONG2 else ())):
+            out |= {f"{c}_avg_{n}m": ("mean", c, n), f"{c}_std_{n}m": ("m2", c, n)}
+            if n in ROLLS:
+                out |= {f"{c}_min_{n}m": ("min", c, n), f"{c}_max_{n}m": ("max", c, n)}
+    out |= {f"rain_last_{n}m": ("max", "rain_flag", n) for n in (15, 30, 60, 120)}
+    return out | {f"rain_frac_{n}m": ("mean", "rain_flag", n) for n in (5, 10, 30, 60)}
+
+
+def add_rolling(df: DataFrame, wanted: set[str]) -> DataFrame:
+    """Rolling features among ``wanted``; sample deviation, null until the window is full."""
+    targets = {n: spec for n, spec in rolling_names().items() if n in wanted}
+    pieces = {n: p for level in LADDER for n, p in level.items()}
+    needed: set[tuple] = set()
+
+    def need(stat: str, c: str, n: int) -> None:
+        if (stat, c, n) in needed:
+            return
+        needed.add((stat, c, n))
+        for k in set(pieces.get(n, ())):
+            need(stat, c, k)
+            if stat == "m2":
+                need("mean", c, k)
+
+    for spec in targets.values():
+        need(*spec)
+    base = {_part(s, c, n): _base_stat(s, c) for s, c, n in sorted(needed) if n == BASE}
+    df = df.withColumns(base) if base else df
+    for level in LADDER:
+        cols = {_part(s, c, n): _joined(s, c, n, level[n]) for s, c, n in sorted(needed) if n in level}
+        df = df.withColumns(cols) if cols else df
+    final = {
+        name: F.sqrt(F.col(_part(s, c, n)) / float(n - 1)) if s == "m2" else F.col(_part(s, c, n))
+        for name, (s, c, n) in targets.items()}
+    return df.withColumns(final).drop(*[_part(*x) for x in needed]) if final else df
 
 
 def rain_slopes() -> Recipe:
@@ -246,9 +306,6 @@ def missing_features(df: DataFrame, names: Sequence[str]) -> list[str]:
 def first_level() -> Recipe:
     return (
         lag_columns(CORE3, LAGS) | lag_columns(LONG2, LONG_LAGS)
-        | rolling_columns(CORE3, ROLLS, ("avg", "std", "min", "max"))
-        | rolling_columns(LONG2, LONG_LAGS, ("avg", "std"))
-        | rain_columns()
         | slope_columns(CORE3, (5, 10, 30)) | slope_columns(("wind_speed", "wind_gust"), (10, 30, 60))
         | rate_columns() | light_columns()
     )
@@ -278,6 +335,7 @@ def add_features(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
         df = with_calendar(df)
     if "rain_now" in wanted:
         df = df.withColumn("rain_now", F.col("rain_flag"))
+    df = add_rolling(df, wanted | inputs)
     if first:
         df = df.withColumns(first)
     return df.withColumns(then) if then else df

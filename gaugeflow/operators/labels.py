@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..policy import MINUTE, RAIN_THRESHOLD, SECOND, Cadence, FEATURE_GAPS, GapRule, LabelRule, SplitRule
-from .chunks import CHUNK, KEY, US, carry, core_only, micros, ordinal, running_total, spread, with_chunk
+from .chunks import CHUNK, KEY, US, carry, core_only, cut_points, micros, running_total, spread, with_chunk
+from .lineage import cut
 from .segments import FILLED, SEG, drop_bursts, mark_segments, repaired_chunks
 
 
@@ -102,35 +103,25 @@ def dry_flags(df: DataFrame, rows: int = 60) -> dict[str, Column]:
 def split(df: DataFrame, horizon: int, rule: SplitRule = SplitRule()) -> DataFrame:
     """Chronological parts per station, purging rows whose label crosses into the next part.
 
-    Row numbers come from chunk carries and the cut times from one aggregate
-    row per station, attached through the (station, chunk) table, so neither
-    a hot station nor a large station list meets a single task.  Stations with
+    The times at which the parts start are found first, from station and time
+    alone; the (wide) rows are then labelled by comparing times.  Stations with
     fewer than ``min_rows`` rows get the part ``too_short``.
     """
-    df = with_chunk(df)
-    by = [KEY]
-    numbered = ordinal(df, by, ["ts"], "_ord")
-    totals = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("_total"))
-    chunks = df.select(KEY, CHUNK).distinct().join(totals, KEY)
-    numbered = numbered.join(chunks, [KEY, CHUNK])
-    cuts = [F.floor(F.col("_total") * F.lit(f)) for f in rule.fractions]
-    index = F.col("_ord") - 1
-    starts = numbered.groupBy(KEY).agg(
-        *[F.min(F.when(index >= cut, F.unix_micros("ts"))).alias(f"_next{i}") for i, cut in enumerate(cuts)]
-    )
-    numbered = numbered.join(chunks.select(KEY, CHUNK).join(starts, KEY), [KEY, CHUNK])
-    part = F.lit(rule.names[-1])
-    limit = F.lit(None).cast("long")
-    for i in reversed(range(len(cuts))):
-        part = F.when(index < cuts[i], rule.names[i]).otherwise(part)
-        limit = F.when(index < cuts[i], F.col(f"_next{i}")).otherwise(limit)
-    label_end = F.unix_micros("ts") + horizon * MINUTE + micros(rule.jitter)
+    ranks = {f"_next{i}": (lambda n, f=f: F.floor(n * F.lit(f))) for i, f in enumerate(rule.fractions)}
+    starts = cut(cut_points(df, [KEY], ["ts"], ranks), "starts")
+    df = df.join(starts, KEY)
+    us = F.unix_micros("ts")
+    part, limit = F.lit(rule.names[-1]), F.lit(None).cast("long")
+    for i in reversed(range(len(rule.fractions))):
+        start = F.unix_micros(f"_next{i}.ts")
+        part = F.when(us < start, rule.names[i]).otherwise(part)
+        limit = F.when(us < start, start).otherwise(limit)
+    label_end = us + horizon * MINUTE + micros(rule.jitter)
     part = F.when(F.col("_total") < rule.min_rows, "too_short").otherwise(part)
     return (
-        numbered.withColumn("part", part)
-        .withColumn("_limit", limit)
+        df.withColumns({"part": part, "_limit": limit})
         .filter(F.col("_limit").isNull() | (label_end < F.col("_limit")))
-        .drop(CHUNK, "_ord", "_total", "_limit", *[f"_next{i}" for i in range(len(cuts))])
+        .drop("_total", "_limit", *ranks)
     )
 
 
@@ -139,29 +130,28 @@ def onset_weights(df: DataFrame, target: str = "target", boost: float = 1.5) ->
 
     An episode is a run of consecutive positive rows of a station.
     """
-    positive = F.coalesce(F.col(target) > 0.5, F.lit(False)).cast("int")
-    df = with_chunk(df).withColumn("_pos", positive)
-    df = carry(
-        df, [KEY],
+    positive = F.coalesce(F.col(target) > 0.5, F.lit(False))
+    rows = with_chunk(df.select(KEY, "ts", positive.cast("int").alias("_pos")))
+    rows = carry(
+        rows, [KEY],
         [F.max_by("_pos", "ts").alias("_last")],
         {"_before": lambda w: F.coalesce(F.lag("_last").over(w), F.lit(0))},
     )
     w = Window.partitionBy(KEY, CHUNK).orderBy("ts")
-    first = (F.col("_pos") == 1) & (F.coalesce(F.lag("_pos").over(w), F.col("_before")) == 0)
-    df = df.withColumn("_first", first.cast("int"))
-    df = running_total(df, [KEY], ["ts"], F.col("_first"), "_episode")
-    hot = df.filter("_pos = 1")
+    first = F.coalesce(F.lag("_pos").over(w), F.col("_before")) == 0
+    # Only the (rare) positive rows are numbered and sized.
+    hot = cut(rows.withColumn("_first", first.cast("int")).filter("_pos = 1").select(KEY, CHUNK, "ts", "_first"), "positives")
+    hot = running_total(hot, [KEY], ["ts"], F.col("_first"), "_episode")
     sizes = hot.groupBy(KEY, "_episode").agg(F.count(F.lit(1)).alias("_size"))
     mass = sizes.groupBy(KEY).agg((F.sum("_size") / F.count(F.lit(1))).alias("_mean"))
-    episodes = sizes.join(mass, KEY).withColumn("_pos", F.lit(1))
-    df = df.join(episodes, [KEY, "_episode", "_pos"], "left")
-    hard = (F.col("_pos") == 0)
+    share = hot.join(sizes.join(mass, KEY), [KEY, "_episode"]).select(KEY, "ts", (F.col("_mean") / F.col("_size")).alias("_share"))
+    hard = ~positive
     if "humidity" in df.columns:
         hard = hard & (F.coalesce(F.col("humidity"), F.lit(0.0)) >= 85.0)
     if "light_slope_30m" in df.columns:
         hard = hard & (F.coalesce(F.col("light_slope_30m"), F.lit(0.0)) < 0.0)
-    weight = F.when(F.col("_pos") == 1, F.col("_mean") / F.col("_size")).when(hard, boost).otherwise(1.0)
-    return df.withColumn("weight", weight).drop("_pos", "_before", "_first", "_episode", "_size", "_mean", CHUNK)
+    weight = F.when(positive, F.col("_share")).when(hard, boost).otherwise(1.0)
+    return df.join(share, [KEY, "ts"], "left").withColumn("weight", weight).drop("_share")
 
 
 def common_rows(df: DataFrame, horizons, features=(), kind: str = "rain") -> DataFrame:

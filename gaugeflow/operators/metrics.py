@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..policy import RAIN_THRESHOLD, SWEEP_STEPS
-from .chunks import CHUNK, running_total
+from .chunks import CHUNK, running_totals
+from .lineage import cut
 
 
 def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
@@ -84,8 +85,7 @@ def average_precision(df: DataFrame, by: Sequence[str], y: str = "observed", p:
     scores = df.groupBy(*by, F.col(p).alias("_p")).agg(
         F.count(F.when(F.col(y) > 0.5, 1)).alias("_pos"), F.count(F.lit(1)).alias("_all")
     ).withColumn("_down", -F.col("_p")).withColumn(CHUNK, F.floor(F.col("_down") * buckets))
-    scores = running_total(scores, by, ["_down"], F.col("_pos"), "_tp")
-    scores = running_total(scores, by, ["_down"], F.col("_all"), "_n")
+    scores = running_totals(cut(scores, "scores"), by, ["_down"], {"_tp": F.col("_pos"), "_n": F.col("_all")})
     return scores.groupBy(*by).agg(
         F.sum("_pos").alias("positives"),
         (F.sum(F.col("_pos") * F.col("_tp") / F.col("_n")) / F.when(F.sum("_pos") > 0, F.sum("_pos"))).alias("average_precision"),
@@ -104,21 +104,17 @@ def brier(df: DataFrame, by: Sequence[str] = (), y: str = "observed", p: str = "
 def with_hourly_climatology(df: DataFrame, train: Column, by: Sequence[str], y: str = "observed", hour: Column | None = None) -> DataFrame:
     """Event rate of the training rows by hour (falling back to their overall rate) on every row.
 
-    One aggregate of at most 24 rows per group, joined back by (group, hour).
+    One aggregate of at most 24 rows per group, completed to all 24 hours and
+    joined back by (group, hour).
     """
     by = list(by)
     df = df.withColumn("_hour", hour if hour is not None else F.hour("ts"))
-    hourly = df.filter(train).groupBy(*by, "_hour").agg(F.avg(y).alias("_rate"))
-    overall = df.filter(train).groupBy(*by).agg(F.avg(y).alias("_overall"))
-    grid = df.select(*by, "_hour").distinct()
-    if by:
-        grid = grid.join(overall, by, "left")
-    else:
-        grid = grid.withColumn("_g", F.lit(1)).join(overall.withColumn("_g", F.lit(1)), "_g", "left").drop("_g")
-    grid = grid.join(hourly, [*by, "_hour"], "left").select(
-        *by, "_hour", F.coalesce("_rate", "_overall").alias("climatology")
-    )
-    return df.join(grid, [*by, "_hour"]).drop("_hour")
+    sums = df.filter(train).groupBy(*by, "_hour").agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    rows = F.collect_list(F.struct("_hour", (F.col("_s") / F.col("_n")).alias("_rate")))
+    packed = sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("_all"), F.map_from_entries(rows).alias("_m"))
+    grid = packed.withColumn("_hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).select(
+        *by, "_hour", F.coalesce(F.try_element_at("_m", F.col("_hour")), F.col("_all")).alias("climatology"))
+    return df.join(grid, [*by, "_hour"], "left").drop("_hour")
 
 
 def skill(brier_col: str, reference: str) -> Column:
