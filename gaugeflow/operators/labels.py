@@ -156,10 +156,8 @@ def onset_weights(df: DataFrame, target: str = "target", boost: float = 1.5) ->
 
 def common_rows(df: DataFrame, horizons, features=(), kind: str = "rain") -> DataFrame:
     """Real rows with every feature and a valid label at every horizon."""
-    keep = F.coalesce(F.col(FILLED), F.lit(0.0)) <= 0
-    for c in [*features, *[f"{kind}_{h}m" for h in horizons]]:
-        keep = keep & F.col(c).isNotNull()
-    return df.filter(keep)
+    needed = [*features, *[f"{kind}_{h}m" for h in horizons]]
+    return df.filter(F.coalesce(F.col(FILLED), F.lit(0.0)) <= 0).dropna(subset=needed)
 
 
 def filter_counts(df: DataFrame, horizons, kind: str = "rain") -> DataFrame:

@@ -150,10 +150,7 @@ select station_id, count(*) as n, sum(case when rr > 120 then 1 else 0 end)::big
 def feature_complete(spark, sf):
     """Rows on which all 202 features exist (needs 120 earlier rows of the segment)."""
     names = X.feature_names()
-    null = None
-    for n in names:
-        c = F.col(n).isNull()
-        null = c if null is None else (null | c)
+    lacking = F.array_contains(F.array(*[F.col(n).isNull() for n in names]), True)
     return _frame(spark, sf).groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(~null, 1).otherwise(0)).cast("long").alias("complete")
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(lacking, 0).otherwise(1)).cast("long").alias("complete")
     )

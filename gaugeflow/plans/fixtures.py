@@ -16,8 +16,14 @@ EPOCH = "2024-01-01 00:00:00"
 EPOCH_US = 1_704_067_200 * SECOND
 
 
+_SCHEMAS: dict = {}  # parquet footers are read once per table
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
