@@ -48,19 +48,19 @@ def bias_fit(spark, sf):
     return fit.select("scope", "key", "n", rd("median_c", 5).alias("median_c"), rd("mean_c", 5).alias("mean_c"))
 
 
-# Only leads up to 3 are fitted, so that the hour and the global scope are used for the rest.
-_THIN = ("thin as (select * from pairs where lead_hours<=3 and issue_hour<12)",
-         BIAS_SQL.replace("pairs", "thin"))
+# A sample limit near the group sizes, so that leads, hours and the global scope all get used.
+LIMIT = 164
+THIN_SQL = BIAS_SQL.replace(">=5", f">={LIMIT}")
 
 
-@query("bias_apply", with_ctes(*_BASE, *_THIN) + """
+@query("bias_apply", with_ctes(*_BASE, THIN_SQL) + """
 select n.station_id, epoch_us(n.issued_hour) as issued_us, n.lead_hours, round(n.temp_forecast,4)+0.0 as temp_raw,
   round(greatest(-6.0,least(6.0,coalesce(l.med,h.med,g.med,0.0))),4)+0.0 as temp_bias_correction,
   round(n.temp_forecast+greatest(-6.0,least(6.0,round(coalesce(l.med,h.med,g.med,0.0),6))),3)+0.0 as temp
 from nwp_log n left join bias l on l.scope='lead' and l.key=n.lead_hours left join bias h on h.scope='hour' and h.key=hour(n.valid_at)
  left join bias g on g.scope='global'""")
 def bias_apply(spark, sf):
-    model = C.fit_bias(_pairs(spark, sf).filter("lead_hours <= 3 and issue_hour < 12"), policy=BIAS)
+    model = C.fit_bias(_pairs(spark, sf), policy=BiasPolicy(min_samples=LIMIT))
     timeline = nwp_log(spark, sf).withColumn("temp", F.col("temp_forecast"))
     out = C.apply_bias(timeline, model, F.hour("valid_at"))
     return out.select(
@@ -83,10 +83,10 @@ def interval_fit(spark, sf):
     return fit.select(KEY, "scope", "key", "n", *[rd(c, 4).alias(c) for c in ("lower_error_c", "upper_error_c", "median_error_c")])
 
 
-_PART = "few as (select * from pairs where lead_hours<=3)"
+STATION_LIMIT = 41
 
 
-@query("interval_apply", with_ctes(*_BASE, _PART, _interval_sql("few")) + """
+@query("interval_apply", with_ctes(*_BASE, _interval_sql("pairs").replace(">=5", f">={STATION_LIMIT}")) + """
 select n.station_id, epoch_us(n.issued_hour) as issued_us, n.lead_hours,
  round(n.temp_forecast+round(case when l.n is not null then l.lo else g.lo end,4),2)+0.0 as interval_lower,
  round(n.temp_forecast+round(case when l.n is not null then l.hi else g.hi end,4),2)+0.0 as interval_upper,
@@ -94,7 +94,7 @@ select n.station_id, epoch_us(n.issued_hour) as issued_us, n.lead_hours,
 from nwp_log n left join iv l on l.station_id=n.station_id and l.scope='lead' and l.key=n.lead_hours
  left join iv g on g.station_id=n.station_id and g.scope='global'""")
 def interval_apply(spark, sf):
-    model = C.fit_interval(_pairs(spark, sf).filter("lead_hours <= 3"), by=[KEY], policy=INTERVAL)
+    model = C.fit_interval(_pairs(spark, sf), by=[KEY], policy=IntervalPolicy(min_samples=STATION_LIMIT))
     out = C.apply_interval(nwp_log(spark, sf).withColumn("temp", F.col("temp_forecast")), model, by=[KEY])
     return out.select(
         KEY, F.unix_micros("issued_hour").alias("issued_us"), "lead_hours",

@@ -29,17 +29,20 @@ def reading_dedupe(spark, sf):
 
 
 @query("history_merge", with_ctes(READINGS) + """
-, a as (select station_id, ts, rn, temp, 0 as rank from readings where rn%3<>1), b as (select station_id, ts, rn, temp+100 as temp, 1 as rank from readings where rn%4=0),
-u as (select *, row_number() over (partition by station_id, ts order by rank desc, rn desc) as k from (select * from a union all select * from b))
-select station_id, epoch_us(ts) as ts_us, rn, round(temp,4)+0.0 as temp from u where k=1""")
+, u as (select station_id, date_trunc('minute', ts) as minute, rn, temp, 0 as rank from readings
+  union all select station_id, date_trunc('minute', ts + interval 90 seconds), rn, temp+100, 1 from readings),
+k as (select *, row_number() over (partition by station_id, minute order by rank desc, rn desc) as k from u)
+select station_id, epoch_us(minute) as minute_us, rn, round(temp,4)+0.0 as temp from k where k=1""")
 def history_merge(spark, sf):
-    r = readings(spark, sf).select(KEY, "ts", "rn", "temp")
-    merged = C.merge_history(r.filter("rn % 3 <> 1"), r.filter("rn % 4 = 0").withColumn("temp", F.col("temp") + 100), order="rn")
-    return merged.select(KEY, ts_us("ts"), "rn", rd("temp", 4).alias("temp"))
+    """Two sources on partly equal minutes; the second one wins."""
+    r = readings(spark, sf)
+    files = r.select(KEY, F.date_trunc("minute", "ts").alias("minute"), "rn", "temp")
+    stored = r.select(KEY, F.date_trunc("minute", F.expr("ts + interval 90 seconds")).alias("minute"), "rn", (F.col("temp") + 100).alias("temp"))
+    return C.merge_history(files, stored, key=(KEY, "minute"), order="rn").select(KEY, ts_us("minute"), "rn", rd("temp", 4).alias("temp"))
 
 
 _IGNORE = """
-, stored as (select station_id, date_trunc('minute', ts) as minute from readings where rn%5=0),
+, stored as (select station_id, date_trunc('minute', ts + interval 2 hours) as minute from readings),
 b as (select *, date_trunc('minute', ts) as minute, row_number() over (partition by station_id, date_trunc('minute', ts) order by rn) as k from readings r
   where not exists (select 1 from stored s where s.station_id=r.station_id and s.minute=date_trunc('minute', r.ts)))
 select station_id, epoch_us(minute) as minute_us, rn from b where k=1"""
@@ -47,8 +50,10 @@ select station_id, epoch_us(minute) as minute_us, rn from b where k=1"""
 
 @query("insert_ignore", with_ctes(READINGS) + _IGNORE)
 def insert_ignore(spark, sf):
-    r = readings(spark, sf).select(KEY, F.date_trunc("minute", "ts").alias("minute"), "rn")
-    return C.insert_ignore(r.filter("rn % 5 = 0"), r, [KEY, "minute"], "rn").select(KEY, ts_us("minute"), "rn")
+    r = readings(spark, sf)
+    stored = r.select(KEY, F.date_trunc("minute", F.expr("ts + interval 2 hours")).alias("minute"))
+    batch = r.select(KEY, F.date_trunc("minute", "ts").alias("minute"), "rn")
+    return C.insert_ignore(stored, batch, [KEY, "minute"], "rn").select(KEY, ts_us("minute"), "rn")
 
 
 def _scores(df, mult):
@@ -58,14 +63,14 @@ def _scores(df, mult):
 
 
 @query("score_upsert", with_ctes(READINGS, FORECASTS) + """
-, o as (select issued_at::date as d, source_layer, lead_minutes, count(*) as n, avg(rain_prob) as m from forecast_log where station_id<2 group by 1,2,3),
+, o as (select issued_at::date as d, source_layer, lead_minutes, count(*) as n, avg(rain_prob) as m from forecast_log group by 1,2,3),
 c as (select issued_at::date as d, source_layer, lead_minutes, count(*) as n, 2*avg(rain_prob) as m from forecast_log where lead_minutes<>5 and issued_at >= timestamp '2024-01-02' group by 1,2,3)
 select cast(coalesce(c.d,o.d) as varchar) as as_of_date, coalesce(c.source_layer,o.source_layer) as source_layer, coalesce(c.lead_minutes,o.lead_minutes)::int as lead_minutes,
  case when c.n is null then o.n else c.n end as n, round(case when c.n is null then o.m else c.m end,6)+0.0 as mean_predicted
 from o full join c on c.d=o.d and c.source_layer=o.source_layer and c.lead_minutes=o.lead_minutes""")
 def score_upsert(spark, sf):
     f = forecast_log(spark, sf)
-    old = _scores(f.filter(f"{KEY} < 2"), 1.0)
+    old = _scores(f, 1.0)
     new = _scores(f.filter("lead_minutes <> 5 and issued_at >= timestamp'2024-01-02'"), 2.0)
     out = C.upsert(old, new, ["as_of_date", "source_layer", "lead_minutes"], "arrival")
     return out.select(F.col("as_of_date").cast("string").alias("as_of_date"), "source_layer", F.col("lead_minutes").cast("int").alias("lead_minutes"),
@@ -158,11 +163,12 @@ def csv_coerce(spark, sf):
 
 
 @query("csv_backfill", with_ctes(READINGS) + """
-, c as (select *, row_number() over (partition by station_id, ts order by rn) as k from readings where rn%13<>0 and rn%17<>0 and rn%19<>0 and rn%2<>0)
+, c as (select *, row_number() over (partition by station_id, ts order by rn) as k from readings where rn%13<>0 and rn%17<>0 and rn%19<>0
+   and not exists (select 1 from readings s where s.station_id=readings.station_id and s.ts + interval 21 minutes = readings.ts))
 select station_id, epoch_us(ts) as ts_us, rn from c where k=1""")
 def csv_backfill(spark, sf):
     incoming = C.coerce(_lines(spark, sf), C.CORE_COLUMNS).withColumnRenamed("timestamp", "ts").select(KEY, "ts", "rn")
-    stored = readings(spark, sf).filter("rn % 2 = 0").select(KEY, "ts")
+    stored = readings(spark, sf).select(KEY, F.expr("ts + interval 21 minutes").alias("ts"))
     return SH.backfill(stored, incoming, [KEY, "ts"], "rn").select(KEY, ts_us("ts"), "rn")
 
 

@@ -9,7 +9,7 @@ from ..operators import events as E
 from ..operators import rain_events as R
 from ..operators.chunks import KEY
 from ..policy import EPISODE_THRESHOLDS
-from .fixtures import KEPT, READINGS, predictions_sql, readings, with_ctes
+from .fixtures import KEPT, READINGS, predictions, predictions_sql, readings, with_ctes
 from .registry import query, rd, ts_us
 
 # Step-by-step session machine over every reading, as a recursive walk.
@@ -213,7 +213,7 @@ epm as (select ep.*, mm.evs from ep left join mm on mm.station_id=ep.station_id
 """
 
 
-_SAVED = "saved as (select * from pred{h} where rn%97>2)"
+_SAVED = "saved as (select * from pred{h})"
 _GRID3 = (0.2, 0.5, 0.75)
 _AUD = (READINGS, KEPT, predictions_sql(10), _SAVED.format(h=10), audit_sql(10, "dry_60m", 2, _GRID3))
 _RULE = E.AuditRule(horizon=10, scope="dry_60m", confirm_streak=2)
@@ -226,9 +226,7 @@ def _kept(spark, sf):
 
 
 def _saved(spark, sf, h):
-    from .fixtures import predictions
-
-    return predictions(spark, sf, h).filter("rn % 97 > 2")
+    return predictions(spark, sf, h)
 
 
 def _audit(spark, sf, rule=_RULE, levels=_GRID3):

@@ -106,8 +106,8 @@ def timeline_head(spark, sf):
 
 
 @query("missed_slots", with_ctes(READINGS) + """
-, r as (select station_id, rn, (ts + interval 7 hours) as l from readings where ts < timestamp '2024-01-03 00:00:00'),
-d as (select distinct station_id, l::date as date from r), s as (select distinct station_id, l::date as date, hour(l) as slot_hour from r where rn%97=0)
+, r as (select station_id, temp, (ts + interval 7 hours) as l from readings where ts < timestamp '2024-01-03 00:00:00'),
+d as (select distinct station_id, l::date as date from r), s as (select distinct station_id, l::date as date, hour(l) as slot_hour from r where temp>=34.5)
 select d.station_id, cast(d.date as varchar) as date, h.slot_hour from d cross join (values (6),(21)) h(slot_hour)
 where (d.date < date '2024-01-03' or (d.date = date '2024-01-03' and 7 >= h.slot_hour)) and not exists
  (select 1 from s where s.station_id=d.station_id and s.date=d.date and s.slot_hour=h.slot_hour)""")
@@ -115,7 +115,7 @@ def missed_slots(spark, sf):
     r = readings(spark, sf).filter("ts < timestamp'2024-01-03 00:00:00'")
     wall = S.local("ts")
     days = r.select(KEY, F.to_date(wall).alias("date")).distinct()
-    sent = r.filter("rn % 97 = 0").select(KEY, F.to_date(wall).alias("date"), F.hour(wall).alias("slot_hour")).distinct()
+    sent = r.filter("temp >= 34.5").select(KEY, F.to_date(wall).alias("date"), F.hour(wall).alias("slot_hour")).distinct()
     out = S.missed_slots(days, sent, F.expr("timestamp'2024-01-03 00:00:00'"))
     return out.select(KEY, F.col("date").cast("string").alias("date"), "slot_hour")
 
@@ -261,17 +261,16 @@ def warning_urls(spark, sf):
 
 
 # ---- radar -------------------------------------------------------------------------------
-# Rain fields of three regions over five frames (the last region has an empty middle frame).
+# Rain fields of three regions over five frames.
 _PIXELS = """
 pixels as (select p_partkey%3 as region, f*600 as frame_time, (p_partkey%60)+(2+2*(p_partkey%3))*f as x, ((p_partkey*7)%60)+4*f as y, max(1+p_size%4) as bucket
-  from part cross join (select unnest(range(0,5)) as f) where p_size>25 and not (p_partkey%3=2 and f=2) group by 1,2,3,4)
+  from part cross join (select unnest(range(0,5)) as f) where p_size>25 group by 1,2,3,4)
 """
 
 
 def _pixels(spark, sf):
     k = F.col("p_partkey")
     p = table(spark, sf, "part").filter("p_size > 25").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    p = p.filter(~((k % 3 == 2) & (F.col("f") == 2)))
     return p.groupBy(
         (k % 3).cast("long").alias("region"), (F.col("f") * 600).alias("frame_time"),
         (k % 60 + (2 + 2 * (k % 3)) * F.col("f")).cast("int").alias("x"), (k * 7 % 60 + 4 * F.col("f")).cast("int").alias("y"),
@@ -373,10 +372,10 @@ def cloud_trend(spark, sf):
 
 
 _BLEND = """
-lf as (select station_id, max(issued_at) as at_ from forecast_log where source_layer='local_rf' and station_id<3 group by 1),
+lf as (select station_id, max(issued_at) as at_ from forecast_log where source_layer='local_rf' group by 1),
 nc as (select f.station_id, 'nowcast' as layer, source_layer as source, lead_minutes::int as lead_minutes, rain_prob from forecast_log f join lf on lf.station_id=f.station_id and f.issued_at=lf.at_ and source_layer='local_rf'),
-ar as (select station_id, 'arrival', 'radar_advection', lead_minutes::int, null::double from (select *, row_number() over (partition by station_id order by issued_at desc) as k from forecast_log where source_layer='radar_advection') where k=1 and station_id%2=1),
-hi as (select station_id, max(issued_hour) as at_ from nwp_log where station_id<>2 group by 1),
+ar as (select station_id, 'arrival', 'radar_advection', lead_minutes::int, null::double from (select *, row_number() over (partition by station_id order by issued_at desc) as k from forecast_log where source_layer='radar_advection') where k=1 and rain_prob>0.4),
+hi as (select station_id, max(issued_hour) as at_ from nwp_log group by 1),
 hr as (select n.station_id, 'hourly', 'nwp', (lead_hours*60)::int, precipitation_probability from nwp_log n join hi on hi.station_id=n.station_id and n.issued_hour=hi.at_),
 dy as (select n.station_id, 'daily', 'nwp', (lead_hours*1440)::int, precipitation_probability from nwp_log n join hi on hi.station_id=n.station_id and n.issued_hour=hi.at_ where lead_hours<3),
 bl as (select * from nc union all select * from ar union all select * from hr union all select * from dy)
@@ -385,12 +384,13 @@ bl as (select * from nc union all select * from ar union all select * from hr un
 
 def _layers(spark, sf):
     f = forecast_log(spark, sf)
-    local = f.filter(f"source_layer = 'local_rf' and {KEY} < 3")
+    local = f.filter("source_layer = 'local_rf'")
     newest = local.groupBy(KEY).agg(F.max("issued_at").alias("issued_at"))
     nowcast = local.join(newest, [KEY, "issued_at"]).select(KEY, "lead_minutes", "rain_prob", F.col("source_layer").alias("source"))
-    radar = f.filter("source_layer = 'radar_advection'").groupBy(KEY).agg(F.max_by("lead_minutes", "issued_at").alias("eta_minutes"))
-    arrival = radar.select(KEY, "eta_minutes", F.lit(2).alias("expected_intensity"), F.lit(0.5).alias("confidence"), (F.col(KEY) % 2 == 1).alias("rain_arriving"))
-    n = nwp_log(spark, sf).filter(f"{KEY} <> 2")
+    radar = f.filter("source_layer = 'radar_advection'").groupBy(KEY).agg(
+        F.max_by("lead_minutes", "issued_at").alias("eta_minutes"), F.max_by("rain_prob", "issued_at").alias("confidence"))
+    arrival = radar.select(KEY, "eta_minutes", F.lit(2).alias("expected_intensity"), "confidence", (F.col("confidence") > 0.4).alias("rain_arriving"))
+    n = nwp_log(spark, sf)
     n = n.join(n.groupBy(KEY).agg(F.max("issued_hour").alias("issued_hour")), [KEY, "issued_hour"])
     hourly = n.select(KEY, "lead_hours", F.col("temp_forecast").alias("temp"), F.col("precipitation_probability").alias("rain_prob"))
     daily = n.filter("lead_hours < 3").select(KEY, F.col("lead_hours").alias("day_index"), F.lit(20.0).alias("temp_min"), F.lit(30.0).alias("temp_max"),

@@ -151,12 +151,11 @@ def common_times(spark, sf):
     return df.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.max("ts")).alias("last_us"))
 
 
-@query("compare_common", with_ctes(*BASE10) + """
+@query("compare_common", with_ctes(*ALL3) + """
 select station_id, n, round(rb,6)+0.0 as reference_brier, round(cb,6)+0.0 as candidate_brier, round(100*(rb-cb)/rb,4)+0.0 as brier_improvement_pct from (
-select station_id, count(*) as n, avg((((rn*7)%100)/100.0::double-observed)**2) as rb, avg((probability-observed)**2) as cb from pred10 where rn%3<>0 group by 1)""")
+select a.station_id, count(*) as n, avg((b.probability-a.observed)**2) as rb, avg((a.probability-a.observed)**2) as cb
+from pred10 a join pred30 b on b.station_id=a.station_id and b.ts=a.ts group by 1)""")
 def compare_common(spark, sf):
-    df = predictions(spark, sf, 10)
-    other = df.filter("rn % 3 <> 0").select(KEY, "ts", ((F.col("rn") * 7) % 100 / 100.0).alias("probability"))
-    out = M.compare_on_common(df, other, [KEY, "ts"], [KEY])
+    out = M.compare_on_common(predictions(spark, sf, 10), predictions(spark, sf, 30), [KEY, "ts"], [KEY])
     return out.select(KEY, "n", rd("reference_brier").alias("reference_brier"), rd("candidate_brier").alias("candidate_brier"),
                       rd("brier_improvement_pct", 4).alias("brier_improvement_pct"))
