@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..policy import DAY, HOUR, MINUTE, RAIN_THRESHOLD, MatchRule
-from .chunks import CHUNK, CORE, KEY, US, bucket, carry, micros, spread
+from ..policy import DAY, MINUTE, RAIN_THRESHOLD, MatchRule
+from .chunks import CHUNK, KEY, US, bucket, carry, micros
 
 
 def asof_known(readings: DataFrame, log: DataFrame, payload: Sequence[str], span: int = DAY) -> DataFrame:
@@ -72,9 +72,12 @@ def nearest_within(
     both = both.withColumn(US, us).withColumn(
         CHUNK, F.explode(F.sequence(bucket(F.col(US) - reach, span), bucket(F.col(US) + reach, span)))
     )
-    w = Window.partitionBy(KEY, CHUNK).orderBy(US)
-    before = F.last("_obs", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_obs", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # Two running frames, one per direction: a frame reaching to the end of the
+    # partition would be rescanned for every row.
+    up = Window.partitionBy(KEY, CHUNK).orderBy(US).rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(KEY, CHUNK).orderBy(F.col(US).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    before = F.last("_obs", ignorenulls=True).over(up)
+    after = F.last("_obs", ignorenulls=True).over(down)
     both = both.withColumn("_b", before).withColumn("_a", after).filter(F.col("_row").isNotNull())
     db, da = F.col(US) - F.col("_b.us"), F.col("_a.us") - F.col(US)
     pick = F.when(F.col("_a").isNull() | (db <= da), F.col("_b")).otherwise(F.col("_a"))

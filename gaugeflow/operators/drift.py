@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..policy import DriftPolicy
-from .quantiles import exact_quantiles
+from .lineage import cut
+from .quantiles import quantiles_of_counts
 
 
 def long_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -18,6 +19,12 @@ def long_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Distinct values per feature with their multiplicity, stored because several steps read them."""
+    counts = long_features(df, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    return cut(counts, "values")
+
+
 def bin_of(value: Column, edges: Column) -> Column:
     """0-based histogram bin; the last bin is closed, values outside go to the edge bins."""
     inner = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(value >= e, 1).otherwise(0))
@@ -44,15 +51,18 @@ def total(a: Column) -> Column:
 
 def baseline(df: DataFrame, features: Sequence[str], policy: DriftPolicy = DriftPolicy()) -> DataFrame:
     """Per feature: n, mean, population std, unique quantile edges, smoothed bin proportions."""
-    long = long_features(df, features)
-    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    counted = value_counts(df, features)
     qs = [k / policy.bins for k in range(policy.bins + 1)]
-    moments = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    quantiles = exact_quantiles(long, ["feature"], "value", qs)
+    mean = F.sum(F.col("value") * F.col("_c")) / F.sum("_c")
+    quantiles = quantiles_of_counts(counted, ["feature"], "value", qs, extra=[mean.alias("mean")], stored=True)
+    quantiles = cut(quantiles, "quantiles")
+    off = F.col("value") - F.col("mean")
+    spread = counted.join(quantiles.select("feature", "mean"), "feature").groupBy("feature").agg(
+        F.sqrt(F.sum(off * off * F.col("_c")) / F.sum("_c")).alias("std"))
     unique = F.array_distinct("q")
     edges = F.when(F.size(unique) >= 2, unique).otherwise(
         F.array(F.element_at("q", 1) - 0.5, F.element_at("q", -1) + 0.5))
-    facts = quantiles.select("feature", "n", edges.alias("edges")).join(moments, "feature")
+    facts = quantiles.select("feature", "n", "mean", edges.alias("edges")).join(spread, "feature")
     hist = _histogram(counted, facts.select("feature", "edges")).drop("edges")
     smooth = F.lit(policy.floor)
     share = F.transform("counts", lambda c: (c + smooth) / (total(F.col("counts")) + smooth * F.size("counts")))
@@ -64,10 +74,10 @@ def compare(df: DataFrame, base: DataFrame, features: Sequence[str], policy: Dri
 
     A baseline feature without recent values is reported as ``missing``.
     """
-    long = long_features(df, features)
-    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    counted = value_counts(df, features)
     hist = _histogram(counted, base.select("feature", "edges")).drop("edges")
-    moments = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_recent"), F.avg("value").alias("mean_recent"))
+    moments = counted.groupBy("feature").agg(
+        F.sum("_c").alias("n_recent"), (F.sum(F.col("value") * F.col("_c")) / F.sum("_c")).alias("mean_recent"))
     low = F.lit(policy.floor)
     expected = F.transform("proportions", lambda e: F.greatest(e / total(F.col("proportions")), low))
     actual = F.transform("counts", lambda c: F.greatest(c / total(F.col("counts")), low))

@@ -22,7 +22,7 @@ def exact_quantiles(
 
 def quantiles_of_counts(
     counts: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], out: str = "q", min_n: int = 1,
-    buckets: int = 512, extra: Sequence[Column] = (),
+    buckets: int = 512, extra: Sequence[Column] = (), stored: bool = False,
 ) -> DataFrame:
     """Quantiles of distinct values with multiplicity ``_c``.
 
@@ -30,10 +30,11 @@ def quantiles_of_counts(
     task.  Here each group's range is cut into buckets, counts are carried
     across the buckets, and only the values sitting on a wanted rank reach the
     final aggregate.  ``extra`` aggregates may use ``value`` and ``_c``.  The
-    counts feed three steps, so they are stored once.
+    counts feed three steps, so they are stored once unless they already are.
     """
     by = list(by)
-    counts = cut(counts, "counts")
+    if not stored:
+        counts = cut(counts, "counts")
     span = counts.groupBy(*by).agg(
         F.sum("_c").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *extra
     ).filter(F.col("n") >= min_n)

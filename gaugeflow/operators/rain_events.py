@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
 from ..policy import RAIN_STOP_GAPS, RAIN_THRESHOLD, GapRule, RainStopPolicy
-from .chunks import KEY, US, core_only, running_total, spread
+from .chunks import CHUNK, KEY, US, core_only, running_total, spread
+from .lineage import cut
 from .labels import segment_window
 from .quantiles import exact_quantiles
 from .segments import mark_segments
@@ -32,7 +33,8 @@ def _marked(readings: DataFrame, policy: RainStopPolicy, gaps: GapRule) -> DataF
 
 
 def _events(marked: DataFrame) -> DataFrame:
-    marks = running_total(marked.filter("_opens or _closes"), [KEY], [US], F.col("_opens"), "event_no")
+    marks = marked.filter("_opens or _closes").select(KEY, CHUNK, US, "_opens", "_closes", "_complete", "_stop")
+    marks = running_total(cut(marks, "marks"), [KEY], [US], F.col("_opens"), "event_no")
     events = marks.groupBy(KEY, "event_no").agg(
         F.min(F.when(F.col("_opens"), F.col(US))).alias("start_us"),
         F.max(F.when(F.col("_closes"), F.col(US))).alias("last_wet_us"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate as C
 from ..operators import drift as D
 from ..operators.chunks import KEY
+from ..operators.lineage import cut
 from ..policy import BiasPolicy, IntervalPolicy
 from .fixtures import NWP, READINGS, nwp_log, readings, with_ctes
 from .matching import NEAREST
@@ -22,7 +23,8 @@ _BASE = (READINGS, NWP, NEAREST, PAIRS)
 
 
 def _pairs(spark, sf):
-    return C.error_pairs(nwp_log(spark, sf), readings(spark, sf), INTERVAL)
+    """Forecast errors, stored once: every fit and every look-up reads them."""
+    return cut(C.error_pairs(nwp_log(spark, sf), readings(spark, sf), INTERVAL), "pairs")
 
 
 @query("error_pairs", with_ctes(*_BASE) + """
