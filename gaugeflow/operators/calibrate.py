@@ -73,10 +73,12 @@ def _scope(model: DataFrame, scope: str, key: str | None, by, cols: dict[str, st
     return picked.select(*by, *([F.col("key").alias(key)] if key else []), *[F.col(a).alias(b) for a, b in cols.items()])
 
 
-def _one_row(df: DataFrame, model: DataFrame, by) -> DataFrame:
+def _with_global(df: DataFrame, model: DataFrame, by, cols: dict[str, str]) -> DataFrame:
+    """Attach the global scope: by key, or as scalar subqueries when there is one model for all."""
     if by:
-        return df.join(model, list(by), "left")
-    return df.withColumn("_one", F.lit(1)).join(model.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        return df.join(_scope(model, GLOBAL, None, by, cols), list(by), "left")
+    row = model.filter(F.col("scope") == GLOBAL)
+    return df.withColumns({b: row.select(a).scalar() for a, b in cols.items()})
 
 
 def look_up_bias(df: DataFrame, model: DataFrame, hour: Column, by: Sequence[str] = (), policy: BiasPolicy = BiasPolicy()) -> DataFrame:
@@ -85,7 +87,7 @@ def look_up_bias(df: DataFrame, model: DataFrame, hour: Column, by: Sequence[str
     df = df.withColumn("_lead", F.col("lead_hours").cast("int")).withColumn("_hour", F.pmod(hour, F.lit(24)).cast("int"))
     df = df.join(_scope(model, LEAD, "_lead", by, {"median_c": "_m1"}), [*by, "_lead"], "left")
     df = df.join(_scope(model, HOUR_SCOPE, "_hour", by, {"median_c": "_m2"}), [*by, "_hour"], "left")
-    df = _one_row(df, _scope(model, GLOBAL, None, by, {"median_c": "_m3"}), by)
+    df = _with_global(df, model, by, {"median_c": "_m3"})
     found = F.coalesce("_m1", "_m2", "_m3", F.lit(0.0))
     clamped = F.least(F.greatest(found, F.lit(-policy.clamp)), F.lit(policy.clamp))
     return df.withColumn("correction", clamped).drop("_lead", "_hour", "_m1", "_m2", "_m3")
@@ -108,7 +110,7 @@ def look_up_interval(df: DataFrame, model: DataFrame, by: Sequence[str] = ()) ->
     cols = ("lower_error_c", "upper_error_c", "n")
     df = df.withColumn("_lead", F.col("lead_hours").cast("int"))
     df = df.join(_scope(model, LEAD, "_lead", by, {c: f"_a_{c}" for c in cols}), [*by, "_lead"], "left")
-    df = _one_row(df, _scope(model, GLOBAL, None, by, {c: f"_b_{c}" for c in cols}), by)
+    df = _with_global(df, model, by, {c: f"_b_{c}" for c in cols})
     has_lead = F.col("_a_n").isNotNull()
     pick = {c: F.when(has_lead, F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")) for c in cols}
     valid = pick["lower_error_c"] <= pick["upper_error_c"]

@@ -33,23 +33,20 @@ def quantiles_of_counts(
     counts feed three steps, so they are stored once unless they already are.
     """
     by = list(by)
+    keys = by or ["_all"]
+    if not by:
+        counts = counts.withColumn("_all", F.lit(0))
     if not stored:
         counts = cut(counts, "counts")
-    span = counts.groupBy(*by).agg(
+    span = counts.groupBy(*keys).agg(
         F.sum("_c").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *extra
     ).filter(F.col("n") >= min_n)
-    names = [c for c in span.columns if c not in (*by, "_lo", "_hi")]
+    names = [c for c in span.columns if c not in (*keys, "_lo", "_hi")]
     # One row per group: AQE broadcasts it only if its measured size allows.
-    if by:
-        counts = counts.join(span, by)
-    else:
-        counts = counts.withColumn("_g", F.lit(1)).join(span.withColumn("_g", F.lit(1)), "_g").drop("_g")
+    counts = counts.join(span, keys)
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / buckets)
     bucket = F.coalesce(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(0)).cast("long")
     counts = counts.withColumn(CHUNK, bucket)
-    keys = by or ["_all"]
-    if not by:
-        counts = counts.withColumn("_all", F.lit(0))
     ranked = running_total(counts, keys, [value], F.col("_c"), "_upto")
     low = F.col("_upto") - F.col("_c")
 

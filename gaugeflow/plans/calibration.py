@@ -156,7 +156,7 @@ hn as (select ps.feature, b, any_value(ps.n) as n0, any_value(mean) as mean, any
    count(o.value) filter (where (b=1 or o.value>=edges[b]) and (b=len(edges)-1 or o.value<edges[b+1])) as c from ps left join new o on o.feature=ps.feature group by ps.feature, b),
 pn as (select *, greatest(p/sum(p) over (partition by feature),1e-6) as e, greatest(c/nullif(sum(c) over (partition by feature),0),1e-6) as a from hn),
 mn as (select feature, count(*) as n, avg(value) as m from new group by 1),
-dr as (select pn.feature, coalesce(any_value(mn.n),0) as n, sum((a-e)*ln(a/e)) as psi, (any_value(m)-any_value(mean))/greatest(any_value(std),1e-6) as shift
+dr as (select pn.feature, coalesce(any_value(mn.n),0) as n, case when any_value(mn.n) is not null then sum((a-e)*ln(a/e)) end as psi, (any_value(m)-any_value(mean))/greatest(any_value(std),1e-6) as shift
    from pn left join mn on mn.feature=pn.feature group by 1)
 """
 

@@ -324,8 +324,7 @@ mv as (select ok.region, ok.frame_time, coalesce(dx,0)::int as dx, coalesce(dy,0
 def _shifts(spark, sf):
     px = _pixels(spark, sf)
     cropped = R.crop(px, F.lit(_CX), F.lit(_CY), _GRID)
-    times = px.select("frame_time").distinct().withColumn("_g", F.lit(1))
-    frames = px.select("region").distinct().withColumn("_g", F.lit(1)).join(times, "_g").drop("_g")
+    frames = px.select("region", "frame_time").distinct()
     return cropped, R.motion(cropped, ["region"], frames, _GRID)
 
 

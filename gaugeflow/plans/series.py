@@ -98,15 +98,6 @@ def segments_feature(spark, sf):
     return S.segments(readings(spark, sf), FEATURE_GAPS, Cadence()).select(KEY, ts_us("ts"), "segment_id")
 
 
-# ``now`` lies 450 s after the newest reading of station 0, so stations differ in staleness.
-_NOW_SQL = "(select max(ts) + to_seconds(450) from readings where station_id=0)"
-
-
-def _now(spark, sf):
-    r = readings(spark, sf)
-    return r, r.filter(F.col(KEY) == 0).agg(F.timestamp_micros(F.unix_micros(F.max("ts")) + 450_000_000).alias("_now"))
-
-
 def _stations_sql(tail: str) -> str:
     return with_ctes(READINGS, "moved as (select station_id, rn, ts + ((select max(ts) from readings where station_id=0)"
                      " - max(ts) over (partition by station_id)) + to_seconds(station_id*140) as ts, temp, rain_flag from readings),"
@@ -117,10 +108,8 @@ def _moved(spark, sf):
     """Readings shifted so that the stations' newest rows lie 140 s apart."""
     r = readings(spark, sf).select(KEY, "rn", "ts", "temp", "rain_flag")
     last = r.groupBy(KEY).agg(F.max(F.unix_micros("ts")).alias("_last"))
-    zero = last.filter(f"{KEY} = 0").select(F.col("_last").alias("_zero"))
-    shift = last.withColumn("_one", F.lit(1)).join(zero.withColumn("_one", F.lit(1)), "_one").select(
-        KEY, (F.col("_zero") - F.col("_last") + F.col(KEY) * 140_000_000).alias("_shift")
-    )
+    zero = last.filter(f"{KEY} = 0").select("_last").scalar()
+    shift = last.select(KEY, (zero - F.col("_last") + F.col(KEY) * 140_000_000).alias("_shift"))
     moved = r.join(shift, KEY).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("_shift"))).drop("_shift")
     now_us = moved.filter(f"{KEY} = 0").agg(F.max(F.unix_micros("ts"))).first()[0] + 390_000_000
     return moved, F.timestamp_micros(F.lit(now_us))
