@@ -133,8 +133,8 @@ def climatology(spark, sf):
     return f.select(KEY, F.unix_micros("issued_at").alias("issued_us"), F.col("lead_minutes").cast("int").alias("lead_minutes"), "source_layer", rd(rate, 9).alias("climatology"))
 
 
-_SCORE_SQL = """select station_id, source_layer, cast(lead_minutes as int) as lead_minutes, n, round(b,9)+0.0 as brier_score, round(c,9)+0.0 as climatology_brier,
- round(case when c>0 then 1-b/c end,5)+0.0 as skill_score, round(mp,9)+0.0 as mean_predicted, round(mo,9)+0.0 as mean_observed
+_SCORE_SQL = """select station_id, source_layer, cast(lead_minutes as int) as lead_minutes, n, round(b,12)+0.0 as brier_score, round(c,12)+0.0 as climatology_brier,
+ round(case when c>0 then 1-b/c end,5)+0.0 as skill_score, round(mp,12)+0.0 as mean_predicted, round(mo,12)+0.0 as mean_observed
 from (select station_id, source_layer, lead_minutes, count(*) as n, avg((rain_prob-actual)**2) as b,
  case when count(climatology)=count(*) then avg((climatology-actual)**2) end as c, avg(rain_prob) as mp, avg(actual) as mo
  from graded where actual is not null {where} group by 1,2,3)"""
@@ -143,7 +143,7 @@ from (select station_id, source_layer, lead_minutes, count(*) as n, avg((rain_pr
 def _scores(df):
     return df.select(
         KEY, "source_layer", F.col("lead_minutes").cast("int").alias("lead_minutes"), "n",
-        *[rd(c, 9).alias(c) for c in ("brier_score", "climatology_brier", "mean_predicted", "mean_observed")],
+        *[rd(c, 12).alias(c) for c in ("brier_score", "climatology_brier", "mean_predicted", "mean_observed")],
         rd("skill_score", 5).alias("skill_score"),
     )
 
