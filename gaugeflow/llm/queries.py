@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,38 @@ def op10(spark, sf_dir):
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op6_fingerprints")
+def op6(spark, sf_dir):
+    from .fingerprints import SketchRule, as_text, fingerprints, resemblance
+
+    k = SketchRule().k
+    made = fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own_sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        resemblance(F.col("own_sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("own_sketch"), F.col("next_sketch"), k).alias("near_next"),
+    )
+
+
+@register("op1_language")
+def op1(spark, sf_dir):
+    from .language import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = id_fold("doc_id", 3) == 1
+    model = train(docs.where(~held))
+    found = identify(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+@register("op9_toxicity")
+def op9(spark, sf_dir):
+    from .toxicity import assess, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = id_fold("doc_id", 4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train(docs.where(~held), labels.where(~held))
+    found = assess(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return found.select("row.doc_id", "row.held_out", "score", "predicted")
