@@ -28,11 +28,13 @@ class ToxicRule:
     """
 
     rows: int = 12_000
-    landmarks: int = 64
+    landmarks: int = 128
     order: int = 3
     decay: float = 0.6
     power: int = 4
-    gate: float = 0.7
+    gate: float = 0.6
+    reach: int = 3
+    least: float = 0.01
     span: int = 24
     calibrate: float = 0.3
     cost: float = 1.0
@@ -52,23 +54,29 @@ def windows(raw: bytes) -> set[bytes]:
 
 
 def pieces(window: bytes, span: int) -> list[str]:
-    word = "".join(c for c in window.decode("utf-8", "replace").lower() if c.isalpha())
+    word = window.decode("utf-8", "replace")
+    if not word.isascii():
+        word = "".join(filter(str.isalpha, word.lower()))
     if len(word) <= span:
         return [word]
     return [word[k:k + span] for k in range(0, len(word) - span // 2, span // 2)]
 
 
 def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(words), width), pad, dtype=np.int64)
-    for k, w in enumerate(words):
-        out[k, :len(w)] = [ord(c) for c in w]
-    return out
+    flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), dtype=np.uint32)
+    codes = flat.reshape(len(words), width).astype(np.int64)
+    return np.where(codes == 0, pad, codes)
 
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    """A bit for each letter that occurs, by code point modulo 64."""
-    bits = np.where(codes >= 0, np.uint64(1) << (codes & 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+def _pair_bits(codes: np.ndarray, reach: int) -> np.ndarray:
+    """256 bits a row: letter pairs at most ``reach`` letters apart, in order."""
+    bits, rows = np.zeros((len(codes), 256), dtype=bool), np.arange(len(codes))
+    for d in range(1, reach + 1):
+        for i in range(codes.shape[1] - d):
+            a, b = codes[:, i], codes[:, i + d]
+            live = (a >= 0) & (b >= 0)
+            bits[rows[live], ((a[live] * 0x9E3779B1 + b[live] * 0x85EBCA77) >> 7) & 255] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def kernel(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np.ndarray:
@@ -78,14 +86,17 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int, decay: float) -> np.ndarray
     strings runs once for all pairs.
     """
     pairs, n, m = len(s), s.shape[1], t.shape[1]
-    below = np.ones((m + 1, n + 1, pairs))
+    below = np.ones((m + 1, n + 1, pairs), dtype=np.float32)
+    weight = np.float32(decay * decay)
+    decay = np.float32(decay)
     for q in range(1, order + 1):
-        table = np.zeros((m + 1, n + 1, pairs))
-        total = np.zeros(pairs)
+        table = np.zeros_like(below)
+        total = np.zeros(pairs, dtype=np.float32)
         for i in range(1, n + 1):
-            run = np.zeros(pairs)
+            run = np.zeros(pairs, dtype=np.float32)
+            same = (t == s[:, i - 1:i]).T * weight
             for j in range(1, m + 1):
-                step = np.where(s[:, i - 1] == t[:, j - 1], decay * decay * below[j - 1, i - 1], 0.0)
+                step = same[j - 1] * below[j - 1, i - 1]
                 if q == order:
                     total += step
                 else:
@@ -113,30 +124,36 @@ class ToxicModel:
 
     def __post_init__(self):
         self.codes = _codes(self.landmarks, max([len(x) for x in self.landmarks] or [1]), -2)
-        self.masks = _masks(self.codes)
-        self.need = np.maximum(self.rule.order, np.ceil(self.rule.gate * np.bitwise_count(self.masks)))
+        self.bits = _pair_bits(self.codes, 1)
+        self.need = np.maximum(1, np.ceil(self.rule.gate * np.bitwise_count(self.bits).sum(axis=1)))
         self.norms = self_kernel(np.where(self.codes < 0, -1, self.codes), self.rule)
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
     def similar(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word, landmark and kernel of the pairs that share enough letters.
+        """Word, landmark and kernel of the pairs that pass the gate.
 
-        The kernel is normalised and raised to ``rule.power``.
+        A word passes if it has the landmark's neighbouring letters in order and
+        near each other, for a share ``rule.gate`` of them. The kernel is
+        normalised and raised to ``rule.power``.
         """
         codes = _codes(words, max(len(w) for w in words), -1)
-        shared = np.bitwise_count(_masks(codes)[:, None] & self.masks[None, :])
+        bits = _pair_bits(codes, self.rule.reach)
+        shared = np.bitwise_count(bits[:, None, :] & self.bits[None, :, :]).sum(axis=2, dtype=np.int64)
         at, to = np.nonzero(shared >= self.need[None, :])
-        out = np.zeros(len(at))
-        lengths = np.array([len(w) for w in words])[at]
-        for low, high in ((0, 6), (6, 9), (9, 13), (13, 1 << 30)):
-            chosen = np.flatnonzero((lengths > low) & (lengths <= high))
-            for k in range(0, len(chosen), 4096):
-                part = chosen[k:k + 4096]
-                s, t = codes[at[part]], self.codes[to[part]]
-                s, t = s[:, :(s >= 0).sum(1).max()], t[:, :(t >= 0).sum(1).max()]
-                norm = np.sqrt(self_kernel(s, self.rule) * self.norms[to[part]])
+        out, norms = np.zeros(len(at)), np.zeros(len(words))
+        lengths = (codes >= 0).sum(1)
+        for low, high in ((0, 7), (7, 11), (11, 1 << 30)):
+            chosen = np.flatnonzero((lengths[at] > low) & (lengths[at] <= high))
+            if not len(chosen):
+                continue
+            one = np.unique(at[chosen])
+            width = lengths[one].max()
+            norms[one] = self_kernel(codes[one, :width], self.rule)
+            for part in np.array_split(chosen, len(chosen) // 2048 + 1):  # fits the processor's cache
+                s, t = codes[at[part], :width], self.codes[to[part]]
+                norm = np.sqrt(norms[at[part]] * self.norms[to[part]])
                 out[part] = np.where(norm > 0, kernel(s, t, self.rule.order, self.rule.decay) / np.maximum(norm, 1e-30), 0.0) ** self.rule.power
         return at, to, out
 
@@ -148,42 +165,40 @@ class ToxicModel:
                 if len(p) >= self.rule.order:
                     words.append(p)
                     owner.append(w)
-        for k in range(0, len(words), 2048):
-            at, to, value = self.similar(words[k:k + 2048])
-            for i in np.unique(at):
-                mine = at == i
-                w = owner[k + i]
-                row = self.memo[w] or {}
-                for j, v in zip(to[mine].tolist(), value[mine].tolist()):
-                    if v > row.get(j, 1e-3):
-                        row[j] = v
-                self.memo[w] = row or None
-
-    def pooled(self, text: bytes | None) -> np.ndarray:
-        """For each landmark the kernel of the window that is nearest to it."""
-        out = np.zeros(len(self.landmarks))
-        if not text or not self.landmarks:
+        for k in range(0, len(words), 4096):
+            at, to, value = self.similar(words[k:k + 4096])
+            near = value > self.rule.least
+            for i, j, v in zip(at[near].tolist(), to[near].tolist(), value[near].tolist()):
+                row = self.memo[owner[k + i]] = self.memo[owner[k + i]] or {}
+                row[j] = max(v, row.get(j, 0.0))
+
+    def pooled(self, texts: list[bytes | None]) -> np.ndarray:
+        """For each text and landmark the kernel of the window that is nearest to it."""
+        out = np.zeros((len(texts), len(self.landmarks)))
+        if not self.landmarks:
             return out
-        if len(self.memo) > self.rule.memo:
-            self.memo.clear()
-        memo, found = self.memo, windows(text)
-        unknown = [w for w in found if w not in memo]
-        if unknown:
-            self.learn(unknown)
-        for w in found:
-            if row := memo[w]:
-                for j, v in row.items():
-                    if v > out[j]:
-                        out[j] = v
+        for start in range(0, len(texts), 200):
+            if len(self.memo) > self.rule.memo:
+                self.memo.clear()
+            found = [windows(t) if t else () for t in texts[start:start + 200]]
+            memo = self.memo
+            unknown = {w for ws in found for w in ws if w not in memo}
+            if unknown:
+                self.learn(list(unknown))
+            for n, ws in enumerate(found, start):
+                for row in filter(None, map(memo.__getitem__, ws)):
+                    for j, v in row.items():
+                        if v > out[n, j]:
+                            out[n, j] = v
         return out
 
     def margin(self, pooled: np.ndarray) -> np.ndarray:
         return pooled @ self.root @ self.weights + self.bias
 
-    def score(self, text: bytes | None) -> float:
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
         if self.weights is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(self.pooled(text)) + self.shift, -50, 50))))
+            return np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(self.pooled(texts)) + self.shift, -50, 50)))
 
 
 def pick_landmarks(words: pd.DataFrame, toxic: int, clean: int, rule: ToxicRule) -> list[str]:
@@ -286,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: ToxicRule = ToxicRule()) ->
 
     def features(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "k": [shared.value.pooled(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "k": list(shared.value.pooled(batch["text"].tolist()))})
 
     rows = sample.mapInPandas(features, "doc_id long, toxic int, k array<double>").toPandas().sort_values("doc_id", kind="stable")
     x, y = np.array(rows["k"].tolist()) @ model.root, np.where(rows["toxic"].to_numpy() == 1, 1, -1)
@@ -313,7 +328,7 @@ def assess(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype=float)
+        return pd.Series(shared.value.scores(texts.tolist()), dtype=float)
 
     score = run.asNondeterministic()(F.col("text").cast("binary"))
     found = docs.select(F.struct("*").alias("row"), score.alias("score"))
