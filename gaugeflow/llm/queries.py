@@ -138,3 +138,12 @@ def op9(spark, sf_dir):
     model = train(docs.where(~held), labels.where(~held))
     found = assess(docs.select("doc_id", "text", held.alias("held_out")), model)
     return found.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
+@register("op2_class_lm")
+def op2(spark, sf_dir):
+    from .lm import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_fold("doc_id", 5) == 1).alias("held_out"))
+    model, vocabulary = train(docs.where("not held_out"))
+    return score(docs, model, vocabulary).drop("perplexity")
