@@ -147,3 +147,10 @@ def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_fold("doc_id", 5) == 1).alias("held_out"))
     model, vocabulary = train(docs.where("not held_out"))
     return score(docs, model, vocabulary).drop("perplexity")
+
+
+@register("op5_embeddings")
+def op5(spark, sf_dir):
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
