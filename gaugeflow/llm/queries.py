@@ -154,3 +154,11 @@ def op5(spark, sf_dir):
     from .embeddings import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op3_jaccard")
+def op3(spark, sf_dir):
+    from .jaccard import JaccardRule, join_documents
+
+    rule = JaccardRule(words=4, num=85, den=100)
+    return join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), rule).select("doc_id", "n_shingles", "component_id")
