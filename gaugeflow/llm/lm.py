@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,15 +19,18 @@ END, OTHER, FIRST = 0, 1, 2  # the end of a text, any word outside the head, the
 
 @dataclass(frozen=True)
 class ClassRule:
-    """Classes, words clustered by exchange, words with a class of their own choice, rounds.
+    """Classes, words clustered by exchange, words placed beside them, words of the head, rounds.
 
-    The head is held by every worker, so its size is fixed and its words are at
-    most ``longest`` bytes; all other words share one class, in which each keeps
-    its own count.
+    The ``core`` most frequent words are clustered by exchange; those up to
+    ``placed`` then each take the likeliest class, given the core's; the rest of
+    the head is classed by rank, a class for every doubling. The head is held by
+    every worker, so its size is fixed and its words are at most ``longest``
+    bytes; all other words share one class, in which each keeps its own count.
     """
 
     classes: int = 64
-    core: int = 2048
+    core: int = 1024
+    placed: int = 1 << 14
     head: int = 1 << 17
     longest: int = 64
     rounds: int = 4
@@ -74,36 +78,34 @@ class Head:
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
         """Ids of a text between two ends."""
-        get = self.ids.get
-        return np.array([END, *[get(w, OTHER) for w in words], END], dtype=np.int64)
+        out = np.full(len(words) + 2, END, dtype=np.int64)
+        out[1:-1] = np.fromiter(map(self.ids.get, words, repeat(OTHER)), np.int64, count=len(words))
+        return out
 
 
-def pair_counts(docs: DataFrame, shared, side: int, left, right) -> DataFrame:
-    """``a, b, n``: neighbouring ids of all texts after ``left`` and ``right`` map them; -1 leaves a pair out.
+def pair_counts(docs: DataFrame, shared, kinds: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``kind, a, b, n``: neighbouring ids of all texts as each kind's two maps give them; -1 leaves a pair out.
 
-    ``side`` bounds the mapped ids. Pairs are summed in each task before they are shuffled.
+    A task sums into one table per kind, of the size that the maps span.
     """
+    shapes = [(int(left.max()) + 1, int(right.max()) + 1) for left, right in kinds]
+    maps = docs.sparkSession.sparkContext.broadcast(kinds)
 
     def run(batches):
-        keys, numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sums = [np.zeros(max(1, x * y), dtype=np.int64) for x, y in shapes]
         for batch in batches:
-            found = [keys]
-            for text in _texts(batch):
-                s = shared.value.sequence(words_of(text))
-                a, b = left.value[s[:-1]], right.value[s[1:]]
-                live = (a >= 0) & (b >= 0)
-                found.append(a[live] * side + b[live])
-            joined = np.concatenate(found)
-            weight = np.concatenate([numbers, np.ones(len(joined) - len(numbers), np.int64)])
-            keys, where = np.unique(joined, return_inverse=True)
-            numbers = np.bincount(where, weights=weight, minlength=len(keys)).astype(np.int64)
-            if len(keys) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys // side), pa.array(keys % side), pa.array(numbers)], names=["a", "b", "n"])
-                keys, numbers = keys[:0], numbers[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys // side), pa.array(keys % side), pa.array(numbers)], names=["a", "b", "n"])
-
-    part = docs.select(F.col("text").cast("binary")).mapInArrow(run, "a long, b long, n long")
-    return part.groupBy("a", "b").agg(F.sum("n").alias("n"))
+            for start in range(0, batch.num_rows, 100):
+                s = np.concatenate([shared.value.sequence(words_of(t)) for t in _texts(batch.slice(start, 100))])
+                for total, (left, right), (_, width) in zip(sums, maps.value, shapes):
+                    a, b = left[s[:-1]], right[s[1:]]
+                    live = (a >= 0) & (b >= 0) & ~((s[:-1] == END) & (s[1:] == END))
+                    np.add.at(total, a[live] * width + b[live], 1)
+        for kind, (total, (_, width)) in enumerate(zip(sums, shapes)):
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at // width), pa.array(at % width), pa.array(total[at])], names=["kind", "a", "b", "n"])
+
+    part = docs.select(F.col("text").cast("binary")).mapInArrow(run, "kind long, a long, b long, n long")
+    return part.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -196,46 +198,45 @@ def train(docs: DataFrame, rule: ClassRule = ClassRule()) -> tuple[ClassModel, D
     total = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).first()
     tokens, distinct, ends = total["tokens"] or 0, total["distinct"] or 0, total["ends"] or 0
     vocabulary = counted.where(F.col("word").isNotNull())
-    top = vocabulary.where(F.octet_length("word") <= rule.longest).orderBy(F.desc("n"), "word").limit(rule.head).toPandas()
+    # Words met once stand for those not met yet, so they are left to the shared class.
+    top = vocabulary.where((F.col("n") > 1) & (F.octet_length("word") <= rule.longest)).orderBy(F.desc("n"), "word").limit(rule.head).toPandas()
     words = [bytes(w) for w in top["word"]]
     other_tokens = tokens - ends - int(top["n"].sum())
     counts = np.concatenate([[ends, other_tokens], top["n"].to_numpy(dtype=float)])
     shared = spark.sparkContext.broadcast(Head(words))
 
-    core = min(FIRST + rule.core, len(counts))
-    inner = np.where(np.arange(len(counts)) < core, np.arange(len(counts)), -1)
-    held = spark.sparkContext.broadcast(inner)
+    size = len(counts)
+    rank = np.arange(size) - FIRST
+    core, placed = min(FIRST + rule.core, size), min(FIRST + rule.placed, size)
+    inner = np.where(rank < rule.core, np.arange(size), -1)
     pairs = np.zeros((core, core))
-    found = pair_counts(docs, shared, core, held, held).toPandas()
+    found = pair_counts(docs, shared, [(inner, inner)]).toPandas()
     pairs[found["a"], found["b"]] = found["n"]
-    of = np.full(len(counts), -1)
+    clustered = FIRST + rule.classes
+    of = np.where(rank >= rule.placed, clustered + np.log2(np.maximum(rank, 1) / rule.placed).astype(np.int64), -1)
     of[:core] = exchange(pairs, counts[:core], rule)
-
-    classes = rule.classes + FIRST
-    near = spark.sparkContext.broadcast(of)
-    if len(counts) > core:
-        rest = spark.sparkContext.broadcast(np.where(inner < 0, np.arange(len(counts)), -1))
-        pick = np.eye(classes)[of[:core]]
+    if placed > core:
+        near, rest = np.where(inner >= 0, of, -1), np.where((inner < 0) & (rank < rule.placed), np.arange(size), -1)
+        pick = np.eye(clustered)[of[:core]]
         table, sums = pick.T @ pairs @ pick, pick.T @ counts[:core]
-        side = max(len(counts), classes)
-        after = pair_counts(docs, shared, side, rest, near).select(F.col("a").alias("w"), F.col("b").alias("class"), F.col("n").alias("after"), F.lit(0).cast("long").alias("before"))
-        before = pair_counts(docs, shared, side, near, rest).select(F.col("b").alias("w"), F.col("a").alias("class"), F.lit(0).cast("long").alias("after"), F.col("n").alias("before"))
+        rows = pair_counts(docs, shared, [(rest, near), (near, rest)])
+        ahead = F.col("kind") == 0
+        rows = rows.select("kind", F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("w"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("class"), "n")
 
         def settle(rows: pd.DataFrame) -> pd.DataFrame:
             words, row = np.unique(rows["w"].to_numpy(), return_inverse=True)
-            a, b = np.zeros((2, len(words), classes))
-            np.add.at(a, (row, rows["class"].to_numpy()), rows["after"].to_numpy())
-            np.add.at(b, (row, rows["class"].to_numpy()), rows["before"].to_numpy())
-            gains = np.array([join_gain(table, sums, a[k], b[k], 0.0, counts[w]) for k, w in enumerate(words)])
+            near = np.zeros((2, len(words), clustered))
+            np.add.at(near, (rows["kind"].to_numpy(), row, rows["class"].to_numpy()), rows["n"].to_numpy())
+            gains = np.array([join_gain(table, sums, near[0, k], near[1, k], 0.0, counts[w]) for k, w in enumerate(words)])
             return pd.DataFrame({"w": words, "class": FIRST + gains[:, FIRST:].argmax(axis=1)})
 
-        # A group holds the class counts of its share of the head, whose size is fixed.
-        placed = after.unionByName(before).groupBy((F.col("w") % 256).alias("part")).applyInPandas(settle, "w long, class long").toPandas()
-        of[placed["w"]] = placed["class"]
+        # A group holds the class counts of its share of the placed words, whose number is fixed.
+        chosen = rows.groupBy((F.col("w") % 64).alias("part")).applyInPandas(settle, "w long, class long").toPandas()
+        of[chosen["w"]] = chosen["class"]
         of[of < 0] = FIRST + int(sums[FIRST:].argmin())
-        near = spark.sparkContext.broadcast(of)
+    classes = int(max(of.max() + 1, clustered))
     bigrams = np.zeros((classes, classes))
-    found = pair_counts(docs, shared, classes, near, near).toPandas()
+    found = pair_counts(docs, shared, [(of, of)]).toPandas()
     bigrams[found["a"], found["b"]] = found["n"]
 
     mass = np.bincount(of, weights=counts, minlength=classes)
