@@ -11,6 +11,8 @@ from ..operators.lineage import fresh_path
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A table of a few numbers a row is sent to all executors if it has no more rows than this.
+SMALL_ROWS = 1 << 20
 #: Rows of a text table per Arrow batch; the engine bounds the bytes of a batch besides.
 BATCH_ROWS = 1000
 
@@ -48,6 +50,11 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A stored, narrow table as the small side of a join: sent to all if counted as small, else shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove intermediate tables that no later job reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import small_batches, store
+from .common import sent_if_small, small_batches, store
 from .components import components
 
 GOLD, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -107,16 +107,14 @@ def group_keys(shingles: np.ndarray, rule: JaccardRule) -> np.ndarray:
     """The equal-part keys of a set.
 
     The cut of a size class serves pairs whose larger set is in the class; a set
-    uses that of its own class and, if a partner may lie there, of the next.
+    uses that of its own class and of those above in which a partner may lie.
     With ``q`` parts a pair agrees in ``q - H`` at least, so a set whose parts
     under a size number fewer than that may leave those out.
     """
     n, found = len(shingles), []
     at = int(np.searchsorted(CLASSES, n, side="right")) - 1
     largest = n * rule.den // rule.num
-    for layer in (at, at + 1):
-        if layer > at and largest < CLASSES[layer]:
-            break
+    for layer in range(at, int(np.searchsorted(CLASSES, largest, side="right"))):
         top = CLASSES[layer + 1] - 1
         own = most_apart(n + min(largest, top), rule)
         if not own:  # nothing but an equal set can link
@@ -136,9 +134,9 @@ def group_keys(shingles: np.ndarray, rule: JaccardRule) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A bit per shingle in at least two bits' room each; a power of two of words."""
+    """A bit per shingle, in at least as many bits; a power of two of words."""
     bits = 64
-    while bits < 2 * len(shingles):
+    while bits < len(shingles):
         bits *= 2
     mask = np.zeros(bits, dtype=bool)
     mask[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -424,11 +422,12 @@ def join_documents(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataFr
     groups, _ = store(met.select(F.xxhash64("low", "high", "all").alias("g"), "cid").distinct(), "jaccard-parts")
     wanted = groups.select("cid").distinct().join(rows.where("cid is not null").groupBy("cid").agg(F.min("row_key").alias("row_key")), "cid")
     wanted, _ = store(wanted.select(F.col("row_key").alias("wanted")), "jaccard-wanted")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(wanted, F.col("row_key") == F.col("wanted"), "left_semi")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(sent_if_small(wanted), F.col("row_key") == F.col("wanted"), "left_semi")
     sets, _ = store(sets_of(texts, rule), "jaccard-sets")
     may = link_groups(groups.join(sets.select("cid", "n", "bits", F.lit(None).cast("binary").alias("shingles")), "cid"), False, rule)
     loose, _ = store(components(may), "jaccard-loose")
-    sure = link_groups(loose.select(F.col("label").alias("g"), F.col("node").alias("cid")).join(sets, "cid"), True, rule)
+    crowds = loose.select(F.col("label").alias("g"), F.col("node").alias("cid"))
+    sure = link_groups(sets.join(sent_if_small(crowds), "cid"), True, rule)
     labels, _ = store(components(sure).select(F.col("node").alias("cid"), "label"), "jaccard-labels")
     labelled = rows.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key"))
