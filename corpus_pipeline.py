@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gaugeflow.llm import jaccard, language, mixing, packing, toxicity
 from gaugeflow.llm.common import store, table
 
+#: A document goes when it is likelier toxic than not.
+REJECT = 0.5
 #: A language found with less than this probability is no language.
 SURE = 0.5
 
@@ -26,10 +28,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, does not call toxic."""
+    """Documents that the classifier, fitted on the labelled ones, does not find likelier toxic than not."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    return toxicity.assess(docs, model).where("predicted = 0").select("row.*")
+    return toxicity.assess(docs, model).where(F.col("score") < REJECT).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     tidy = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     current, path = store(tidy, "cc")
-    seen = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -29,10 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         following, new = store(small.unionByName(under.select("a", F.col("m").alias("b"))).distinct(), "cc")
         drop(spark, path)
         current, path = following, new
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
+        # Done when every node hangs under one node only, and that one under none.
+        hung = current.select(F.col("a").alias("v"), F.lit(1).alias("under"), F.lit(0).alias("over"))
+        over = current.select(F.col("b").alias("v"), F.lit(0).alias("under"), F.lit(1).alias("over"))
+        roles = hung.unionByName(over).groupBy("v").agg(F.sum("under").alias("under"), F.max("over").alias("over"))
+        if not roles.where("under > 1 or (under = 1 and over = 1)").take(1):
             break
-        seen = state
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )

@@ -41,7 +41,7 @@ class JaccardRule:
     spare: float = 0.15
     block: int = 2048
     weight: int = 1 << 21
-    memo: int = 400_000
+    memo: int = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
