@@ -32,17 +32,23 @@ WIND_UNITS = (
     (("mph", "mi/h", "mile/h", "miles/h"), 0.0, 0.44704, 1.0),
     (("kn", "knot", "knots", "kt"), 0.0, 0.5144444444, 1.0),
 )
+# Spellings of units.
 PERCENT_UNITS = ("%", "percent", "percentage", "")
 RATIO_UNITS = ("ratio", "fraction", "1")
 
 
+#: Digits with an optional sign, point and exponent; the cast alone would take type suffixes such as 1d.
+NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def word(col: Column) -> Column:
     return F.lower(F.trim(col.cast("string")))
 
 
 def number(state: Column) -> Column:
     """Finite number or null."""
-    value = F.trim(state.cast("string")).try_cast("double")
+    text = F.trim(state.cast("string"))
+    value = F.when(text.rlike(NUMERIC), text).try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 

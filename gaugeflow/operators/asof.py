@@ -11,14 +11,16 @@ from ..policy import DAY, MINUTE, RAIN_THRESHOLD, MatchRule
 from .chunks import CHUNK, KEY, US, bucket, carry, micros
 
 
-def asof_known(readings: DataFrame, log: DataFrame, payload: Sequence[str], span: int = DAY) -> DataFrame:
+def asof_known(readings: DataFrame, log: DataFrame, payload: Sequence[str], span: int = DAY, oldest: float = 6 * 3600.0) -> DataFrame:
     """For each reading the newest valid forecast row already issued and valid by then.
 
     Both sides meet in one union keyed by the time a row becomes eligible
     (``greatest(issued_at, valid_at)`` for forecasts), so this is a sort and a
     running maximum instead of a two-inequality join.  The maximum of earlier
     chunks is carried in per (station, chunk): a forecast log with holes of
-    any length stays exact and no station needs a single task.
+    any length stays exact and no station needs a single task. A forecast valid
+    more than ``oldest`` seconds before the reading counts as none; the newest
+    valid one decides, so no other could be younger.
     """
     reading_cols = [c for c in readings.columns if c not in (KEY, "ts")]
     offer = F.struct(
@@ -40,6 +42,7 @@ def asof_known(readings: DataFrame, log: DataFrame, payload: Sequence[str], span
     )
     w = Window.partitionBy(KEY, CHUNK).orderBy(US, "_side").rowsBetween(Window.unboundedPreceding, 0)
     best = F.greatest(F.col("_carried"), F.max("_offer").over(w))
+    best = F.when(F.col(US) - best["valid_us"] <= micros(oldest), best)
     out = both.withColumn("_best", best).filter("_side = 1")
     age = (F.col(US) - F.col("_best.issued_us")) / 1e6
     return out.select(

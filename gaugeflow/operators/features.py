@@ -7,6 +7,7 @@ caller that selects a family of columns pays only for that family.
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -97,9 +98,9 @@ def _joined(stat: str, c: str, n: int, pieces: tuple) -> Column:
         return _lag(col, offsets[i]) if offsets[i] else col
 
     values = [piece(stat, i) for i in range(len(pieces))]
-    oldest = values[-1].isNotNull()  # then the newer ones exist, too
-    if stat in ("min", "max"):
-        return F.when(oldest, (F.least if stat == "min" else F.greatest)(*values))
+    if stat in ("min", "max"):  # these skip nulls, so every piece is asked for
+        complete = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+        return F.when(complete, (F.least if stat == "min" else F.greatest)(*values))
     means = values if stat == "mean" else [piece("mean", i) for i in range(len(pieces))]
     mean = sum((m * float(k) for m, k in zip(means, pieces)), F.lit(0.0)) / float(n)
     if stat == "mean":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,15 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a temporary one only if it names none."""
+    """The folder that the session names for intermediate tables.
+
+    Without that setting a session on one machine gets a temporary folder; on a
+    cluster executors would each write to their own disk, so that is an error.
+    """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gaugeflow-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder

@@ -65,12 +65,16 @@ def motion(pixels: DataFrame, by: Sequence[str], frames: DataFrame, grid: GridPo
     Lines of a frame meet the lines of the next frame once per vertical shift
     by equi-join; each horizontal shift is an array intersection.  So the work
     is lines x shifts, not wet pixels x wet pixels.  ``frames`` lists all
-    frame times, so an empty frame still breaks its pairs.  Ties prefer no
+    frame times, so an empty frame still breaks its pairs; the newest
+    ``grid.frames`` of them count.  Ties prefer no
     shift, then the smaller dy, then the smaller dx.
     """
     by = list(by)
-    w = Window.partitionBy(*by).orderBy("frame_time") if by else Window.partitionBy(F.lit(0)).orderBy("frame_time")
-    pairs = frames.select(*by, "frame_time").distinct().withColumn("next_time", F.lead("frame_time").over(w))
+    keys = by or [F.lit(0)]
+    w = Window.partitionBy(*keys).orderBy("frame_time")
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("frame_time").desc()))
+    used = frames.select(*by, "frame_time").distinct().withColumn("_k", newest).filter(F.col("_k") <= grid.frames).drop("_k")
+    pairs = used.withColumn("next_time", F.lead("frame_time").over(w))
     pairs = pairs.filter(F.col("next_time") > F.col("frame_time"))
     wet = pixels.filter(F.col("bucket") >= grid.wet_class)
     lines = wet.groupBy(*by, "frame_time", "y").agg(F.collect_set("x").alias("xs"))
@@ -137,3 +141,19 @@ def arrival(latest: DataFrame, velocities: DataFrame, by: Sequence[str], sx: Col
     return out.select(
         *by, *facts, F.coalesce(found, F.lit(False)).alias("rain_arriving"), F.when(found, F.col("_hit.t")).alias("eta_minutes"),
         F.when(found, F.col("_hit.bucket")).alias("expected_intensity"))
+
+
+def outlook(pixels: DataFrame, frames: DataFrame, velocities: DataFrame, by: Sequence[str], sx: Column, sy: Column, width: Column, height: Column,
+            grid: GridPolicy = GridPolicy()) -> DataFrame:
+    """Arrival for every region of ``frames``.
+
+    Where the newest frame is dry, or no pair of frames can be tracked, nothing
+    arrives: no motion, confidence 0.
+    """
+    by = list(by)
+    newest = frames.groupBy(*by).agg(F.max("frame_time").alias("frame_time"))
+    latest = pixels.join(newest, [*by, "frame_time"])
+    wet = latest.filter(F.col("bucket") >= grid.wet_class).select(*by).distinct()
+    moving = arrival(latest, velocities.join(wet, by, "left_semi"), by, sx, sy, width, height, grid)
+    out = newest.drop("frame_time").join(moving, by, "left")
+    return out.withColumns({"rain_arriving": F.coalesce("rain_arriving", F.lit(False)), "confidence": F.coalesce("confidence", F.lit(0.0))})

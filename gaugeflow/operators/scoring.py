@@ -93,10 +93,10 @@ def score_recent(
     now_us = F.unix_micros(now)
     end = now_us - rule.max_lead * MINUTE - micros(rule.point_tolerance)
     start = end - rule.lookback_days * DAY
-    issued = F.unix_micros("issued_at")
-    fresh = forecasts.filter((issued >= start) & (issued < end) & (F.unix_micros("valid_at") <= now_us))
-    seen = F.unix_micros("ts")
-    near = readings.filter((seen >= start - 5 * MINUTE) & (seen < now_us))
+    at = F.timestamp_micros
+    # The columns themselves are compared, so that literal bounds reach the scans.
+    fresh = forecasts.filter((F.col("issued_at") >= at(start)) & (F.col("issued_at") < at(end)) & (F.col("valid_at") <= now))
+    near = readings.filter((F.col("ts") >= at(start - 5 * MINUTE)) & (F.col("ts") < now))
     as_of = F.to_date(F.timestamp_micros(now_us + LOCAL_OFFSET_HOURS * HOUR))
     return score(with_truth(fresh, near, layers, rule)).withColumn("as_of_date", as_of)
 

@@ -37,11 +37,15 @@ def daily_summary(readings: DataFrame) -> DataFrame:
     return period_summary(readings, [KEY, F.to_date(local("ts")).alias("date")])
 
 
+def trailing(end: Column, days: int, ts: str = "ts") -> Column:
+    """The last ``days`` days before ``end``; with a literal end the bounds reach the scan."""
+    start = F.timestamp_micros(F.unix_micros(end) - days * 24 * HOUR)
+    return (F.col(ts) >= start) & (F.col(ts) < end)
+
+
 def trailing_summary(readings: DataFrame, end: Column, days: int = 7) -> DataFrame:
     """Summary of the last ``days`` days before ``end``."""
-    us = F.unix_micros("ts")
-    stop = F.unix_micros(end)
-    return period_summary(readings.filter((us >= stop - days * 24 * HOUR) & (us < stop)), [KEY])
+    return period_summary(readings.filter(trailing(end, days)), [KEY])
 
 
 def day_night(hourly: DataFrame, by: Sequence[str], time: str = "valid_at") -> DataFrame:
@@ -66,9 +70,7 @@ def day_night(hourly: DataFrame, by: Sequence[str], time: str = "valid_at") -> D
 
 def pressure_baseline(readings: DataFrame, now: Column, hour: int = 6, days: int = 7, min_days: int = 3, band: float = 0.5) -> DataFrame:
     """Mean of the daily means at one local hour over the last ``days`` days, and today's anomaly."""
-    us = F.unix_micros("ts")
-    stop = F.unix_micros(now)
-    df = readings.filter((us >= stop - 8 * 24 * HOUR) & (us < stop))
+    df = readings.filter(trailing(now, 8))
     newest = df.groupBy(KEY).agg(F.max_by("pressure", "ts").alias("current"))
     wall = local("ts")
     mornings = df.filter((F.hour(wall) == hour) & (F.to_date(wall) != F.to_date(local(now))))

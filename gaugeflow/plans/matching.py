@@ -19,7 +19,7 @@ select station_id, ts_us, valid_us, issued_us, lead, temp, prob, age from (
   n.lead_hours as lead, round(n.temp_forecast,4)+0.0 as temp, round(n.precipitation_probability,4)+0.0 as prob,
   round((epoch_us(r.ts)-epoch_us(n.issued_hour))/1e6,3)+0.0 as age,
   row_number() over (partition by r.station_id, r.ts order by n.valid_at desc nulls last, n.issued_hour desc) as k
- from readings r left join nwp_log n on n.station_id=r.station_id and n.issued_hour<=r.ts and n.valid_at<=r.ts) where k=1""")
+ from readings r left join nwp_log n on n.station_id=r.station_id and n.issued_hour<=r.ts and n.valid_at<=r.ts and n.valid_at>=r.ts - interval 6 hours) where k=1""")
 def asof_nwp(spark, sf):
     log = nwp_log(spark, sf).withColumnRenamed("issued_hour", "issued_at")
     df = A.asof_known(readings(spark, sf).select(KEY, "ts", "temp"), log, PAYLOAD)

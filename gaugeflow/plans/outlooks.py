@@ -106,17 +106,17 @@ def timeline_head(spark, sf):
 
 
 @query("missed_slots", with_ctes(READINGS) + """
-, r as (select station_id, temp, (ts + interval 7 hours) as l from readings where ts < timestamp '2024-01-03 00:00:00'),
+, r as (select station_id, temp, (ts + interval 7 hours) as l from readings), n as (select max(l) as l from r),
 d as (select distinct station_id, l::date as date from r), s as (select distinct station_id, l::date as date, hour(l) as slot_hour from r where temp>=34.5)
-select d.station_id, cast(d.date as varchar) as date, h.slot_hour from d cross join (values (6),(21)) h(slot_hour)
-where (d.date < date '2024-01-03' or (d.date = date '2024-01-03' and 7 >= h.slot_hour)) and not exists
+select d.station_id, cast(d.date as varchar) as date, h.slot_hour from d cross join (values (6),(21)) h(slot_hour) cross join n
+where (d.date < n.l::date or (d.date = n.l::date and hour(n.l) >= h.slot_hour)) and not exists
  (select 1 from s where s.station_id=d.station_id and s.date=d.date and s.slot_hour=h.slot_hour)""")
 def missed_slots(spark, sf):
-    r = readings(spark, sf).filter("ts < timestamp'2024-01-03 00:00:00'")
+    r = readings(spark, sf)
     wall = S.local("ts")
     days = r.select(KEY, F.to_date(wall).alias("date")).distinct()
     sent = r.filter("temp >= 34.5").select(KEY, F.to_date(wall).alias("date"), F.hour(wall).alias("slot_hour")).distinct()
-    out = S.missed_slots(days, sent, F.expr("timestamp'2024-01-03 00:00:00'"))
+    out = S.missed_slots(days, sent, r.agg(F.max("ts")).scalar())
     return out.select(KEY, F.col("date").cast("string").alias("date"), "slot_hour")
 
 
@@ -261,19 +261,20 @@ def warning_urls(spark, sf):
 
 
 # ---- radar -------------------------------------------------------------------------------
-# Rain fields of three regions over five frames.
+# Rain fields of five regions over five frames: in one the newest frames are dry, one has a single frame.
 _PIXELS = """
-pixels as (select p_partkey%3 as region, f*600 as frame_time, (p_partkey%60)+(2+2*(p_partkey%3))*f as x, ((p_partkey*7)%60)+4*f as y, max(1+p_size%4) as bucket
-  from part cross join (select unnest(range(0,5)) as f) where p_size>25 group by 1,2,3,4)
+pixels as (select p_partkey%5 as region, f*600 as frame_time, (p_partkey%60)+(2+2*(p_partkey%5))*f as x, ((p_partkey*7)%60)+4*f as y, max(1+p_size%4) as bucket
+  from part cross join (select unnest(range(0,5)) as f) where p_partkey%5<3 or (p_partkey%5=3 and f<3) or (p_partkey%5=4 and f=4) group by 1,2,3,4)
 """
 
 
 def _pixels(spark, sf):
     k = F.col("p_partkey")
-    p = table(spark, sf, "part").filter("p_size > 25").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    p = table(spark, sf, "part").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    p = p.filter((k % 5 < 3) | ((k % 5 == 3) & (F.col("f") < 3)) | ((k % 5 == 4) & (F.col("f") == 4)))
     return p.groupBy(
-        (k % 3).cast("long").alias("region"), (F.col("f") * 600).alias("frame_time"),
-        (k % 60 + (2 + 2 * (k % 3)) * F.col("f")).cast("int").alias("x"), (k * 7 % 60 + 4 * F.col("f")).cast("int").alias("y"),
+        (k % 5).cast("long").alias("region"), (F.col("f") * 600).alias("frame_time"),
+        (k % 60 + (2 + 2 * (k % 5)) * F.col("f")).cast("int").alias("x"), (k * 7 % 60 + 4 * F.col("f")).cast("int").alias("y"),
     ).agg(F.max(1 + F.col("p_size") % 4).cast("int").alias("bucket"))
 
 
@@ -307,11 +308,11 @@ def radar_trend(spark, sf):
     return R.ring_trend(_rings(spark, sf), ["region"]).select("region", "frame_time", "close_max_intensity", "trend_rising")
 
 
-_GRID = GridPolicy(window=160, frames=5)
+_GRID = GridPolicy(window=160, frames=4)
 # Motion by brute force over all wet pixel pairs within the shift range.
 _MOTION = """
 wp as (select * from pixels where x>=0 and x<120 and y>=0 and y<120),
-ft as (select region, frame_time, lead(frame_time) over (partition by region order by frame_time) as nt from (select r.region, f.frame_time from (select distinct region from pixels) r, (select distinct frame_time from pixels) f)),
+ft as (select region, frame_time, lead(frame_time) over (partition by region order by frame_time) as nt from (select r.region, f.frame_time from (select distinct region from pixels) r, (select distinct frame_time from pixels order by 1 desc limit 4) f)),
 ne as (select distinct region, frame_time from wp),
 ok as (select ft.* from ft join ne a on a.region=ft.region and a.frame_time=ft.frame_time join ne b on b.region=ft.region and b.frame_time=ft.nt),
 sc as (select a.region, a.frame_time, b.x-a.x as dx, b.y-a.y as dy, count(*) as n from wp a join ok on ok.region=a.region and ok.frame_time=a.frame_time
@@ -324,13 +325,14 @@ mv as (select ok.region, ok.frame_time, coalesce(dx,0)::int as dx, coalesce(dy,0
 def _shifts(spark, sf):
     px = _pixels(spark, sf)
     cropped = R.crop(px, F.lit(_CX), F.lit(_CY), _GRID)
-    frames = px.select("region", "frame_time").distinct()
-    return cropped, R.motion(cropped, ["region"], frames, _GRID)
+    times = F.explode(F.sequence(F.lit(0), F.lit(2400), F.lit(600)))
+    frames = px.select("region").distinct().withColumn("frame_time", times)
+    return cropped, frames, R.motion(cropped, ["region"], frames, _GRID)
 
 
 @query("radar_motion", with_ctes(_PIXELS, _MOTION) + "select region, frame_time, dx, dy, overlap from mv")
 def radar_motion(spark, sf):
-    return _shifts(spark, sf)[1].select("region", "frame_time", "dx", "dy", "overlap")
+    return _shifts(spark, sf)[2].select("region", "frame_time", "dx", "dy", "overlap")
 
 
 _ETA = """
@@ -346,12 +348,14 @@ et as (select sp.*, hit is not null and (edge is null or hit//10<edge) and speed
 @query("radar_eta", with_ctes(_PIXELS, _MOTION, _ETA) + """
 select region, pairs, round(vx,6)+0.0 as vx, round(vy,6)+0.0 as vy, arr as rain_arriving, case when arr then (hit//10)::int end as eta_minutes, case when arr then (hit%10)::int end as expected_intensity,
  cast(round_even((degrees(atan2(vx,-vy))+360)%360,0) as int) as motion_deg, round(speed*156543.03392*cos(radians(13.8692387))/128/1000*60,1)+0.0 as motion_kmh,
- round(greatest(0.0,least(1.0, case when pairs>=2 then greatest(0.0,1-spread/greatest(speed,1e-6)) else 0.5 end * pairs/4)),2)+0.0 as confidence from et""")
+ round(greatest(0.0,least(1.0, case when pairs>=2 then greatest(0.0,1-spread/greatest(speed,1e-6)) else 0.5 end * pairs/3)),2)+0.0 as confidence
+ from et where exists (select 1 from wp where wp.region=et.region and wp.frame_time=2400)
+union all select region, null, null, null, false, null, null, null, null, 0.0 from (select distinct region from pixels) r
+ where region not in (select region from mv) or not exists (select 1 from wp where wp.region=r.region and wp.frame_time=2400)""")
 def radar_eta(spark, sf):
-    cropped, shifts = _shifts(spark, sf)
-    speed = R.velocity(shifts, ["region"], 5, meters_per_pixel(F.lit(_LAT)))
-    latest = cropped.filter("frame_time = 2400")
-    out = R.arrival(latest, speed, ["region"], F.lit(_CX), F.lit(_CY), F.lit(120), F.lit(120), _GRID)
+    cropped, frames, shifts = _shifts(spark, sf)
+    speed = R.velocity(shifts, ["region"], 4, meters_per_pixel(F.lit(_LAT)))
+    out = R.outlook(cropped, frames, speed, ["region"], F.lit(_CX), F.lit(_CY), F.lit(120), F.lit(120), _GRID)
     return out.select("region", "pairs", rd("vx").alias("vx"), rd("vy").alias("vy"), "rain_arriving", F.col("eta_minutes").cast("int").alias("eta_minutes"),
                       "expected_intensity", "motion_deg", rd("motion_kmh", 1).alias("motion_kmh"), rd("confidence", 2).alias("confidence"))
 

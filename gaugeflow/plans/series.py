@@ -111,8 +111,8 @@ def _moved(spark, sf):
     zero = last.filter(f"{KEY} = 0").select("_last").scalar()
     shift = last.select(KEY, (zero - F.col("_last") + F.col(KEY) * 140_000_000).alias("_shift"))
     moved = r.join(shift, KEY).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("_shift"))).drop("_shift")
-    now_us = moved.filter(f"{KEY} = 0").agg(F.max(F.unix_micros("ts"))).first()[0] + 390_000_000
-    return moved, F.timestamp_micros(F.lit(now_us))
+    now_us = moved.filter(f"{KEY} = 0").agg(F.max(F.unix_micros("ts"))).scalar() + 390_000_000
+    return moved, F.timestamp_micros(now_us)
 
 
 @query("tail_extend", _stations_sql("""

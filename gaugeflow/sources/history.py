@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.chunks import KEY
 from ..operators.clean import CORE_COLUMNS, coerce, insert_ignore, latest_by_key, with_missing
 from ..operators.features import OPTIONAL_DEFAULTS
 
 OPTIONAL_COLUMNS = (*OPTIONAL_DEFAULTS, "light")
 
 
-def scan_csv(spark: SparkSession, groups: Sequence[str | Sequence[str]], key: Sequence[str] = ("timestamp",)) -> DataFrame:
+def scan_csv(spark: SparkSession, groups: Sequence[str | Sequence[str]], key: Sequence[str] | None = None) -> DataFrame:
     """Read CSV histories; each group holds files with the same header.
 
     Groups differ in columns (the format grew over time) and are united by
     name.  Values are coerced, repeated header lines and rows without core
-    values dropped, and of equal keys the later file's row kept.
+    values dropped, and of equal keys the later file's row kept. Unless ``key``
+    is given it is the timestamp, with the station if any file names one.
     """
     frames = [
         spark.read.option("header", True).csv(g if isinstance(g, str) else list(g)).withColumn("_file", F.input_file_name())
@@ -27,15 +31,23 @@ def scan_csv(spark: SparkSession, groups: Sequence[str | Sequence[str]], key: Se
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f, allowMissingColumns=True)
+    key = key or [c for c in (KEY, "timestamp") if c in df.columns]
     df = coerce(df, [*CORE_COLUMNS, *OPTIONAL_COLUMNS])
     df = df.withColumn("_line", F.monotonically_increasing_id())
     return with_missing(latest_by_key(df, list(key), [F.col("_file"), F.col("_line")]).drop("_file", "_line"), OPTIONAL_COLUMNS)
 
 
 def newest_days(df: DataFrame, k: int = 2, date: str = "date") -> DataFrame:
-    """Rows of the newest ``k`` date partitions (prunes the scan; the date list is partition metadata)."""
-    days = df.select(date).distinct().orderBy(F.col(date).desc()).limit(k)
-    return df.join(days, date, "left_semi")
+    """Rows of the newest ``k`` date partitions.
+
+    The dates come from the directory names, so the scan is pruned by literals
+    and nothing else is read; a table without such directories is asked for its
+    dates first.
+    """
+    found = {m[1] for f in df.inputFiles() if (m := re.search(rf"/{re.escape(date)}=(\d{{4}}-\d\d-\d\d)/", f))}
+    if not found:
+        found = {str(r[0]) for r in df.select(date).distinct().orderBy(F.col(date).desc()).limit(k).collect()}
+    return df.filter(F.col(date).isin([datetime.date.fromisoformat(d) for d in sorted(found)[-k:]]))
 
 
 def append_by_date(df: DataFrame, path: str, ts: str = "ts", fmt: str = "parquet") -> None:
