@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, store
 
+BANDS = 32  # bands of word counts per doubling
 END, OTHER, FIRST = 0, 1, 2  # the end of a text, any word outside the head, the first head word
 
 
@@ -199,8 +200,18 @@ def train(docs: DataFrame, rule: ClassRule = ClassRule()) -> tuple[ClassModel, D
     tokens, distinct, ends = total["tokens"] or 0, total["distinct"] or 0, total["ends"] or 0
     vocabulary = counted.where(F.col("word").isNotNull())
     # Words met once stand for those not met yet, so they are left to the shared class.
-    top = vocabulary.where((F.col("n") > 1) & (F.octet_length("word") <= rule.longest)).orderBy(F.desc("n"), "word").limit(rule.head).toPandas()
-    words = [bytes(w) for w in top["word"]]
+    able = vocabulary.where((F.col("n") > 1) & (F.octet_length("word") <= rule.longest)).withColumn("band", F.floor(F.log2("n") * BANDS))
+    room, least = rule.head, None
+    for row in able.groupBy("band").agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect():
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["band"]
+    # Whole bands of counts that fit the head, so no more than ``head`` rows.
+    top = able.where(F.col("band") >= least if least is not None else F.lit(False)).select("word", "n").toPandas()
+    top["word"] = top["word"].map(bytes)
+    top = top.sort_values(["n", "word"], ascending=[False, True])
+    words = top["word"].tolist()
     other_tokens = tokens - ends - int(top["n"].sum())
     counts = np.concatenate([[ends, other_tokens], top["n"].to_numpy(dtype=float)])
     shared = spark.sparkContext.broadcast(Head(words))
