@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..policy import RAIN_THRESHOLD, AlertPolicy
+from ..policy import DAY, RAIN_THRESHOLD, AlertPolicy
 from .chunks import CHUNK, CORE, KEY, carry, core_only, micros, ordinal, running_total, spread_rows, with_chunk
+from .lineage import cut
 
+#: Longest chain of candidates that is folded as one array.
+SHORT = 64
+# Names of notifications.
 RAIN_START, RAIN_RESUME, RAIN_STOP = "rain_start", "rain_resume", "rain_stop"
 MODEL_ALERT, MODEL_CANCEL = "ml_alert", "ml_cancel"
 RADAR_ALERT, RADAR_CANCEL = "radar_alert", "radar_cancel"
@@ -104,7 +110,8 @@ def cooldown_gate(wanted: DataFrame, cooldown: float, by: Sequence[str] = (KEY,)
     Whatever happened before, a candidate is accepted if its predecessor has
     another kind (the last accepted one then has that kind) or is at least a
     cooldown older.  So the series falls apart into short chains at those
-    points, and only chains of more than one candidate need a running fold.
+    points. Short chains are folded as arrays; longer ones, which a flapping
+    sensor makes, are split by day.
     """
     by = list(by)
     us = F.unix_micros("ts")
@@ -118,7 +125,19 @@ def cooldown_gate(wanted: DataFrame, cooldown: float, by: Sequence[str] = (KEY,)
     free = prev.isNull() | (prev["kind"] != F.col(kind)) | (us - prev["us"] >= micros(cooldown))
     df = df.withColumn("_free", free.cast("int"))
     df = running_total(df, by, ["_at"], F.col("_free"), "_chain")
-    chains = df.groupBy(*by, "_chain").agg(F.sort_array(F.collect_list("_at")).alias("ats"))
+    rows = cut(df.select(*by, "_chain", CHUNK, "_at.us", "_at.seq"), "candidates")
+    sizes = rows.groupBy(*by, "_chain").agg(F.count(F.lit(1)).alias("_n"))
+    graded = _short_chains(rows, by, cooldown)
+    if sizes.filter(F.col("_n") > SHORT).take(1):
+        sized = rows.join(sizes, [*by, "_chain"])
+        graded = _short_chains(sized.filter(F.col("_n") <= SHORT), by, cooldown).unionByName(_long_chains(sized.filter(F.col("_n") > SHORT), by, cooldown))
+    graded = graded.select(*by, F.timestamp_micros("us").alias("ts"), "seq", "accepted")
+    return wanted.join(graded, [*by, "ts", "seq"])
+
+
+def _short_chains(rows: DataFrame, by: list[str], cooldown: float) -> DataFrame:
+    """Chains of at most ``SHORT`` candidates, each folded as an array."""
+    chains = rows.groupBy(*by, "_chain").agg(F.sort_array(F.collect_list(F.struct("us", "seq"))).alias("ats"))
     start = F.struct(
         F.lit(None).cast("long").alias("last"),
         F.array().cast("array<struct<us:bigint,seq:int,ok:boolean>>").alias("out"))
@@ -128,11 +147,59 @@ def cooldown_gate(wanted: DataFrame, cooldown: float, by: Sequence[str] = (KEY,)
         row = F.struct(a["us"].alias("us"), a["seq"].alias("seq"), ok.alias("ok"))
         return F.struct(F.when(ok, a["us"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    lone = F.transform("ats", lambda a: F.struct(a["us"].alias("us"), a["seq"].alias("seq"), F.lit(True).alias("ok")))
-    verdicts = F.when(F.size("ats") == 1, lone).otherwise(F.aggregate("ats", start, step, lambda s: s["out"]))
-    graded = chains.select(*by, F.explode(verdicts).alias("v")).select(
-        *by, F.timestamp_micros("v.us").alias("ts"), F.col("v.seq").alias("seq"), F.col("v.ok").alias("accepted"))
-    return wanted.join(graded, [*by, "ts", "seq"])
+    folded = chains.select(*by, F.explode(F.aggregate("ats", start, step, lambda s: s["out"])).alias("v"))
+    return folded.select(*by, "v.us", "v.seq", F.col("v.ok").alias("accepted"))
+
+
+def _long_chains(rows: DataFrame, by: list[str], cooldown: float) -> DataFrame:
+    """Chains of any length, a day at a time.
+
+    What a day makes of the last acceptance before it depends only on the first
+    candidate it accepts, and that lies within one cooldown of the day's start.
+    So a day is first summed up as a map from those candidates to its last
+    acceptance, the maps of a chain are followed in order, and then every day is
+    graded on its own.
+    """
+    wait = micros(cooldown)
+    key = [*by, "_chain", CHUNK]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    head = ", ".join(f"{c} {kinds[c]}" for c in key)
+
+    def follow(us: np.ndarray) -> np.ndarray:
+        return np.searchsorted(us, us + wait)
+
+    def sum_up(day: pd.DataFrame) -> pd.DataFrame:
+        us = np.sort(day["us"].to_numpy())
+        after, last = follow(us), us.copy()
+        for i in range(len(us) - 1, -1, -1):
+            if after[i] < len(us):
+                last[i] = last[after[i]]
+        n = int(np.searchsorted(us, day[CHUNK].iloc[0] * DAY + wait)) + 1
+        return pd.DataFrame([[*day[key].iloc[0], us[:n], last[:n]]], columns=[*key, "firsts", "lasts"])
+
+    def walk(chain: pd.DataFrame) -> pd.DataFrame:
+        now, out = None, []
+        for row in chain.sort_values(CHUNK).itertuples(index=False):
+            out.append(now)
+            firsts, lasts = np.asarray(row[-2]), np.asarray(row[-1])
+            i = 0 if now is None else int(np.searchsorted(firsts, now + wait))
+            now = int(lasts[i]) if i < len(firsts) else now
+        return chain.sort_values(CHUNK)[key].assign(before=pd.array(out, dtype="Int64"))
+
+    def grade(day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values(["us", "seq"])
+        us, before = day["us"].to_numpy(), day["before"].iloc[0]
+        after, ok = follow(us), np.zeros(len(day), bool)
+        i = 0 if pd.isna(before) else int(np.searchsorted(us, int(before) + wait))
+        while i < len(us):
+            ok[i] = True
+            i = max(after[i], i + 1)
+        return day[[*by, "us", "seq"]].assign(accepted=ok)
+
+    maps = rows.select(*key, "us").groupBy(*key).applyInPandas(sum_up, f"{head}, firsts array<long>, lasts array<long>")
+    entries = maps.groupBy(*by, "_chain").applyInPandas(walk, f"{head}, before long")
+    graded = ", ".join(f"{c} {kinds[c]}" for c in by) + ", us long, seq int, accepted boolean"
+    return rows.join(entries, key).select(*key, "us", "seq", "before").groupBy(*key).applyInPandas(grade, graded)
 
 
 def rising(value: str, order: str, by: Sequence[str], last: int, positive: bool, min_rows: int = 2) -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,9 +98,10 @@ def assemble(states: DataFrame, now: Column, fresh: Freshness = Freshness(), pol
     return df.select(KEY, poll, status.alias("status"), "reason", *[F.when(ok, c).alias(n) for n, c in out.items()])
 
 
-def fingerprint(*cols: str) -> Column:
-    """Stable hash of a row: canonical JSON with six-decimal doubles, first 20 hex digits."""
-    return F.substring(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256), 1, 20)
+def fingerprint(*cols: str, doubles: Sequence[str] = ()) -> Column:
+    """Stable hash of a row: canonical JSON, ``doubles`` with six decimals, first 20 hex digits."""
+    fields = [F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c))).alias(c) if c in doubles else F.col(c) for c in cols]
+    return F.substring(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256), 1, 20)
 
 
 def drop_repeats(df: DataFrame, order: str, hashed: Column, by=(KEY,)) -> DataFrame:

@@ -50,11 +50,15 @@ def audit_frame(history: DataFrame, predictions: DataFrame, rule: AuditRule) ->
     before = (h + max(rule.dry_rows, 60) + rule.confirm_streak + 1) * AUDIT_GAPS.high + cool
     after = label_reach(h, labels) + cool + 2 * AUDIT_GAPS.high
     p, y = F.col("probability"), F.col("observed")
-    saved = predictions.select(
+    # Grouped by what the join below is dealt by, so the check costs no further shuffle.
+    dry = F.col(rule.scope) if rule.scope in predictions.columns else F.lit(None).cast("boolean")
+    saved = predictions.groupBy(KEY, "ts").agg(
+        F.count(F.lit(1)).alias("_times"), F.first(p).alias("probability"), F.first(y).alias("observed"), F.first(dry.cast("boolean")).alias("_dry_said"))
+    saved = saved.select(
         KEY, "ts",
         _guard(p.isNull() | F.isnan(p) | (p < 0) | (p > 1), "probability must be in [0, 1]", p).alias("probability"),
         _guard(y.isNull() | ~y.isin(0, 1), "observed must be binary", y.cast("double")).alias("observed"),
-        F.lit(True).alias("_has"),
+        (_guard(F.col("_times") > 1, "repeated prediction", F.lit(1.0)) == 1.0).alias("_has"), "_dry_said",
     )
     keep = [c for c in (KEY, "ts", "rain_flag", FILLED) if c in history.columns]
     df = history.select(*keep).join(saved, [KEY, "ts"], "left")
@@ -69,7 +73,9 @@ def audit_frame(history: DataFrame, predictions: DataFrame, rule: AuditRule) ->
     df = df.withColumns({"_future": label, "_future_end": F.lead(US, h).over(w), **dry_flags(df)})
     usable = F.coalesce(F.col("_has") & F.col("_future").isNotNull(), F.lit(False))
     clash = F.col(CORE) & usable & (F.col("observed") != F.col("_future"))
-    df = df.withColumn("_usable", _guard(clash, "saved labels disagree with the observation history", usable.cast("double")).cast("int"))
+    dry_clash = F.col(CORE) & usable & (F.col("_dry_said") != F.col(rule.scope))
+    checked = _guard(dry_clash, "saved dry flags disagree with the observation history", usable.cast("double"))
+    df = df.withColumn("_usable", _guard(clash, "saved labels disagree with the observation history", checked).cast("int"))
     raw = F.when((F.col("_usable") == 1) & F.col(rule.scope), F.col("probability"))
     df = df.withColumn("_raw", raw)
     run = w.rowsBetween(-(rule.confirm_streak - 1), 0)
@@ -155,13 +161,15 @@ def audit(
     history: DataFrame, predictions: DataFrame, thresholds: Sequence[float], rule: AuditRule = AuditRule()
 ) -> dict[str, DataFrame]:
     """Events, episodes and summary per (station, threshold) for one horizon."""
+    # The frame is computed once: usable rows, possible alerts and onsets are
+    # stored narrow, and every table below is built from them.
     frame = audit_frame(history, predictions, rule)
-    # Only possible alerts and onsets matter from here on; they are sparse and
-    # every table below is built from them, so they are stored once.
-    marks = frame.filter((F.col("_score") >= min(thresholds)) | (F.col(CORE) & (F.col("_new_rain") == 1)))
-    marks = cut(marks.select(
+    mark = (F.col("_score") >= min(thresholds)) | (F.col(CORE) & (F.col("_new_rain") == 1))
+    frame = frame.withColumn("_mark", F.coalesce(mark, F.lit(False))).filter(F.col("_mark") | (F.col(CORE) & (F.col("_usable") == 1)))
+    frame = cut(frame.select(
         KEY, CHUNK, SEG, US, CORE, "_score", "_left", "_right", "_block_us", "_future", "_new_rain",
-        "_evaluable", "_prior_best", "_prior_us"), "marks")
+        "_evaluable", "_prior_best", "_prior_us", "_usable", "_future_end", "_mark"), "frame")
+    marks = frame.filter("_mark")
     stations = cut(station_rows(frame), "stations")
     alerts = cut(alert_rows(marks, thresholds, rule).select(
         KEY, "threshold", "episode_id", US, "_left", "_right", "_future"), "alerts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -26,13 +27,19 @@ ONSET = "rf_onset"
 
 @dataclass(frozen=True)
 class ForestRule:
+    """``depth`` and ``trees`` default by kind: 18 and 300 for forests, 5 and 300 for boosted trees."""
+
     kind: str = "rf"  # rf, rf_onset or gbt
     trees: int = 300
-    depth: int = 18
+    depth: int | None = None
     min_leaf: int = 2
     seed: int = 42
     blend: bool = False
 
+    @property
+    def levels(self) -> int:
+        return self.depth if self.depth is not None else 5 if self.kind == "gbt" else 18
+
 
 @dataclass
 class HorizonModel:
@@ -52,14 +59,31 @@ def class_weights(df: DataFrame, target: str = "target") -> DataFrame:
     if not n["p"] or n["p"] == n["n"]:
         raise ValueError("training needs observed rain and dry examples")
     positive, negative = n["n"] / (2.0 * n["p"]), n["n"] / (2.0 * (n["n"] - n["p"]))
-    return df.withColumn("weight", F.when(F.col(target) > 0.5, positive).otherwise(negative))
+    balance = F.when(F.col(target) > 0.5, positive).otherwise(negative)
+    return df.withColumn("weight", F.col("weight") * balance if "weight" in df.columns else balance)
+
+
+def part_counts(parts: DataFrame) -> dict[str, tuple[int, int]]:
+    """Rows and positive rows of every part."""
+    rows = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("p")).collect()
+    return {r["part"]: (r["n"], int(r["p"] or 0)) for r in rows}
+
+
+def check_parts(counts: dict[str, tuple[int, int]]) -> None:
+    """Every part has rows, and those that decide something have both classes."""
+    for name in ("train", "calibration", "validation", "test"):
+        n, p = counts.get(name, (0, 0))
+        if not n:
+            raise ValueError(f"the {name} part is empty")
+        if name != "test" and p in (0, n):
+            raise ValueError(f"the {name} part needs observed rain and dry examples")
 
 
 def _classifier(rule: ForestRule):
     common = dict(featuresCol="features", labelCol="target", weightCol="weight", seed=rule.seed, minInstancesPerNode=rule.min_leaf)
     if rule.kind == "gbt":
-        return GBTClassifier(maxIter=rule.trees, maxDepth=min(rule.depth, 5), stepSize=0.05, subsamplingRate=0.9, **common)
-    return RandomForestClassifier(numTrees=rule.trees, maxDepth=rule.depth, featureSubsetStrategy="sqrt", **common)
+        return GBTClassifier(maxIter=rule.trees, maxDepth=rule.levels, stepSize=0.05, subsamplingRate=0.9, **common)
+    return RandomForestClassifier(numTrees=rule.trees, maxDepth=rule.levels, featureSubsetStrategy="sqrt", **common)
 
 
 def _positive(vector: str) -> Column:
@@ -71,7 +95,9 @@ def fit_horizon(rows: DataFrame, features: Sequence[str], horizon: int, target:
 
     ``rows`` needs station, ``ts``, the features, ``rain_flag`` and, for onset
     models, ``rain_last_60m``; ``target`` names the label.  Returns the model and
-    the scored validation and test rows.
+    the scored validation and test rows.  Stations too short to be split take no
+    part; their number and rows are in the model's metrics.  An empty part, or
+    one class alone in training, calibration or validation, is an error.
     """
     features = list(features)
     if rule.kind == ONSET:
@@ -85,8 +111,10 @@ def fit_horizon(rows: DataFrame, features: Sequence[str], horizon: int, target:
     def part(name: str) -> DataFrame:
         return parts.filter(F.col("part") == name)
 
-    train = part("train")
-    train = onset_weights(train) if rule.kind == ONSET else class_weights(train)
+    counts = part_counts(parts)
+    check_parts(counts)
+    short = part("too_short").agg(F.count_distinct(KEY).alias("n")).first()["n"]
+    train = class_weights(onset_weights(part("train")) if rule.kind == ONSET else part("train"))
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     forest = _classifier(rule).fit(assembler.transform(train))
 
@@ -115,7 +143,8 @@ def fit_horizon(rows: DataFrame, features: Sequence[str], horizon: int, target:
         judged = judged.withColumn("probability", blended(F.col("base_probability"), F.col("persistence"), F.lit(weight)))
     chosen = best_threshold(sweep(judged.filter("part = 'validation'"))).first()
     test = judged.filter("part = 'test'")
-    facts = brier(test, [], extra={"raw_brier": "raw_probability", "persistence_brier": "persistence"}).first().asDict()
+    facts = {"short_stations": short, "short_rows": counts.get("too_short", (0, 0))[0]}
+    facts |= brier(test, [], extra={"raw_brier": "raw_probability", "persistence_brier": "persistence"}).first().asDict()
     facts |= confusion(test, chosen["threshold"]).first().asDict()
     stages = PipelineModel(stages=[assembler, forest, *([sigmoid] if use_sigmoid else [])])
     return HorizonModel(horizon, rule, features, stages, chosen["threshold"], use_sigmoid, weight, facts), judged
@@ -145,12 +174,20 @@ def predict_horizons(models: Sequence[HorizonModel], rows: DataFrame, project: b
 
 
 def joint_thresholds(judged: dict[int, DataFrame], key: Sequence[str] = (KEY, "ts")) -> tuple[DataFrame, dict[int, float]]:
-    """Project saved horizon predictions jointly on their common times and choose thresholds anew on validation."""
+    """Project saved horizon predictions jointly and choose thresholds anew on validation.
+
+    All horizons must have been judged on the same rows; a row that one of them
+    lacks or repeats is an error.
+    """
     horizons = sorted(judged)
     wide = None
     for h in horizons:
         cols = judged[h].select(*key, "part", F.col("probability").alias(f"p_{h}m"), F.col("observed").alias(f"observed_{h}m"))
-        wide = cols if wide is None else wide.join(cols, [*key, "part"])
+        wide = cols if wide is None else wide.join(cols, [*key, "part"], "full")
+    given = wide.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"p_{h}m").alias(str(h)) for h in horizons]).first()
+    sizes = {h: judged[h].count() for h in horizons}
+    if any(given[str(h)] != given["n"] or sizes[h] != given["n"] for h in horizons):
+        raise ValueError(f"the horizons were judged on different rows: {sizes}, together {given['n']}")
     wide = cut(coherent(check_nested(wide, horizons), horizons), "joint")
     chosen = {}
     for h in horizons:
@@ -160,15 +197,22 @@ def joint_thresholds(judged: dict[int, DataFrame], key: Sequence[str] = (KEY, "t
 
 
 def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42) -> PipelineModel:
-    """Regressor for the temperature some minutes ahead."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """Regressor for the temperature some minutes ahead, fitted on the rows that have it and every feature."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
-    ready = assembler.transform(rows.filter(F.col(target).isNotNull()))
+    ready = assembler.transform(rows.filter(F.col(target).isNotNull() & known(features)))
     return PipelineModel(stages=[assembler, forest.fit(ready)])
 
 
+def known(features: Sequence[str]) -> Column:
+    """Every feature is a number."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features], F.lit(True))
+
+
 def predict_temperature(model: PipelineModel, rows: DataFrame, out: str = "temp_forecast") -> DataFrame:
-    df = model.transform(rows).withColumn(out, F.col("prediction")).drop("prediction", "features")
+    """Every row of ``rows``; the forecast is null where a feature is missing."""
+    usable = known(model.stages[0].getInputCols())
+    df = model.transform(rows).withColumn(out, F.when(usable, F.col("prediction"))).drop("prediction", "features")
     return df.withColumn("delta", F.col(out) - F.col("temp"))
 
 

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.units import finite
 from ..policy import RAIN_THRESHOLD, SWEEP_STEPS
 from .chunks import CHUNK, running_totals
 from .lineage import cut
+from .quantiles import bucket_of, cut_bounds
 
 
 def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
@@ -75,17 +77,22 @@ def best_threshold(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return table.groupBy(*by).agg(F.min_by(F.struct(*cols), order).alias("_b")).select(*by, "_b.*")
 
 
-def average_precision(df: DataFrame, by: Sequence[str], y: str = "observed", p: str = "probability", buckets: int = 4096) -> DataFrame:
+def average_precision(df: DataFrame, by: Sequence[str], y: str = "observed", p: str = "probability") -> DataFrame:
     """Step-wise area under precision-recall; null without positives.
 
     Equal scores collapse first; the running counts over distinct scores are
-    carried across score buckets, so many distinct scores stay parallel.
+    carried across score buckets of about equal numbers of scores, so many
+    distinct scores stay parallel wherever they crowd. Scores that are null or
+    not finite are left out.
     """
     by = list(by)
-    scores = df.groupBy(*by, F.col(p).alias("_p")).agg(
-        F.count(F.when(F.col(y) > 0.5, 1)).alias("_pos"), F.count(F.lit(1)).alias("_all")
-    ).withColumn("_down", -F.col("_p")).withColumn(CHUNK, F.floor(F.col("_down") * buckets))
-    scores = running_totals(cut(scores, "scores"), by, ["_down"], {"_tp": F.col("_pos"), "_n": F.col("_all")})
+    scores = df.filter(finite(F.col(p).cast("double")).isNotNull()).groupBy(*by, (-F.col(p)).alias("_down")).agg(
+        F.count(F.when(F.col(y) > 0.5, 1)).alias("_pos"), F.count(F.lit(1)).alias("_all"))
+    keys = by or ["_every"]
+    scores = cut(scores if by else scores.withColumn("_every", F.lit(0)), "scores")
+    bounds = scores.groupBy(*keys).agg(cut_bounds("_down").alias("_bounds"))
+    scores = scores.join(bounds, keys).withColumn(CHUNK, bucket_of(F.col("_down"), F.col("_bounds"))).drop("_bounds")
+    scores = running_totals(scores, keys, ["_down"], {"_tp": F.col("_pos"), "_n": F.col("_all")})
     return scores.groupBy(*by).agg(
         F.sum("_pos").alias("positives"),
         (F.sum(F.col("_pos") * F.col("_tp") / F.col("_n")) / F.when(F.sum("_pos") > 0, F.sum("_pos"))).alias("average_precision"),
@@ -156,8 +163,10 @@ def blended(p: Column, q: Column, weight: Column) -> Column:
 
 
 def common_times(df: DataFrame, horizons: int, key: Sequence[str]) -> DataFrame:
-    """Rows whose time occurs at every one of ``horizons`` horizons."""
-    full = df.groupBy(*key).agg(F.count_distinct("horizon").alias("_k")).filter(F.col("_k") == horizons)
+    """Rows whose time occurs at every one of ``horizons`` horizons; a time given twice for one horizon is an error."""
+    each = df.groupBy(*key, "horizon").agg(F.count(F.lit(1)).alias("_n"))
+    once = F.when(F.max("_n") > 1, F.raise_error(F.lit("repeated prediction")).cast("long")).otherwise(F.count(F.lit(1)))
+    full = each.groupBy(*key).agg(once.alias("_k")).filter(F.col("_k") == horizons)
     return df.join(full.select(*key), list(key), "left_semi")
 
 

@@ -62,7 +62,15 @@ def revision_notices(revisions: DataFrame, policy: RevisionPolicy = RevisionPoli
 
 
 def snapshot_fingerprint(df: DataFrame, by: Sequence[str], order: str, doubles: Sequence[str], others: Sequence[str] = ()) -> DataFrame:
-    """Short hash of each snapshot (a few dozen rows): ordered JSON with doubles rounded to 6 places."""
-    row = F.struct(F.col(order).cast("string").alias("_o"), *[rounded(F.col(c), 6).alias(c) for c in doubles], *others)
-    text = F.to_json(F.sort_array(F.collect_list(row)), {"ignoreNullFields": "false"})
+    """Short hash of each snapshot (a few dozen rows).
+
+    The rows by time, joined by ``|``; a row's time in microseconds and values,
+    joined by ``:``, doubles with six decimals, ``null`` for none.
+    """
+    def shown(text: Column) -> Column:
+        return F.coalesce(text, F.lit("null"))
+
+    values = [F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c))) for c in doubles] + [F.col(c).cast("string") for c in others]
+    row = F.struct(F.unix_micros(order).alias("_o"), F.concat_ws(":", F.unix_micros(order).cast("string"), *map(shown, values)).alias("_t"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["_t"]), "|")
     return df.groupBy(*by).agg(F.substring(F.sha2(text, 256), 1, 20).alias("snapshot_id"))

@@ -350,7 +350,7 @@ l as (select *, lag(rain_flag) over (partition by station_id order by ts) as pr,
 select station_id, epoch_us(ts) as ts_us, rn from l where i=1 or pr<>rain_flag or pt<>t4""")
 def duplicate_suppression(spark, sf):
     r = readings(spark, sf).select(KEY, "ts", "rn", "rain_flag", F.floor(F.col("temp") / 4).alias("t4"))
-    return EN.drop_repeats(r, "ts", EN.fingerprint("rain_flag", "t4")).select(KEY, ts_us("ts"), "rn")
+    return EN.drop_repeats(r, "ts", EN.fingerprint("rain_flag", "t4", doubles=("rain_flag",))).select(KEY, ts_us("ts"), "rn")
 
 
 _HI = ("-8.78469475556+1.61139411*temp+2.33854883889*humidity-0.14611605*temp*humidity-0.012308094*temp*temp-0.0164248277778*humidity*humidity"

@@ -75,7 +75,7 @@ l as (select *, lag(rain_flag) over (partition by station_id order by ts) as pr,
 select station_id, epoch_us(ts) as ts_us, rn from l where i=1 or pr<>rain_flag or pt<>t4""")
 def stream_repeats(spark, sf):
     r = readings(spark, sf).select(KEY, "ts", "rn", "rain_flag", F.floor(F.col("temp") / 4).alias("t4"))
-    stream = staged_stream(r.select(KEY, "ts", "rn", fingerprint("rain_flag", "t4").alias("h")), "snapshots")
+    stream = staged_stream(r.select(KEY, "ts", "rn", fingerprint("rain_flag", "t4", doubles=("rain_flag",)).alias("h")), "snapshots")
     return drain(ST.without_repeats(stream), "repeats", machine=True).select(KEY, ts_us("ts"), "rn")
 
 

@@ -148,7 +148,9 @@ def revision_notices(spark, sf):
     return V.revision_notices(V.compare_issues(_hourly(spark, sf))).select(KEY, ts_us("ts"), "accepted")
 
 
-@query("snapshot_fingerprint")
+@query("snapshot_fingerprint", with_ctes(READINGS, NWP, _HOURLY) + """
+select station_id, epoch_us(issued_hour) as issued_us, substr(sha256(string_agg(concat_ws(':', epoch_us(valid_at)::varchar, coalesce(printf('%.6f', temp), 'null'), coalesce(printf('%.6f', rain_prob), 'null')), '|' order by valid_at)), 1, 20) as snapshot_id
+from hourly group by 1, 2""")
 def snapshot_fingerprint(spark, sf):
     return V.snapshot_fingerprint(_hourly(spark, sf), [KEY, "issued_hour"], "valid_at", ["temp", "rain_prob"]).select(
         KEY, F.unix_micros("issued_hour").alias("issued_us"), "snapshot_id")
