@@ -10,12 +10,12 @@ from gaugeflow.llm.common import store, table
 
 #: A document goes when it is likelier toxic than not.
 REJECT = 0.5
-#: A language found with less than this probability is no language.
-SURE = 0.5
+#: A language is none if its probability is hardly above chance: less than this many times an even share.
+ABOVE_CHANCE = 1.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with some certainty; null texts and texts without a letter go.
+    """Documents whose language is told better than by chance; null texts and texts without a letter go.
 
     The model learns from the documents that name a language. Where none does,
     nothing can be told and only texts without a letter go.
@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = language.identify(docs, model)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= SURE)).select("row.*")
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") * len(model.languages) >= min(ABOVE_CHANCE, len(model.languages)))).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
