@@ -18,6 +18,10 @@ from .outlooks import _HOURLY, _REVISION, _hourly
 from .registry import query, rd, ts_us
 
 
+#: The tables at hand are complete, so their newest rows need not wait for later ones.
+AT_ONCE = "0 seconds"
+
+
 def _events_stream(spark, sf):
     """The events table as a file stream, with the columns of a reading."""
     schema = table(spark, sf, "events").schema
@@ -59,14 +63,14 @@ def stream_weekly(spark, sf):
 select al.station_id, epoch_us(al.ts) as ts_us, rain as raining, mc>=3 as confirmed_alert, rc>=5 as confirmed_radar_alert, coalesce(kinds,'') as notifications
 from al left join sent on sent.station_id=al.station_id and sent.ts=al.ts""")
 def stream_alerts(spark, sf):
-    out = drain(ST.alerts(staged_stream(_polls(spark, sf), "polls")), "alerts", machine=True)
+    out = drain(ST.alerts(staged_stream(_polls(spark, sf), "polls"), delay=AT_ONCE), "alerts", machine=True)
     return out.select(KEY, ts_us("ts"), "raining", "confirmed_alert", "confirmed_radar_alert", F.array_join("notifications", ",").alias("notifications"))
 
 
 @query("stream_rain_sessions", _recursive(READINGS, MACHINE) + "select station_id, done_start as start_us, done_stop as stop_us from st where done_start is not null union all select station_id, cut_start, null from st where cut")
 def stream_rain_sessions(spark, sf):
     stream = staged_stream(readings(spark, sf).select(KEY, "ts", "rain_flag"), "readings")
-    return drain(ST.rain_sessions(stream), "sessions", machine=True)
+    return drain(ST.rain_sessions(stream, delay=AT_ONCE), "sessions", machine=True)
 
 
 @query("stream_repeats", with_ctes(READINGS) + """
@@ -76,7 +80,7 @@ select station_id, epoch_us(ts) as ts_us, rn from l where i=1 or pr<>rain_flag o
 def stream_repeats(spark, sf):
     r = readings(spark, sf).select(KEY, "ts", "rn", "rain_flag", F.floor(F.col("temp") / 4).alias("t4"))
     stream = staged_stream(r.select(KEY, "ts", "rn", fingerprint("rain_flag", "t4", doubles=("rain_flag",)).alias("h")), "snapshots")
-    return drain(ST.without_repeats(stream), "repeats", machine=True).select(KEY, ts_us("ts"), "rn")
+    return drain(ST.without_repeats(stream, delay=AT_ONCE), "repeats", machine=True).select(KEY, ts_us("ts"), "rn")
 
 
 @query("stream_outcomes", with_ctes(READINGS, FORECASTS) + """

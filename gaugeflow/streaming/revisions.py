@@ -11,15 +11,18 @@ from ..operators.revision import compare_issues
 from ..policy import RevisionPolicy
 
 
-def watch(hourly: DataFrame, name: str = "revisions", policy: RevisionPolicy = RevisionPolicy()) -> DataFrame:
+def watch(hourly: DataFrame, name: str = "revisions", policy: RevisionPolicy = RevisionPolicy(), folder: str | None = None) -> DataFrame:
     """Compare each arriving issue with the station's previous one; returns the landed table.
 
     Every micro-batch runs the batch comparison over its issues plus the
     newest earlier issue of each station, which the previous batch left in the
     shared folder.  Directories are named by batch, so replays overwrite.
+    ``folder`` keeps table and progress: a later call with it goes on where the
+    last one stopped.
     """
     spark = hourly.sparkSession
-    out, last, state = (fresh_path(spark, f"{name}{s}") for s in ("", "-last", "-state"))
+    folder = folder or fresh_path(spark, name)
+    out, last, state = (f"{folder}/{s}" for s in ("table", "last", "state"))
     columns = [KEY, "issued_hour", "valid_at", "temp", "rain_prob"]
     schema = hourly.select(*columns).schema
 

@@ -14,7 +14,13 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A micro-batch reads about so much of a file source, unless the caller says otherwise.
+BATCH_BYTES = 256 << 20
+
+
 def file_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
+    if not any(k.startswith("max") for k in options):
+        options["maxBytesPerTrigger"] = BATCH_BYTES
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
@@ -25,15 +31,18 @@ def staged_stream(df: DataFrame, name: str) -> DataFrame:
     return file_stream(df.sparkSession, path, df.schema)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str] | None = None, machine: bool = False) -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str] | None = None, machine: bool = False,
+          out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything available, each micro-batch landing in its own directory.
 
-    Rewriting the directory of a batch makes a replay after a failure
-    harmless.  In update mode ``key`` keeps the newest version of each row.
+    ``out`` and ``checkpoint`` name where the table and the progress are kept: a
+    later call with the same paths goes on where the last one stopped.  Without
+    them both are new folders.  Rewriting the directory of a batch makes a
+    replay after a failure harmless.  In update mode ``key`` keeps the newest version of each row.
     ``machine`` selects the state store that arbitrary state machines need.
     """
     spark = stream.sparkSession
-    out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    out, state = out or fresh_path(spark, name), checkpoint or fresh_path(spark, f"{name}-state")
     schema = stream.schema
 
     def land(batch: DataFrame, batch_id: int) -> None:

@@ -1,16 +1,19 @@
 """Per-station state machines: alert policy, repeat suppression, rain sessions.
 
-Rows of a station within a micro-batch are put in time order before the
-machine steps over them; the Arrow-batched processors keep only a few numbers
-per station between batches.
+Rows wait until the watermark has passed them and then step through the machine
+in time order, whatever batch brought them; rows older than the watermark are
+dropped by the engine. Between batches a station keeps a few numbers and the
+rows that still wait. How many rows a batch brings is bounded by the source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import alerts as A
@@ -18,19 +21,67 @@ from ..operators.chunks import KEY
 from ..policy import RAIN_THRESHOLD, AlertPolicy, RainStopPolicy
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values("ts", kind="stable")
+class Ordered(StatefulProcessor):
+    """Holds the rows of a key back until the watermark passes their ``ts``; ``step`` gets them in order."""
 
+    def __init__(self, columns: list[tuple[str, str]]):
+        self.names = [c for c, _ in columns]
+        self.kinds = ", ".join(f"{c} {'long' if c == 'ts' else kind}" for c, kind in columns)
 
-class AlertMachine(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.kinds)
+
+    def step(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def _held(self) -> pd.DataFrame:
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.names)
+        return held.assign(ts=pd.to_datetime(held["ts"].astype("int64"), unit="us"))
+
+    def _release(self, key, rows: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        us = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        due = us // 1000 <= watermark
+        rest = rows[~due].assign(ts=us[~due])
+        if len(rest):
+            self.waiting.put(list(rest[self.names].astype(object).itertuples(index=False, name=None)))
+            self.handle.registerTimer(int(rest["ts"].min() // 1000 - 1))
+        else:
+            self.waiting.clear()
+        if due.any():
+            yield from self.step(key, rows[due].sort_values("ts", kind="stable"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [f[self.names] for f in rows]
+        held = self._held()
+        yield from self._release(key, pd.concat([held, *fresh] if len(held) else fresh), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        if len(held):
+            yield from self._release(key, held, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def _run(stream: DataFrame, make, columns: list[str], out: str | T.StructType, delay: str) -> DataFrame:
+    """The machine ``make`` builds from the columns it reads, fed in event-time order."""
+    kinds = [(c, stream.schema[c].dataType.simpleString()) for c in columns]
+    return stream.withWatermark("ts", delay).groupBy(KEY).transformWithStateInPandas(make(kinds), out, "Append", "EventTime")
+
+
+class AlertMachine(Ordered):
     """Debounced rain, confirm streaks, transitions and cooldown of one station."""
 
     FIELDS = "dry int, model int, radar int, raining boolean, last_kind string, last_us long"
 
-    def __init__(self, policy: AlertPolicy):
+    def __init__(self, columns, policy: AlertPolicy):
+        super().__init__(columns)
         self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("alerts", self.FIELDS)
 
     def _wanted(self, p: AlertPolicy, first: bool, was: tuple, now: tuple) -> list[str]:
@@ -49,12 +100,12 @@ class AlertMachine(StatefulProcessor):
                 want.append(stop)
         return want
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         p = self.policy
         first = not self.state.exists()
         dry, model, radar, raining, kind, sent = (0, 0, 0, False, None, None) if first else self.state.get()
         out = []
-        for ts, wet, alert, close in _in_order(rows)[["ts", "wet", "alert", "radar"]].itertuples(index=False):
+        for ts, wet, alert, close in rows[["ts", "wet", "alert", "radar"]].itertuples(index=False):
             was = (raining, model >= p.confirm_streak, radar >= p.radar_streak)
             dry = 0 if wet else min(dry + 1, p.dry_polls)
             raining = bool(wet or (raining and dry < p.dry_polls))
@@ -73,24 +124,20 @@ class AlertMachine(StatefulProcessor):
         self.state.update((dry, model, radar, raining, kind, sent))
         yield pd.DataFrame(out, columns=[KEY, "ts", "raining", "confirmed_alert", "confirmed_radar_alert", "notifications"])
 
-    def close(self) -> None:
-        pass
-
 
-def alerts(polls: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
+def alerts(polls: DataFrame, policy: AlertPolicy = AlertPolicy(), delay: str = "10 minutes") -> DataFrame:
     """State and accepted notifications at every poll (``wet``, ``alert``, ``radar`` flags)."""
-    return polls.groupBy(KEY).transformWithStateInPandas(
-        AlertMachine(policy),
-        f"{KEY} long, ts timestamp, raining boolean, confirmed_alert boolean, confirmed_radar_alert boolean, notifications array<string>",
-        "Append", "None")
+    return _run(
+        polls, lambda kinds: AlertMachine(kinds, policy), ["ts", "wet", "alert", "radar"],
+        f"{KEY} long, ts timestamp, raining boolean, confirmed_alert boolean, confirmed_radar_alert boolean, notifications array<string>", delay)
 
 
-class LastHash(StatefulProcessor):
+class LastHash(Ordered):
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("last", "h string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
+    def step(self, key, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         previous = frame["h"].shift(1)
         if self.state.exists():
             previous.iloc[0] = self.state.get()[0]
@@ -99,36 +146,38 @@ class LastHash(StatefulProcessor):
         if len(kept):
             yield kept
 
-    def close(self) -> None:
-        pass
-
 
-def without_repeats(stream: DataFrame) -> DataFrame:
+def without_repeats(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop rows whose snapshot hash ``h`` equals that of the station's row before."""
-    return stream.groupBy(KEY).transformWithStateInPandas(LastHash(), stream.schema, "Append", "None")
+    return _run(stream, LastHash, stream.columns, stream.schema, delay)
 
 
-class RainSession(StatefulProcessor):
+class RainSession(Ordered):
     """Rain events closed by a run of dry samples, or censored by a gap."""
 
     FIELDS = "start_us long, dry int, dry_us long, last_us long"
 
-    def __init__(self, policy: RainStopPolicy, max_gap: float):
+    def __init__(self, columns, policy: RainStopPolicy, max_gap: float):
+        super().__init__(columns)
         self.policy, self.max_gap = policy, int(max_gap * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("session", self.FIELDS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         start, dry, dry_us, last = self.state.get() if self.state.exists() else (None, 0, None, None)
         out = []
-        for ts, rain in _in_order(rows)[["ts", "rain_flag"]].itertuples(index=False):
-            us = pd.Timestamp(ts).value // 1000
+        us_all = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        wet_all = rows["rain_flag"].to_numpy() > RAIN_THRESHOLD
+        # Dry rows matter only while an event is open: the first ones after a wet row, or beyond a gap.
+        since_wet = np.arange(len(rows)) - np.maximum.accumulate(np.where(wet_all, np.arange(len(rows)), -1))
+        for k in np.flatnonzero(wet_all | (since_wet <= self.policy.dry_rows) | ~np.maximum.accumulate(wet_all)):
+            us, last = int(us_all[k]), int(us_all[k - 1]) if k else last
             if start is not None and us - last > self.max_gap:
                 out.append((key[0], start, None))
                 start, dry, dry_us = None, 0, None
-            last = us
-            if rain > RAIN_THRESHOLD:
+            if wet_all[k]:
                 start = us if start is None else start
                 dry, dry_us = 0, None
             elif start is not None:
@@ -136,16 +185,12 @@ class RainSession(StatefulProcessor):
                 if dry >= self.policy.dry_rows:
                     out.append((key[0], start, dry_us))
                     start, dry, dry_us = None, 0, None
-        self.state.update((start, dry, dry_us, last))
+        self.state.update((start, dry, dry_us, int(us_all[-1])))
         if out:
             frame = pd.DataFrame(out, columns=[KEY, "start_us", "stop_us"])
             yield frame.astype({KEY: "int64", "start_us": "int64", "stop_us": "Int64"})
 
-    def close(self) -> None:
-        pass
-
 
-def rain_sessions(readings: DataFrame, policy: RainStopPolicy = RainStopPolicy(), max_gap: float = 150.0) -> DataFrame:
+def rain_sessions(readings: DataFrame, policy: RainStopPolicy = RainStopPolicy(), max_gap: float = 150.0, delay: str = "10 minutes") -> DataFrame:
     """Closed rain events as they end (``stop_us`` null when a gap censored the event)."""
-    return readings.groupBy(KEY).transformWithStateInPandas(
-        RainSession(policy, max_gap), f"{KEY} long, start_us long, stop_us long", "Append", "None")
+    return _run(readings, lambda kinds: RainSession(kinds, policy, max_gap), ["ts", "rain_flag"], f"{KEY} long, start_us long, stop_us long", delay)
