@@ -42,7 +42,7 @@ def spread(df: DataFrame, before: float, after: float, span: int = DAY, ts: str
 
     ``before``/``after`` are the seconds of context a chunk needs on each side.
     """
-    us = F.unix_micros(F.col(ts))
+    us = refused(df, ts, F.unix_micros(F.col(ts)))
     lo = bucket(F.col(US) - F.lit(micros(after)), span)
     hi = bucket(F.col(US) + F.lit(micros(before)), span)
     return (
@@ -68,8 +68,14 @@ def core_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col(CORE)).drop(CORE)
 
 
+def refused(df: DataFrame, ts: str, value: Column) -> Column:
+    """``value``, or an error for a row without time or station: joins on chunks would lose it."""
+    missing = F.col(ts).isNull() | F.col(KEY).isNull() if KEY in df.columns else F.col(ts).isNull()
+    return F.when(missing, F.raise_error(F.lit("a row lacks its station or time")).cast("long")).otherwise(value)
+
+
 def with_chunk(df: DataFrame, span: int = DAY, ts: str = "ts") -> DataFrame:
-    return df.withColumn(CHUNK, bucket(F.unix_micros(F.col(ts)), span))
+    return df.withColumn(CHUNK, refused(df, ts, bucket(F.unix_micros(F.col(ts)), span)))
 
 
 def carry(

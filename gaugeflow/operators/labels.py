@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,13 +72,17 @@ def label_reach(rows: int, rule: LabelRule = LabelRule()) -> float:
 
 
 def future_rain_rows(
-    readings: DataFrame, horizon: int, rule: LabelRule = LabelRule(),
+    readings: DataFrame, horizons: int | Sequence[int], rule: LabelRule = LabelRule(),
     cadence: Cadence = Cadence(), gaps: GapRule = FEATURE_GAPS,
 ) -> DataFrame:
-    """Label burst-free, unfilled readings (column ``future_rain``)."""
-    df = spread(readings, gaps.high, label_reach(horizon, rule) + cadence.burst_max)
+    """Label burst-free, unfilled readings, all horizons from one shuffle.
+
+    Adds ``future_rain`` for one horizon, ``future_rain_<h>m`` for several.
+    """
+    named = {"future_rain": horizons} if isinstance(horizons, int) else {f"future_rain_{h}m": h for h in horizons}
+    df = spread(readings, gaps.high, label_reach(max(named.values()), rule) + cadence.burst_max)
     df = mark_segments(drop_bursts(df, cadence), gaps)
-    df = df.withColumn("future_rain", future_rain(df, horizon, rule))
+    df = df.withColumns({c: future_rain(df, h, rule) for c, h in named.items()})
     return core_only(df).drop(US, CHUNK, SEG, "_start")
 
 

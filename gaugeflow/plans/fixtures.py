@@ -137,16 +137,15 @@ from lab{h} where fcnt={h} and abs(el-{h}*60000000)<=30000000)
 """
 
 
-def predictions(spark: SparkSession, sf_dir: str, horizon: int) -> DataFrame:
-    """Labelled rows with a deterministic probability, gaps left unfilled."""
+def predictions(spark: SparkSession, sf_dir: str, *horizons: int) -> DataFrame:
+    """Labelled rows of each horizon with a deterministic probability, gaps left unfilled; labelled in one pass."""
     from ..operators.labels import future_rain_rows
 
-    rows = future_rain_rows(readings(spark, sf_dir), horizon)
-    wet = F.col("future_rain").cast("int")
-    return rows.filter(F.col("future_rain").isNotNull()).select(
-        KEY, "ts", "rn", "rain_flag", F.lit(horizon).alias("horizon"), wet.alias("observed"),
-        F.least(F.lit(1.0), 0.5 * wet + ((F.col("rn") * 13 + horizon) % 50) / 100.0).alias("probability"),
-    )
+    rows = future_rain_rows(readings(spark, sf_dir), horizons)
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"future_rain_{h}m").cast("int").alias("observed")) for h in horizons])
+    rows = rows.select(KEY, "ts", "rn", "rain_flag", F.explode(F.filter(each, lambda e: e["observed"].isNotNull())).alias("e"))
+    share = F.least(F.lit(1.0), 0.5 * F.col("e.observed") + ((F.col("rn") * 13 + F.col("e.horizon")) % 50) / 100.0)
+    return rows.select(KEY, "ts", "rn", "rain_flag", "e.horizon", "e.observed", share.alias("probability"))
 
 
 def with_ctes(*ctes: str) -> str:

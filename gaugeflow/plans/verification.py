@@ -16,10 +16,7 @@ ALL3 = (READINGS, KEPT, predictions_sql(5), predictions_sql(10), predictions_sql
 
 
 def _all(spark, sf):
-    out = predictions(spark, sf, 5)
-    for h in (10, 30):
-        out = out.unionByName(predictions(spark, sf, h))
-    return out
+    return predictions(spark, sf, 5, 10, 30)
 
 
 _UNION = "allp as (select * from pred5 union all select * from pred10 union all select * from pred30)"

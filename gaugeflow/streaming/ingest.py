@@ -11,10 +11,39 @@ from ..policy import MINUTE, LiveRule, MatchRule
 
 
 def unique_readings(stream: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """First arrival of each (station, time); state is dropped once the watermark passes."""
+    """First arrival of each (station, time); state is dropped once the watermark passes.
+
+    A row later than ``delay`` is dropped by the engine: where such rows must be
+    kept, use ``store_unique``.
+    """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([KEY, ts])
 
 
+def store_unique(stream: DataFrame, out: str, checkpoint: str, ts: str = "ts") -> DataFrame:
+    """Store the first arrival of each (station, time) however late it comes; returns the stored table.
+
+    No state and no watermark: a micro-batch is compared with what the earlier
+    ones stored for its dates.  It lands in a folder of its own, so a replay
+    after a failure overwrites it.
+    """
+    spark = stream.sparkSession
+    dated = stream.schema.add("date", "date").add("batch", "long")
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.dropDuplicates([KEY, ts]).withColumn("date", F.to_date(ts)).persist()
+        if batch_id:
+            days = [r["date"] for r in rows.select("date").distinct().collect()]
+            old = spark.read.schema(dated).option("basePath", out).parquet(f"{out}/batch=*")
+            old = old.filter(F.col("date").isin(days) & (F.col("batch") < batch_id))
+            rows.join(old.select(KEY, ts), [KEY, ts], "left_anti").write.mode("overwrite").partitionBy("date").parquet(f"{out}/batch={batch_id}")
+        else:
+            rows.write.mode("overwrite").partitionBy("date").parquet(f"{out}/batch={batch_id}")
+        rows.unpersist()
+
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(dated).option("basePath", out).parquet(f"{out}/batch=*").drop("batch", "date")
+
+
 def fresh_rows(stream: DataFrame, now: Column, observed: Column, limit: Column | float, rule: LiveRule = LiveRule()) -> DataFrame:
     """Rows whose observation is at most ``limit`` seconds old and not in the future."""
     age = (F.unix_micros(now) - F.unix_micros(observed)) / 1e6

@@ -117,3 +117,24 @@ def test_revisions_go_on_in_their_folder(spark, tmp_path):
     full.filter(F.col("issued_hour") >= F.lit(at(7200))).write.mode("append").parquet(path)
     live = RV.watch(stream, folder=str(tmp_path / "rev"))
     assert live.count() == 4 and live.exceptAll(compare_issues(full).select(live.columns)).count() == 0
+
+
+def test_late_readings_are_stored_once(spark, tmp_path):
+    """Batches far out of order, with repeats across them."""
+    rows = [(k % 3, at(977 * (k * 37 % 50)), float(k % 50), 50.0, 1000.0, 0.0) for k in range(100)]
+    df = frame(spark, rows)
+    for i in range(4):
+        df.filter(F.col("temp") % 4 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = file_stream(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger=1)
+    paths = (str(tmp_path / "out"), str(tmp_path / "state"))
+    assert I.store_unique(stream, *paths).count() == df.select("station_id", "ts").distinct().count()
+    df.limit(10).write.mode("append").parquet(str(tmp_path / "in"))
+    assert I.store_unique(stream, *paths).count() == df.select("station_id", "ts").distinct().count()
+
+
+def test_rows_without_station_or_time_are_refused(spark):
+    from gaugeflow.operators.chunks import with_chunk
+
+    for row in ((None, at(0)), (1, None)):
+        with pytest.raises(Exception, match="station or time"):
+            with_chunk(spark.createDataFrame([row], "station_id long, ts timestamp")).collect()
