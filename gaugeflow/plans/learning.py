@@ -6,30 +6,27 @@ from pyspark.sql import functions as F
 
 from ..operators import learning as M
 from ..operators.chunks import KEY
-from ..operators.features import labelled_features
+from ..operators.features import feature_names, labelled_features
 from ..operators.labels import common_rows
 from ..operators.lineage import cut
 from ..operators.segments import FILLED
 from .fixtures import readings
 from .registry import query, rd, ts_us
 
-NAMES = [
-    "temp", "humidity", "pressure", "dew_point", "hour_sin", "hour_cos", "pressure_delta_30m", "humidity_delta_30m", "temp_delta_30m",
-    "pressure_avg_60m", "humidity_std_30m", "light_slope_30m", "wind_speed_now", "rain_now", "rain_last_60m", "rain_frac_30m",
-]
-RULE = M.ForestRule(trees=12, depth=5, blend=True)
+RULE = M.ForestRule(blend=True)
 
 
 def _rows(spark, sf, horizons):
-    df = labelled_features(readings(spark, sf).drop("rn"), horizons, NAMES)
-    return cut(common_rows(df, horizons, NAMES), "examples")
+    names = feature_names()
+    df = labelled_features(readings(spark, sf).drop("rn"), horizons, names)
+    return cut(common_rows(df, horizons, names), "examples")
 
 
 @query("rf_score")
 def rf_score(spark, sf):
-    """Two window horizons fitted, projected jointly and scored on all usable rows."""
+    """Two window horizons fitted on all features, projected jointly and scored on all usable rows."""
     rows = _rows(spark, sf, (10, 30))
-    models = [M.fit_horizon(rows, NAMES, h, f"rain_{h}m", RULE)[0] for h in (10, 30)]
+    models = [M.fit_horizon(rows, feature_names(), h, f"rain_{h}m", RULE)[0] for h in (10, 30)]
     return M.predict_horizons(models, rows).select(KEY, ts_us("ts"), *[rd(f"p_{h}m", 4).alias(f"p_{h}m") for h in (10, 30)])
 
 
@@ -37,13 +34,15 @@ def rf_score(spark, sf):
 def rf_holdout(spark, sf):
     """Scored validation and test rows of one horizon with the sigmoid calibration and the blend."""
     rows = _rows(spark, sf, (30,))
-    _, judged = M.fit_horizon(rows, NAMES, 30, "rain_30m", RULE)
+    _, judged = M.fit_horizon(rows, feature_names(), 30, "rain_30m", RULE)
     return judged.select(KEY, ts_us("ts"), "part", "observed", rd("raw_probability", 4).alias("raw_probability"), rd("probability", 4).alias("probability"))
 
 
 @query("temp_score")
 def temp_score(spark, sf):
-    rows = labelled_features(readings(spark, sf).drop("rn"), (30,), NAMES).filter(F.col(FILLED) <= 0)
-    rows = cut(rows.dropna(subset=NAMES), "examples")
-    model = M.fit_temperature(rows, NAMES, "temp_ahead_30m", trees=8, depth=5)
+    """Every real row; a row that lacks a feature has no forecast."""
+    names = feature_names()
+    rows = labelled_features(readings(spark, sf).drop("rn"), (30,), names).filter(F.col(FILLED) <= 0)
+    rows = cut(rows, "examples")
+    model = M.fit_temperature(rows, names, "temp_ahead_30m")
     return M.predict_temperature(model, rows).select(KEY, ts_us("ts"), rd("temp_forecast", 4).alias("temp_forecast"), rd("delta", 4).alias("delta"))

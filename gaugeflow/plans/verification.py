@@ -156,3 +156,33 @@ def compare_common(spark, sf):
     out = M.compare_on_common(predictions(spark, sf, 10), predictions(spark, sf, 30), [KEY, "ts"], [KEY])
     return out.select(KEY, "n", rd("reference_brier").alias("reference_brier"), rd("candidate_brier").alias("candidate_brier"),
                       rd("brier_improvement_pct", 4).alias("brier_improvement_pct"))
+
+
+# Joint evaluation: isotonic projection per row, thresholds on validation, confusion on test.
+_JOINT = f"""
+cm as (select station_id, ts, any_value(rn) as rn, [max(probability) filter (where horizon=5)+0.00313, max(probability) filter (where horizon=10)+0.00313, max(probability) filter (where horizon=30)+0.00313] as p,
+  [max(observed) filter (where horizon=5), max(observed) filter (where horizon=10), max(observed) filter (where horizon=30)] as y from allp group by 1,2 having count(*)=3),
+ix as (select i, j, k from range(1,4) a(i), range(1,4) b(j), range(1,4) c(k) where j<=i and k>=i),
+lo as (select station_id, ts, i, j, min(list_sum(p[j:k])/(k-j+1)) as lo from cm, ix group by all),
+qq as (select station_id, ts, i, max(lo) as q from lo group by all),
+jt as (select cm.station_id, cm.ts, [5,10,30][i] as horizon, q as probability, y[i] as observed, case when rn%2=0 then 'validation' else 'test' end as part from cm join qq using (station_id, ts)),
+sv as (select horizon, t, {_counts_sql('t')} from jt cross join (select (unnest(range(1,100))/100.0)::double as t) where part='validation' group by 1,2),
+rv as (select horizon, t, {_RATES} from sv),
+ch as (select horizon, t from (select *, row_number() over (partition by horizon order by f1 desc, recall desc, false_alarm_rate, t) as k from rv) where k=1)
+"""
+
+
+@query("joint_thresholds", with_ctes(*ALL3, _UNION, _JOINT) + f"""
+select jt.horizon, round(t,2)+0.0 as threshold, {_counts_sql('t')} from jt join ch on ch.horizon=jt.horizon where part='test' group by 1,2""")
+def joint_thresholds(spark, sf):
+    from ..operators.learning import joint_thresholds as joint
+
+    rows = M.common_times(_all(spark, sf), 3, [KEY, "ts"]).withColumns({
+        "part": F.when(F.col("rn") % 2 == 0, "validation").otherwise("test"), "probability": F.col("probability") + 0.00313})
+    wide, chosen = joint({h: rows.filter(F.col("horizon") == h).select(KEY, "ts", "part", "probability", "observed") for h in (5, 10, 30)})
+    out = None
+    for h, t in chosen.items():
+        test = wide.filter("part = 'test'").select(F.col(f"p_{h}m").alias("probability"), F.col(f"observed_{h}m").alias("observed"))
+        one = M.confusion(test, t).select(F.lit(h).alias("horizon"), F.lit(round(t, 2)).alias("threshold"), "tp", "fp", "fn", "tn")
+        out = one if out is None else out.unionByName(one)
+    return out

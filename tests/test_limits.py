@@ -13,6 +13,7 @@ from gaugeflow.operators import events as E
 from gaugeflow.operators import metrics as M
 from gaugeflow.operators import radar as R
 from gaugeflow.operators.features import feature_frame
+from gaugeflow.operators.learning import ForestRule, _classifier, class_weights, fit_horizon, fit_temperature, joint_thresholds, predict_temperature
 from gaugeflow.operators.quantiles import bucket_of, cut_bounds, exact_quantiles
 from gaugeflow.operators.scoring import score_recent
 from gaugeflow.operators.summaries import trailing_summary
@@ -145,3 +146,49 @@ def test_dry_and_untracked_regions_have_an_outlook(spark):
 def test_only_the_newest_frames_count(spark):
     pixels = spark.createDataFrame([(f * 600, 10 + (2 if f > 2 else 8) * f, 10, 1) for f in range(6)], "frame_time long, x int, y int, bucket int")
     assert R.motion(pixels, [], pixels.select("frame_time"), GridPolicy(window=60, frames=3)).count() == 2
+
+
+def _examples(spark, stations=2, rows=400):
+    draw, out = random.Random(7), []
+    for s in range(stations):
+        for k in range(rows if s else 60):
+            a = draw.random()
+            out.append((s, at(600 * k), 0.0, 0.0, a, draw.random(), float(a + draw.random() * 0.5 > 0.9)))
+    return spark.createDataFrame(out, "station_id long, ts timestamp, rain_flag double, rain_last_60m double, a double, b double, target double")
+
+
+def test_short_stations_are_counted_and_bad_parts_refused(spark):
+    rows = _examples(spark)
+    model, judged = fit_horizon(rows, ["a", "b"], 5, "target", ForestRule(trees=4, depth=3))
+    assert model.metrics["short_stations"] == 1 and model.metrics["short_rows"] == 60
+    assert {r.station_id for r in judged.select("station_id").distinct().collect()} == {1}
+    for bad in (rows.filter("station_id = 0"), rows.withColumn("target", F.when(F.col("ts") < F.lit(at(600 * 250)), F.col("target")).otherwise(0.0))):
+        with pytest.raises(ValueError, match="part"):
+            fit_horizon(bad, ["a", "b"], 5, "target", ForestRule(trees=2, depth=2))
+
+
+def test_depth_is_what_was_asked_for():
+    assert ForestRule().levels == 18 and ForestRule(kind="gbt").levels == 5 and ForestRule(kind="gbt", depth=8).levels == 8
+    assert _classifier(ForestRule(kind="gbt", depth=8, trees=2)).getMaxDepth() == 8
+
+
+def test_onset_models_balance_their_classes(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (0.0, 1.0), (0.0, 1.0), (0.0, 1.5)], "target double, weight double")
+    assert sorted(r.weight for r in class_weights(df).collect()) == pytest.approx(sorted([2 * 2.0, 4 / 6, 4 / 6, 1.0]))
+
+
+def test_temperature_keeps_every_row(spark):
+    rows = spark.createDataFrame([(float(k), None if k % 10 == 0 else float(k), 20.0, 20.0 + k if k % 7 else None) for k in range(80)], "a double, b double, temp double, ahead double")
+    model = fit_temperature(rows, ["a", "b"], "ahead", trees=3, depth=3)
+    got = predict_temperature(model, rows)
+    assert got.count() == 80 and got.filter("temp_forecast is null").count() == 8
+
+
+def test_joint_thresholds_refuse_rows_that_differ(spark):
+    rows = [(1, at(60 * k), "validation" if k % 2 else "test", k / 50, int(k > 30)) for k in range(50)]
+    full = spark.createDataFrame(rows, "station_id long, ts timestamp, part string, probability double, observed int")
+    wide, chosen = joint_thresholds({5: full, 10: full})
+    assert wide.count() == 50 and set(chosen) == {5, 10}
+    for bad in (full.limit(49), full.unionByName(full.limit(1))):
+        with pytest.raises(ValueError, match="different rows"):
+            joint_thresholds({5: full, 10: bad})
