@@ -35,13 +35,15 @@ class Encoder:
     """Ids of a text, word by word.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are the ids of its words in order; each word is encoded once per worker.
+    are the ids of its words in order, and a worker remembers those of words it
+    met. When they are too many the older half is let go, but for words that are
+    met again.
     """
 
     def __init__(self, path: str, memo: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {}, memo
+        self.tokenizer, self.memo, self.older, self.limit = Tokenizer.from_file(path), {}, {}, memo // 2
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -50,12 +52,17 @@ class Encoder:
         if b"<|" in raw:  # may spell a special token
             return self._bytes(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
         if len(self.memo) > self.limit:
-            self.memo.clear()
-        words, memo = raw.lower().split(), self.memo
-        unknown = {w for w in words if w not in memo}
-        if unknown:
-            self._learn(unknown)
-        return b"".join([memo[w] for w in words])
+            self.older, self.memo = self.memo, {}
+        words, memo, older = raw.lower().split(), self.memo, self.older
+        found = list(map(memo.get, words))
+        if None in found:
+            unknown = {w for w, ids in zip(words, found) if ids is None}
+            known = {w: older[w] for w in unknown if w in older}
+            memo.update(known)
+            if len(known) < len(unknown):
+                self._learn(unknown.difference(known))
+            found = [memo[w] if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
 
     @staticmethod
     def _bytes(ids) -> bytes:
