@@ -162,7 +162,7 @@ _AREAS = f"""
 stations as (select c_custkey as station_id, 13+(c_custkey%200)/100.0::double as lat, 100+((c_custkey*7)%200)/100.0::double as lon from customer),
 warn as (select n_nationkey as warning_id, 13+(n_nationkey%5)*0.4::double as lat0, 100+(n_nationkey%5)*0.3::double as lon0,
   case n_regionkey when 0 then 'Extreme' when 1 then 'Severe' when 2 then 'Moderate' else 'Minor' end as severity,
-  case when n_nationkey%9=0 then 'Cancel' else 'Alert' end as msg_type, timestamp '{_NOW}' + to_hours(n_nationkey-12) as effective,
+  case when n_nationkey%9=0 then 'Cancel' else 'Alert' end as msg_type, case when n_nationkey%4<>3 then timestamp '{_NOW}' + to_hours(n_nationkey-12) end as effective, timestamp '{_NOW}' + to_hours(n_nationkey-14) as sent,
   case when n_nationkey%10<>7 then timestamp '{_NOW}' + to_hours(n_nationkey-6) end as expires,
   case when n_nationkey%8=1 then 'ทั่วประเทศ' when n_nationkey%8=2 then 'near Bangkok' else 'inland' end as area_desc from nation)
 """
@@ -180,7 +180,7 @@ def _warnings(spark, sf):
     return table(spark, sf, "nation").select(
         k.alias("warning_id"), (13 + k % 5 * 0.4).alias("lat0"), (100 + k % 5 * 0.3).alias("lon0"),
         F.when(r == 0, "Extreme").when(r == 1, "Severe").when(r == 2, "Moderate").otherwise("Minor").alias("severity"),
-        F.when(k % 9 == 0, "Cancel").otherwise("Alert").alias("msg_type"), F.timestamp_micros(now + (k - 12) * hour).alias("effective"),
+        F.when(k % 9 == 0, "Cancel").otherwise("Alert").alias("msg_type"), F.when(k % 4 != 3, F.timestamp_micros(now + (k - 12) * hour)).alias("effective"), F.timestamp_micros(now + (k - 14) * hour).alias("sent"),
         F.when(k % 10 != 7, F.timestamp_micros(now + (k - 6) * hour)).alias("expires"),
         F.when(k % 8 == 1, "ทั่วประเทศ").when(k % 8 == 2, "near Bangkok").otherwise("inland").alias("area_desc"))
 
@@ -225,18 +225,22 @@ ms as (select *, case when sq then 0 when area_desc in ('ทั่วประ
 _HINTS = ("Bangkok",)
 
 
-@query("warnings_match", with_ctes(_AREAS, _MATCH) + "select station_id, warning_id, info_index, area_match from ms where info_index is not null")
+@query("warnings_match", with_ctes(_AREAS, _MATCH) + """
+select station_id, warning_id, case when sq then 0 else 1 end as info_index, 'polygon' as area_match from pm where sq or tri
+union all select null, warning_id, case when area_desc in ('ทั่วประเทศ','near Bangkok') then 0 else 2 end,
+ case area_desc when 'ทั่วประเทศ' then 'nationwide_area' when 'near Bangkok' then 'configured_area_hint' else 'no_area' end
+from warn where area_desc in ('ทั่วประเทศ','near Bangkok') or warning_id%10=4""")
 def warnings_match(spark, sf):
     out = W.match_areas(_stations(spark, sf), _area_rows(spark, sf), _HINTS)
     return out.select(KEY, "warning_id", "info_index", "area_match")
 
 
 _LIFE_SQL = f"""case when msg_type='Cancel' then 'cancelled' when expires is not null and timestamp '{_NOW}'>=expires then 'expired'
-  when timestamp '{_NOW}'<effective then 'scheduled' else 'active' end"""
+  when timestamp '{_NOW}'<coalesce(effective, sent) then 'scheduled' else 'active' end"""
 
 
 def _life():
-    return W.lifecycle(F.col("msg_type"), F.lit("actual"), F.col("effective"), F.col("expires"), F.expr(f"timestamp'{_NOW}'"))
+    return W.lifecycle(F.col("msg_type"), F.lit("actual"), F.col("effective"), F.col("expires"), F.expr(f"timestamp'{_NOW}'"), F.col("sent"))
 
 
 @query("warnings_lifecycle", with_ctes(_AREAS) + f"select warning_id, severity, {_LIFE_SQL} as status from warn")
@@ -251,8 +255,8 @@ k as (select *, row_number() over (partition by station_id order by case severit
 select station_id, position, warning_id, severity, area_match from k where position<=3""")
 def warnings_shown(spark, sf):
     live = _warnings(spark, sf).filter(_life() == "active").drop("lat0", "lon0", "area_desc")
-    hits = W.match_areas(_stations(spark, sf), _area_rows(spark, sf), _HINTS).join(live, "warning_id")
-    return W.shown(hits, [KEY], 3).select(KEY, "position", "warning_id", "severity", "area_match")
+    stations = _stations(spark, sf)
+    return W.shown_at(stations, W.match_areas(stations, _area_rows(spark, sf), _HINTS), live.select("warning_id", "severity", "expires"), 3).select(KEY, "position", "warning_id", "severity", "area_match")
 
 
 @query("warning_urls", "select distinct 'cap/'||(n_nationkey%7) as url from nation where n_nationkey%6<>0")

@@ -56,7 +56,10 @@ def test_warning_order_and_fallbacks(spark):
     areas = spark.createDataFrame(rows, "warning_id string, info_index int, area_index int, area_desc string, poly string")
     areas = areas.withColumn("ring", W.parse_polygon(F.coalesce("poly", F.lit(""))))
     got = {(r.station_id, r.warning_id): r.area_match for r in W.match_areas(st, areas, ("Bangkok",)).collect()}
-    assert got == {(1, "a"): "configured_area_hint", (2, "a"): "configured_area_hint", (1, "b"): "polygon", (1, "c"): "no_area", (2, "c"): "no_area"}
+    assert got == {(None, "a"): "configured_area_hint", (1, "b"): "polygon", (None, "c"): "no_area"}
+    facts = spark.createDataFrame([("a", "Minor", None), ("b", "Minor", at(5)), ("c", "Severe", None), ("d", "Extreme", None)], "warning_id string, severity string, expires timestamp")
+    top = W.shown_at(st, W.match_areas(st, areas, ("Bangkok",)), facts, 2).orderBy("station_id", "position").collect()
+    assert [(r.station_id, r.warning_id) for r in top] == [(1, "c"), (1, "b"), (2, "c"), (2, "a")]
     now = F.lit(at(100)).cast("timestamp")
     t = spark.createDataFrame([("Cancel", at(0), at(500)), ("Alert", at(0), at(100)), ("Alert", at(101), None), ("Alert", None, None)], "m string, e timestamp, x timestamp")
     assert [r.s for r in t.select(W.lifecycle(F.col("m"), F.lit("Actual"), F.col("e"), F.col("x"), now).alias("s")).collect()] == ["cancelled", "expired", "scheduled", "active"]
