@@ -17,13 +17,18 @@ from .summaries import first_wet_hour
 def compare_issues(hourly: DataFrame, policy: RevisionPolicy = RevisionPolicy(), issue: str = "issued_hour") -> DataFrame:
     """Each issue against the one before it, on equal valid times only.
 
-    Input: station, issue, ``valid_at``, ``rain_prob``, ``temp``.  The issue
+    Input: station, issue, ``valid_at``, ``rain_prob``, ``temp``, and if known
+    ``fetched_at`` (when the provider's data came) and ``model_version`` of the
+    issue, which tell whether either differs from the issue before.  The issue
     list is one row per issue; hours meet through an equi-join on
     (station, previous issue, valid time).
     """
-    issues = hourly.select(KEY, issue).distinct()
-    previous = F.lag(issue).over(Window.partitionBy(KEY).orderBy(issue))
-    pairs = issues.withColumn("previous_issue", previous)
+    facts = {"fetched_at": "provider_updated", "model_version": "model_or_postprocessing_changed"}
+    given = [c for c in facts if c in hourly.columns]
+    issues = hourly.groupBy(KEY, issue).agg(F.max(F.lit(True)).alias("_any"), *[F.max(c).alias(c) for c in given]).drop("_any")
+    in_turn = Window.partitionBy(KEY).orderBy(issue)
+    changed = {facts[c]: ~F.col(c).eqNullSafe(F.lag(c).over(in_turn)) for c in given}
+    pairs = issues.withColumns({"previous_issue": F.lag(issue).over(in_turn)} | changed).drop(*given)
     now = hourly.join(pairs, [KEY, issue])
     old = hourly.select(KEY, F.col(issue).alias("previous_issue"), "valid_at", F.col("rain_prob").alias("_p"), F.col("temp").alias("_t"))
     deltas = now.join(old, [KEY, "previous_issue", "valid_at"]).groupBy(KEY, issue).agg(
@@ -51,6 +56,7 @@ def compare_issues(hourly: DataFrame, policy: RevisionPolicy = RevisionPolicy(),
         F.when(comparable, rounded(shift, 1)).alias("rain_window_shift_minutes"),
         F.when(comparable, F.col("_old_wet")).alias("previous_rain_window_start"),
         F.when(comparable, F.col("first_wet")).alias("current_rain_window_start"),
+        *[F.when(comparable, F.col(facts[c])).alias(facts[c]) for c in given],
         F.when(comparable, reasons).otherwise(missing).alias("reasons"))
 
 

@@ -133,12 +133,17 @@ rev as (select *, case when n is null then 'not_comparable' when why<>'' then 'c
 
 
 @query("revision", with_ctes(READINGS, NWP, _HOURLY, _REVISION) + """
-select station_id, epoch_us(issued_hour) as issued_us, status, coalesce(n,0) as common_valid_times, round(dp,2)+0.0 as dp, round(dt,2)+0.0 as dt,
- case when n is not null then round(shift,1)+0.0 end as shift, case when n is null then case when prev is null then 'missing_snapshot' else 'no_common_valid_times' end else why end as reasons from rev""")
+, ff as (select station_id, issued_hour, case when hour(issued_hour)%5<>4 then hour(issued_hour)//2 end as f, issued_hour::date as m from iss),
+fl as (select station_id, issued_hour, f is distinct from lag(f) over w as provider_updated, m is distinct from lag(m) over w as model_changed from ff window w as (partition by station_id order by issued_hour))
+select station_id, case when n is not null then provider_updated end as provider_updated, case when n is not null then model_changed end as model_changed, epoch_us(issued_hour) as issued_us, status, coalesce(n,0) as common_valid_times, round(dp,2)+0.0 as dp, round(dt,2)+0.0 as dt,
+ case when n is not null then round(shift,1)+0.0 end as shift, case when n is null then case when prev is null then 'missing_snapshot' else 'no_common_valid_times' end else why end as reasons from rev join fl using (station_id, issued_hour)""")
 def revision(spark, sf):
-    out = V.compare_issues(_hourly(spark, sf))
+    at = F.hour("issued_hour")
+    hourly = _hourly(spark, sf).withColumns({
+        "fetched_at": F.when(at % 5 != 4, F.floor(at / 2)), "model_version": F.to_date("issued_hour").cast("string")})
+    out = V.compare_issues(hourly)
     return out.select(
-        KEY, F.unix_micros("issued_hour").alias("issued_us"), "status", "common_valid_times", rd("max_rain_probability_delta_points", 2).alias("dp"),
+        KEY, "provider_updated", F.col("model_or_postprocessing_changed").alias("model_changed"), F.unix_micros("issued_hour").alias("issued_us"), "status", "common_valid_times", rd("max_rain_probability_delta_points", 2).alias("dp"),
         rd("max_temperature_delta_c", 2).alias("dt"), rd("rain_window_shift_minutes", 1).alias("shift"), F.array_join("reasons", ",").alias("reasons"))
 
 
