@@ -28,7 +28,7 @@ class PackRule:
     capacity: int = 4096
     end_id: int = 2
     window: int = 192
-    memo: int = 500_000
+    memo: int = 1_000_000
 
 
 class Encoder:
@@ -48,27 +48,29 @@ class Encoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
-    def encode(self, raw: bytes) -> bytes:
-        if b"<|" in raw:  # may spell a special token
-            return self._bytes(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; words that are new to the worker are encoded together."""
         if len(self.memo) > self.limit:
             self.older, self.memo = self.memo, {}
-        words, memo, older = raw.lower().split(), self.memo, self.older
-        found = list(map(memo.get, words))
-        if None in found:
-            unknown = {w for w, ids in zip(words, found) if ids is None}
-            known = {w: older[w] for w in unknown if w in older}
-            memo.update(known)
-            if len(known) < len(unknown):
-                self._learn(unknown.difference(known))
-            found = [memo[w] if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)
+        memo, older = self.memo, self.older
+        split = [[] if b"<|" in raw else raw.lower().split() for raw in texts]
+        unknown = set().union(*split).difference(memo)
+        known = {w: older[w] for w in unknown if w in older}
+        memo.update(known)
+        self._learn(unknown.difference(known))
+        return [
+            # What may spell a special token is left to the tokenizer.
+            self._bytes(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids) if b"<|" in raw else b"".join(map(memo.__getitem__, words))
+            for raw, words in zip(texts, split)
+        ]
 
     @staticmethod
     def _bytes(ids) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
+        if not words:
+            return
         split = {}
         for w in words:
             base = w.rstrip(TAIL)
@@ -192,6 +194,21 @@ class Packer:
         return batch
 
 
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of some documents at a time, about ``size`` bytes of text."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            ids.append(doc_id.as_py())
+            texts.append(text.as_py() or b"")
+            held += len(texts[-1])
+            if held >= size:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -220,10 +237,9 @@ def pack(docs: DataFrame, tokenizer: str, rule: PackRule = PackRule()) -> DataFr
             _ENCODERS[tokenizer] = Encoder(public_tokenizers.path(tokenizer), rule.memo)
         encoder, end = _ENCODERS[tokenizer], int(rule.end_id).to_bytes(WIDTH, "little")
         packer = Packer(rule, TaskContext.get().partitionId() << 33)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for k in range(batch.num_rows):
-                packer.add(ids[k].as_py(), encoder.encode(texts[k].as_py() or b"") + end)
+        for docs_, texts in _groups(batches):
+            for doc_id, ids in zip(docs_, encoder.encode(texts)):
+                packer.add(doc_id, ids + end)
                 if packer.out_bytes > 8 << 20:
                     yield packer.flush()
         packer.finish()

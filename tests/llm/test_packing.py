@@ -36,7 +36,16 @@ def test_best_fill_is_the_largest_sum_within_the_room():
 def test_word_by_word_ids_equal_the_tokenizers(tokenizer, text):
     encoder = Encoder(public_tokenizers.path(NAME), 10)
     for _ in range(2):
-        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_many_texts_at_a_time(tokenizer, prose):
+    texts = [prose(k, k) for k in range(60)] + ["a <|endoftext|> b", "", "x. x, x"]
+    for memo in (4, 10_000):
+        encoder = Encoder(public_tokenizers.path(NAME), memo)
+        for _ in range(2):
+            got = encoder.encode([t.encode() for t in texts])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def check(rows, want, capacity=4096):
