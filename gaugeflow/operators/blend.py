@@ -46,12 +46,31 @@ def source_status(blended: DataFrame, stations: DataFrame) -> DataFrame:
     return out.select(KEY, *[c.alias(n) for n, c in word.items()], status.alias("status"))
 
 
-def forecast_object(blended: DataFrame) -> DataFrame:
-    """One row per station with an ordered array per layer (a few dozen entries each)."""
+def forecast_object(
+    blended: DataFrame, now: DataFrame | None = None, confidence: DataFrame | None = None, rain_stop: DataFrame | None = None
+) -> DataFrame:
+    """One row per station with an ordered array per layer (a few dozen entries each) and where each layer came from.
+
+    ``now``, ``confidence`` (``level, data_confidence, reason``) and
+    ``rain_stop`` are one row per station and become structs; a station without
+    a confidence has none in its local model.
+    """
     def packed(layer: str, *fields: str) -> Column:
         row = F.when(F.col("layer") == layer, F.struct("lead_minutes", "source", *fields))
         return F.sort_array(F.collect_list(row)).alias(layer)
 
-    return blended.groupBy(KEY).agg(
+    def source(layer: str) -> Column:
+        return F.max(F.when(F.col("layer") == layer, F.col("source"))).alias(layer)
+
+    local = F.sort_array(F.collect_set(F.when(F.col("layer") == "nowcast", F.col("source")))).alias("nowcast")
+    out = blended.groupBy(KEY).agg(
         packed("nowcast", "rain_prob"), packed("arrival", "intensity", "confidence"),
-        packed("hourly", "temp", "rain_prob"), packed("daily", "temp_min", "temp_max", "rain_prob"))
+        packed("hourly", "temp", "rain_prob"), packed("daily", "temp_min", "temp_max", "rain_prob"),
+        F.struct(local, source("hourly"), source("daily"), source("arrival")).alias("sources"))
+    for name, part in (("now", now), ("confidence", confidence), ("rain_stop", rain_stop)):
+        if part is not None:
+            rest = [c for c in part.columns if c != KEY]
+            out = out.join(part.select(KEY, F.struct(*rest).alias(name)), KEY, "left")
+    # What is said of a station without a local model.
+    none = F.struct(F.lit("low").alias("level"), F.lit(0.0).alias("data_confidence"), F.lit("no local sensor model").alias("reason"))
+    return out.withColumn("confidence", F.coalesce(F.col("confidence"), none) if confidence is not None else none)

@@ -63,13 +63,19 @@ def _bright(value: Column) -> Column:
     return F.when(F.col("daylight_available") > 0.0, F.coalesce(value, F.lit(0.0))).otherwise(0.0)
 
 
-def lag_columns(cols: Sequence[str], windows: Sequence[int]) -> Recipe:
-    out = {}
-    for c in cols:
-        for n in windows:
-            out[f"{c}_{n}m_ago"] = lambda c=c, n=n: _lag(c, n)
-            out[f"{c}_delta_{n}m"] = out[f"{c}_trend_{n}m"] = lambda c=c, n=n: _change(c, n)
-    return out
+def lag_spec() -> dict[str, tuple[str, int]]:
+    """Lag feature -> (column, rows): the value then, and twice its change since."""
+    pairs = [(c, n) for c in CORE3 for n in (*LAGS, *(LONG_LAGS if c in LONG2 else ()))]
+    return {name: (c, n) for c, n in pairs for name in (f"{c}_{n}m_ago", f"{c}_delta_{n}m", f"{c}_trend_{n}m")}
+
+
+def add_lags(df: DataFrame, wanted: set[str]) -> DataFrame:
+    """Lag features among ``wanted``; every lag is looked up once and the changes are taken from it."""
+    spec = {name: at for name, at in lag_spec().items() if name in wanted}
+    then = {f"_{c}_{n}_ago": _lag(c, n) for c, n in spec.values()}
+    named = {
+        name: F.col(f"_{c}_{n}_ago") if name.endswith("_ago") else F.col(c) - F.col(f"_{c}_{n}_ago") for name, (c, n) in spec.items()}
+    return df.withColumns(then).withColumns(named).drop(*then) if spec else df
 
 
 # A window of n rows is put together from shorter ones, newest first: the five-row
@@ -306,8 +312,7 @@ def missing_features(df: DataFrame, names: Sequence[str]) -> list[str]:
 
 def first_level() -> Recipe:
     return (
-        lag_columns(CORE3, LAGS) | lag_columns(LONG2, LONG_LAGS)
-        | slope_columns(CORE3, (5, 10, 30)) | slope_columns(("wind_speed", "wind_gust"), (10, 30, 60))
+        slope_columns(CORE3, (5, 10, 30)) | slope_columns(("wind_speed", "wind_gust"), (10, 30, 60))
         | rate_columns() | light_columns()
     )
 
@@ -322,6 +327,7 @@ def add_features(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
     inputs = {f"rain_frac_{n}m" for n in (5, 10, 30) if f"rain_slope_{n}m" in wanted}
     if "pressure_accel_30m" in wanted:
         inputs.add("pressure_delta_30m")
+    df = add_lags(df, wanted | inputs)
     first = {n: make() for n, make in first_level().items() if n in wanted | inputs}
     then = {n: make() for n, make in second.items() if n in wanted}
     if any("dew" in n for n in wanted):

@@ -427,9 +427,26 @@ def source_status(spark, sf):
 
 
 @query("forecast_object", with_ctes(READINGS, FORECASTS, NWP, _BLEND) + """
-select station_id, count(*) filter (where layer='nowcast') as n_nowcast, count(*) filter (where layer='hourly') as n_hourly, count(*) filter (where layer='daily') as n_daily,
- max(lead_minutes) filter (where layer='arrival') as eta from bl group by 1""")
+, nw as (select station_id, max(ts) as ts, arg_max(temp, (ts, rn)) as temp from readings group by 1),
+ob as (select station_id,
+  coalesce(string_agg(lead_minutes||':'||source||':'||printf('%.4f', rain_prob), ' ' order by lead_minutes, source, rain_prob) filter (where layer='nowcast'), '') as nowcast,
+  coalesce(string_agg(lead_minutes||':'||source||':'||printf('%.4f', rain_prob), ' ' order by lead_minutes, source, rain_prob) filter (where layer='hourly'), '') as hourly,
+  coalesce(string_agg(lead_minutes||':'||source||':'||printf('%.4f', rain_prob), ' ' order by lead_minutes, source, rain_prob) filter (where layer='daily'), '') as daily,
+  coalesce(string_agg(distinct source, ',' order by source) filter (where layer='nowcast'), '') as nowcast_sources,
+  max(source) filter (where layer='daily') as daily_source, max(lead_minutes) filter (where layer='arrival') as eta from bl group by 1)
+select ob.*, epoch_us(nw.ts) as now_us, round(nw.temp,4)+0.0 as now_temp, case when station_id%2=0 then 'high' else 'low' end as level,
+ case when station_id%2=0 then 'fresh' else 'no local sensor model' end as reason from ob left join nw using (station_id)""")
 def forecast_object(spark, sf):
-    o = B.forecast_object(_layers(spark, sf))
-    return o.select(KEY, *[F.size(c).cast("long").alias(f"n_{c}") for c in ("nowcast", "hourly", "daily")],
-                    F.try_element_at(F.col("arrival"), F.lit(1))["lead_minutes"].alias("eta"))
+    r = readings(spark, sf)
+    now = r.groupBy(KEY).agg(F.max("ts").alias("ts"), F.max_by("temp", F.struct("ts", "rn")).alias("temp"))
+    sure = r.filter(F.col(KEY) % 2 == 0).groupBy(KEY).agg(F.lit("high").alias("level"), F.lit(1.0).alias("data_confidence"), F.lit("fresh").alias("reason"))
+    o = B.forecast_object(_layers(spark, sf), now, sure)
+
+    def shown(layer):
+        row = lambda x: F.concat_ws(":", x["lead_minutes"].cast("string"), x["source"], F.format_string("%.4f", x["rain_prob"]))
+        return F.array_join(F.transform(layer, row), " ").alias(layer)
+
+    return o.select(
+        KEY, shown("nowcast"), shown("hourly"), shown("daily"), F.array_join("sources.nowcast", ",").alias("nowcast_sources"), F.col("sources.daily").alias("daily_source"),
+        F.try_element_at(F.col("arrival"), F.lit(1))["lead_minutes"].alias("eta"), F.unix_micros("now.ts").alias("now_us"), rd("now.temp", 4).alias("now_temp"),
+        F.col("confidence.level").alias("level"), F.col("confidence.reason").alias("reason"))
