@@ -18,7 +18,8 @@ FIELDS = pa.schema([
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
 ])
 WIDTH = 4  # bytes of an id, little-endian unsigned
-TAIL = b".,!?;:"
+#: ASCII marks that make a token of their own behind a word; not the apostrophe, nor what special tokens are spelled with.
+TAIL = b".,!?;:\"#$%&()*+-/=@[]\\^_`{}~"
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ class PackRule:
     capacity: int = 4096
     end_id: int = 2
     window: int = 192
-    memo: int = 1_000_000
+    memo: int = 800_000
 
 
 class Encoder:
@@ -47,6 +48,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.model, self.raw_ids = self.tokenizer.model, [i.to_bytes(WIDTH, "little") for i in range(len(self.closes))]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text; words that are new to the worker are encoded together."""
@@ -69,35 +71,42 @@ class Encoder:
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        if not words:
-            return
-        split = {}
+        letters, others, split = [], [], {}
+        memo, pieces, raw_ids = self.memo, self.model.tokenize, self.raw_ids
+
+        def sort(word: bytes) -> None:
+            if word.isalpha():  # a-z alone: nothing to normalise or to split
+                memo[word] = b"".join([raw_ids[t.id] for t in pieces(word.decode())])
+            else:
+                (letters if not word.isascii() and word.decode().isalpha() else others).append(word)
+
         for w in words:
+            if w.isalpha():
+                sort(w)
+                continue
             base = w.rstrip(TAIL)
-            if base != w and base[-1:].isalnum() and b"'" not in w:
-                split[w] = (base, w[len(base):])
-        parts = {p for w in words for p in split.get(w, (w,)) if p not in self.memo}
-        letters, others = [], []
-        for p in parts:
-            s = p.decode()
-            (letters if s.isalpha() else others).append((p, s))
+            if len(base) < len(w) and base[-1:].isalnum() and b"'" not in w:
+                split[w] = base, w[len(base):]
+            else:
+                sort(w)
+        for part in {p for pair in split.values() for p in pair}.difference(self.memo, words):
+            sort(part)
         if letters:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(s for _, s in letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(letters):
-                self._keep(letters, ids, np.concatenate([[0], ends]))
+                self._keep(letters, ids, ends)
             else:
                 others += letters
         if others:
-            got = self.tokenizer.encode([s for _, s in others], is_pretokenized=True, add_special_tokens=False)
-            self._keep(others, np.asarray(got.ids, dtype="<u4"), np.searchsorted(np.asarray(got.word_ids, dtype=np.int64), np.arange(len(others) + 1)))
+            got = self.tokenizer.encode([w.decode() for w in others], is_pretokenized=True, add_special_tokens=False)
+            self._keep(others, np.asarray(got.ids, dtype="<u4"), np.searchsorted(np.asarray(got.word_ids, dtype=np.int64), np.arange(1, len(others) + 1)))
         for w, (base, tail) in split.items():
-            self.memo[w] = self.memo[base] + self.memo[tail]
+            memo[w] = memo[base] + memo[tail]
 
-    def _keep(self, words, ids: np.ndarray, cuts: np.ndarray) -> None:
-        raw, at = ids.tobytes(), (cuts * WIDTH).tolist()
-        for k, (word, _) in enumerate(words):
-            self.memo[word] = raw[at[k]:at[k + 1]]
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, at = ids.tobytes(), [0, *(ends * WIDTH).tolist()]
+        self.memo.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:]))))
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -194,7 +203,7 @@ class Packer:
         return batch
 
 
-def _groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 17) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts of some documents at a time, about ``size`` bytes of text."""
     ids, texts, held = [], [], 0
     for batch in batches:
