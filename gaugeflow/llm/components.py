@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         under = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(under, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         following, new = store(small.unionByName(under.select("a", F.col("m").alias("b"))).distinct(), "cc")

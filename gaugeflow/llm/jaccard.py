@@ -249,6 +249,22 @@ def spanning_links(ids: list[int], sizes: np.ndarray, maps: list[np.ndarray], si
     return out
 
 
+def as_stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``links`` connect, each id hung directly under the least one it reaches."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in list(parent) if root(x) != x]
+
+
 def linked(a: np.ndarray, b: np.ndarray, rule: JaccardRule) -> bool:
     at = np.minimum(b.searchsorted(a), len(b) - 1)
     both = int((b[at] == a).sum())
@@ -267,9 +283,9 @@ def _run_tasks(tasks: DataFrame, exact: bool, rule: JaccardRule) -> DataFrame:
             return []
         sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows] if exact else None
         verify = (lambda p, q: linked(sets[p], sets[q], rule)) if exact else None
-        return spanning_links(
+        return as_stars(spanning_links(
             [r[1] for r in rows], np.array([r[2] for r in rows]), [np.frombuffer(r[4], dtype=np.uint64) for r in rows], np.array([r[0] for r in rows]), [r[3] for r in rows], verify, rule
-        )
+        ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []

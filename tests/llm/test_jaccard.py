@@ -109,6 +109,17 @@ def test_tree_keeps_every_link(prose):
                     assert label[i] == label[j]
 
 
+def test_stars():
+    draw = random.Random(6)
+    for _ in range(30):
+        links = [(draw.randrange(30), draw.randrange(30)) for _ in range(draw.randrange(25))]
+        label = {x: x for e in links for x in e}
+        for _ in links:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        assert sorted(jaccard.as_stars(links)) == sorted((x, m) for x, m in label.items() if x != m)
+
+
 def test_folding_keeps_bits():
     a, b = bitmap(np.arange(100, dtype=np.uint64)), bitmap(np.arange(10, dtype=np.uint64))
     assert folded([a, b]).shape == (2, len(b))
