@@ -35,7 +35,7 @@ def test_asof_equals_the_two_inequalities_and_never_leaks(spark):
 
     got = run(log)
     for t in times:
-        known = [(v, i) for _, i, v, _, _ in log if us(i) <= us(at(t)) and us(v) <= us(at(t))]
+        known = [(v, i) for _, i, v, _, _ in log if us(i) <= us(at(t)) and us(at(t)) - 6 * HOUR <= us(v) <= us(at(t))]
         want = max(known, default=None)
         v, i = got[us(at(t))]
         assert (None if v is None else (us(v), us(i))) == (None if want is None else (us(want[0]), us(want[1])))
