@@ -18,7 +18,7 @@ from .outlooks import _HOURLY, _REVISION, _hourly
 from .registry import query, rd, ts_us
 
 
-#: The tables at hand are complete, so their newest rows need not wait for later ones.
+#: The tables at hand are complete and staged in event-time order, so no row need wait for later ones.
 AT_ONCE = "0 seconds"
 
 
@@ -63,14 +63,14 @@ def stream_weekly(spark, sf):
 select al.station_id, epoch_us(al.ts) as ts_us, rain as raining, mc>=3 as confirmed_alert, rc>=5 as confirmed_radar_alert, coalesce(kinds,'') as notifications
 from al left join sent on sent.station_id=al.station_id and sent.ts=al.ts""")
 def stream_alerts(spark, sf):
-    out = drain(ST.alerts(staged_stream(_polls(spark, sf), "polls"), delay=AT_ONCE), "alerts", machine=True)
+    out = drain(ST.alerts(staged_stream(_polls(spark, sf), "polls", "ts"), delay=AT_ONCE), "alerts", machine=True, whole=True)
     return out.select(KEY, ts_us("ts"), "raining", "confirmed_alert", "confirmed_radar_alert", F.array_join("notifications", ",").alias("notifications"))
 
 
 @query("stream_rain_sessions", _recursive(READINGS, MACHINE) + "select station_id, done_start as start_us, done_stop as stop_us from st where done_start is not null union all select station_id, cut_start, null from st where cut")
 def stream_rain_sessions(spark, sf):
-    stream = staged_stream(readings(spark, sf).select(KEY, "ts", "rain_flag"), "readings")
-    return drain(ST.rain_sessions(stream, delay=AT_ONCE), "sessions", machine=True)
+    stream = staged_stream(readings(spark, sf).select(KEY, "ts", "rain_flag"), "readings", "ts")
+    return drain(ST.rain_sessions(stream, delay=AT_ONCE), "sessions", machine=True, whole=True)
 
 
 @query("stream_repeats", with_ctes(READINGS) + """
@@ -79,21 +79,21 @@ l as (select *, lag(rain_flag) over (partition by station_id order by ts) as pr,
 select station_id, epoch_us(ts) as ts_us, rn from l where i=1 or pr<>rain_flag or pt<>t4""")
 def stream_repeats(spark, sf):
     r = readings(spark, sf).select(KEY, "ts", "rn", "rain_flag", F.floor(F.col("temp") / 4).alias("t4"))
-    stream = staged_stream(r.select(KEY, "ts", "rn", fingerprint("rain_flag", "t4", doubles=("rain_flag",)).alias("h")), "snapshots")
-    return drain(ST.without_repeats(stream, delay=AT_ONCE), "repeats", machine=True).select(KEY, ts_us("ts"), "rn")
+    stream = staged_stream(r.select(KEY, "ts", "rn", fingerprint("rain_flag", "t4", doubles=("rain_flag",)).alias("h")), "snapshots", "ts")
+    return drain(ST.without_repeats(stream, delay=AT_ONCE), "repeats", machine=True, whole=True).select(KEY, ts_us("ts"), "rn")
 
 
 @query("stream_outcomes", with_ctes(READINGS, FORECASTS) + """
 select f.station_id, epoch_us(issued_at) as issued_us, lead_minutes::int as lead_minutes, source_layer, epoch_us(r.ts) as ts_us, r.rain_flag
 from forecast_log f join readings r on r.station_id=f.station_id and r.ts between f.valid_at - interval 90 seconds and f.valid_at + interval 90 seconds""")
 def stream_outcomes(spark, sf):
-    f = staged_stream(forecast_log(spark, sf), "forecasts")
-    r = staged_stream(readings(spark, sf).select(KEY, "ts", "rain_flag"), "readings")
-    out = drain(I.outcomes(f, r), "outcomes")
+    f = staged_stream(forecast_log(spark, sf), "forecasts", "valid_at")
+    r = staged_stream(readings(spark, sf).select(KEY, "ts", "rain_flag"), "readings", "ts")
+    out = drain(I.outcomes(f, r), "outcomes", whole=True)
     return out.select(KEY, F.unix_micros("issued_at").alias("issued_us"), F.col("lead_minutes").cast("int").alias("lead_minutes"), "source_layer", ts_us("ts"), "rain_flag")
 
 
 @query("stream_revisions", with_ctes(READINGS, NWP, _HOURLY, _REVISION) + "select station_id, epoch_us(issued_hour) as issued_us, status from rev")
 def stream_revisions(spark, sf):
-    stream = staged_stream(_hourly(spark, sf).drop("weathercode", "lead_hours"), "issues")
+    stream = staged_stream(_hourly(spark, sf).drop("weathercode", "lead_hours"), "issues", "issued_hour")
     return RV.watch(stream).select(KEY, F.unix_micros("issued_hour").alias("issued_us"), "status")

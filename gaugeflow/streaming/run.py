@@ -13,6 +13,8 @@ from ..operators.lineage import fresh_path
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+RETAINED = "spark.sql.streaming.numRecentProgressUpdates"
+EVERY = str(1 << 20)  # more micro-batches than a run has
 
 #: A micro-batch reads about so much of a file source, unless the caller says otherwise.
 BATCH_BYTES = 256 << 20
@@ -24,15 +26,38 @@ def file_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def staged_stream(df: DataFrame, name: str) -> DataFrame:
-    """Land a batch table in the shared folder and read it as a stream."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return file_stream(df.sparkSession, path, df.schema)
+def staged_stream(df: DataFrame, name: str, order: str) -> DataFrame:
+    """Land a batch table in the shared folder and read it as a stream, in the order of the column ``order``.
+
+    Every file holds a range of ``order`` and equal values share a file, so each
+    micro-batch goes on where the one before stopped.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.repartitionByRange(order).write.parquet(path)
+    _read_by_number(spark, path)
+    return file_stream(spark, path, df.schema)
+
+
+def _read_by_number(spark: SparkSession, path: str) -> None:
+    """A file source reads files by their time: give them times in the order of their part numbers."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def parts():
+        return sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: int(f.getPath().getName().split("-")[1]))
+
+    files = parts()
+    newest = min((f.getModificationTime() for f in files), default=0)
+    for back, f in enumerate(reversed(files)):
+        fs.setTimes(f.getPath(), newest - 1000 * back, -1)
+    times = [f.getModificationTime() for f in parts()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise RuntimeError(f"the file system of {path} keeps no given file times, so its files cannot be streamed in order")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str] | None = None, machine: bool = False,
-          out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+          out: str | None = None, checkpoint: str | None = None, whole: bool = False) -> DataFrame:
     """Process everything available, each micro-batch landing in its own directory.
 
     ``out`` and ``checkpoint`` name where the table and the progress are kept: a
@@ -40,6 +65,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str]
     them both are new folders.  Rewriting the directory of a batch makes a
     replay after a failure harmless.  In update mode ``key`` keeps the newest version of each row.
     ``machine`` selects the state store that arbitrary state machines need.
+    With ``whole`` it is an error if the engine drops a row as too late.
     """
     spark = stream.sparkSession
     out, state = out or fresh_path(spark, name), checkpoint or fresh_path(spark, f"{name}-state")
@@ -48,17 +74,23 @@ def drain(stream: DataFrame, name: str, mode: str = "append", key: Sequence[str]
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER)
+    before, retained = spark.conf.get(PROVIDER), spark.conf.get(RETAINED)
     if machine:
         spark.conf.set(PROVIDER, ROCKSDB)
+    if whole:
+        spark.conf.set(RETAINED, EVERY)
     try:
         running = (
             stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(land)
             .trigger(availableNow=True).start()
         )
         running.awaitTermination()
+        late = sum(o.numRowsDroppedByWatermark for p in running.recentProgress for o in p.stateOperators) if whole else 0
     finally:
         spark.conf.set(PROVIDER, before)
+        spark.conf.set(RETAINED, retained)
+    if late:
+        raise RuntimeError(f"{name}: {late} rows came after the watermark and were dropped")
     landed = spark.read.schema(schema.add("batch", "long")).option("basePath", out).parquet(f"{out}/*")
     if key:
         landed = latest_by_key(landed, list(key), [F.col("batch")])

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from gaugeflow.operators import alerts as A
 from gaugeflow.operators import rain_events as R
+from gaugeflow.operators.lineage import cut
 from gaugeflow.operators.revision import compare_issues
+from gaugeflow.plans import load_queries
 from gaugeflow.streaming import ingest as I
 from gaugeflow.streaming import revisions as RV
+from gaugeflow.streaming import run
 from gaugeflow.streaming import stateful as ST
 from gaugeflow.streaming.run import drain, file_stream
 from test_events_alerts import _polls
@@ -138,3 +141,27 @@ def test_rows_without_station_or_time_are_refused(spark):
     for row in ((None, at(0)), (1, None)):
         with pytest.raises(Exception, match="station or time"):
             with_chunk(spark.createDataFrame([row], "station_id long, ts timestamp")).collect()
+
+
+@pytest.mark.parametrize("name", ["stream_alerts", "stream_rain_sessions", "stream_repeats", "stream_outcomes", "stream_revisions"])
+def test_staged_tables_in_many_batches_lose_nothing(spark, tmp_path, monkeypatch, name):
+    """One file a micro-batch gives the rows of one micro-batch in all."""
+    sf, build = "/root/testdata/sf0.01", load_queries()[name].build
+    whole = cut(build(spark, sf), "whole")
+    monkeypatch.setattr(run, "BATCH_BYTES", 1)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        split = cut(build(spark, sf), "split")
+    finally:
+        spark.conf.unset(key)
+    assert whole.count() > 0 and split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
+
+
+def test_dropped_rows_are_an_error(spark, tmp_path):
+    """Files that each span the whole time."""
+    df = frame(spark, series(3, 400)).select("station_id", "ts", "rain_flag")
+    df.repartition(4, "ts").write.parquet(str(tmp_path / "in"))
+    stream = file_stream(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger=1)
+    with pytest.raises(RuntimeError, match="dropped"):
+        drain(ST.rain_sessions(stream, delay="0 seconds"), "sessions", machine=True, whole=True)
