@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, store
 
 BANDS = 32  # bands of word counts per doubling
+SHARES = 1 << 12  # parts of the words of one count, by hash
 END, OTHER, FIRST = 0, 1, 2  # the end of a text, any word outside the head, the first head word
 
 
@@ -23,15 +25,16 @@ class ClassRule:
     """Classes, words clustered by exchange, words placed beside them, words of the head, rounds.
 
     The ``core`` most frequent words are clustered by exchange; those up to
-    ``placed`` then each take the likeliest class, given the core's; the rest of
-    the head is classed by rank, a class for every doubling. The head is held by
-    every worker, so its size is fixed and its words are at most ``longest``
-    bytes; all other words share one class, in which each keeps its own count.
+    ``placed`` (the whole head, unless told otherwise) then each take the
+    likeliest class, given the core's; the rest of the head, if any, is classed
+    by rank, a class for every doubling. The head is held by every worker, so its
+    size is fixed, and a word of more than ``longest`` bytes is held by its
+    digest; all other words share one class, in which each keeps its own count.
     """
 
     classes: int = 64
     core: int = 1024
-    placed: int = 1 << 14
+    placed: int = 1 << 17
     head: int = 1 << 17
     longest: int = 64
     rounds: int = 4
@@ -72,18 +75,45 @@ def word_counts(docs: DataFrame, rule: ClassRule) -> DataFrame:
 
 
 class Head:
-    """Ids of the frequent words."""
+    """Ids of the frequent words; one of more than ``longest`` bytes is known by its digest."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], longest: int):
         self.ids = {w: k for k, w in enumerate(words, FIRST)}
+        self.longest = longest
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
         """Ids of a text between two ends."""
         out = np.full(len(words) + 2, END, dtype=np.int64)
+        words = [w if len(w) <= self.longest else hashlib.sha256(w).digest() for w in words]
         out[1:-1] = np.fromiter(map(self.ids.get, words, repeat(OTHER)), np.int64, count=len(words))
         return out
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of the greatest ``n``; where a count does not fit, its words by hash.
+
+    Cut by bands of counts, in the last band by counts, among the words of the
+    last count by shares of their hashes, in the last share by word.
+    """
+    cuts = [
+        F.floor(F.log2("n") * BANDS),
+        F.col("n"),
+        F.pmod(F.xxhash64("word"), F.lit(SHARES)),
+    ]
+    taken, rest = F.lit(False), F.lit(True)
+    for cut in cuts:
+        room, last = most, None
+        for row in words.where(rest).groupBy(cut.alias("cut")).agg(F.count("*").alias("words")).orderBy(F.desc("cut")).collect():
+            if row["words"] > room:
+                last = row["cut"]
+                break
+            room -= row["words"]
+        if last is None:
+            return words.where(taken | rest)
+        taken, rest, most = taken | (rest & (cut > last)), rest & (cut == last), room
+    return words.where(taken).unionByName(words.where(rest).orderBy("word").limit(most))
+
+
 def pair_counts(docs: DataFrame, shared, kinds: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``kind, a, b, n``: neighbouring ids of all texts as each kind's two maps give them; -1 leaves a pair out.
 
@@ -102,8 +132,9 @@ def pair_counts(docs: DataFrame, shared, kinds: list[tuple[np.ndarray, np.ndarra
                     live = (a >= 0) & (b >= 0) & ~((s[:-1] == END) & (s[1:] == END))
                     np.add.at(total, a[live] * width + b[live], 1)
         for kind, (total, (_, width)) in enumerate(zip(sums, shapes)):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at // width), pa.array(at % width), pa.array(total[at])], names=["kind", "a", "b", "n"])
+            found = np.flatnonzero(total)
+            for at in np.split(found, range(1 << 18, len(found), 1 << 18)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at // width), pa.array(at % width), pa.array(total[at])], names=["kind", "a", "b", "n"])
 
     part = docs.select(F.col("text").cast("binary")).mapInArrow(run, "kind long, a long, b long, n long")
     return part.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -200,21 +231,15 @@ def train(docs: DataFrame, rule: ClassRule = ClassRule()) -> tuple[ClassModel, D
     tokens, distinct, ends = total["tokens"] or 0, total["distinct"] or 0, total["ends"] or 0
     vocabulary = counted.where(F.col("word").isNotNull())
     # Words met once stand for those not met yet, so they are left to the shared class.
-    able = vocabulary.where((F.col("n") > 1) & (F.octet_length("word") <= rule.longest)).withColumn("band", F.floor(F.log2("n") * BANDS))
-    room, least = rule.head, None
-    for row in able.groupBy("band").agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect():
-        room -= row["words"]
-        if room < 0:
-            break
-        least = row["band"]
-    # Whole bands of counts that fit the head, so no more than ``head`` rows.
-    top = able.where(F.col("band") >= least if least is not None else F.lit(False)).select("word", "n").toPandas()
+    key = F.when(F.octet_length("word") <= rule.longest, F.col("word")).otherwise(F.unhex(F.sha2("word", 256)))
+    able = vocabulary.where("n > 1").select(key.alias("word"), "n")
+    top = most_frequent(able, rule.head).toPandas()
     top["word"] = top["word"].map(bytes)
     top = top.sort_values(["n", "word"], ascending=[False, True])
     words = top["word"].tolist()
     other_tokens = tokens - ends - int(top["n"].sum())
     counts = np.concatenate([[ends, other_tokens], top["n"].to_numpy(dtype=float)])
-    shared = spark.sparkContext.broadcast(Head(words))
+    shared = spark.sparkContext.broadcast(Head(words, rule.longest))
 
     size = len(counts)
     rank = np.arange(size) - FIRST
@@ -259,7 +284,7 @@ def train(docs: DataFrame, rule: ClassRule = ClassRule()) -> tuple[ClassModel, D
     emission = np.log10((counts + rule.smooth) / (mass[of] + rule.smooth * members[of]))
     emission[END] = 0.0
     base = np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1)))
-    model = ClassModel(rule, Head(words), of, transition, emission, base, counts > 0, tokens, distinct, other_tokens, distinct - (ends > 0) - len(words))
+    model = ClassModel(rule, Head(words, rule.longest), of, transition, emission, base, counts > 0, tokens, distinct, other_tokens, distinct - (ends > 0) - len(words))
     return model, vocabulary
 
 

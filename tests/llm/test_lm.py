@@ -1,11 +1,12 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from gaugeflow.llm.lm import FIRST, ClassRule, exchange, join_gain, score, train, words_of, xlogx
+from gaugeflow.llm.lm import FIRST, ClassRule, exchange, join_gain, most_frequent, score, train, words_of, xlogx
 
 
 def likelihood(pairs, counts, of, classes):
@@ -123,3 +124,26 @@ def test_defined_cases(spark, messy):
     nothing, none = train(docs.limit(0))
     rows = score(docs, nothing, none).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
+
+
+def test_head_is_exact(spark):
+    """Whatever its size, the head is full and no word outside it is more frequent."""
+    words = [(b"w%d" % k, 2 + (k % 7 == 0) + 50 * (k % 91 == 0)) for k in range(1000)]
+    frame = spark.createDataFrame(words, "word binary, n long")
+    for most in (0, 1, 11, 100, 150, 151, 700, 999, 1000, 2000):
+        got = sorted((r.n for r in most_frequent(frame, most).collect()), reverse=True)
+        assert got == sorted((n for _, n in words), reverse=True)[:most]
+
+
+def test_rare_head_words_take_the_class_of_their_neighbours(spark):
+    """Words far beyond rank 16384, half of them between ``la`` and ``lb``, half between ``ra`` and ``rb``; long ones too."""
+    draw = random.Random(7)
+    names = ["rl"[k % 2] + str(k) + "x" * (100 if k > 16_900 else 0) for k in range(17_000)]
+    texts = [f"{name[0]}a {name} {name[0]}b" for k, name in enumerate(names) for _ in range(3 if k < 16_800 else 2)]
+    texts += ["la lb la lb", "ra rb ra rb"] * 5000
+    draw.shuffle(texts)
+    docs = spark.createDataFrame([(k, " ".join(texts[k::400]), False) for k in range(400)], "doc_id long, text string, held_out boolean")
+    model, _ = train(docs, ClassRule(classes=4, core=4))
+    of = {name: int(model.of[model.head.sequence([name.encode()])[1]]) for name in names[16_800:]}
+    lefts, rights = ({c for name, c in of.items() if name[0] == side} for side in "lr")
+    assert min(of.values()) >= FIRST and not lefts & rights
