@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from gaugeflow.llm import toxicity
 from gaugeflow.llm.common import store
 
 SF = "/root/testdata/sf0.01"
@@ -40,6 +41,16 @@ def test_toxicity_rejects_the_toxic(spark, kept):
     assert rate[1] < 0.3 and rate[0] > 0.93
 
 
+def test_toxicity_stage_follows_the_verdict(spark, monkeypatch):
+    """A score from the operator's own cut up to 0.5 is toxic here too."""
+    cut = toxicity.ToxicRule().cut
+    score = F.col("text").cast("double")
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "assess", lambda docs, _: docs.select(F.struct("*").alias("row"), score.alias("score"), (score >= cut).cast("int").alias("predicted")))
+    docs = spark.createDataFrame([(k, str(s)) for k, s in enumerate((0.0, 0.29, 0.3, 0.4, 0.49, 0.5, 1.0))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.drop_toxic(spark, docs, SF).collect()) == [0, 1]
+
+
 def test_one_of_each_group_stays(kept):
     def shingles(text):
         w = text.encode().lower().split()
