@@ -162,3 +162,73 @@ def op3(spark, sf_dir):
 
     rule = JaccardRule(words=4, num=85, den=100)
     return join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), rule).select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = r"""
+with d as (
+  select doc_id, row_number() over () as r,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), i as (
+  select distinct item_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), s as (
+  select count(*)::bigint as docs, sum(len(terms))::bigint as terms from d where len(terms) > 0
+), t as (
+  select r, doc_id, n, term, count(*)::bigint as tf
+  from (select r, doc_id, len(terms)::bigint as n, unnest(terms) as term from d)
+  where term in (select term from i) group by all
+), w as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from t, s group by term
+), p as (
+  select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // s.terms))))::bigint as score
+  from i join t using (term) join w using (term), s group by item_id, r, doc_id
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from p where score > 0 qualify rank <= 50
+"""
+
+
+@register("op11_lexical", OP11_SQL)
+def op11(spark, sf_dir):
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_bpe")
+def op12(spark, sf_dir):
+    from .bpe import decode, encode
+
+    ranks = "byte_bpe_multi_50k.tiktoken"
+    back = decode(encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP13_SQL = """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.r as anchor, a.vec_id as anchor_id, b.r, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 100 = 0
+), p as (
+  select * from s where same qualify row_number() over (partition by anchor order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor, p.r order by s.score desc, s.vec_id)::int as rank,
+       s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.anchor = p.anchor and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score
+qualify rank <= 5
+"""
+
+
+@register("op13_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    from .negatives import mine
+
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
