@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
@@ -20,9 +19,9 @@ WIDTH = 4  # bytes of an id, little-endian unsigned
 
 @dataclass(frozen=True)
 class BpeRule:
-    """``memo`` pre-tokens of at most ``word`` characters are remembered by a worker; texts are split ``part`` characters at a time."""
+    """``memo`` pre-tokens of at most ``word`` characters are remembered by a worker; texts are split and merged about ``part`` characters at a time."""
 
-    memo: int = 300_000
+    memo: int = 800_000
     word: int = 128
     part: int = 1 << 18
 
@@ -47,12 +46,24 @@ class RankQueue:
             self.levels.append([0] * words)
         self.down = self.levels[::-1]
 
+    def fill(self, ranks: np.ndarray) -> None:
+        """File every position whose rank is not negative."""
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        found, first = np.unique(ranks[order], return_index=True)
+        for rank, positions in zip(found.tolist(), np.split(order, first[1:])):
+            self.buckets[rank] = positions.tolist()  # ascending, so a heap
+            self._mark(rank)
+
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+        else:
+            self.buckets[rank] = [position]
+            self._mark(rank)
+
+    def _mark(self, rank: int) -> None:
         for level in self.levels:
             word = rank >> self.SHIFT
             held = level[word]
@@ -61,101 +72,115 @@ class RankQueue:
                 break
             rank = word
 
-    def pop(self) -> tuple[int, int] | None:
-        """The next rank and position, or None if nothing is left."""
+    def least(self) -> int | None:
+        """The least rank that has positions, or None."""
         rank = 0
         for level in self.down:
             word = level[rank]
             if not word:
                 return None
             rank = rank << self.SHIFT | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = at >> self.SHIFT
-                level[word] &= ~(1 << (at & self.MASK))
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+        return rank
+
+    def close(self, rank: int) -> None:
+        """Give up the bucket of a rank, which is empty."""
+        del self.buckets[rank]
+        for level in self.levels:
+            word = rank >> self.SHIFT
+            level[word] &= ~(1 << (rank & self.MASK))
+            if level[word]:
+                break
+            rank = word
 
 
 class Merger:
-    """Ids of one pre-token: its bytes are a linked list whose neighbours are merged in the order of the queue."""
+    """Ids of pre-tokens: their bytes are linked lists, all in one, whose neighbours are merged in the order of the queue.
+
+    Pre-tokens do not touch each other, so the order among them is of no matter
+    and many are merged together.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.queue = ranks, RankQueue(max(ranks.values(), default=0) + 1)
-
-    def ids(self, piece: bytes) -> list[int]:
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-        pair = array("i", [-1]) * n  # rank of the token at a position joined with its neighbour; -1: no merge
-        for p in range(n - 1):
-            rank = ranks.get(piece[p : p + 2])
-            if rank is not None:
-                pair[p] = rank
-                queue.push(rank, p)
-        while (found := queue.pop()) is not None:
-            rank, p = found
-            if pair[p] != rank:
-                continue  # the pair filed here has been merged or has grown
-            gone = after[p]
-            end = after[gone]
-            pair[gone], after[p] = -1, end
-            rank = None
-            if end < n:
+        self.singles = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.pairs = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of every piece; none is empty."""
+        ranks, queue, text = self.ranks, self.queue, b"".join(pieces)
+        buckets, push, rank_of, bucket_of = queue.buckets, queue.push, ranks.get, queue.buckets.get
+        ends = np.cumsum([len(p) for p in pieces])
+        raw, n = np.frombuffer(text, np.uint8).astype(np.int64), len(text)
+        pair = np.append(self.pairs[raw[:-1] << 8 | raw[1:]], -1)
+        pair[ends - 1] = -1
+        queue.fill(pair)
+        edge = bytearray(n + 1)  # where a piece begins or ends
+        edge[0] = 1
+        for e in ends.tolist():
+            edge[e] = 1
+        pair, token, alive = pair.tolist(), self.singles[raw].tolist(), bytearray(b"\1") * n
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        while (rank := queue.least()) is not None:
+            bucket = buckets[rank]
+            while bucket:
+                p = heappop(bucket)
+                if pair[p] != rank:
+                    continue  # the pair filed here has been merged or has grown
+                gone = after[p]
+                end = after[gone]
+                pair[gone] = -1
+                alive[gone] = 0
+                token[p] = rank
+                after[p] = end
                 before[end] = p
-                rank = ranks.get(piece[p : after[end]])
-            pair[p] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, p)
-            left = before[p]
-            if left >= 0:
-                rank = ranks.get(piece[left:end])
-                pair[left] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, left)
-        out, p = [], 0
-        while p < n:
-            out.append(ranks[piece[p : after[p]]])
-            p = after[p]
-        return out
-
-
-class _Memo(dict):
-    """Packed ids of pre-tokens met before; an older half is kept for those that are met again."""
-
-    def __init__(self, merger: Merger, rule: BpeRule):
-        super().__init__()
-        self.merger, self.rule, self.older = merger, rule, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = b"".join(i.to_bytes(WIDTH, "little") for i in self.merger.ids(piece.encode()))
-        if len(piece) <= self.rule.word:
-            self[piece] = ids
-        return ids
-
-    def tidy(self) -> None:
-        if len(self) > self.rule.memo // 2:
-            self.older = dict(self)
-            self.clear()
+                lower = False
+                if edge[end]:
+                    pair[p] = -1
+                else:
+                    pair[p] = found = rank_of(text[p : after[end]], -1)
+                    if found >= 0:
+                        if (held := bucket_of(found)) is None:
+                            push(found, p)
+                        else:
+                            heappush(held, p)
+                        lower = found < rank
+                if not edge[p]:
+                    left = before[p]
+                    pair[left] = found = rank_of(text[left:end], -1)
+                    if found >= 0:
+                        if (held := bucket_of(found)) is None:
+                            push(found, left)
+                        else:
+                            heappush(held, left)
+                        if found < rank:
+                            lower = True
+                if lower:
+                    break  # a merge of less rank goes before the rest of this one
+            if not bucket:
+                queue.close(rank)
+        kept = np.frombuffer(alive, np.uint8).view(bool)
+        packed = np.array(token, np.int64)[kept].astype("<u4").tobytes()
+        cuts = [0, *(np.cumsum(kept)[ends - 1] * WIDTH).tolist()]
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Codec:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file.
+
+    Packed ids of pre-tokens are remembered; when they are too many the older
+    half is let go, but for those that are met again.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, rule: BpeRule = BpeRule()):
         import regex
 
-        self.rule, self.memo, self.words = rule, _Memo(Merger(ranks), rule), {i: b for b, i in ranks.items()}
+        self.rule, self.merger, self.words = rule, Merger(ranks), {i: b for b, i in ranks.items()}
+        self.whole = {token: rank.to_bytes(WIDTH, "little") for token, rank in ranks.items()}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(pattern).findall
         # The end of a run of letters or of digits always ends a pre-token, whatever follows.
         self.seam = regex.compile(r"\p{L}(?!\p{L})|\p{N}(?!\p{N})").search
@@ -168,16 +193,67 @@ class Codec:
             start = seam.end()
         yield text[start:]
 
-    def encode(self, text: str) -> bytes:
-        out = []
-        for part in self.parts(text):
-            out.append(b"".join(map(self.memo.__getitem__, self.split(part))))
-            self.memo.tidy()
-        return b"".join(out)
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens that are not remembered, merged together; short ones are remembered."""
+        known, older, whole, unmerged, raw = {}, self.older, self.whole, [], []
+        for p in pieces:
+            if (ids := older.get(p)) is None:
+                b = p.encode()
+                if (ids := whole.get(b)) is None:
+                    unmerged.append(p)
+                    raw.append(b)
+                    continue
+            known[p] = ids
+        if unmerged:
+            known |= zip(unmerged, self.merger.ids(raw))
+        if len(self.memo) + len(known) > self.rule.memo // 2:
+            self.older, self.memo = self.memo, {}
+        self.memo |= {p: ids for p, ids in known.items() if len(p) <= self.rule.word}
+        return known
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        memo, older = self.memo, self.older
+        known = self._learn(set().union(*split).difference(memo))
+        # What was remembered before may just have become the older half.
+        known = _Chain(self.memo, known, memo, older)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; new pre-tokens of texts of about ``part`` characters are merged together."""
+        out, group, held = [], [], 0
+        for text in texts:
+            if len(text) > self.rule.part:
+                out += self._ids(group)
+                out.append(b"".join(ids for part in self.parts(text) for ids in self._ids([part])))
+                group, held = [], 0
+                continue
+            group.append(text)
+            held += len(text)
+            if held >= self.rule.part:
+                out += self._ids(group)
+                group, held = [], 0
+        return out + self._ids(group)
+
+    def decode(self, packed: list[bytes]) -> list[bytes]:
+        step, word = WIDTH * self.rule.part, self.words.__getitem__
+        return [b"".join(b"".join(map(word, np.frombuffer(ids[a : a + step], "<u4").tolist())) for a in range(0, len(ids), step)) for ids in packed]
+
+
+class _Chain(dict):
+    """Look-ups in ``first``, and where it has nothing in the others; a view, nothing is copied but what was missing."""
+
+    def __init__(self, first: dict, *others: dict):
+        super().__init__()
+        self.all = (first, *others)
 
-    def decode(self, ids: bytes) -> bytes:
-        step = WIDTH * self.rule.part
-        return b"".join(b"".join(map(self.words.__getitem__, np.frombuffer(ids[a : a + step], "<u4").tolist())) for a in range(0, len(ids), step))
+    def __missing__(self, key):
+        for held in self.all:
+            found = held.get(key)
+            if found is not None:
+                self[key] = found
+                return found
+        raise KeyError(key)
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -195,20 +271,20 @@ def codec(vocabulary: str, rule: BpeRule) -> Codec:
     return _CODECS[key]
 
 
-def _translated(column: int, out: pa.Field, change: Callable, size: int = 8 << 20) -> Callable:
-    """A function over Arrow batches: every value of ``column`` changed and added as ``out``, some megabytes at a time."""
+def _translated(column: int, out: pa.Field, change: Callable, size: int = 4 << 20) -> Callable:
+    """A function over Arrow batches: the values of ``column`` changed and added as ``out``, some megabytes of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = change()
         for batch in batches:
-            first, made, held = 0, [], 0
+            first, values, held = 0, [], 0
             for at, value in enumerate(batch.column(column)):
-                made.append(apply(value.as_py()))
-                held += len(made[-1])
+                values.append(value.as_py())
+                held += len(values[-1])
                 if held >= size or at + 1 == batch.num_rows:
-                    rows = batch.slice(first, len(made))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(made, out.type)], schema=pa.schema([*batch.schema, out]))
-                    first, made, held = at + 1, [], 0
+                    rows = batch.slice(first, len(values))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(apply(values), out.type)], schema=pa.schema([*batch.schema, out]))
+                    first, values, held = at + 1, [], 0
 
     return run
 
