@@ -58,17 +58,37 @@ def crop(pixels: DataFrame, cx: Column, cy: Column, grid: GridPolicy = GridPolic
     return pixels.filter(inside).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
+#: Pixels of a word of a scan line.
+WORD = 64
+
+
+def shifted(words: Sequence[str], by: int) -> list[Column]:
+    """The words of a line moved ``by`` pixels (less than a word) to higher x, or to lower x if negative."""
+    out = []
+    for i, w in enumerate(words):
+        if by >= 0:
+            moved, rest = F.shiftleft(w, by), F.shiftrightunsigned(words[i - 1], WORD - by) if by and i else None
+        else:
+            moved, rest = F.shiftrightunsigned(w, -by), F.shiftleft(words[i + 1], WORD + by) if i + 1 < len(words) else None
+        out.append(moved if rest is None else moved.bitwiseOR(rest))
+    return out
+
+
 def motion(pixels: DataFrame, by: Sequence[str], frames: DataFrame, grid: GridPolicy = GridPolicy()) -> DataFrame:
     """Best pixel shift per consecutive frame pair.
 
-    A frame becomes one sorted x-list per scan line (at most ``window`` long).
-    Lines of a frame meet the lines of the next frame once per vertical shift
-    by equi-join; each horizontal shift is an array intersection.  So the work
-    is lines x shifts, not wet pixels x wet pixels.  ``frames`` lists all
+    A scan line becomes a few words of 64 pixels, one bit a wet pixel (a line is
+    at most ``window`` long). Lines of a frame meet the lines of the next frame
+    once per vertical shift by equi-join; a horizontal shift moves the words,
+    and the overlap is the number of bits that both have. So the work is lines
+    x shifts, not wet pixels x wet pixels, and a met pair of lines is one row
+    with a sum per shift. ``frames`` lists all
     frame times, so an empty frame still breaks its pairs; the newest
-    ``grid.frames`` of them count.  Ties prefer no
-    shift, then the smaller dy, then the smaller dx.
+    ``grid.frames`` of them count.  Ties prefer no shift, then the smaller dy,
+    then the smaller dx.  Pixels are in window coordinates (see ``crop``).
     """
+    if grid.max_shift >= WORD:
+        raise ValueError(f"a shift is less than {WORD} pixels")
     by = list(by)
     keys = by or [F.lit(0)]
     w = Window.partitionBy(*keys).orderBy("frame_time")
@@ -77,15 +97,19 @@ def motion(pixels: DataFrame, by: Sequence[str], frames: DataFrame, grid: GridPo
     pairs = used.withColumn("next_time", F.lead("frame_time").over(w))
     pairs = pairs.filter(F.col("next_time") > F.col("frame_time"))
     wet = pixels.filter(F.col("bucket") >= grid.wet_class)
-    lines = wet.groupBy(*by, "frame_time", "y").agg(F.collect_set("x").alias("xs"))
-    shifts = F.sequence(F.lit(-grid.max_shift), F.lit(grid.max_shift), F.lit(grid.shift_step))
-    here = lines.join(pairs, [*by, "frame_time"]).withColumn("dy", F.explode(shifts)).withColumn("_y", F.col("y") + F.col("dy"))
-    there = lines.select(*by, F.col("frame_time").alias("next_time"), F.col("y").alias("_y"), F.col("xs").alias("_xs"))
+    n_words = -(-grid.window // WORD)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(WORD)).cast("int"))
+    here_, there_ = [f"_w{i}" for i in range(n_words)], [f"_v{i}" for i in range(n_words)]
+    word = F.floor(F.col("x") / WORD)
+    lines = wet.groupBy(*by, "frame_time", "y").agg(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(w) for i, w in enumerate(here_)])
+    steps = range(-grid.max_shift, grid.max_shift + 1, grid.shift_step)
+    here = lines.join(pairs, [*by, "frame_time"]).withColumn("dy", F.explode(F.array(*[F.lit(k) for k in steps]))).withColumn("_y", F.col("y") + F.col("dy"))
+    there = lines.select(*by, F.col("frame_time").alias("next_time"), F.col("y").alias("_y"), *[F.col(w).alias(v) for w, v in zip(here_, there_)])
     met = here.join(there, [*by, "next_time", "_y"])
-    hits = F.transform(shifts, lambda dx: F.struct(
-        dx.alias("dx"), F.size(F.array_intersect(F.transform("xs", lambda x: x + dx), F.col("_xs"))).alias("n")))
-    scored = met.select(*by, "frame_time", "next_time", "dy", F.explode(hits).alias("h")).filter(F.col("h.n") > 0)
-    totals = scored.groupBy(*by, "frame_time", "next_time", "dy", "h.dx").agg(F.sum("h.n").alias("n"))
+    sums = [F.sum(sum((F.bit_count(w.bitwiseAND(F.col(v))) for w, v in zip(shifted(here_, k), there_)), F.lit(0))).alias(f"_n{i}") for i, k in enumerate(steps)]
+    summed = met.groupBy(*by, "frame_time", "next_time", "dy").agg(*sums)
+    each = F.array(*[F.struct(F.lit(k).alias("dx"), F.col(f"_n{i}").alias("n")) for i, k in enumerate(steps)])
+    totals = summed.select(*by, "frame_time", "next_time", "dy", F.explode(each).alias("h")).select(*by, "frame_time", "next_time", "dy", "h.dx", "h.n").filter(F.col("n") > 0)
     moved = (F.col("dx") != 0) | (F.col("dy") != 0)
     order = F.struct(-F.col("n"), moved.cast("int"), F.col("dy"), F.col("dx"))
     best = totals.groupBy(*by, "frame_time", "next_time").agg(F.min_by(F.struct("dx", "dy", "n"), order).alias("b"))

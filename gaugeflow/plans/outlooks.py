@@ -165,11 +165,11 @@ def snapshot_fingerprint(spark, sf):
 _NOW = "2024-01-15 00:00:00"
 _AREAS = f"""
 stations as (select c_custkey as station_id, 13+(c_custkey%200)/100.0::double as lat, 100+((c_custkey*7)%200)/100.0::double as lon from customer),
-warn as (select n_nationkey as warning_id, 13+(n_nationkey%5)*0.4::double as lat0, 100+(n_nationkey%5)*0.3::double as lon0,
-  case n_regionkey when 0 then 'Extreme' when 1 then 'Severe' when 2 then 'Moderate' else 'Minor' end as severity,
-  case when n_nationkey%9=0 then 'Cancel' else 'Alert' end as msg_type, case when n_nationkey%4<>3 then timestamp '{_NOW}' + to_hours(n_nationkey-12) end as effective, timestamp '{_NOW}' + to_hours(n_nationkey-14) as sent,
-  case when n_nationkey%10<>7 then timestamp '{_NOW}' + to_hours(n_nationkey-6) end as expires,
-  case when n_nationkey%8=1 then 'ทั่วประเทศ' when n_nationkey%8=2 then 'near Bangkok' else 'inland' end as area_desc from nation)
+warn as (select s_suppkey as warning_id, 13+(s_suppkey%5)*0.4::double as lat0, 100+(s_suppkey%5)*0.3::double as lon0,
+  case (s_suppkey//3)%5 when 0 then 'Extreme' when 1 then 'Severe' when 2 then 'Moderate' else 'Minor' end as severity,
+  case when s_suppkey%9=0 then 'Cancel' else 'Alert' end as msg_type, case when s_suppkey%4<>3 then timestamp '{_NOW}' + to_hours(s_suppkey%25-12) end as effective, timestamp '{_NOW}' + to_hours(s_suppkey%25-14) as sent,
+  case when s_suppkey%10<>7 then timestamp '{_NOW}' + to_hours(s_suppkey%25-6) end as expires,
+  case when s_suppkey%8=1 then 'ทั่วประเทศ' when s_suppkey%8=2 then 'near Bangkok' else 'inland' end as area_desc from supplier)
 """
 
 
@@ -179,14 +179,15 @@ def _stations(spark, sf):
 
 
 def _warnings(spark, sf):
-    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    k = F.col("s_suppkey")
+    r = F.floor(k / 3) % 5
     hour = F.lit(3_600_000_000).cast("long")
     now = F.unix_micros(F.expr(f"timestamp'{_NOW}'"))
-    return table(spark, sf, "nation").select(
+    return table(spark, sf, "supplier").select(
         k.alias("warning_id"), (13 + k % 5 * 0.4).alias("lat0"), (100 + k % 5 * 0.3).alias("lon0"),
         F.when(r == 0, "Extreme").when(r == 1, "Severe").when(r == 2, "Moderate").otherwise("Minor").alias("severity"),
-        F.when(k % 9 == 0, "Cancel").otherwise("Alert").alias("msg_type"), F.when(k % 4 != 3, F.timestamp_micros(now + (k - 12) * hour)).alias("effective"), F.timestamp_micros(now + (k - 14) * hour).alias("sent"),
-        F.when(k % 10 != 7, F.timestamp_micros(now + (k - 6) * hour)).alias("expires"),
+        F.when(k % 9 == 0, "Cancel").otherwise("Alert").alias("msg_type"), F.when(k % 4 != 3, F.timestamp_micros(now + (k % 25 - 12) * hour)).alias("effective"), F.timestamp_micros(now + (k % 25 - 14) * hour).alias("sent"),
+        F.when(k % 10 != 7, F.timestamp_micros(now + (k % 25 - 6) * hour)).alias("expires"),
         F.when(k % 8 == 1, "ทั่วประเทศ").when(k % 8 == 2, "near Bangkok").otherwise("inland").alias("area_desc"))
 
 
@@ -228,6 +229,9 @@ ms as (select *, case when sq then 0 when area_desc in ('ทั่วประ
    when tri then 'polygon' when warning_id%10=4 then 'no_area' end as area_match from pm)
 """
 _HINTS = ("Bangkok",)
+# A country around all stations, with a bay that reaches among them.
+_COUNTRY_RING = [(11.5, 98.2), (11.5, 104.1), (17.3, 104.1), (17.3, 98.2), (14.1, 98.2), (13.7, 101.1), (13.3, 98.2)]
+_COUNTRY = _ring([(str(a), str(b)) for a, b in _COUNTRY_RING])
 
 
 @query("warnings_match", with_ctes(_AREAS, _MATCH) + """
@@ -264,45 +268,62 @@ def warnings_shown(spark, sf):
     return W.shown_at(stations, W.match_areas(stations, _area_rows(spark, sf), _HINTS), live.select("warning_id", "severity", "expires"), 3).select(KEY, "position", "warning_id", "severity", "area_match")
 
 
-@query("warning_urls", "select distinct 'cap/'||(n_nationkey%7) as url from nation where n_nationkey%6<>0")
+@query("warnings_cells", with_ctes(_AREAS) + f"""
+, pm as (select w.*, count(*) filter (where {_SQUARE}) as n0, count(*) filter (where {_TRIANGLE}) as n1, count(*) filter (where {_COUNTRY}) as n2 from stations s cross join warn w group by all)
+select warning_id, unnest([0,1,2]) as info_index, unnest([n0,n1,case when warning_id%10=0 then n2 else 0 end]) as n_stations from pm""")
+def warnings_cells(spark, sf):
+    """Stations under each polygon, one in ten a country's; whole cells are counted, not their stations."""
+    w = _warnings(spark, sf)
+    country = w.filter("warning_id % 10 = 0").select(
+        "warning_id", F.lit(2).alias("info_index"), F.lit(0).alias("area_index"), F.lit("x").alias("area_desc"),
+        W.parse_polygon(F.lit(" ".join(f"{lat},{lon}" for lat, lon in _COUNTRY_RING))).alias("ring"))
+    cells = W.match_cells(_area_rows(spark, sf).unionByName(country), ())
+    counts = W.stations_in(_stations(spark, sf), cells).select("warning_id", "info_index", "n_stations")
+    every = w.select("warning_id", F.explode(F.array(*[F.lit(i) for i in (0, 1, 2)])).alias("info_index"))
+    return every.join(counts, ["warning_id", "info_index"], "left").select("warning_id", "info_index", F.coalesce("n_stations", F.lit(0)).alias("n_stations"))
+
+
+@query("warning_urls", "select distinct 'cap/'||(s_suppkey%70) as url from supplier where s_suppkey%6<>0")
 def warning_urls(spark, sf):
-    k = F.col("n_nationkey")
-    items = table(spark, sf, "nation").select(F.when(k % 6 != 0, F.concat(F.lit("cap/"), (k % 7).cast("string"))).alias("url"), k.alias("id"))
+    k = F.col("s_suppkey")
+    items = table(spark, sf, "supplier").select(F.when(k % 6 != 0, F.concat(F.lit("cap/"), (k % 70).cast("string"))).alias("url"), k.alias("id"))
     return W.distinct_urls(items).select("url")
 
 
 # ---- radar -------------------------------------------------------------------------------
-# Rain fields of five regions over five frames: in one the newest frames are dry, one has a single frame.
+# Rain fields over five frames in a window of 300 x 300 pixels, a region per 400 parts: in one of five the newest frames
+# are dry, one has a single frame.
 _PIXELS = """
-pixels as (select p_partkey%5 as region, f*600 as frame_time, (p_partkey%60)+(2+2*(p_partkey%5))*f as x, ((p_partkey*7)%60)+4*f as y, max(1+p_size%4) as bucket
-  from part cross join (select unnest(range(0,5)) as f) where p_partkey%5<3 or (p_partkey%5=3 and f<3) or (p_partkey%5=4 and f=4) group by 1,2,3,4)
+spots as (select p_partkey//400 as region, p_partkey%400 as k, p_size from part),
+pixels as (select region, f*600 as frame_time, (k*37)%260+(2+2*(region%5))*f as x, (k*k*7+k*89)%260+4*f as y, max(1+p_size%4) as bucket
+  from spots cross join (select unnest(range(0,5)) as f) where region%5<3 or (region%5=3 and f<3) or (region%5=4 and f=4) group by 1,2,3,4)
 """
 
 
 def _pixels(spark, sf):
-    k = F.col("p_partkey")
-    p = table(spark, sf, "part").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    p = p.filter((k % 5 < 3) | ((k % 5 == 3) & (F.col("f") < 3)) | ((k % 5 == 4) & (F.col("f") == 4)))
+    region, k, f = F.col("region"), F.col("k"), F.col("f")
+    p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 400).alias("region"), (F.col("p_partkey") % 400).alias("k"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("f"))
+    p = p.filter((region % 5 < 3) | ((region % 5 == 3) & (f < 3)) | ((region % 5 == 4) & (f == 4)))
     return p.groupBy(
-        (k % 5).cast("long").alias("region"), (F.col("f") * 600).alias("frame_time"),
-        (k % 60 + (2 + 2 * (k % 5)) * F.col("f")).cast("int").alias("x"), (k * 7 % 60 + 4 * F.col("f")).cast("int").alias("y"),
+        region.cast("long").alias("region"), (f * 600).alias("frame_time"),
+        (k * 37 % 260 + (2 + 2 * (region % 5)) * f).cast("int").alias("x"), ((k * k * 7 + k * 89) % 260 + 4 * f).cast("int").alias("y"),
     ).agg(F.max(1 + F.col("p_size") % 4).cast("int").alias("bucket"))
 
 
-_CX, _CY, _LAT = 40, 40, 13.8692387
+_CX, _CY, _LAT = 150, 150, 13.8692387
 _RING_SQL = ", ".join(f"coalesce(max(bucket) filter (where km>{a} and km<={b}),0)::int as {n}" for n, a, b in
                       (("intensity_0_10km", 0, 10), ("intensity_10_25km", 10, 25), ("intensity_25_50km", 25, 50), ("intensity_50_100km", 50, 100)))
 _RINGS_CTE = f"""
 kp as (select *, sqrt((x-{_CX})**2+(y-{_CY})**2)*156543.03392*cos(radians({_LAT}))/128/1000 as km from pixels),
 rg as (select region, frame_time, {_RING_SQL}, coalesce(max(bucket) filter (where x={_CX} and y={_CY}),0)::int as point_intensity,
-  coalesce(max(bucket) filter (where x>=0 and x<48 and y>=0 and y<48),0)::int as nearby_max_intensity from kp group by 1,2),
+  coalesce(max(bucket) filter (where x>=128 and x<176 and y>=128 and y<176),0)::int as nearby_max_intensity from kp group by 1,2),
 rings as (select *, greatest(intensity_0_10km, intensity_10_25km) as close_max_intensity from rg)
 """
 _RING_COLS = "intensity_0_10km, intensity_10_25km, intensity_25_50km, intensity_50_100km, point_intensity, nearby_max_intensity, close_max_intensity"
 
 
 def _rings(spark, sf):
-    return R.ring_maxima(_pixels(spark, sf), ["region"], F.lit(_CX), F.lit(_CY), meters_per_pixel(F.lit(_LAT)), home=(0, 48, 0, 48))
+    return R.ring_maxima(_pixels(spark, sf), ["region"], F.lit(_CX), F.lit(_CY), meters_per_pixel(F.lit(_LAT)), home=(128, 176, 128, 176))
 
 
 @query("radar_rings", with_ctes(_PIXELS, _RINGS_CTE) + f"select region, frame_time, {_RING_COLS} from rings")
@@ -319,10 +340,10 @@ def radar_trend(spark, sf):
     return R.ring_trend(_rings(spark, sf), ["region"]).select("region", "frame_time", "close_max_intensity", "trend_rising")
 
 
-_GRID = GridPolicy(window=160, frames=4)
+_GRID = GridPolicy(frames=4)
 # Motion by brute force over all wet pixel pairs within the shift range.
 _MOTION = """
-wp as (select * from pixels where x>=0 and x<120 and y>=0 and y<120),
+wp as (select * from pixels where x>=0 and x<300 and y>=0 and y<300),
 ft as (select region, frame_time, lead(frame_time) over (partition by region order by frame_time) as nt from (select r.region, f.frame_time from (select distinct region from pixels) r, (select distinct frame_time from pixels order by 1 desc limit 4) f)),
 ne as (select distinct region, frame_time from wp),
 ok as (select ft.* from ft join ne a on a.region=ft.region and a.frame_time=ft.frame_time join ne b on b.region=ft.region and b.frame_time=ft.nt),
@@ -349,8 +370,8 @@ def radar_motion(spark, sf):
 _ETA = """
 vl as (select region, avg(dx/10.0::double) as vx, avg(dy/10.0::double) as vy, count(*) as pairs, stddev_pop(dx/10.0::double)+stddev_pop(dy/10.0::double) as spread from mv group by 1),
 sp as (select *, sqrt(vx*vx+vy*vy) as speed from vl),
-st as (select sp.*, t, cast(round_even(40-vx*t,0) as int) as sx, cast(round_even(40-vy*t,0) as int) as sy from sp cross join (select unnest(range(0,121,5)) as t)),
-hz as (select st.region, min(t) filter (where sx<0 or sy<0 or sx>=120 or sy>=120) as edge, min(case when p.bucket is not null then t*10+p.bucket end) as hit
+st as (select sp.*, t, cast(round_even(150-vx*t,0) as int) as sx, cast(round_even(150-vy*t,0) as int) as sy from sp cross join (select unnest(range(0,121,5)) as t)),
+hz as (select st.region, min(t) filter (where sx<0 or sy<0 or sx>=300 or sy>=300) as edge, min(case when p.bucket is not null then t*10+p.bucket end) as hit
   from st left join wp p on p.region=st.region and p.frame_time=2400 and p.x=st.sx and p.y=st.sy group by 1),
 et as (select sp.*, hit is not null and (edge is null or hit//10<edge) and speed>1e-6 as arr, hit from sp join hz on hz.region=sp.region)
 """
@@ -366,7 +387,7 @@ union all select region, null, null, null, false, null, null, null, null, 0.0 fr
 def radar_eta(spark, sf):
     cropped, frames, shifts = _shifts(spark, sf)
     speed = R.velocity(shifts, ["region"], 4, meters_per_pixel(F.lit(_LAT)))
-    out = R.outlook(cropped, frames, speed, ["region"], F.lit(_CX), F.lit(_CY), F.lit(120), F.lit(120), _GRID)
+    out = R.outlook(cropped, frames, speed, ["region"], F.lit(_CX), F.lit(_CY), F.lit(_GRID.window), F.lit(_GRID.window), _GRID)
     return out.select("region", "pairs", rd("vx").alias("vx"), rd("vy").alias("vy"), "rain_arriving", F.col("eta_minutes").cast("int").alias("eta_minutes"),
                       "expected_intensity", "motion_deg", rd("motion_kmh", 1).alias("motion_kmh"), rd("confidence", 2).alias("confidence"))
 

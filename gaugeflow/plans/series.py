@@ -115,13 +115,16 @@ def _moved(spark, sf):
     return moved, F.timestamp_micros(now_us)
 
 
-@query("tail_extend", _stations_sql("""
+TAIL_SQL = _stations_sql("""
 , newest as (select m.*, epoch_us(now_ts)-epoch_us(ts) as age from moved m, clock
              where (station_id, ts) in (select (station_id, max(ts)) from moved group by station_id)),
 tail as (select station_id, rn, ts + to_minutes(unnest(range(1, 1 + cast((age-20000000)//60000000 as bigint)))) as ts, temp, rain_flag
          from newest where age>180000000 and age<=600000000)
 select station_id, epoch_us(ts) as ts_us, rn, round(temp,6)+0.0 as temp, 0.0::double as filled, 0.0::double as tail from moved
-union all select station_id, epoch_us(ts), rn, round(temp,6)+0.0, 1.0, 1.0 from tail"""))
+union all select station_id, epoch_us(ts), rn, round(temp,6)+0.0, 1.0, 1.0 from tail""")
+
+
+@query("tail_extend", TAIL_SQL)
 def tail_extend(spark, sf):
     df, now = _moved(spark, sf)
     return S.extend_tail(df, now).select(

@@ -7,43 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.physics import comfort_class, heat_index
 from ..operators.chunks import KEY, bucket, micros
-from ..policy import MINUTE, LiveRule, MatchRule
+from ..policy import MINUTE, RAIN_THRESHOLD, LiveRule, MatchRule
+from .storage import store_unique  # noqa: F401  (part of ingest)
 
 
 def unique_readings(stream: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """First arrival of each (station, time); state is dropped once the watermark passes.
 
     A row later than ``delay`` is dropped by the engine: where such rows must be
-    kept, use ``store_unique``.
+    kept, use ``storage.store_unique``.
     """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([KEY, ts])
 
 
-def store_unique(stream: DataFrame, out: str, checkpoint: str, ts: str = "ts") -> DataFrame:
-    """Store the first arrival of each (station, time) however late it comes; returns the stored table.
-
-    No state and no watermark: a micro-batch is compared with what the earlier
-    ones stored for its dates.  It lands in a folder of its own, so a replay
-    after a failure overwrites it.
-    """
-    spark = stream.sparkSession
-    dated = stream.schema.add("date", "date").add("batch", "long")
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates([KEY, ts]).withColumn("date", F.to_date(ts)).persist()
-        if batch_id:
-            days = [r["date"] for r in rows.select("date").distinct().collect()]
-            old = spark.read.schema(dated).option("basePath", out).parquet(f"{out}/batch=*")
-            old = old.filter(F.col("date").isin(days) & (F.col("batch") < batch_id))
-            rows.join(old.select(KEY, ts), [KEY, ts], "left_anti").write.mode("overwrite").partitionBy("date").parquet(f"{out}/batch={batch_id}")
-        else:
-            rows.write.mode("overwrite").partitionBy("date").parquet(f"{out}/batch={batch_id}")
-        rows.unpersist()
-
-    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(dated).option("basePath", out).parquet(f"{out}/batch=*").drop("batch", "date")
-
-
 def fresh_rows(stream: DataFrame, now: Column, observed: Column, limit: Column | float, rule: LiveRule = LiveRule()) -> DataFrame:
     """Rows whose observation is at most ``limit`` seconds old and not in the future."""
     age = (F.unix_micros(now) - F.unix_micros(observed)) / 1e6
@@ -72,6 +48,45 @@ def outcomes(
     return f.join(r, near).drop("_station", "_bucket", "_slot")
 
 
+def settled_outcomes(forecasts: DataFrame, readings: DataFrame, delay: float = 300.0, rule: MatchRule = MatchRule(), width: int = 10 * MINUTE) -> DataFrame:
+    """Every forecast once it has matured, with the reading that settles it, or with none.
+
+    A forecast comes out when both streams have passed the end of its time slot
+    by ``rule.max_lead`` minutes, the tolerance and ``delay`` seconds: all
+    forecasts issued with it are due then, and no reading of it can still come.
+    It gets the reading that ``match_point`` picks (``matched_at, rain_flag,
+    actual``); these are null if no reading is within reach.
+
+    An outer join on slots: forecasts of a (station, slot) and the readings
+    within reach of the slot are one state row, so a busy station is dealt to
+    many tasks and a row of state holds ten minutes of one station. A reading
+    near an edge is copied to the neighbouring slot. Equal forecasts each come
+    out; rows without a time are no rows.
+    """
+    tol = micros(rule.point_tolerance)
+    wait = f"{int(delay + rule.max_lead * 60 + rule.point_tolerance)} seconds"
+    given = ("issued_at", "valid_at", "lead_minutes", "rain_prob", "source_layer")
+    forecast, reading = F.struct(*given), F.struct(F.unix_micros("ts").alias("us"), F.col("rain_flag").alias("rain"))
+    f = forecasts.select(KEY, F.col("valid_at").alias("_at"), forecast.alias("_f"))
+    us, slot = F.unix_micros("ts"), F.col("_slot")
+    r = readings.select(KEY, "ts", "rain_flag", F.explode(F.sequence(bucket(us - tol, width), bucket(us + tol, width))).alias("_slot"))
+    r = r.select(KEY, F.timestamp_micros(F.greatest(slot * width, F.least(us, (slot + 1) * width - 1))).alias("_at"), reading.alias("_r"))
+    both = f.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withWatermark("_at", wait).unionByName(
+        r.withColumn("_f", F.lit(None).cast(f.schema["_f"].dataType)).withWatermark("_at", wait))
+    held = both.groupBy(KEY, F.window("_at", f"{width} microseconds")).agg(F.collect_list("_f").alias("_fs"), F.collect_list("_r").alias("_rs"))
+    due = held.select(KEY, "_rs", F.explode("_fs").alias("f"))
+    at = F.unix_micros("f.valid_at")
+
+    def distance(x: Column) -> Column:
+        step = bucket(x["us"], MINUTE) - bucket(at, MINUTE)
+        rank = F.when(step == 0, 0).when(step == -1, 1).when(step == 1, 2)
+        return F.when(rank.isNotNull() & (F.abs(x["us"] - at) <= tol), F.struct(F.abs(x["us"] - at).alias("d"), rank.alias("rank"), x["us"].alias("us"), x["rain"].alias("rain")))
+
+    best = due.withColumn("_m", F.array_min(F.filter(F.transform("_rs", distance), lambda m: m.isNotNull())))
+    return best.select(
+        KEY, *[f"f.{c}" for c in given], F.timestamp_micros("_m.us").alias("matched_at"), F.col("_m.rain").alias("rain_flag"), (F.col("_m.rain") > RAIN_THRESHOLD).cast("int").alias("actual"))
+
+
 def summaries(stream: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "1 hour", offset: str | None = None) -> DataFrame:
     """Period summary per station in tumbling or sliding event-time windows.
 
