@@ -18,11 +18,14 @@ from .scoring import hour_of
 GLOBAL, LEAD, HOUR_SCOPE = "global", "lead", "hour"
 
 
-def _scoped(pairs: DataFrame, error: str, scopes: Sequence[str], by: Sequence[str]) -> DataFrame:
+def error_state(pairs: DataFrame, error: str = "error_c", by: Sequence[str] = ()) -> DataFrame:
+    """How often each error occurs per lead and issue hour: all that the fits need, and counts can be added up."""
+    known = pairs.filter(F.col(error).isNotNull() & F.col("lead_hours").isNotNull())
+    return known.groupBy(*by, "lead_hours", "issue_hour", F.col(error).alias("error")).agg(F.count(F.lit(1)).alias("_k"))
+
+
+def _scoped(small: DataFrame, scopes: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per (scope, key, distinct error), equal errors collapsed before the scopes multiply them."""
-    small = pairs.filter(F.col(error).isNotNull() & F.col("lead_hours").isNotNull()).groupBy(
-        *by, "lead_hours", "issue_hour", F.col(error).alias("error")
-    ).agg(F.count(F.lit(1)).alias("_k"))
     kinds = {
         GLOBAL: F.lit(None).cast("int"), LEAD: F.col("lead_hours").cast("int"),
         HOUR_SCOPE: F.pmod(F.col("issue_hour"), F.lit(24)).cast("int"),
@@ -32,8 +35,8 @@ def _scoped(pairs: DataFrame, error: str, scopes: Sequence[str], by: Sequence[st
     return rows.filter((F.col("scope") == GLOBAL) | F.col("key").isNotNull())
 
 
-def _fit(pairs: DataFrame, error: str, scopes, by, qs, min_samples: int) -> DataFrame:
-    rows = _scoped(pairs, error, scopes, by).groupBy(*by, "scope", "key", "error").agg(F.sum("_k").alias("_k"))
+def _fit(small: DataFrame, scopes, by, qs, min_samples: int) -> DataFrame:
+    rows = _scoped(small, scopes, by).groupBy(*by, "scope", "key", "error").agg(F.sum("_k").alias("_k"))
     # Integer multiplicities expand the rank arithmetic, not the rows.
     return weighted_quantiles(rows, [*by, "scope", "key"], "error", "_k", qs, min_samples)
 
@@ -53,15 +56,25 @@ def fit_bias(pairs: DataFrame, error: str = "error_c", by: Sequence[str] = (), p
     ``min_samples`` pairs are left out, and so is the whole model of a group
     whose global scope is too small.
     """
-    fit = _fit(pairs, error, (GLOBAL, LEAD, HOUR_SCOPE), by, (0.5,), policy.min_samples)
+    return bias_of_states(error_state(pairs, error, by), by, policy)
+
+
+def bias_of_states(states: DataFrame, by: Sequence[str] = (), policy: BiasPolicy = BiasPolicy()) -> DataFrame:
+    """The model that ``fit_bias`` makes of the pairs behind the states (see ``error_state``)."""
+    fit = _fit(states, (GLOBAL, LEAD, HOUR_SCOPE), by, (0.5,), policy.min_samples)
     return fit.select(
         *by, "scope", "key", "n", rounded(F.element_at("q", 1), 6).alias("median_c"), rounded(F.col("mean"), 6).alias("mean_c"))
 
 
 def fit_interval(pairs: DataFrame, error: str = "error_c", by: Sequence[str] = (), policy: IntervalPolicy = IntervalPolicy()) -> DataFrame:
     """Residual quantiles bounding ``coverage`` of the errors: global and per lead."""
+    return interval_of_states(error_state(pairs, error, by), by, policy)
+
+
+def interval_of_states(states: DataFrame, by: Sequence[str] = (), policy: IntervalPolicy = IntervalPolicy()) -> DataFrame:
+    """The model that ``fit_interval`` makes of the pairs behind the states (see ``error_state``)."""
     tail = (1.0 - policy.coverage) * 50.0 / 100.0
-    fit = _fit(pairs, error, (GLOBAL, LEAD), by, (tail, 1.0 - tail, 0.5), policy.min_samples)
+    fit = _fit(states, (GLOBAL, LEAD), by, (tail, 1.0 - tail, 0.5), policy.min_samples)
     q = [rounded(F.element_at("q", i), 4) for i in (1, 2, 3)]
     return fit.select(
         *by, "scope", "key", "n",

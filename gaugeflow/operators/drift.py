@@ -12,17 +12,26 @@ from .lineage import cut
 from .quantiles import quantiles_of_counts
 
 
-def long_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value) rows without nulls; features absent from the frame give none."""
+def long_features(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(feature, value) rows without nulls, after the columns ``by``; features absent from the frame give none."""
     present = [f for f in features if f in df.columns]
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in present])
-    return df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Distinct values per feature with their multiplicity, stored because several steps read them."""
-    counts = long_features(df, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
-    return cut(counts, "values")
+    return cut(value_state(df, features), "values")
+
+
+def value_state(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """How often each value of each feature occurs: all that the baseline and the comparison need, and counts can be added up."""
+    return long_features(df, features, by).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def merged_values(states: DataFrame) -> DataFrame:
+    """Value states of several days added up, stored because several steps read them."""
+    return cut(states.groupBy("feature", "value").agg(F.sum("_c").alias("_c")), "values")
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -51,7 +60,11 @@ def total(a: Column) -> Column:
 
 def baseline(df: DataFrame, features: Sequence[str], policy: DriftPolicy = DriftPolicy()) -> DataFrame:
     """Per feature: n, mean, population std, unique quantile edges, smoothed bin proportions."""
-    counted = value_counts(df, features)
+    return baseline_of_values(value_counts(df, features), policy)
+
+
+def baseline_of_values(counted: DataFrame, policy: DriftPolicy = DriftPolicy()) -> DataFrame:
+    """The baseline of counted values (see ``value_counts`` and ``merged_values``)."""
     qs = [k / policy.bins for k in range(policy.bins + 1)]
     mean = F.sum(F.col("value") * F.col("_c")) / F.sum("_c")
     quantiles = quantiles_of_counts(counted, ["feature"], "value", qs, extra=[mean.alias("mean")], stored=True)
@@ -74,7 +87,11 @@ def compare(df: DataFrame, base: DataFrame, features: Sequence[str], policy: Dri
 
     A baseline feature without recent values is reported as ``missing``.
     """
-    counted = value_counts(df, features)
+    return compare_values(value_counts(df, features), base, policy)
+
+
+def compare_values(counted: DataFrame, base: DataFrame, policy: DriftPolicy = DriftPolicy()) -> DataFrame:
+    """The comparison of counted values (see ``value_counts`` and ``merged_values``) with a baseline."""
     hist = _histogram(counted, base.select("feature", "edges")).drop("edges")
     moments = counted.groupBy("feature").agg(
         F.sum("_c").alias("n_recent"), (F.sum(F.col("value") * F.col("_c")) / F.sum("_c")).alias("mean_recent"))

@@ -80,3 +80,69 @@ def snapshot_fingerprint(df: DataFrame, by: Sequence[str], order: str, doubles:
     row = F.struct(F.unix_micros(order).alias("_o"), F.concat_ws(":", F.unix_micros(order).cast("string"), *map(shown, values)).alias("_t"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["_t"]), "|")
     return df.groupBy(*by).agg(F.substring(F.sha2(text, 256), 1, 20).alias("snapshot_id"))
+
+
+#: A string, a number, or anything between them, in JSON text.
+_TOKENS = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+
+
+def canonical(value: Column) -> Column:
+    """One text for equal contents, whatever the nesting and the order of keys.
+
+    Struct, map, array or variant; as JSON with sorted keys, nulls kept, and every
+    number with six decimals, so that 1 and 1.0 are equal.
+    """
+    text = F.to_json(F.parse_json(F.to_json(value, {"ignoreNullFields": "false"})))
+
+    def shown(token: Column) -> Column:
+        number = rounded(token.cast("double"), 6) + F.lit(0.0)
+        return F.when(token.rlike("^-?[0-9]"), F.format_string("%.6f", number)).otherwise(token)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), shown), "")
+
+
+def short_hash(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 20)
+
+
+# What of a forecast makes it the same one or another.
+HOURLY_FIELDS = ("time", "temp", "rain_prob", "precip_mm", "wind_kmh", "condition")
+DAILY_FIELDS = ("date", "temp_min", "temp_max", "rain_prob_max", "precip_mm", "condition")
+NOWCAST_FIELDS = ("lead_min", "rain_prob")
+STATUS_FIELDS = ("status", "fetched_at_utc")
+
+
+def _entries(forecasts: DataFrame, column: str, fields: Sequence[str]) -> Column:
+    """The named fields of an array of structs, null where it has none; entries without the first field count only if it is no key."""
+    if column not in forecasts.columns:
+        return F.array()
+    known = forecasts.schema[column].dataType.elementType.names
+    entries = F.coalesce(F.col(column), F.array().cast(forecasts.schema[column].dataType))
+    if fields[0] in ("time", "date"):
+        entries = F.filter(entries, lambda e: F.coalesce(e[fields[0]].cast("string"), F.lit("")) != "")
+    return F.transform(entries, lambda e: F.struct(*[(e[f] if f in known else F.lit(None).cast("string")).alias(f) for f in fields]))
+
+
+def snapshot_payload(forecasts: DataFrame) -> Column:
+    """What of a forecast object identifies it, from the columns that the table has.
+
+    ``hourly, daily, nowcast`` (arrays of structs), ``source_status`` (map from
+    a source to a struct), ``status, sources, station, model_version``. The age
+    of a cache changes with every request and is left out; when the provider's
+    data were fetched is kept.
+    """
+    def given(name: str) -> Column:
+        return F.col(name) if name in forecasts.columns else F.lit(None).cast("string")
+
+    status: Column = F.lit(None).cast("string")
+    if "source_status" in forecasts.columns:
+        known = forecasts.schema["source_status"].dataType.valueType.names
+        status = F.transform_values("source_status", lambda _, s: F.struct(*[(s[f] if f in known else F.lit(None).cast("string")).alias(f) for f in STATUS_FIELDS]))
+    return F.struct(
+        *[given(c).alias(c) for c in ("status", "sources", "station", "model_version")], status.alias("source_status"),
+        _entries(forecasts, "nowcast", NOWCAST_FIELDS).alias("nowcast"), _entries(forecasts, "hourly", HOURLY_FIELDS).alias("hourly"), _entries(forecasts, "daily", DAILY_FIELDS).alias("daily"))
+
+
+def with_snapshot_id(forecasts: DataFrame) -> DataFrame:
+    """``snapshot_id``: equal for forecasts of equal contents, see ``snapshot_payload``."""
+    return forecasts.withColumn("snapshot_id", short_hash(canonical(snapshot_payload(forecasts))))

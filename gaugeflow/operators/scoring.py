@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +88,24 @@ def score(graded: DataFrame, by=(KEY, "source_layer", "lead_minutes")) -> DataFr
     return out.withColumn("skill_score", F.when(base > 0, 1.0 - F.col("brier_score") / base))
 
 
+def score_state(graded: DataFrame, by: Sequence[str] = (KEY, "source_layer", "lead_minutes")) -> DataFrame:
+    """What some forecasts contribute to the score of their group: counts and sums that can be merged."""
+    p, y, c = F.col("rain_prob"), F.col("actual").cast("double"), F.col("climatology")
+    return graded.filter(F.col("actual").isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(c).alias("with_climatology"), F.sum((p - y) * (p - y)).alias("brier"), F.sum((c - y) * (c - y)).alias("climatology"),
+        F.sum(p).alias("predicted"), F.sum(y).alias("observed"))
+
+
+def score_of_states(states: DataFrame, by: Sequence[str] = (KEY, "source_layer", "lead_minutes")) -> DataFrame:
+    """The scores that ``score`` makes of the forecasts behind the states."""
+    n = F.sum("rows")
+    out = states.groupBy(*by).agg(
+        n.alias("n"), (F.sum("brier") / n).alias("brier_score"), F.when(F.sum("with_climatology") == n, F.sum("climatology") / n).alias("climatology_brier"),
+        (F.sum("predicted") / n).alias("mean_predicted"), (F.sum("observed") / n).alias("mean_observed"))
+    base = F.col("climatology_brier")
+    return out.withColumn("skill_score", F.when(base > 0, 1.0 - F.col("brier_score") / base))
+
+
 def score_recent(
     forecasts: DataFrame, readings: DataFrame, now: Column, rule: MatchRule = MatchRule(), layers=WINDOW_LAYERS,
 ) -> DataFrame:

@@ -33,6 +33,29 @@ def period_summary(readings: DataFrame, by: Sequence[Column | str]) -> DataFrame
     return out.withColumn("comfort_level_peak", comfort_class(F.col("heat_index_max")))
 
 
+_MEASURES = ("temp", "humidity", "pressure", "_heat")
+
+
+def summary_state(readings: DataFrame, by: Sequence[Column | str]) -> DataFrame:
+    """What a part of a period contributes to its summary: extremes, sums and counts that can be merged."""
+    df = readings.withColumn("_heat", heat_index(F.col("temp"), F.col("humidity")))
+    parts = [f(c).alias(f"{n}_{c}") for c in _MEASURES for n, f in (("min", F.min), ("max", F.max), ("sum", F.sum), ("known", F.count))]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("rain_flag") > 0, 1)).alias("rainy"), *parts)
+
+
+def summary_of_states(states: DataFrame, by: Sequence[Column | str]) -> DataFrame:
+    """The summary that ``period_summary`` makes of the rows behind the states."""
+    def mean(c: str) -> Column:
+        return F.sum(f"sum_{c}") / F.sum(f"known_{c}")
+
+    out = states.groupBy(*by).agg(
+        F.sum("rows").alias("count"),
+        *[x for c in _MEASURES[:2] for x in (F.min(f"min_{c}").alias(f"{c}_min"), F.max(f"max_{c}").alias(f"{c}_max"), mean(c).alias(f"{c}_avg"))],
+        F.min("min_pressure").alias("pressure_min"), F.max("max_pressure").alias("pressure_max"), F.sum("rainy").cast("double").alias("rain_minutes"),
+        F.max("max__heat").alias("heat_index_max"), mean("_heat").alias("heat_index_avg"))
+    return out.withColumn("comfort_level_peak", comfort_class(F.col("heat_index_max")))
+
+
 def daily_summary(readings: DataFrame) -> DataFrame:
     return period_summary(readings, [KEY, F.to_date(local("ts")).alias("date")])
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as C
+from ..operators import daily as DS
 from ..operators import drift as D
 from ..operators.chunks import KEY
-from ..operators.lineage import cut
+from ..operators.lineage import cut, fresh_path
 from ..policy import BiasPolicy, IntervalPolicy
 from .fixtures import NWP, READINGS, nwp_log, readings, with_ctes
 from .matching import NEAREST
@@ -178,3 +179,42 @@ select round(avg(psi),5)+0.0 as mean_psi, count(*) as n_features, coalesce(strin
 def drift_summary(spark, sf):
     return D.summary(_drift(spark, sf)).select(
         rd("mean_psi", 5).alias("mean_psi"), "n_features", F.array_join("high_drift_features", ",").alias("high"))
+
+
+# ---- the same models from states of days -----------------------------------------------
+def _by_day(spark, rows, date, state, name):
+    """Stored in two steps, the newest date last, as a daily job would."""
+    folder = fresh_path(spark, name)
+    rows = cut(rows.withColumn("_d", date), name)
+    newest = rows.agg(F.max("_d")).scalar()
+    for part in (rows.filter(F.col("_d") < newest), rows.filter(F.col("_d") == newest)):
+        DS.add_days(part, folder, F.col("_d"), state)
+    return folder
+
+
+@query("daywise_bias", with_ctes(*_BASE, BIAS_SQL) + "select scope, key, n, round(med,5)+0.0 as median_c, round(round(mean,6),5)+0.0 as mean_c from bias")
+def daywise_bias(spark, sf):
+    folder = _by_day(spark, _pairs(spark, sf), DS.day_of("valid_at"), lambda df, by: C.error_state(df, by=by), "bias-states")
+    fit = C.bias_of_states(DS.states(spark, folder), policy=BIAS)
+    return fit.select("scope", "key", "n", rd("median_c", 5).alias("median_c"), rd("mean_c", 5).alias("mean_c"))
+
+
+@query("daywise_interval", with_ctes(*_BASE, _interval_sql("pairs")) + """
+select station_id, scope, key, n, round(lo,4)+0.0 as lower_error_c, round(hi,4)+0.0 as upper_error_c, round(mid,4)+0.0 as median_error_c from iv""")
+def daywise_interval(spark, sf):
+    folder = _by_day(spark, _pairs(spark, sf), DS.day_of("valid_at"), lambda df, by: C.error_state(df, by=[*by, KEY]), "interval-states")
+    fit = C.interval_of_states(DS.states(spark, folder), by=[KEY], policy=INTERVAL)
+    return fit.select(KEY, "scope", "key", "n", *[rd(c, 4).alias(c) for c in ("lower_error_c", "upper_error_c", "median_error_c")])
+
+
+def _at_midnight(sql: str) -> str:
+    return sql.replace("2024-01-02 06:00:00", "2024-01-02 00:00:00")
+
+
+@query("daywise_drift", _at_midnight(with_ctes(READINGS, *_LONG, _BASELINE, _COMPARE)) + """
+select feature, n, round(psi,5)+0.0 as psi, round(shift,5)+0.0 as mean_shift, case when n=0 then 'missing' when psi>=0.25 then 'high' when psi>=0.1 then 'watch' else 'ok' end as status from dr""")
+def daywise_drift(spark, sf):
+    folder = _by_day(spark, readings(spark, sf), DS.day_of("ts"), lambda df, by: D.value_state(df, FEATURES, by), "drift-states")
+    base = D.baseline_of_values(D.merged_values(DS.states(spark, folder, before="2024-01-02")))
+    recent = D.merged_values(DS.states(spark, folder, first="2024-01-02"))
+    return D.compare_values(recent, base).select("feature", "n", rd("psi", 5).alias("psi"), rd("mean_shift", 5).alias("mean_shift"), "status")

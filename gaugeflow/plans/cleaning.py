@@ -11,6 +11,7 @@ from ..operators import clean as C
 from ..operators import entities as EN
 from ..operators import summaries as S
 from ..operators.chunks import KEY
+from ..operators.lineage import fresh_path
 from ..sources import forecasts as SF
 from ..sources import history as SH
 from .fixtures import FORECASTS, NWP, READINGS, forecast_log, nwp_log, readings, table, with_ctes
@@ -162,6 +163,45 @@ def csv_coerce(spark, sf):
     return df.select(KEY, "rn", F.unix_micros("timestamp").alias("ts_us"), rd("temp", 4).alias("temp"), "humidity", rd("pressure", 4).alias("pressure"), "light")
 
 
+@query("csv_versions", with_ctes(READINGS) + """
+select station_id, rn, epoch_us(ts) as ts_us, round(temp,4)+0.0 as temp, humidity, round(pressure,4)+0.0 as pressure, case when rn%5<2 or rn%3=0 then null else light end as light,
+ case when rn%5=4 then round(wind_speed,6)+0.0 end as wind_speed
+from readings where rn%13<>0 and rn%17<>0 and rn%19<>0""")
+def csv_versions(spark, sf):
+    """A folder of files in three versions of the header, written and then read without naming them."""
+    folder = fresh_path(spark, "csv-versions")
+    lines = _lines(spark, sf).join(readings(spark, sf).select(KEY, "rn", F.col("wind_speed").cast("string").alias("wind_speed")), [KEY, "rn"])
+    core = ["timestamp", "temp", "humidity", "pressure", "rain_flag"]
+    versions = {"rn % 5 < 2": [KEY, "rn", *core], "rn % 5 in (2, 3)": [*core, "light", KEY, "rn"], "rn % 5 = 4": ["rn", KEY, "wind_speed", *core, "light"]}
+    for which, columns in versions.items():
+        lines.filter(which).select(*columns).write.mode("append").option("header", True).csv(folder)
+    df = SH.scan_folder(spark, folder, key=[KEY, "rn"])
+    return df.select(
+        F.col(KEY).cast("long").alias(KEY), F.col("rn").cast("long").alias("rn"), F.unix_micros("timestamp").alias("ts_us"), rd("temp", 4).alias("temp"), "humidity",
+        rd("pressure", 4).alias("pressure"), "light", rd("wind_speed").alias("wind_speed"))
+
+
+@query("sink_round_trip", with_ctes(READINGS) + """
+select station_id, epoch_us(ts) as ts_us, round(case when ts::date = date '2024-01-02' then temp + 1 else temp end, 6)+0.0 as temp, cast(ts::date as varchar) as date from readings""")
+def sink_round_trip(spark, sf):
+    """Readings appended by date, one date then replaced, and all read back."""
+    path = fresh_path(spark, "by-date")
+    r = readings(spark, sf).select(KEY, "ts", "temp")
+    SH.append_by_date(r, path)
+    SH.replace_dates(r.filter("to_date(ts) = date'2024-01-02'").withColumn("temp", F.col("temp") + 1), path)
+    return spark.read.parquet(path).select(KEY, ts_us("ts"), rd("temp").alias("temp"), F.col("date").cast("string").alias("date"))
+
+
+@query("report_round_trip", with_ctes(READINGS) + "select station_id, date_part('hour', ts)::int as hour, count(*) as n, round(avg(temp),5)+0.0 as temp_avg from readings group by all")
+def report_round_trip(spark, sf):
+    """A report written as CSV by station and read back."""
+    path = fresh_path(spark, "report")
+    report = readings(spark, sf).groupBy(KEY, F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), rd(F.avg("temp"), 5).alias("temp_avg"))
+    SH.write_report(report, path, by=(KEY,), fmt="csv")
+    return spark.read.option("header", True).schema("hour int, n long, temp_avg double").csv([f"{path}/{KEY}=*"]).withColumn(
+        KEY, F.regexp_extract(F.input_file_name(), rf"{KEY}=(\d+)", 1).cast("long"))
+
+
 @query("csv_backfill", with_ctes(READINGS) + """
 , c as (select *, row_number() over (partition by station_id, ts order by rn) as k from readings where rn%13<>0 and rn%17<>0 and rn%19<>0
    and not exists (select 1 from readings s where s.station_id=readings.station_id and s.ts + interval 21 minutes = readings.ts))

@@ -141,6 +141,15 @@ def stream_stored(spark, sf):
     return stored.select(KEY, ts_us("ts"), "event_id", "event_type")
 
 
+@query("stream_upsert", "select user_id, max(event_id) as version, arg_max(event_type, event_id) as state, epoch_us(arg_max(ts, event_id)) as ts_us from events group by 1")
+def stream_upsert(spark, sf):
+    """States by key, of writers that come in any order."""
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("version"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = staged_stream(e.withColumn("_o", F.hash("version")), "states", "_o").drop("_o")
+    kept = SG.keep_latest(stream, ["user_id"], "version", fresh_path(spark, "upsert"), fresh_path(spark, "upsert-state"))
+    return kept.select("user_id", "version", "state", ts_us("ts"))
+
+
 @query("stream_revisions", with_ctes(READINGS, NWP, _HOURLY, _REVISION) + "select station_id, epoch_us(issued_hour) as issued_us, status from rev")
 def stream_revisions(spark, sf):
     stream = staged_stream(_hourly(spark, sf).drop("weathercode", "lead_hours"), "issues", "issued_hour")

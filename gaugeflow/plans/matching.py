@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import asof as A
 from ..operators import scoring as S
+from ..operators import daily as DS
 from ..operators.chunks import KEY
+from ..operators.lineage import fresh_path
 from .fixtures import FORECASTS, NWP, READINGS, forecast_log, nwp_log, readings, with_ctes
 from .registry import query, rd, sql_rd, ts_us
 
@@ -163,3 +165,12 @@ NOW = "2024-01-02 12:00:00"
  and issued_at < timestamp '{NOW}' - interval 121 minutes - interval 30 seconds"""))
 def forecast_score_recent(spark, sf):
     return _scores(S.score_recent(forecast_log(spark, sf), readings(spark, sf), F.expr(f"timestamp'{NOW}'")))
+
+
+@query("daywise_score", _recursive(*_GRADED) + _SCORE_SQL.format(where=""))
+def daywise_score(spark, sf):
+    """Scores of all history from stored states of its issue days."""
+    folder = fresh_path(spark, "score-states")
+    graded = S.with_truth(forecast_log(spark, sf), readings(spark, sf))
+    DS.add_days(graded, folder, DS.day_of("issued_at"), lambda df, by: S.score_state(df, [*by, KEY, "source_layer", "lead_minutes"]))
+    return _scores(S.score_of_states(DS.states(spark, folder)))

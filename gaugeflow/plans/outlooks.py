@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import meters_per_pixel
 from ..operators import areas as W
 from ..operators import blend as B
+from ..operators import daily as DS
+from ..operators import entities as EN
 from ..operators import radar as R
 from ..operators import revision as V
 from ..operators import summaries as S
 from ..operators.chunks import KEY
+from ..operators.lineage import fresh_path
 from ..policy import GridPolicy
 from .cleaning import COMFORT_SQL, HEAT_SQL
 from .fixtures import FORECASTS, NWP, READINGS, forecast_log, nwp_log, readings, table, with_ctes
@@ -42,6 +46,19 @@ def weekly_summary(spark, sf):
     return _summary_out(S.trailing_summary(readings(spark, sf), F.expr("timestamp'2024-01-08 12:00:00'")), KEY)
 
 
+@query("daywise_summary", with_ctes(READINGS) + f"""
+, h as (select *, {HEAT_SQL} as hi from readings where (ts + interval 7 hours)::date between date '2024-01-02' and date '2024-01-08'),
+g as (select station_id, {_SUMMARY} from h group by 1) select station_id, {_SUMMARY_OUT} from g""")
+def daywise_summary(spark, sf):
+    """A week from stored states of its days."""
+    folder = fresh_path(spark, "summary-states")
+    rows = readings(spark, sf).withColumn("_d", DS.day_of("ts", 7))
+    for part in (F.col("_d") < F.lit("2024-01-06").cast("date"), F.col("_d") >= F.lit("2024-01-06").cast("date")):
+        DS.add_days(rows.filter(part), folder, F.col("_d"), lambda df, by: S.summary_state(df, [*by, KEY]))
+    week = DS.states(spark, folder, "2024-01-02", "2024-01-09")
+    return _summary_out(S.summary_of_states(week, [KEY]), KEY)
+
+
 def _hourly(spark, sf):
     code = F.element_at(F.array(*[F.lit(c) for c in (0, 3, 61, 95, 42)]), (F.pmod(F.hour("valid_at") + F.col(KEY), F.lit(5)) + 1).cast("int"))
     return nwp_log(spark, sf).select(
@@ -161,6 +178,64 @@ def snapshot_fingerprint(spark, sf):
         KEY, F.unix_micros("issued_hour").alias("issued_us"), "snapshot_id")
 
 
+# The whole snapshot, with keys in their order, spelled out.
+def _num(x):
+    return f"coalesce(printf('%.6f', {x}::double), 'null')"
+
+
+_CANONICAL = f"""
+hr as (select station_id, issued_hour, string_agg('{{"condition":'||case when weathercode%2=1 then '"x'||weathercode||'"' else 'null' end||',"precip_mm":null,"rain_prob":'||{_num('rain_prob')}||',"temp":'||{_num('temp')}
+   ||',"time":"'||strftime(valid_at, '%Y-%m-%dT%H:%M')||'","wind_kmh":'||{_num("lead_hours")}||'}}', ',' order by valid_at) as hourly from hourly group by 1,2),
+dy as (select station_id, issued_hour, '{{"condition":null,"date":"'||strftime(issued_hour, '%Y-%m-%d')||'","precip_mm":null,"rain_prob_max":'||{_num('max(rain_prob)')}||',"temp_max":'||{_num('max(temp)')}||',"temp_min":'||{_num('min(temp)')}||'}}' as daily from hourly group by 1,2),
+nc as (select station_id, issued_hour, string_agg('{{"lead_min":'||{_num('lead_hours*60')}||',"rain_prob":'||{_num('rain_prob/100')}||'}}', ',' order by valid_at) filter (where lead_hours<2) as nowcast from hourly group by 1,2),
+tx as (select station_id, issued_hour, '{{"daily":['||daily||'],"hourly":['||hourly||'],"model_version":"v'||(station_id%2)||'","nowcast":['||nowcast||'],"source_status":{{"nwp":{{"fetched_at_utc":"'||strftime(issued_hour, '%Y-%m-%d')||'","status":"ready"}},"radar":{{"fetched_at_utc":null,"status":"off"}}}},"sources":null,"station":{{"lat":'||{_num('13.5+station_id')}||',"lon":100.500000}},"status":"ready"}}' as text
+  from hr join dy using (station_id, issued_hour) join nc using (station_id, issued_hour))
+"""
+
+
+def _forecasts(spark, sf, turned):
+    """Forecast objects; ``turned`` puts keys in another order, whole numbers for doubles, and adds what does not count."""
+    order = reversed if turned else list
+    pick = lambda *cols: F.struct(*order(cols))
+    odd = F.when(F.col("weathercode") % 2 == 1, F.concat(F.lit("x"), F.col("weathercode").cast("string")))
+    lead = F.col("lead_hours").cast("double" if turned else "int")
+    hour = pick(F.date_format("valid_at", "yyyy-MM-dd'T'HH:mm").alias("time"), "temp", "rain_prob", odd.alias("condition"), lead.alias("wind_kmh"), *([F.minute("valid_at").alias("age")] if turned else []))
+    now = pick((F.col("lead_hours") * 60).alias("lead_min"), (F.col("rain_prob") / 100).alias("rain_prob"))
+    agg = _hourly(spark, sf).groupBy(KEY, "issued_hour").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("valid_at", hour.alias("e")))), lambda x: x["e"]).alias("hourly"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("lead_hours") < 2, F.struct("valid_at", now.alias("e"))))), lambda x: x["e"]).alias("nowcast"),
+        F.array(pick(F.date_format(F.first("issued_hour"), "yyyy-MM-dd").alias("date"), F.min("temp").alias("temp_min"), F.max("temp").alias("temp_max"), F.max("rain_prob").alias("rain_prob_max"))).alias("daily"))
+    status = [F.lit("nwp"), pick(F.lit("ready").alias("status"), F.date_format("issued_hour", "yyyy-MM-dd").alias("fetched_at_utc")), F.lit("radar"), pick(F.lit("off").alias("status"), F.lit(None).cast("string").alias("fetched_at_utc"))]
+    status = [*status[2:], *status[:2]] if turned else status
+    return agg.select(
+        KEY, "issued_hour", "hourly", "nowcast", "daily", F.create_map(*status).alias("source_status"), F.lit("ready").alias("status"),
+        F.concat(F.lit("v"), (F.col(KEY) % 2).cast("string")).alias("model_version"), pick((F.lit(13.5) + F.col(KEY)).alias("lat"), F.lit(100.5).alias("lon")).alias("station"))
+
+
+@query("snapshot_canonical", with_ctes(READINGS, NWP, _HOURLY, _CANONICAL) + "select station_id, epoch_us(issued_hour) as issued_us, substr(sha256(text), 1, 20) as snapshot_id, true as same from tx")
+def snapshot_canonical(spark, sf):
+    """Whole snapshots; the same contents with other key orders and types have the same identity."""
+    one, other = (V.with_snapshot_id(_forecasts(spark, sf, t)).select(KEY, "issued_hour", F.col("snapshot_id").alias(f"id{t:d}")) for t in (False, True))
+    both = one.join(other, [KEY, "issued_hour"])
+    return both.select(KEY, F.unix_micros("issued_hour").alias("issued_us"), F.col("id0").alias("snapshot_id"), (F.col("id0") == F.col("id1")).alias("same"))
+
+
+@query("snapshot_repeats", with_ctes(READINGS) + """
+, d as (select station_id, ts, rn, rn//3 as step, round(humidity/25)::int as h, case when (rn//3)%4=0 then null else round(light/60000) end as l, round(wind_direction/120) as w from readings),
+l as (select *, row(step%2, first_value(h) over g, first_value(l) over g, first_value(w) over g) as v from d window g as (partition by station_id, step order by rn)),
+p as (select *, lag(v) over (partition by station_id order by ts, rn) as pv, row_number() over (partition by station_id order by ts, rn) as i from l)
+select station_id, epoch_us(ts) as ts_us, rn from p where i=1 or v is distinct from pv""")
+def snapshot_repeats(spark, sf):
+    """Readings whose assembled contents, nested and partly null, equal those just before."""
+    g = Window.partitionBy(KEY, F.floor(F.col("rn") / 3)).orderBy("rn")
+    step = F.floor(F.col("rn") / 3)
+    r = readings(spark, sf).select(
+        KEY, "ts", "rn", (step % 2).alias("a"), F.first(F.round(F.col("humidity") / 25).cast("int")).over(g).alias("h"),
+        F.first(F.when(step % 4 != 0, F.round(F.col("light") / 60000))).over(g).alias("l"), F.first(F.round(F.col("wind_direction") / 120)).over(g).alias("w"))
+    contents = F.struct(F.struct("w", "h").alias("air"), F.array("l").alias("light"), F.col("a"))
+    return EN.drop_repeats(r, "ts", V.short_hash(V.canonical(contents))).select(KEY, ts_us("ts"), "rn")
+
+
 # ---- warnings ----------------------------------------------------------------------------
 _NOW = "2024-01-15 00:00:00"
 _AREAS = f"""

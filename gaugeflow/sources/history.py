@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,46 @@ from ..operators.features import OPTIONAL_DEFAULTS
 OPTIONAL_COLUMNS = (*OPTIONAL_DEFAULTS, "light")
 
 
+def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names in the first line of a CSV file, compressed or not; none of an empty file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    opened = target.getFileSystem(conf).open(target)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(opened) if codec else opened, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+
+
+def header_groups(spark: SparkSession, folder: str, pattern: str = "*.csv*", threads: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder and its subfolders by their header; empty files have none.
+
+    One short read a file, some at a time; the lines themselves stay where they are.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path").collect()
+    paths = sorted(r["path"] for r in files)
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        for path, header in zip(paths, pool.map(lambda p: header_of(spark, p), paths)):
+            if header:
+                found.setdefault(header, []).append(path)
+    return found
+
+
+def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.csv*", key: Sequence[str] | None = None) -> DataFrame:
+    """A folder of CSV histories of any versions: files of one header are one scan, united by name (see ``scan_csv``).
+
+    Of equal keys the row of the file with the greatest path is kept.
+    """
+    groups = header_groups(spark, folder, pattern)
+    if not groups:
+        raise FileNotFoundError(f"no CSV file with a header in {folder}")
+    return scan_csv(spark, list(groups.values()), key)
+
+
 def scan_csv(spark: SparkSession, groups: Sequence[str | Sequence[str]], key: Sequence[str] | None = None) -> DataFrame:
     """Read CSV histories; each group holds files with the same header.
 
@@ -50,10 +92,24 @@ def newest_days(df: DataFrame, k: int = 2, date: str = "date") -> DataFrame:
     return df.filter(F.col(date).isin([datetime.date.fromisoformat(d) for d in sorted(found)[-k:]]))
 
 
+def balanced(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of a partition value together, in tasks of about the advisory size of adaptive execution.
+
+    Small values share a task and write one file each; a value with more bytes
+    than that, such as a hot date, is split over as many tasks as it needs.
+    """
+    return df.hint("rebalance", *by)
+
+
 def append_by_date(df: DataFrame, path: str, ts: str = "ts", fmt: str = "parquet") -> None:
-    """Append readings to one directory per UTC date, rows of a date written together."""
-    df = df.withColumn("date", F.to_date(ts))
-    df.repartition("date", F.hour(ts)).write.mode("append").partitionBy("date").format(fmt).save(path)
+    """Append readings to one directory per UTC date, in files of about the advisory size."""
+    balanced(df.withColumn("date", F.to_date(ts)), "date").write.mode("append").partitionBy("date").format(fmt).save(path)
+
+
+def replace_dates(df: DataFrame, path: str, ts: str = "ts", fmt: str = "parquet") -> None:
+    """Replace the directories of the dates present in ``df``; others stay as they are."""
+    rows = balanced(df.withColumn("date", F.to_date(ts)), "date")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").format(fmt).save(path)
 
 
 def backfill(existing: DataFrame, incoming: DataFrame, key: Sequence[str], arrival: str) -> DataFrame:
@@ -63,10 +119,10 @@ def backfill(existing: DataFrame, incoming: DataFrame, key: Sequence[str], arriv
 
 def replace_scores(scores: DataFrame, path: str) -> None:
     """Replace the score partitions of the dates present in ``scores``."""
-    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of_date").parquet(path)
+    balanced(scores, "as_of_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of_date").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, by: Sequence[str] = ("horizon",), fmt: str = "parquet") -> None:
     """Holdout, validation, reliability and sweep tables, one directory per horizon."""
-    writer = df.write.mode("overwrite").partitionBy(*by)
+    writer = balanced(df, *by).write.mode("overwrite").partitionBy(*by)
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.chunks import KEY
+from ..operators.clean import latest_by_key
 from .run import children, remove
 
 OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
@@ -103,3 +104,76 @@ def store_unique(stream: DataFrame, out: str, checkpoint: str, ts: str = "ts", a
 
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows/batch=*").select(*names)
+
+
+#: Folder levels of a table; no columns of its own.
+BUCKET, VERSION = "in_bucket", "as_of_batch"
+
+
+class Table:
+    """A table kept by key while streams write it: buckets of rows, and manifests that tell which version of each bucket counts.
+
+    Only the buckets of the keys at hand are rewritten, as a folder named by the
+    micro-batch; the manifest of a micro-batch is written last, so a reader sees
+    all of a micro-batch or nothing. Folders that neither the newest manifest
+    nor the one before names are removed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, kind: str):
+        self.spark, self.folder, self.kind = spark, folder, kind
+
+    def _manifest(self, before: int | None = None) -> tuple[int, dict[int, int]]:
+        """The newest manifest (before a micro-batch): its number and the version of every bucket."""
+        known = sorted(int(p.split("=")[1]) for p in children(self.spark, f"{self.folder}/manifests"))
+        known = [k for k in known if (before is None or k < before) and "_SUCCESS" in children(self.spark, f"{self.folder}/manifests/batch={k}")]
+        if not known:
+            return -1, {}
+        rows = self.spark.read.schema("bucket int, version long").parquet(f"{self.folder}/manifests/batch={known[-1]}").collect()
+        return known[-1], {r["bucket"]: r["version"] for r in rows}
+
+    def read(self, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The rows as the last whole micro-batch left them."""
+        _, versions = self._manifest(before)
+        paths = [f"{self.folder}/rows/{BUCKET}={b}/{VERSION}={v}" for b, v in versions.items() if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], self.kind)
+        return self.spark.read.schema(self.kind).parquet(*paths)
+
+    def write(self, rows: DataFrame, buckets: Sequence[int], batch_id: int) -> None:
+        """``rows`` (with their bucket) are all rows of ``buckets``."""
+        last, versions = self._manifest(batch_id)
+        rows.withColumn(VERSION, F.lit(batch_id).cast("long")).repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, VERSION).parquet(f"{self.folder}/rows")
+        now = versions | {b: batch_id for b in buckets}
+        self.spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifests/batch={batch_id}")
+        for b in buckets:
+            for old in children(self.spark, f"{self.folder}/rows/{BUCKET}={b}"):
+                if int(old.split("=")[1]) < versions.get(b, 0):
+                    remove(self.spark, f"{self.folder}/rows/{BUCKET}={b}/{old}")
+        for old in children(self.spark, f"{self.folder}/manifests"):
+            if int(old.split("=")[1]) < last:
+                remove(self.spark, f"{self.folder}/manifests/{old}")
+
+
+def keep_latest(stream: DataFrame, key: Sequence[str], version: str, folder: str, checkpoint: str, buckets: int = 64) -> DataFrame:
+    """Keep one row per ``key``, that of the greatest ``version`` ever seen; returns the table.
+
+    A writer that is behind (an older version arriving late) changes nothing, nor
+    does a replay. Equal versions of a key are expected to be equal rows. Rows
+    without a version lose to any other. ``Table(spark, folder, kind).read()``
+    reads the table while the stream runs.
+    """
+    spark, names = stream.sparkSession, stream.columns
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    table = Table(spark, folder, kind)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        rows = latest_by_key(batch, list(key), [F.col(version)]).withColumn(BUCKET, F.pmod(F.hash(*key), F.lit(buckets))).persist()
+        touched = sorted(r[BUCKET] for r in rows.select(BUCKET).distinct().collect())
+        if touched:
+            past = table.read(batch_id, touched).withColumn(BUCKET, F.pmod(F.hash(*key), F.lit(buckets)))
+            both = latest_by_key(rows.unionByName(past), [*key, BUCKET], [F.col(version)])
+            table.write(both.select(*names, BUCKET), touched, batch_id)
+        rows.unpersist()
+
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land).trigger(availableNow=True).start().awaitTermination()
+    return table.read()
