@@ -20,7 +20,7 @@ from .coherence import check_nested, coherent
 from .features import check_onset_features, onset_feature_names
 from .labels import onset_weights, split
 from .lineage import cut
-from .metrics import best_threshold, blend_weight, blended, brier, confusion, persistence, sweep
+from .metrics import best_threshold, blend_weight, blended, brier, confusion, holdout_metrics, persistence, sweep
 
 ONSET = "rf_onset"
 
@@ -129,8 +129,9 @@ def fit_horizon(rows: DataFrame, features: Sequence[str], horizon: int, target:
     def calibrated(df: DataFrame) -> DataFrame:
         return sigmoid.transform(line.transform(df)).withColumn("calibrated", _positive("_cal")).drop("_raw", "_cal", "_r", "_p")
 
+    context = [c for c in ("rain_flag", "rain_last_60m") if c in parts.columns]
     judged = cut(calibrated(score(parts.filter("part in ('validation', 'test')"))).select(
-        KEY, "ts", "part", "rain_flag", F.col("target").alias("observed"), "raw_probability", "calibrated"), "judged")
+        KEY, "ts", "part", *context, F.col("target").alias("observed"), "raw_probability", "calibrated"), "judged")
     judged = judged.withColumn("persistence", persistence())
     valid = judged.filter("part = 'validation'")
     b = brier(valid, [], p="raw_probability", extra={"cal": "calibrated"}).first()
@@ -146,6 +147,9 @@ def fit_horizon(rows: DataFrame, features: Sequence[str], horizon: int, target:
     facts = {"short_stations": short, "short_rows": counts.get("too_short", (0, 0))[0]}
     facts |= brier(test, [], extra={"raw_brier": "raw_probability", "persistence_brier": "persistence"}).first().asDict()
     facts |= confusion(test, chosen["threshold"]).first().asDict()
+    learned = part("train").select(KEY, "ts", "part", *context, F.col("target").alias("observed"))
+    cohorts = holdout_metrics(test.unionByName(learned, allowMissingColumns=True), chosen["threshold"])
+    facts["cohorts"] = {r["cohort"]: {k: v for k, v in r.asDict().items() if k != "cohort"} for r in cohorts.collect()}
     stages = PipelineModel(stages=[assembler, forest, *([sigmoid] if use_sigmoid else [])])
     return HorizonModel(horizon, rule, features, stages, chosen["threshold"], use_sigmoid, weight, facts), judged
 
@@ -185,25 +189,41 @@ def joint_thresholds(judged: dict[int, DataFrame], key: Sequence[str] = (KEY, "t
         cols = judged[h].select(*key, "part", F.col("probability").alias(f"p_{h}m"), F.col("observed").alias(f"observed_{h}m"))
         wide = cols if wide is None else wide.join(cols, [*key, "part"], "full")
     given = wide.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"p_{h}m").alias(str(h)) for h in horizons]).first()
-    sizes = {h: judged[h].count() for h in horizons}
+    counted = [judged[h].agg(F.lit(h).alias("horizon"), F.count(F.lit(1)).alias("n")) for h in horizons]
+    sizes = {r["horizon"]: r["n"] for r in reduce(DataFrame.unionByName, counted).collect()}
     if any(given[str(h)] != given["n"] or sizes[h] != given["n"] for h in horizons):
         raise ValueError(f"the horizons were judged on different rows: {sizes}, together {given['n']}")
     wide = cut(coherent(check_nested(wide, horizons), horizons), "joint")
-    chosen = {}
-    for h in horizons:
-        valid = wide.filter("part = 'validation'").select(F.col(f"p_{h}m").alias("probability"), F.col(f"observed_{h}m").alias("observed"))
-        chosen[h] = best_threshold(sweep(valid)).first()["threshold"]
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"p_{h}m").alias("probability"), F.col(f"observed_{h}m").alias("observed")) for h in horizons])
+    valid = wide.filter("part = 'validation'").select(F.explode(each).alias("e")).select("e.*")
+    chosen = {r["horizon"]: r["threshold"] for r in best_threshold(sweep(valid, ["horizon"]), ["horizon"]).collect()}
     return wide, chosen
 
 
-def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42) -> PipelineModel:
-    """Regressor for the temperature some minutes ahead, fitted on the rows that have it and every feature."""
+def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42, memory_mb: int = 512) -> PipelineModel:
+    """Regressor for the temperature some minutes ahead, fitted on the rows that have it and every feature.
+
+    The assembled rows are stored once and dealt to all cores, which also share
+    the search for the splits. ``memory_mb`` is what a task may hold of node
+    statistics: with more nodes a pass the forest needs fewer passes.
+    """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
-    ready = assembler.transform(rows.filter(F.col(target).isNotNull() & known(features)))
+    forest = RandomForestRegressor(
+        featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed, maxMemoryInMB=memory_mb, cacheNodeIds=True)
+    usable = rows.filter(F.col(target).isNotNull() & known(features))
+    ready = cut(assembler.transform(usable).select("features", target).repartition(rows.sparkSession.sparkContext.defaultParallelism), "assembled")
     return PipelineModel(stages=[assembler, forest.fit(ready)])
 
 
+def temperature_errors(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:
+    """Mean absolute and squared error of the forecast, and of the present temperature as the forecast, where the target is known."""
+    judged = predict_temperature(model, rows.filter(F.col(target).isNotNull())).filter(F.col("temp_forecast").isNotNull())
+    e, q = F.col("temp_forecast") - F.col(target), F.col("temp") - F.col(target)
+    return judged.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(q)).alias("persistence_mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(q * q)).alias("persistence_rmse"))
+
+
 def known(features: Sequence[str]) -> Column:
     """Every feature is a number."""
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features], F.lit(True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,9 +171,49 @@ def common_times(df: DataFrame, horizons: int, key: Sequence[str]) -> DataFrame:
     return df.join(full.select(*key), list(key), "left_semi")
 
 
+#: Rows a model is judged on: all, those without rain now, and those also without rain over the hour before.
+COHORTS = ("all", "dry_now", "dry_60m")
+
+
+def in_cohorts(df: DataFrame, rain: str = "rain_flag", before: str = "rain_last_60m", threshold: float = RAIN_THRESHOLD) -> DataFrame:
+    """Each row once per cohort it belongs to (``cohort``); without the column ``before`` there is no third cohort."""
+    dry = F.coalesce(F.col(rain) <= threshold, F.lit(False))
+    dry_60m = dry & F.coalesce(F.col(before) <= threshold, F.lit(False)) if before in df.columns else F.lit(False)
+    names = F.array_compact(F.array(F.lit(COHORTS[0]), F.when(dry, COHORTS[1]), F.when(dry_60m, COHORTS[2])))
+    return df.withColumn("cohort", F.explode(names))
+
+
+def holdout_metrics(parts: DataFrame, threshold: float, by: Sequence[str] = (), y: str = "observed", p: str = "probability") -> DataFrame:
+    """How a probability does on the rows of part ``test``, per cohort.
+
+    Rows, positives, Brier score, average precision, counts and rates at the
+    threshold, and the Brier scores of two forecasts without a model:
+    persistence, and the event rate by hour in the part ``train``, with the skill
+    against the latter.
+    """
+    by = list(by)
+    known = with_hourly_climatology(parts, F.col("part") == "train", by, y)
+    test = cut(in_cohorts(known.filter("part = 'test'").withColumn("persistence", persistence())), "cohorts")
+    key = [*by, "cohort"]
+    out = brier(test, key, y, p, extra={"climatology_brier": "climatology", "persistence_brier": "persistence"})
+    out = out.withColumn("brier_skill", skill("brier", "climatology_brier"))
+    area = average_precision(test, key, y, p).select(*[F.col(c).alias(f"_{c}") for c in key], "average_precision")
+    counts = confusion(test, threshold, key, y, p)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return out.join(area, same, "left").drop(*[f"_{c}" for c in key]).join(counts, key).withColumn("threshold", F.lit(float(threshold)))
+
+
+def once(df: DataFrame, key: Sequence[str], what: str) -> DataFrame:
+    """``df``, or an error if a key occurs twice in it."""
+    w = Window.partitionBy(*key)
+    twice = F.raise_error(F.concat(F.lit(f"{what}: a row occurs more than once at "), F.concat_ws(", ", *[F.col(c).cast("string") for c in key]))).cast("boolean")
+    return df.withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.when(F.col("_n") > 1, twice).otherwise(True)).drop("_n")
+
+
 def compare_on_common(candidate: DataFrame, reference: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Brier of two probability sets on identical rows."""
-    both = candidate.join(reference.select(*key, F.col("probability").alias("_ref")), list(key))
+    """Brier of two probability sets on identical rows; a row that either set repeats is an error."""
+    other = once(reference, key, "reference").select(*key, F.col("probability").alias("_ref"))
+    both = once(candidate, key, "candidate").join(other, list(key))
     out = both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((F.col("_ref") - F.col("observed")) ** 2).alias("reference_brier"),

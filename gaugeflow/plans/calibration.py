@@ -37,6 +37,22 @@ def error_pairs(spark, sf):
         "lead_hours", "issue_hour", rd("error_c").alias("error_c"))
 
 
+@query("error_pairs_bias", with_ctes(*_BASE, """
+bias as (
+ select 'global' as scope, null::int as key, count(*) as n, median(error_c) as med from pairs
+ union all select 'lead', lead_hours, count(*), median(error_c) from pairs where lead_hours<3 group by lead_hours
+ union all select 'hour', issue_hour::int, count(*), median(error_c) from pairs where issue_hour%2=0 group by issue_hour)""") + """
+select p.station_id, epoch_us(issued_hour) as issued_us, p.lead_hours, cast(issue_hour as int) as issue_hour,
+  round(error_c - greatest(-6.0,least(6.0,round(coalesce(l.med,h.med,g.med),6))),5)+0.0 as error_c
+from pairs p left join bias l on l.scope='lead' and l.key=p.lead_hours left join bias h on h.scope='hour' and h.key=p.issue_hour left join bias g on g.scope='global'""")
+def error_pairs_bias(spark, sf):
+    """Errors of the corrected forecast, where some leads and hours have a correction of their own."""
+    model = C.fit_bias(_pairs(spark, sf), policy=BiasPolicy(min_samples=1))
+    own = (F.col("scope") == C.GLOBAL) | ((F.col("scope") == C.LEAD) & (F.col("key") < 3)) | ((F.col("scope") == C.HOUR_SCOPE) & (F.col("key") % 2 == 0))
+    out = C.error_pairs(nwp_log(spark, sf), readings(spark, sf), INTERVAL, bias=cut(model.filter(own), "bias"))
+    return out.select(KEY, F.unix_micros("issued_hour").alias("issued_us"), "lead_hours", "issue_hour", rd("error_c", 5).alias("error_c"))
+
+
 BIAS_SQL = """
 bias as (
  select 'global' as scope, null::int as key, count(*) as n, median(error_c) as med, avg(error_c) as mean from pairs having count(*)>=5

@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators.chunks import KEY
-from .fixtures import readings, with_ctes
+from .fixtures import CONTEXT, context_readings, readings, with_ctes
 from .registry import query, rd, sql_rd, ts_us
 from .series import SERIES
 
 W = "(partition by station_id, segment_id order by ts)"
 
 
-def _frame(spark, sf, names=None):
-    return X.feature_frame(readings(spark, sf).drop("rn"), names)
+def _frame(spark, sf, names=None, rows=readings):
+    return X.feature_frame(rows(spark, sf).drop("rn"), names)
 
 
-def _pick(spark, sf, names):
-    return _frame(spark, sf, list(names)).select(KEY, ts_us("ts"), *[rd(n, 5).alias(n) for n in names])
+def _pick(spark, sf, names, rows=readings):
+    return _frame(spark, sf, list(names), rows).select(KEY, ts_us("ts"), *[rd(n, 5).alias(n) for n in names])
 
 
 def _sql(cols: dict[str, str], source: str = "rseg", ctes: tuple = SERIES) -> str:
@@ -77,7 +77,7 @@ def _slope(c: str, n: int) -> str:
 
 
 _MORE_CTE = """more as (select *, temp-(100-humidity)/5 as dew_point, temp-(temp-(100-humidity)/5) as gap,
- coalesce(wind_speed,0.0) as ws, 0.0::double as wg, pressure - lag(pressure,30) over w as pd30 from rseg window w as """ + W + ")"
+ coalesce(wind_speed,0.0) as ws, coalesce(wind_gust,0.0) as wg, pressure - lag(pressure,30) over w as pd30 from xseg window w as """ + W + ")"
 RATE = (
     {f"{c}_slope_{n}m": _slope(c, n) for c in X.CORE3 for n in (5, 10, 30)}
     | {f"wind_speed_slope_{n}m": _slope("ws", n) for n in (10, 30, 60)}
@@ -88,9 +88,9 @@ RATE = (
 )
 
 
-@query("feat_rate", _sql(RATE, "more", (*SERIES, _MORE_CTE)))
+@query("feat_rate", _sql(RATE, "more", (*SERIES, CONTEXT, _MORE_CTE)))
 def feat_rate(spark, sf):
-    return _pick(spark, sf, RATE)
+    return _pick(spark, sf, RATE, context_readings)
 
 
 SOLAR = """
@@ -118,30 +118,55 @@ def feat_light(spark, sf):
     return _pick(spark, sf, LIGHT)
 
 
-_WA = "case when wind_speed is null then 0.0 else 1.0 end"
+def _word(c):
+    return f"coalesce(case when lower(trim({c})) in ('true','yes','1') then 1.0 when lower(trim({c})) in ('false','no','0') then 0.0 end, 0.0)"
+
+
+def _bounded(e, low=0.0, high=None):
+    return f"greatest({low}, {e})" if high is None else f"greatest({low}, least({high}, {e}))"
+
+
+def _zero(c):
+    return f"coalesce({c}, 0.0)"
+
+
+def _angle(c):
+    return f"radians((({c}%360)+360)%360)"
+
+
+_RADAR, _CLOUD = _bounded(_word("radar_available"), 0.0, 1.0), _bounded(_zero("cloud_available"), 0.0, 1.0)
+_WIND = _bounded("coalesce(wind_available, case when wind_speed is null then 0.0 else 1.0 end)", 0.0, 1.0)
+_NWP = _bounded("coalesce(nwp_available, case when nwp_precipitation_probability is null then 0.0 else 1.0 end)", 0.0, 1.0)
+
+
+def _if(flag, e, other="0.0"):
+    return f"case when {flag} > 0 then {e} else {other} end"
+
+
+_SPEED, _NSPEED = _if(_WIND, _bounded(_zero("wind_speed"))), _if(_NWP, _bounded(_zero("nwp_wind_speed")))
 EXTERNAL = {
     "hour_sin": "sin(2*pi()*hour(ts)/24)", "hour_cos": "cos(2*pi()*hour(ts)/24)",
     "day_sin": "sin(2*pi()*(isodow(ts)-1)/7)", "day_cos": "cos(2*pi()*(isodow(ts)-1)/7)",
     "rain_now": "rain_flag",
-    "radar_available": "0.0", "radar_missing": "1.0", "cloud_available": "0.0", "cloud_missing": "1.0",
-    "radar_point_intensity": "0.0", "radar_nearby_max_intensity": "0.0", "radar_trend_rising": "0.0",
-    "cloud_cover_now": "0.0", "cloud_cover_low_now": "0.0", "cloud_trend_rising": "0.0",
-    "wind_available": _WA, "wind_missing": f"1.0-({_WA})",
-    "wind_speed_now": "greatest(coalesce(wind_speed,0.0),0.0)", "wind_gust_now": "0.0",
-    "wind_u_now": "-greatest(coalesce(wind_speed,0.0),0.0)*sin(radians(wind_direction%360))",
-    "wind_v_now": "-greatest(coalesce(wind_speed,0.0),0.0)*cos(radians(wind_direction%360))",
-    "wind_direction_sin": "case when wind_speed is null then 0.0 else sin(radians(wind_direction%360)) end",
-    "wind_direction_cos": "case when wind_speed is null then 0.0 else cos(radians(wind_direction%360)) end",
-    "nwp_available": "0.0", "nwp_missing": "1.0", "nwp_precipitation_probability_now": "0.0",
-    "nwp_precipitation_now": "0.0", "nwp_weathercode_now": "0.0", "nwp_wind_speed_now": "0.0",
-    "nwp_wind_u_now": "0.0", "nwp_wind_v_now": "0.0", "nwp_cloud_cover_now": "0.0",
-    "nwp_lead_hours_now": "0.0", "nwp_age_seconds_now": "999999.0",
+    **{f"{name}_available": e for name, e in (("radar", _RADAR), ("cloud", _CLOUD), ("wind", _WIND), ("nwp", _NWP))},
+    **{f"{name}_missing": f"case when {e} <= 0 then 1.0 else 0.0 end" for name, e in (("radar", _RADAR), ("cloud", _CLOUD), ("wind", _WIND), ("nwp", _NWP))},
+    "radar_point_intensity": _zero("radar_point_intensity"), "radar_nearby_max_intensity": _zero("radar_nearby_max_intensity"),
+    "radar_trend_rising": "case when radar_trend_rising then 1.0 else 0.0 end",
+    "cloud_cover_now": _zero("cloud_cover_now"), "cloud_cover_low_now": _zero("cloud_cover_low_now"), "cloud_trend_rising": _word("cloud_trend_rising"),
+    "wind_speed_now": _SPEED, "wind_gust_now": _if(_WIND, _bounded(_zero("wind_gust"))),
+    "wind_u_now": f"-({_SPEED})*sin({_angle('wind_direction')})", "wind_v_now": f"-({_SPEED})*cos({_angle('wind_direction')})",
+    "wind_direction_sin": _if(_WIND, f"sin({_angle('wind_direction')})"), "wind_direction_cos": _if(_WIND, f"cos({_angle('wind_direction')})"),
+    "nwp_precipitation_probability_now": _if(_NWP, _bounded(_zero("nwp_precipitation_probability"), 0.0, 100.0)),
+    "nwp_precipitation_now": _if(_NWP, _bounded(_zero("nwp_precipitation"))), "nwp_weathercode_now": _if(_NWP, _bounded(_zero("nwp_weathercode"))),
+    "nwp_wind_speed_now": _NSPEED, "nwp_wind_u_now": f"-({_NSPEED})*sin({_angle('nwp_wind_direction')})", "nwp_wind_v_now": f"-({_NSPEED})*cos({_angle('nwp_wind_direction')})",
+    "nwp_cloud_cover_now": _if(_NWP, _bounded(_zero("nwp_cloud_cover"), 0.0, 100.0)), "nwp_lead_hours_now": _if(_NWP, _bounded(_zero("nwp_lead_hours"))),
+    "nwp_age_seconds_now": _if(_NWP, _bounded("coalesce(nwp_age_seconds, 999999.0)"), "999999.0"),
 }
 
 
-@query("feat_external", _sql(EXTERNAL))
+@query("feat_external", _sql(EXTERNAL, "xseg", (*SERIES, CONTEXT)))
 def feat_external(spark, sf):
-    return _pick(spark, sf, EXTERNAL)
+    return _pick(spark, sf, EXTERNAL, context_readings)
 
 
 @query("feature_complete", with_ctes(*SERIES) + """

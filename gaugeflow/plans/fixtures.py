@@ -150,3 +150,41 @@ def predictions(spark: SparkSession, sf_dir: str, *horizons: int) -> DataFrame:
 
 def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(c.strip() for c in ctes)
+
+
+# Context that a station may report: words, flags, numbers, gaps, values out of range. Written once for both engines.
+_CONTEXT = {
+    "radar_available": "case rn%7 when 0 then 'yes' when 1 then ' TRUE ' when 2 then 'no' when 3 then '0' when 4 then 'maybe' when 5 then null else '1' end",
+    "radar_point_intensity": "case when rn%9<>4 then (rn%5)*1.0 end", "radar_nearby_max_intensity": "case when rn%11<>4 then (rn%6)*1.0-1.0 end",
+    "radar_trend_rising": "case when rn%6<>0 then rn%4=1 end",
+    "cloud_available": "case when rn%13<>5 then (rn%9)*0.25-0.5 end", "cloud_cover_now": "case when rn%17<>3 then (rn*7%101)*1.0 end",
+    "cloud_cover_low_now": "(rn*3%101)*1.0", "cloud_trend_rising": "case rn%5 when 0 then 'false' when 1 then 'true' when 2 then null else 'Yes' end",
+    "wind_available": "case rn%4 when 0 then null when 1 then 1.0 when 2 then 0.0 else 1.5 end", "wind_gust": "case when rn%8<>3 then (rn%23)*1.0-2.0 end",
+    "nwp_available": "case rn%5 when 0 then null when 1 then 0.0 else 1.0 end", "nwp_precipitation_probability": "case when rn%6<>1 then (rn*11%140)*1.0-20.0 end",
+    "nwp_precipitation": "(rn%7)*0.5-0.5", "nwp_weathercode": "(rn%99)*1.0", "nwp_wind_speed": "(rn%9)*1.0-1.0", "nwp_wind_direction": "(rn*29%720)*1.0-360.0",
+    "nwp_cloud_cover": "(rn%131)*1.0-10.0", "nwp_lead_hours": "(rn%12)*1.0-1.0", "nwp_age_seconds": "case when rn%7<>3 then (rn%50)*60.0-60.0 end",
+}
+_WORDS, _FLAGS = ("radar_available", "cloud_trend_rising"), ("radar_trend_rising",)
+
+
+def context_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings with the optional radar, cloud, gust and forecast columns."""
+    kind = {c: "string" if c in _WORDS else "boolean" if c in _FLAGS else "double" for c in _CONTEXT}
+    return readings(spark, sf_dir).withColumns({c: F.expr(f"cast({e} as {kind[c]})") for c, e in _CONTEXT.items()})
+
+
+def _blended(c: str) -> str:
+    inside = f"coalesce({c}, {c}_2)" if c in _WORDS + _FLAGS else f"coalesce({c}+({c}_2-{c})*(slot/(n+1)), {c}, {c}_2)"
+    return f"case when slot=0 then {c} else {inside} end as {c}"
+
+
+# The same on the repaired series ``rseg``: xseg.
+CONTEXT = f"""
+cx1 as (select station_id, ts, {', '.join(f"({e})::{'varchar' if c in _WORDS else 'boolean' if c in _FLAGS else 'double'} as {c}" for c, e in _CONTEXT.items())} from kept),
+cx2 as (select *, lead(ts) over w as ts2, {', '.join(f'lead({c}) over w as {c}_2' for c in _CONTEXT)} from cx1 window w as (partition by station_id order by ts)),
+cx3 as (select *, epoch_us(ts2)-epoch_us(ts) as gap from cx2),
+cx4 as (select *, case when gap>90000000 and gap<=630000000 then greatest(1, cast(round_even(gap/60000000.0,0) as int)-1) else 0 end as n from cx3),
+cx5 as (select *, unnest(range(0, n+1)) as slot from cx4),
+cx6 as (select station_id, make_timestamp(epoch_us(ts) + case when slot=0 then 0 else (gap*slot)//(n+1) end) as ts, {', '.join(map(_blended, _CONTEXT))} from cx5),
+xseg as (select rseg.*, cx6.* exclude (station_id, ts) from rseg join cx6 using (station_id, ts))
+"""

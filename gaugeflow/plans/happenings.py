@@ -118,6 +118,26 @@ def alert_signal(spark, sf):
         KEY, ts_us("ts"), "signal_count", "consensus", "any_alert", "next_horizon", "alert_message", "suppressed_by_rain_5m")
 
 
+_ONSET = _SIG.replace("rain_flag<=0.1)::int", "rain_flag<=0.1 and before<=0.1)::int").replace("from readings)", ", case when rn%4=0 then null when (rn//7)%3=0 then 0.4 else 0.05 end::double as before from readings)")
+
+
+@query("alert_signal_onset", with_ctes(READINGS, _ONSET) + """
+select station_id, epoch_us(ts) as ts_us, coalesce(cnt,0) as signal_count, coalesce(cons,false) as consensus, coalesce(any_alert,false) as any_alert, case when coalesce(cons,false) then next_horizon end as next_horizon,
+ not raining and p5>=0.6 and not coalesce(before<=0.1,false) as suppressed_by_antecedent_5m, raining and p5>=0.6 as suppressed_by_rain_5m
+from (select * replace (coalesce(a5,0) as a5, coalesce(a10,0) as a10, coalesce(a30,0) as a30) from sig)""")
+def alert_signal_onset(spark, sf):
+    """Onset models alert only where it is dry now and was over the hour before; an unknown past counts as wet."""
+    rn = F.col("rn")
+    before = F.when(rn % 4 == 0, F.lit(None)).when(F.floor(rn / 7) % 3 == 0, 0.4).otherwise(0.05)
+    df = readings(spark, sf).select(
+        KEY, "ts", "rain_flag", before.alias("rain_last_60m"), *[((rn * k) % 101 / 101.0).alias(f"p_{h}m") for h, k in ((5, 13), (10, 29), (30, 47))])
+    out = A.signals(df, (5, 10, 30), _THRESHOLDS, onset_model=True)
+    dry = F.col("rain_flag") <= 0.1
+    return out.select(
+        KEY, ts_us("ts"), "signal_count", "consensus", "any_alert", F.when(F.col("consensus"), F.col("next_horizon")).alias("next_horizon"),
+        (dry & F.col("suppressed_by_antecedent_5m")).alias("suppressed_by_antecedent_5m"), "suppressed_by_rain_5m")
+
+
 # The stateful policy, one poll after the other.
 _POLICY = """
 po as (select station_id, ts, rain_flag>0.1 as wet, any_alert, (hash_r%5<4) as radar, row_number() over (partition by station_id order by ts) as i

@@ -69,6 +69,23 @@ def onset_weights(spark, sf):
     return L.onset_weights(p.join(h, [KEY, "ts"])).select(KEY, ts_us("ts"), rd("weight").alias("weight"))
 
 
+@query("onset_weights_light", with_ctes(READINGS, KEPT, predictions_sql(30)) + """
+, t as (select p.*, r.humidity, case when r.light is null then null else (r.rn%7)-3.0 end as slope, coalesce(lag(observed) over (partition by p.station_id order by p.ts),0) as before
+        from pred30 p join readings r on p.station_id=r.station_id and p.ts=r.ts),
+e as (select *, sum(case when observed=1 and before=0 then 1 else 0 end) over (partition by station_id order by ts) as ep from t),
+z as (select station_id, ep, count(*) as size from e where observed=1 group by 1,2),
+m as (select station_id, sum(size)/count(*) as mass from z group by 1)
+select e.station_id, epoch_us(e.ts) as ts_us,
+  round(case when observed=1 then m.mass/z.size when humidity>=85 and slope<0 then 1.5 else 1.0 end,6)+0.0 as weight
+from e left join z on z.station_id=e.station_id and z.ep=e.ep and e.observed=1 left join m on m.station_id=e.station_id""")
+def onset_weights_light(spark, sf):
+    """Negatives count more where it is humid and getting darker; without light it is not."""
+    p = predictions(spark, sf, 30).withColumnRenamed("observed", "target").drop("rn")
+    slope = F.when(F.col("light").isNotNull(), F.col("rn") % 7 - 3.0)
+    h = readings(spark, sf).select(KEY, "ts", "humidity", slope.alias("light_slope_30m"))
+    return L.onset_weights(p.join(h, [KEY, "ts"])).select(KEY, ts_us("ts"), rd("weight").alias("weight"))
+
+
 @query("data_filter_counts", with_ctes(*SERIES) + ", l as (select *, " + ", ".join(
        f"{_future(h, 'rain_flag')} as rain_{h}m" for h in (5, 10, 30)) + """ from rseg)
 select station_id, count(*) as total, sum(case when observation_gap_filled>0 then 1 else 0 end)::bigint as synthetic,

