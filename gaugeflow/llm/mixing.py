@@ -20,7 +20,7 @@ class MixRule:
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     most: float = 3.0
-    fan: int = 32
+    fan: int = 512
     seed: int = 17
 
 
@@ -54,37 +54,64 @@ def source_targets(sizes: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     return levelled.withColumn("target", F.least(F.col("cap"), F.coalesce(found, F.lit(math.inf)) * F.col("weight"))).select("source", "source_size", "n", "target")
 
 
-def _merge(state: Column, item: Column) -> Column:
-    """One pivotal step: move words between two undecided documents until one is decided."""
+def _snapped(p: Column) -> Column:
+    return let(p, lambda v: F.when(v < SNAP, F.lit(0.0)).when(v > 1 - SNAP, F.lit(1.0)).otherwise(v))
 
-    def moved(a, b):
-        up = F.least((1 - a["p"]) * a["size"], b["p"] * b["size"])
-        down = F.least(a["p"] * a["size"], (1 - b["p"]) * b["size"])
-        shift = let(F.struct(up.alias("up"), down.alias("down")), lambda m: F.when(b["u"] * (m["up"] + m["down"]) < m["down"], m["up"]).otherwise(-m["down"]))
-        return let(shift, lambda d: F.struct(_with_p(a, a["p"] + d / a["size"]).alias("a"), _with_p(b, b["p"] - d / b["size"]).alias("b")))
 
-    def settle(pair):
-        a, b = pair["a"], pair["b"]
-        done = F.concat(state["done"], F.filter(F.array(a, b), lambda x: x["p"].isin(0.0, 1.0)))
-        return F.struct(F.when(~a["p"].isin(0.0, 1.0), a).when(~b["p"].isin(0.0, 1.0), b).alias("open"), done.alias("done"))
+ITEM = "struct<key:bigint,occ:int,size:double,p:double>"
 
-    return F.when(state["open"].isNull(), F.struct(item.alias("open"), state["done"].alias("done"))).otherwise(let(moved(state["open"], item), settle))
 
+def _decide(state: Column, x: Column) -> Column:
+    """One pivotal step: words move between a document and all smaller ones of its node, taken as one, until either is decided.
 
-def _with_p(x: Column, p: Column) -> Column:
-    snapped = let(p, lambda v: F.when(v < SNAP, F.lit(0.0)).when(v > 1 - SNAP, F.lit(1.0)).otherwise(v))
-    return F.struct(x["key"].alias("key"), x["occ"].alias("occ"), x["size"].alias("size"), snapped.alias("p"), x["u"].alias("u"))
+    ``a, b``: a document not yet met has come from ``p`` to ``a * p + b``, since
+    what the pool gives or gets is shared by all its members alike. ``m, s``: words
+    due and words of the documents not yet met, before that map.
+    """
+    def facts(p):
+        s, m = state["s"] - x["size"], state["m"] - x["p"] * x["size"]
+        due = F.greatest(F.lit(0.0), F.least(state["a"] * m + state["b"] * s, s))
+        return F.struct(p.alias("p"), s.alias("s"), m.alias("m"), due.alias("due"), (s - due).alias("free"))
+
+    def limits(f):
+        up, down = F.least((1 - f["p"]) * x["size"], f["due"]), F.least(f["p"] * x["size"], f["free"])
+        return F.struct(f.alias("f"), up.alias("up"), down.alias("down"))
+
+    def drawn(v):
+        fixed = v["f"]["p"].isin(0.0, 1.0) | (v["up"] + v["down"] <= 0)
+        d = F.when(fixed, F.lit(0.0)).when(x["u"] * (v["up"] + v["down"]) < v["down"], v["up"]).otherwise(-v["down"])
+        return F.struct(v["f"].alias("f"), d.alias("d"))
 
+    def result(v):
+        f, d = v["f"], v["d"]
+        left = F.when(d > 0, 1 - d / f["due"]).when(d < 0, 1 + d / f["free"]).otherwise(1.0)
+        return F.struct(f.alias("f"), d.alias("d"), _snapped(f["p"] + d / x["size"]).alias("p"), F.when(left < SNAP, F.lit(0.0)).otherwise(left).alias("left"))
 
-ITEM = "struct<key:bigint,occ:int,size:double,p:double,u:double>"
+    def after(r):
+        item = F.struct(x["key"].alias("key"), x["occ"].alias("occ"), x["size"].alias("size"), r["p"].alias("p"))
+        decided = r["p"].isin(0.0, 1.0)
+        return F.struct(
+            (state["a"] * r["left"]).alias("a"), (state["b"] * r["left"] + F.when(r["d"] < 0, 1 - r["left"]).otherwise(0.0)).alias("b"),
+            r["f"]["m"].alias("m"), r["f"]["s"].alias("s"), F.when(decided, state["open"]).otherwise(item).alias("open"),
+            F.when(decided, F.concat(state["done"], F.array(item))).otherwise(state["done"]).alias("done"))
+
+    p = _snapped(state["a"] * x["p"] + state["b"])
+    return let(let(let(let(let(p, facts), limits), drawn), result), after)
 
 
 def _fold(level: DataFrame, draw: Column) -> DataFrame:
-    """Each node's decided documents and its one undecided rest; ``draw`` is new at every level."""
-    item = F.struct("key", "occ", "size", "p", draw.alias("u"))
-    start = F.struct(F.lit(None).cast(ITEM).alias("open"), F.array().cast(f"array<{ITEM}>").alias("done"))
+    """Each node's decided documents and its one undecided rest; ``draw`` is new at every level.
+
+    Large documents are decided first, so the rest is the smallest one, or one
+    that all smaller ones together cannot outweigh.
+    """
+    item = F.struct((-F.col("size")).alias("order"), "key", "occ", "size", "p", draw.alias("u"))
     nodes = level.groupBy("source", "node").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return nodes.select("source", "node", F.aggregate("items", start, _merge).alias("folded")).select("source", "node", "folded.open", "folded.done")
+    total = lambda value: F.aggregate("items", F.lit(0.0), lambda acc, x: acc + value(x))
+    start = F.struct(
+        F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), total(lambda x: x["p"] * x["size"]).alias("m"), total(lambda x: x["size"]).alias("s"),
+        F.lit(None).cast(ITEM).alias("open"), F.array().cast(f"array<{ITEM}>").alias("done"))
+    return nodes.select("source", "node", F.aggregate("items", start, _decide).alias("folded")).select("source", "node", "folded.open", "folded.done")
 
 
 def mix(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
@@ -97,11 +124,12 @@ def mix(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     Every document owes its source the ratio target / size of copies: the whole
     part is given at once, the fraction is rounded. Documents of a source are
     dealt by hash to the leaves of a tree; in a node of about ``rule.fan``
-    documents words move between two undecided ones, by a fair draw that leaves
-    every document's expectation and the node's total unchanged, until one is
-    decided. A node's one rest goes to its parent, so a source of any size is
-    spread over many tasks and its total is off by one document at most. Draws
-    hash the row's values: reruns agree.
+    documents words move between the largest undecided one and the pool of all
+    smaller ones, by a fair draw that leaves every document's expectation and the
+    node's total unchanged, until one of the two is decided. A node's one rest
+    goes to its parent, so a source of any size is spread over many tasks and its
+    total is off by one document at most, a small one unless it outweighs the
+    rest of its source. Draws hash the row's values: reruns agree.
 
     Null source: a source of its own, ranked last. Null or empty text: size 0,
     its fraction is drawn alone and it takes no words. Rows that agree in
