@@ -201,24 +201,22 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(self.pooled(texts)) + self.shift, -50, 50)))
 
 
-def pick_landmarks(words: pd.DataFrame, toxic: int, clean: int, rule: ToxicRule) -> list[str]:
-    """Words that toxic documents have more often, by log likelihood ratio; no two of one fold."""
-    if not len(words) or not toxic or not clean:
+def pick_landmarks(words: DataFrame, toxic: int, clean: int, rule: ToxicRule) -> list[str]:
+    """The words (``word, toxic, clean``: documents with it) that toxic documents have more often, by log likelihood ratio.
+
+    Every word is rated by its counts; equal ratios go by the word.
+    """
+    if not toxic or not clean:
         return []
-    a, b = words["toxic"].to_numpy(float), words["clean"].to_numpy(float)
+    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
 
     def term(k, n, p):
-        return k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
+        return k * F.log(F.greatest(p, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
 
-    both = (a + b) / (toxic + clean)
-    gain = 2 * (term(a, toxic, a / toxic) + term(b, clean, b / clean) - term(a, toxic, both) - term(b, clean, both))
-    gain = np.where(a / toxic > b / clean, gain, -1.0)
-    chosen: dict[str, None] = {}
-    for k in np.lexsort((words["word"].to_numpy(), -gain)):
-        if gain[k] <= 0 or len(chosen) == rule.landmarks:
-            break
-        chosen.setdefault(words["word"].iat[k])
-    return list(chosen)
+    both = (a + b) / float(toxic + clean)
+    gain = term(a, float(toxic), a / toxic) + term(b, float(clean), b / clean) - term(a, float(toxic), both) - term(b, float(clean), both)
+    ahead = words.where(a / toxic > b / clean).select("word", gain.alias("gain")).where("gain > 0")
+    return [r["word"] for r in ahead.orderBy(F.desc("gain"), "word").limit(rule.landmarks).collect()]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, rule: ToxicRule) -> tuple[np.ndarray, float]:
@@ -285,10 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: ToxicRule = ToxicRule()) ->
     words = sample.mapInPandas(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     row = words.where("word = ''").collect()
     toxic, clean = (row[0]["toxic"], row[0]["clean"]) if row else (0, 0)
-    # Candidates ordered by how far toxic documents lead; the rest cannot rank among the landmarks.
-    ahead = F.col("toxic") / F.lit(max(toxic, 1)) - F.col("clean") / F.lit(max(clean, 1))
-    top = words.where("word <> ''").orderBy(ahead.desc(), "word").limit(20 * rule.landmarks).toPandas()
-    marks = pick_landmarks(top, toxic, clean, rule)
+    marks = pick_landmarks(words.where("word <> ''"), toxic, clean, rule)
     model = ToxicModel(rule, marks, np.eye(len(marks)))
     if not marks:
         return model
