@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import fresh_path
-from .common import drop, small_batches, store
+from .common import drop, sent_if_small, small_batches, store
 
 GZIP = 31  # window bits that ask zlib for a gzip wrapper
 CHUNK = 1 << 18
@@ -21,12 +21,12 @@ END = b"\r\n\r\n"
 
 @dataclass(frozen=True)
 class WarcRule:
-    """Least payload that a revisit can stand for, compression level, date of the records, ways to split a hot payload."""
+    """Least payload that a revisit can stand for, compression level, date of the records, pages of one payload that a task takes."""
 
     least: int = 100
     level: int = 6
     date: str = "1970-01-01T00:00:00Z"
-    salts: int = 16
+    hot: int = 1 << 14
 
 
 def filesystem(path: str):
@@ -39,18 +39,20 @@ def filesystem(path: str):
 def mark_revisits(pages: DataFrame, rule: WarcRule = WarcRule()) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, first`` (the page a revisit refers to, else null).
 
-    Repeated digests are counted first; their rows meet the pages under a salted
-    key, so a payload with a third of the pages is spread over tasks.
+    Repeated digests are counted first. A payload on more than ``rule.hot`` pages
+    is cut into as many salts as it needs, so that one with a third of the pages
+    is spread over tasks at any size; the list of such payloads has at most one
+    row per ``rule.hot`` pages.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    repeated = (
-        rows.where(F.col("payload_bytes") >= rule.least).groupBy("payload_digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n"))
-        .where("n > 1").select("payload_digest", "least_id", F.explode(F.array(*[F.lit(k) for k in range(rule.salts)])).alias("salt"))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(rule.salts)).cast("int"))
-    joined = salted.join(repeated, ["payload_digest", "salt"], "left")
+    counted = rows.where(F.col("payload_bytes") >= rule.least).groupBy("payload_digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n")).where("n > 1")
+    repeated, _ = store(counted.withColumn("salts", F.ceil(F.col("n") / F.lit(rule.hot)).cast("int")), "warc-repeated")
+    hot = sent_if_small(repeated.where("salts > 1").select("payload_digest", "salts"))
+    split = repeated.select("payload_digest", "least_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = rows.join(hot, "payload_digest", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    joined = salted.join(split, ["payload_digest", "salt"], "left")
     first = F.when(~F.col("page_id").eqNullSafe(F.col("least_id")), F.col("least_id"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", first.alias("first"))
 
