@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, store
 
 #: Rules are an argument held in every task; their number is bounded.
 MOST_RULES = 10_000
@@ -89,11 +89,12 @@ def judge(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
 
     A null url, or one without ``://``, has an empty host and path and only
     patterns can match it. Columns of ``urls`` with the names of added ones are
-    replaced. An empty table gives no rows. More than ``MOST_RULES`` rules raise
-    ``ValueError``.
+    replaced. An empty table gives no rows. Repeated urls are judged alike; a url
+    is read whole, however long. More than ``MOST_RULES`` rules raise
+    ``ValueError``: they are a table for ``judge_by_table``.
     """
     if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES}")
+        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES}, more are a table for judge_by_table")
     counts = token_counts(urls, sorted({t for r in rules for t in r.literals}))
     index: dict[str, list[int]] = {}
     for k, rule in enumerate(rules):
@@ -124,3 +125,48 @@ def judge(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
     return decided.select(
         *[F.col("row")[c].alias(c) for c in urls.columns if c not in added], "host", "path", F.col("best.text").alias("rule"), F.col("spam.text").alias("pattern_rule"), verdict.alias("verdict")
     )
+
+
+RULES = "at long, text string, action string, pattern string, literals array<string>, address boolean"
+
+
+def rule_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
+    """Rules as a table for ``judge_by_table``; ``at`` is their order."""
+    return spark.createDataFrame([(k, r.text, r.action, r.pattern, list(r.literals), r.address) for k, r in enumerate(rules)], RULES)
+
+
+def judge_by_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """As ``judge``, for any number of rules in a table of the columns ``RULES``.
+
+    Every rule is filed under that of its literals which the fewest urls have,
+    by counts of the rules' literals alone; the tokens of the distinct urls meet
+    the filed rules in a join, and only those run their expressions. Rules
+    without a literal are tried on every url: at most ``MOST_RULES`` of them.
+    """
+    spark = urls.sparkSession
+    rules, _ = store(rules.select(*[f.split()[0] for f in RULES.split(", ")]), "url-rules")
+    lower = lower_ascii(F.coalesce(F.col("url"), F.lit("")))
+    subject = F.concat(host_of(F.col("url")), path_of(F.col("url")))
+    distinct, _ = store(urls.select("url").distinct().select("url", lower.alias("lower"), subject.alias("subject"), F.explode(url_tokens(F.col("url"))).alias("token")), "url-tokens")
+    literal = rules.select("at", F.explode("literals").alias("token"))
+    seen = distinct.join(literal.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")
+    filed = literal.join(seen, "token", "left").groupBy("at").agg(rarest).join(rules.drop("literals"), "at")
+    free = rules.where(F.coalesce(F.size("literals"), F.lit(0)) <= 0).drop("literals").limit(MOST_RULES + 1).collect()
+    if len(free) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules have no literal")
+    met = distinct.join(filed, "token")
+    if free:
+        everywhere = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("at", "text", "action", "pattern", "address")]) for r in free])
+        any_url = distinct.select("url", "lower", "subject").distinct().select("*", F.explode(everywhere).alias("r")).select("url", "lower", "subject", "r.*")
+        met = met.select(*any_url.columns).unionByName(any_url)
+    hits = met.where(F.rlike(F.when(F.col("address"), F.col("subject")).otherwise(F.col("lower")), F.col("pattern")))
+    best = F.max(F.when(F.col("address"), F.struct(F.length("text").alias("n"), (-F.col("at")).alias("at"), "text", "action")))
+    spam = F.min(F.when(~F.col("address") & (F.col("action") == "block"), F.struct("at", "text")))
+    found = hits.groupBy(F.col("url").alias("judged")).agg(best.alias("best"), spam.alias("spam"))
+    joined = urls.select(F.struct("*").alias("row")).join(found, F.col("row.url").eqNullSafe(F.col("judged")), "left")
+    url, added = F.col("row.url"), ("host", "path", "rule", "pattern_rule", "verdict")
+    verdict = F.coalesce(F.col("best.action"), F.when(F.col("spam").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return joined.select(
+        *[F.col("row")[c].alias(c) for c in urls.columns if c not in added], host_of(url).alias("host"), path_of(url).alias("path"),
+        F.col("best.text").alias("rule"), F.col("spam.text").alias("pattern_rule"), verdict.alias("verdict"))

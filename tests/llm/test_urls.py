@@ -3,7 +3,7 @@ import re
 import pytest
 
 from gaugeflow.llm.queries import OP7_RULES
-from gaugeflow.llm.urls import DEFAULT_RULES, UrlRule, address_rule, judge, token_counts, word_rule
+from gaugeflow.llm.urls import DEFAULT_RULES, UrlRule, address_rule, judge, judge_by_table, rule_table, token_counts, word_rule
 
 URLS = [
     "http://example.com/en/x", "https://www.example.com/en/", "http://a.example.com/en/q?x=1", "http://example.com/enx", "http://badexample.com/en/", "http://shop.net/es/1", "http://net/fr/", "http://x.net/de/",
@@ -54,3 +54,29 @@ def test_edges(spark, rules):
 
 def test_a_last_token_that_may_go_on_is_no_literal():
     assert address_rule("example.com/en", "block").literals == ("example", "com")
+
+
+def test_rules_from_a_table_judge_alike(spark, rules):
+    more = [*rules, UrlRule("any", "block", "x=1$", ()), address_rule("h.com", "block"), word_rule("bets", "block"), address_rule("com/", "block")]
+    urls = spark.createDataFrame([(k, u, "h", "v") for k, u in enumerate(URLS * 2)], "page_id long, url string, host string, verdict string")
+    for given in (rules, more, []):
+        got, want = judge_by_table(urls, rule_table(spark, given)), judge(urls, given)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert judge_by_table(urls.limit(0), rule_table(spark, rules)).count() == 0
+
+
+def test_ten_thousand_rules_meet_few_urls(spark):
+    """Far more rules than one task's argument may hold; each url meets those of its rare tokens only."""
+    many = [address_rule(f"site{k}.org/a/", "block") for k in range(12_000)] + [word_rule(f"word{k} word{k + 1}", "block") for k in range(500)]
+    urls = spark.createDataFrame([(f"http://x.site{k}.org/a/{'b' * (k % 50)}",) for k in range(0, 24_000, 7)] + [("http://y.net/word3-word4?z",), ("http://y.net/word3/word5",)], "url string")
+    got = {r.url: (r.rule, r.pattern_rule, r.verdict) for r in judge_by_table(urls, rule_table(spark, many)).collect()}
+    assert got["http://y.net/word3-word4?z"] == (None, "word3 word4", "block") and got["http://y.net/word3/word5"] == (None, None, "allow")
+    for k in range(0, 24_000, 7):
+        assert got[f"http://x.site{k}.org/a/{'b' * (k % 50)}"][0] == (f"site{k}.org/a/" if k < 12_000 else None)
+
+
+def test_very_long_urls(spark, rules):
+    long = "http://h.org/" + "a/" * 100_000 + "free-bets"
+    urls = spark.createDataFrame([(long,), (long + "x",)], "url string")
+    for made in (judge(urls, rules), judge_by_table(urls, rule_table(spark, rules))):
+        assert {(len(r.path), r.verdict) for r in made.collect()} == {(len(long) - 12, "block"), (len(long) - 11, "allow")}
