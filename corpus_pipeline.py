@@ -26,24 +26,43 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, does not call toxic."""
+    """Documents that the classifier, fitted on the labelled ones, does not call toxic.
+
+    Null and empty texts are scored as texts without a window; without labels of
+    both classes nothing is rejected. Whole texts are read; equal texts share
+    their fate, repeated rows too. An empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
     return toxicity.assess(docs, model).where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a likeness of 0.8."""
+    """One document of each group linked by five-word shingles at a likeness of 0.8.
+
+    The least id of a group stays, null ids last; of rows equal in id and text
+    one stays. Null and blank texts link with nothing and all stay. Whole texts
+    are compared. An empty table stays empty.
+    """
     return jaccard.keep_heads(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    A null source is one of its own; null and empty texts have no words and stay
+    by a draw; rows that agree in everything are drawn one by one. An empty
+    table stays empty.
+    """
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of 4096 ids."""
+    """Pieces of all documents, placed in sequences of 4096 ids.
+
+    Null and empty texts are a closing id alone; repeated rows are packed like
+    any other; a very long text is cut into pieces. An empty table has no pieces.
+    """
     return packing.pack(docs, "word_bpe_49k.json").withColumn("ids_crc32", F.crc32("ids"))
 
 

@@ -29,7 +29,7 @@ LAGS, LONG_LAGS = (5, 10, 15, 30, 60), (90, 120)
 ROLLS = (5, 15, 30, 60)
 CONTEXT_ROWS = 120
 
-# Optional inputs and the value that stands for "not reported".
+# Optional inputs and the value that stands for "not reported".
 OPTIONAL_DEFAULTS = {
     "radar_available": 0.0, "radar_point_intensity": 0.0, "radar_nearby_max_intensity": 0.0,
     "radar_trend_rising": 0.0, "cloud_available": 0.0, "cloud_cover_now": 0.0,

@@ -26,7 +26,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_every_oracle_has_a_query_and_names_are_stable():
     queries, oracles = entry_points.queries(), entry_points.oracle_sql()
     assert set(oracles) <= set(queries) and set(load_queries()) <= set(queries) and len(load_queries()) >= 110
-    assert set(load_queries()) - set(oracles) == {"rf_score", "rf_holdout", "temp_score"}
+    assert set(load_queries()) - set(oracles) == {"rf_score", "rf_holdout", "rf_metrics", "gbt_holdout", "temp_score", "temp_errors"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
