@@ -11,6 +11,7 @@ from ..operators import blend as B
 from ..operators import daily as DS
 from ..operators import entities as EN
 from ..operators import radar as R
+from ..operators import rain_events as RE
 from ..operators import revision as V
 from ..operators import summaries as S
 from ..operators.chunks import KEY
@@ -18,8 +19,8 @@ from ..operators.lineage import fresh_path
 from ..policy import GridPolicy
 from .cleaning import COMFORT_SQL, HEAT_SQL
 from .fixtures import FORECASTS, NWP, READINGS, forecast_log, nwp_log, readings, table, with_ctes
-from .happenings import _GATE, _recursive
-from .registry import query, rd, sql_rd, ts_us
+from .happenings import _GATE, _cut_history, _recursive
+from .registry import QUERIES, query, rd, sql_rd, ts_us
 
 _SUMMARY = f"""count(*) as count, min(temp) as temp_min, max(temp) as temp_max, avg(temp) as temp_avg, min(humidity) as humidity_min, max(humidity) as humidity_max,
  avg(humidity) as humidity_avg, min(pressure) as pressure_min, max(pressure) as pressure_max, count(*) filter (where rain_flag>0)::double as rain_minutes, max(hi) as hmax, avg(hi) as havg"""
@@ -546,3 +547,19 @@ def forecast_object(spark, sf):
         KEY, shown("nowcast"), shown("hourly"), shown("daily"), F.array_join("sources.nowcast", ",").alias("nowcast_sources"), F.col("sources.daily").alias("daily_source"),
         F.try_element_at(F.col("arrival"), F.lit(1))["lead_minutes"].alias("eta"), F.unix_micros("now.ts").alias("now_us"), rd("now.temp", 4).alias("now_temp"),
         F.col("confidence.level").alias("level"), F.col("confidence.reason").alias("reason"))
+
+
+@query("forecast_object_rain", with_ctes(READINGS, FORECASTS, NWP, _BLEND) + f"""
+select s.station_id, s.n as nowcasts, rs.status, rs.elapsed_minutes, rs.remaining_median, rs.completed_events, coalesce(s.n,0)>0 and rs.status='not_raining' as calm
+from (select station_id, count(*) filter (where layer='nowcast') as n from bl group by 1) s
+left join (select * from ({QUERIES["rain_stop"].oracle}) where station_id<>2) rs on rs.station_id=s.station_id""")
+def forecast_object_rain(spark, sf):
+    """The forecast object with its rain-stop part; one station has none."""
+    h = _cut_history(spark, sf).filter(F.col(KEY) != 2)
+    latest = h.groupBy(KEY).agg(F.max("ts").alias("_l"))
+    clock = latest.select(KEY, F.when(F.col(KEY) == 3, F.expr("_l + interval 3 minutes")).otherwise(F.col("_l")).alias("now"))
+    o = B.forecast_object(_layers(spark, sf), rain_stop=RE.rain_stop_at(h, clock))
+    return o.select(
+        KEY, F.size("nowcast").cast("long").alias("nowcasts"), F.col("rain_stop.status").alias("status"), rd("rain_stop.elapsed_minutes", 2).alias("elapsed_minutes"),
+        rd("rain_stop.remaining_median", 1).alias("remaining_median"), F.col("rain_stop.completed_events").alias("completed_events"),
+        ((F.size("nowcast") > 0) & (F.col("rain_stop.status") == "not_raining")).alias("calm"))
