@@ -11,7 +11,7 @@ import compare as cmp  # noqa: E402
 
 import __spark_entry__ as entry_points  # noqa: E402
 from gaugeflow.operators.clean import time_range  # noqa: E402
-from gaugeflow.operators.learning import ForestRule, default_features, fit_horizon, predict  # noqa: E402
+from gaugeflow.operators.learning import default_features, fit_horizon, fit_temperature, temperature_errors, ForestRule, predict  # noqa: E402
 from gaugeflow.plans import load_queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,9 @@ def test_models_learn_and_onset_models_refuse_rain_inputs(spark):
     rows = rows.withColumn("target", (F.col("a") > 0.6).cast("int")).cache()
     model, judged = fit_horizon(rows, ["a", "b"], 5, "target", ForestRule(trees=5, depth=4, blend=True))
     assert model.metrics["f1"] > 0.95 and model.metrics["brier"] < 0.05 and model.metrics["n"] > 200
+    cohorts = model.metrics["cohorts"]
+    assert set(cohorts) == {"all", "dry_now", "dry_60m"} and cohorts["all"]["brier"] == pytest.approx(model.metrics["brier"])
+    assert all(c["brier"] < 0.5 * c["persistence_brier"] and c["brier_skill"] > 0.5 and c["average_precision"] > 0.95 for c in cohorts.values())
     assert {r.part for r in judged.select("part").distinct().collect()} == {"validation", "test"}
     p = predict(model, rows).agg(F.min("p_5m").alias("lo"), F.max("p_5m").alias("hi")).first()
     assert 0 <= p.lo < 0.3 and 0.7 < p.hi <= 1
@@ -78,3 +81,13 @@ def test_models_learn_and_onset_models_refuse_rain_inputs(spark):
         fit_horizon(rows, ["a", "rain_last_60m"], 5, "target", ForestRule(kind="rf_onset", trees=2, depth=2))
     boosted, _ = fit_horizon(rows, ["a", "b"], 5, "target", ForestRule(kind="gbt", trees=3, depth=2))
     assert boosted.metrics["f1"] > 0.9
+
+
+def test_the_temperature_forest_beats_persistence(spark):
+    rows = spark.range(3000).select(
+        F.lit(0).cast("long").alias("station_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (20 + 5 * F.sin(F.col("id") / 40)).alias("temp"), F.cos(F.col("id") / 40).alias("slope"),
+        (20 + 5 * F.sin((F.col("id") + 30) / 40)).alias("ahead"))
+    rows = rows.withColumn("ahead", F.when(F.col("ts") < F.timestamp_seconds(F.lit(2970 * 60)), F.col("ahead"))).cache()
+    model = fit_temperature(rows.filter("unix_seconds(ts) < 120000"), ["temp", "slope"], "ahead", trees=5, depth=6)
+    r = temperature_errors(model, rows.filter("unix_seconds(ts) >= 120000"), "ahead").first()
+    assert r.n == 970 and r.mae < 0.2 * r.persistence_mae and r.rmse < 0.2 * r.persistence_rmse
