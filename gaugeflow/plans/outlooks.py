@@ -341,7 +341,7 @@ select station_id, position, warning_id, severity, area_match from k where posit
 def warnings_shown(spark, sf):
     live = _warnings(spark, sf).filter(_life() == "active").drop("lat0", "lon0", "area_desc")
     stations = _stations(spark, sf)
-    return W.shown_at(stations, W.match_areas(stations, _area_rows(spark, sf), _HINTS), live.select("warning_id", "severity", "expires"), 3).select(KEY, "position", "warning_id", "severity", "area_match")
+    return W.shown_in(stations, W.match_cells(_area_rows(spark, sf), _HINTS), live.select("warning_id", "severity", "expires"), 3).select(KEY, "position", "warning_id", "severity", "area_match")
 
 
 @query("warnings_cells", with_ctes(_AREAS) + f"""
