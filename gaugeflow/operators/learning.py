@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -86,6 +88,76 @@ def _classifier(rule: ForestRule):
     return RandomForestClassifier(numTrees=rule.trees, maxDepth=rule.levels, featureSubsetStrategy="sqrt", **common)
 
 
+#: Most rows of a partition that a forest is fitted on.
+PART_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, *, side_by_side: bool) -> tuple[DataFrame, int]:
+    """The rows stored once in even partitions, and how many fits these leave cores for.
+
+    Every partition sends the statistics of every node, so for forests deep
+    enough to have nodes of a few rows, that traffic grows with the partitions
+    and not with the rows. Forests are therefore given few partitions, of at
+    most ``PART_ROWS`` rows, and groups of their trees are fitted side by side.
+    Boosted trees follow one another and take all cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    stored = cut(df.repartition(cores), "examples")
+    most = max(1, -(-stored.count() // PART_ROWS))
+    parts = most if side_by_side and most < cores else cores
+    return (stored.coalesce(parts) if parts < cores else stored), max(1, cores // parts)
+
+
+class Grove(Transformer):
+    """Forests of equal rules fitted side by side, as one forest: ``out`` is the mean over all their trees."""
+
+    def __init__(self, forests: Sequence[Model], out: str):
+        super().__init__()
+        self.forests, self.out = list(forests), out
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        trees, columns, total = sum(f.getNumTrees for f in self.forests), [], F.lit(0.0)
+        for i, forest in enumerate(self.forests):
+            forest = forest.copy()
+            if hasattr(forest, "setProbabilityCol"):
+                forest.setProbabilityCol(f"_vote{i}").setRawPredictionCol("").setPredictionCol("")
+                vote = _positive(f"_vote{i}")
+            else:
+                forest.setPredictionCol(f"_vote{i}")
+                vote = F.col(f"_vote{i}")
+            df, total = forest.transform(df), total + vote * forest.getNumTrees
+            columns.append(f"_vote{i}")
+        return df.withColumn(self.out, total / trees).drop(*columns)
+
+
+def _grown(estimator, rows: DataFrame, out: str) -> Grove:
+    """All trees of a forest, in as many groups as there are cores for, each with its own seed."""
+    ready, groups = dealt(rows, side_by_side=True)
+    trees = estimator.getNumTrees()
+    groups = min(groups, trees)
+    shares = [trees // groups + (i < trees % groups) for i in range(groups)]
+
+    def fit(i: int) -> Model:
+        return estimator.copy({estimator.numTrees: shares[i], estimator.seed: estimator.getSeed() + i}).fit(ready)
+
+    with ThreadPoolExecutor(groups) as pool:
+        return Grove(list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(groups))), out)
+
+
+def _fitted(rule: ForestRule, train: DataFrame) -> Transformer:
+    """The classifier of ``train`` (``features, target, weight``)."""
+    if rule.kind == "gbt":
+        return _classifier(rule).fit(dealt(train, side_by_side=False)[0])
+    return _grown(_classifier(rule), train, "raw_probability")
+
+
+def _voted(forest: Transformer, df: DataFrame) -> DataFrame:
+    out = forest.transform(df)
+    if not isinstance(forest, Grove):
+        out = out.withColumn("raw_probability", _positive("probability")).drop("rawPrediction", "probability", "prediction")
+    return out.drop("features")
+
+
 def _positive(vector: str) -> Column:
     return vector_to_array(F.col(vector)).getItem(1)
 
@@ -116,21 +188,20 @@ def fit_horizon(rows: DataFrame, features: Sequence[str], horizon: int, target:
     short = part("too_short").agg(F.count_distinct(KEY).alias("n")).first()["n"]
     train = class_weights(onset_weights(part("train")) if rule.kind == ONSET else part("train"))
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    forest = _classifier(rule).fit(assembler.transform(train))
-
-    def score(df: DataFrame) -> DataFrame:
-        out = forest.transform(assembler.transform(df)).withColumn("raw_probability", _positive("probability"))
-        return out.drop("rawPrediction", "probability", "prediction", "features")
+    forest = _fitted(rule, assembler.transform(train).select("features", "target", "weight"))
 
+    context = [c for c in ("rain_flag", "rain_last_60m") if c in parts.columns]
+    # The trees are walked once: the sigmoid is fitted on stored probabilities, and every later stage reads them.
+    raw = _voted(forest, assembler.transform(parts.filter("part in ('calibration', 'validation', 'test')")))
+    raw = cut(raw.select(KEY, "ts", "part", *context, "target", "raw_probability"), "raw")
     line = VectorAssembler(inputCols=["raw_probability"], outputCol="_raw")
     sigmoid = LogisticRegression(featuresCol="_raw", labelCol="target", probabilityCol="_cal", rawPredictionCol="_r", predictionCol="_p").fit(
-        line.transform(score(part("calibration"))))
+        line.transform(raw.filter("part = 'calibration'")))
 
     def calibrated(df: DataFrame) -> DataFrame:
         return sigmoid.transform(line.transform(df)).withColumn("calibrated", _positive("_cal")).drop("_raw", "_cal", "_r", "_p")
 
-    context = [c for c in ("rain_flag", "rain_last_60m") if c in parts.columns]
-    judged = cut(calibrated(score(parts.filter("part in ('validation', 'test')"))).select(
+    judged = cut(calibrated(raw.filter("part in ('validation', 'test')")).select(
         KEY, "ts", "part", *context, F.col("target").alias("observed"), "raw_probability", "calibrated"), "judged")
     judged = judged.withColumn("persistence", persistence())
     valid = judged.filter("part = 'validation'")
@@ -158,8 +229,7 @@ def predict(model: HorizonModel, rows: DataFrame, out: str | None = None) -> Dat
     """Add the calibrated, blended probability of one horizon to any feature frame."""
     out = out or f"p_{model.horizon}m"
     assembler, forest, *sigmoid = model.stages.stages
-    df = forest.transform(assembler.transform(rows)).withColumn("raw_probability", _positive("probability"))
-    df = df.drop("rawPrediction", "probability", "prediction", "features")
+    df = _voted(forest, assembler.transform(rows))
     p = F.col("raw_probability")
     if sigmoid:
         line = VectorAssembler(inputCols=["raw_probability"], outputCol="_raw")
@@ -203,16 +273,15 @@ def joint_thresholds(judged: dict[int, DataFrame], key: Sequence[str] = (KEY, "t
 def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42, memory_mb: int = 512) -> PipelineModel:
     """Regressor for the temperature some minutes ahead, fitted on the rows that have it and every feature.
 
-    The assembled rows are stored once and dealt to all cores, which also share
-    the search for the splits. ``memory_mb`` is what a task may hold of node
+    The assembled rows are stored once, and groups of trees are fitted side by
+    side (:func:`dealt`). ``memory_mb`` is what a task may hold of node
     statistics: with more nodes a pass the forest needs fewer passes.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed, maxMemoryInMB=memory_mb, cacheNodeIds=True)
     usable = rows.filter(F.col(target).isNotNull() & known(features))
-    ready = cut(assembler.transform(usable).select("features", target).repartition(rows.sparkSession.sparkContext.defaultParallelism), "assembled")
-    return PipelineModel(stages=[assembler, forest.fit(ready)])
+    return PipelineModel(stages=[assembler, _grown(forest, assembler.transform(usable).select("features", target), "prediction")])
 
 
 def temperature_errors(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:
