@@ -85,9 +85,13 @@ def _classifier(rule: ForestRule):
     common = dict(featuresCol="features", labelCol="target", weightCol="weight", seed=rule.seed, minInstancesPerNode=rule.min_leaf)
     if rule.kind == "gbt":
         return GBTClassifier(maxIter=rule.trees, maxDepth=rule.levels, stepSize=0.05, subsamplingRate=0.9, **common)
-    return RandomForestClassifier(numTrees=rule.trees, maxDepth=rule.levels, featureSubsetStrategy="sqrt", **common)
+    # Rows remember their nodes, so a pass does not walk the trees grown so far; with more memory a level takes fewer passes.
+    return RandomForestClassifier(
+        numTrees=rule.trees, maxDepth=rule.levels, featureSubsetStrategy="sqrt", cacheNodeIds=True, maxMemoryInMB=NODE_MB, **common)
 
 
+#: Megabytes that a task may hold of node statistics; up to four forests are fitted side by side in an executor.
+NODE_MB = 512
 #: Most rows of a partition that a forest is fitted on.
 PART_ROWS = 1_000_000
 
@@ -270,7 +274,7 @@ def joint_thresholds(judged: dict[int, DataFrame], key: Sequence[str] = (KEY, "t
     return wide, chosen
 
 
-def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42, memory_mb: int = 512) -> PipelineModel:
+def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees: int = 100, depth: int = 12, seed: int = 42, memory_mb: int = NODE_MB) -> PipelineModel:
     """Regressor for the temperature some minutes ahead, fitted on the rows that have it and every feature.
 
     The assembled rows are stored once, and groups of trees are fitted side by

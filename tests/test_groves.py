@@ -38,3 +38,8 @@ def test_partitions_follow_the_rows(rows, monkeypatch):
     monkeypatch.setattr(M, "PART_ROWS", 130)
     assert M.dealt(rows.select("features", "target"), side_by_side=True)[1] == cores // 4
     assert M.dealt(rows.select("features", "target"), side_by_side=False)[1] == 1
+
+
+def test_forests_remember_the_nodes_of_their_rows():
+    forest = M._classifier(M.ForestRule())
+    assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == M.NODE_MB
