@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..policy import RAIN_THRESHOLD
@@ -21,7 +23,7 @@ from .chunks import KEY
 from .coherence import check_nested, coherent
 from .features import check_onset_features, onset_feature_names
 from .labels import onset_weights, split
-from .lineage import cut
+from .lineage import cut, fresh_path
 from .metrics import best_threshold, blend_weight, blended, brier, confusion, holdout_metrics, persistence, sweep
 
 ONSET = "rf_onset"
@@ -118,20 +120,62 @@ class Grove(Transformer):
     def __init__(self, forests: Sequence[Model], out: str):
         super().__init__()
         self.forests, self.out = list(forests), out
+        self._trees = None
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        trees, columns, total = sum(f.getNumTrees for f in self.forests), [], F.lit(0.0)
-        for i, forest in enumerate(self.forests):
-            forest = forest.copy()
-            if hasattr(forest, "setProbabilityCol"):
-                forest.setProbabilityCol(f"_vote{i}").setRawPredictionCol("").setPredictionCol("")
-                vote = _positive(f"_vote{i}")
-            else:
-                forest.setPredictionCol(f"_vote{i}")
-                vote = F.col(f"_vote{i}")
-            df, total = forest.transform(df), total + vote * forest.getNumTrees
-            columns.append(f"_vote{i}")
-        return df.withColumn(self.out, total / trees).drop(*columns)
+        """Rows walk the trees as arrays, a tree at a time for a batch, so that what is read lies close together."""
+        spark, out = df.sparkSession, self.out
+        if self._trees is None:
+            with ThreadPoolExecutor(len(self.forests)) as pool:
+                read = list(pool.map(inheritable_thread_target(spark)(tree_arrays), self.forests))
+            self._trees = spark.sparkContext.broadcast([tree for forest in read for tree in forest])
+        trees = self._trees
+
+        @F.pandas_udf("double")
+        def mean_vote(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in rows:
+                yield pd.Series(mean_of_trees(trees.value, batch))
+
+        return df.withColumn(out, mean_vote(vector_to_array("features")))
+
+
+#: Of a tree by its nodes: feature asked (-1: leaf), threshold, the child of values up to it, the other child, the leaf's vote.
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def tree_arrays(forest: Model) -> list[Tree]:
+    """The trees of a forest from its saved nodes; a classifier's leaf votes with its share of class 1."""
+    spark = SparkSession.active()
+    path = fresh_path(spark, "forest")  # Spark's own format of a stored model
+    forest.write().save(path)
+    split, stats = F.col("nodeData.split"), F.col("nodeData.impurityStats")
+    vote = stats[1] / (stats[0] + stats[1]) if isinstance(forest, RandomForestClassificationModel) else F.col("nodeData.prediction")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", F.col("nodeData.id").alias("id"), split["featureIndex"].alias("feature"),
+        F.coalesce(F.try_element_at(split["leftCategoriesOrThreshold"], F.lit(1)), F.lit(0.0)).alias("threshold"),
+        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"), vote.alias("vote"))
+    table = nodes.toArrow().sort_by([("treeID", "ascending"), ("id", "ascending")])
+    tree, *columns = (table[c].to_numpy() for c in ("treeID", "feature", "threshold", "left", "right", "vote"))
+    ends = np.flatnonzero(np.diff(tree)) + 1
+    return list(zip(*[np.split(c, ends) for c in columns]))
+
+
+def mean_of_trees(trees: Sequence[Tree], rows: Sequence[np.ndarray], most: int = 4096) -> np.ndarray:
+    """The mean vote of the trees on each row of features."""
+    out = np.zeros(len(rows))
+    for at in range(0, len(rows), most):
+        values = np.stack(rows[at:at + most])
+        width, flat = values.shape[1], values.ravel()
+        for feature, threshold, left, right, vote in trees:
+            node = np.zeros(len(values), np.int32)
+            inside = np.flatnonzero(feature[node] >= 0)
+            while len(inside):
+                here = node[inside]
+                here = np.where(flat[inside * width + feature[here]] <= threshold[here], left[here], right[here])
+                node[inside] = here
+                inside = inside[feature[here] >= 0]
+            out[at:at + most] += vote[node]
+    return out / len(trees)
 
 
 def _grown(estimator, rows: DataFrame, out: str) -> Grove:

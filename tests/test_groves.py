@@ -43,3 +43,20 @@ def test_partitions_follow_the_rows(rows, monkeypatch):
 def test_forests_remember_the_nodes_of_their_rows():
     forest = M._classifier(M.ForestRule())
     assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == M.NODE_MB
+
+
+def test_a_grove_walks_its_trees_as_spark_does(rows):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    # Rows on both sides of every threshold, and on thresholds themselves; no Spark model is called in the plan.
+    for forest, own in ((M._classifier(M.ForestRule(trees=9, depth=7)), lambda f: vector_to_array("probability")[1]),
+                        (RandomForestRegressor(labelCol="target", numTrees=9, maxDepth=7, seed=3), lambda f: F.col("prediction"))):
+        grove = M._grown(forest, rows.select("features", "target", "weight"), "vote")
+        got = grove.transform(rows.select("a", "b", "features"))
+        assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+        expected = [[v[0] for v in f.transform(rows).select(own(f)).collect()] for f in grove.forests]
+        sizes = [f.getNumTrees for f in grove.forests]
+        for i, r in enumerate(got.collect()):
+            assert r.vote == pytest.approx(sum(e[i] * n for e, n in zip(expected, sizes)) / sum(sizes))
+    trees = [(M.np.array([0, -1, -1]), M.np.array([0.5, 0, 0]), M.np.array([1, -1, -1]), M.np.array([2, -1, -1]), M.np.array([0, 1.0, 3.0]))]
+    assert list(M.mean_of_trees(trees * 2, [M.np.array([v]) for v in (0.5, 0.6, 0.1)], most=2)) == [1.0, 3.0, 1.0]
