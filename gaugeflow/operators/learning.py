@@ -334,7 +334,8 @@ def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees
 
 def temperature_errors(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:
     """Mean absolute and squared error of the forecast, and of the present temperature as the forecast, where the target is known."""
-    judged = predict_temperature(model, rows.filter(F.col(target).isNotNull())).filter(F.col("temp_forecast").isNotNull())
+    # Rows without a forecast go before the trees are walked: a filter on the forecast would walk them twice.
+    judged = predict_temperature(model, rows.filter(F.col(target).isNotNull() & known(model.stages[0].getInputCols())))
     e, q = F.col("temp_forecast") - F.col(target), F.col("temp") - F.col(target)
     return judged.agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(q)).alias("persistence_mae"),

@@ -60,3 +60,11 @@ def test_a_grove_walks_its_trees_as_spark_does(rows):
             assert r.vote == pytest.approx(sum(e[i] * n for e, n in zip(expected, sizes)) / sum(sizes))
     trees = [(M.np.array([0, -1, -1]), M.np.array([0.5, 0, 0]), M.np.array([1, -1, -1]), M.np.array([2, -1, -1]), M.np.array([0, 1.0, 3.0]))]
     assert list(M.mean_of_trees(trees * 2, [M.np.array([v]) for v in (0.5, 0.6, 0.1)], most=2)) == [1.0, 3.0, 1.0]
+
+
+def test_errors_walk_the_trees_once(rows):
+    table = rows.select("a", "b", F.col("a").alias("temp"), F.col("b").alias("ahead"))
+    model = M.fit_temperature(table, ["a", "b"], "ahead", trees=2, depth=2)
+    errors = M.temperature_errors(model, table.withColumn("a", F.when(F.col("a") > 0.2, F.col("a"))), "ahead")
+    assert errors._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert errors.first().n == table.filter("a > 0.2").count()
