@@ -317,6 +317,23 @@ def first_level() -> Recipe:
     )
 
 
+def add_pointwise(df: DataFrame, wanted: set[str]) -> DataFrame:
+    """Features that need no other row, and what the others among ``wanted`` are built from."""
+    if any("dew" in n for n in wanted):
+        df = df.withColumns({
+            "dew_point": dew_point(F.col("temp"), F.col("humidity")),
+            "temp_dewpoint_gap": F.col("temp") - dew_point(F.col("temp"), F.col("humidity"))})
+    if any(n.startswith(("radar", "cloud", "wind", "nwp")) for n in wanted):
+        df = with_context(df)
+    if any("light" in n or "solar" in n for n in wanted):
+        df = with_light(df)
+    if wanted & {"hour_sin", "hour_cos", "day_sin", "day_cos"}:
+        df = with_calendar(df)
+    if "rain_now" in wanted:
+        df = df.withColumn("rain_now", F.col("rain_flag"))
+    return df
+
+
 def add_features(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Features on a repaired, chunked, segmented frame (``_us``, ``_chunk``, ``_seg``).
 
@@ -330,18 +347,7 @@ def add_features(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
     df = add_lags(df, wanted | inputs)
     first = {n: make() for n, make in first_level().items() if n in wanted | inputs}
     then = {n: make() for n, make in second.items() if n in wanted}
-    if any("dew" in n for n in wanted):
-        df = df.withColumns({
-            "dew_point": dew_point(F.col("temp"), F.col("humidity")),
-            "temp_dewpoint_gap": F.col("temp") - dew_point(F.col("temp"), F.col("humidity"))})
-    if any(n.startswith(("radar", "cloud", "wind", "nwp")) for n in wanted):
-        df = with_context(df)
-    if any("light" in n or "solar" in n for n in wanted):
-        df = with_light(df)
-    if wanted & {"hour_sin", "hour_cos", "day_sin", "day_cos"}:
-        df = with_calendar(df)
-    if "rain_now" in wanted:
-        df = df.withColumn("rain_now", F.col("rain_flag"))
+    df = add_pointwise(df, wanted)
     df = add_rolling(df, wanted | inputs)
     if first:
         df = df.withColumns(first)
@@ -364,8 +370,10 @@ def feature_frame(
 def labelled_features(readings: DataFrame, horizons: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
     """Features and future labels side by side, still from the one shuffle of the repair.
 
-    Adds ``rain_<h>m``, ``onset_<h>m`` and ``temp_ahead_30m`` to the feature frame.
+    Adds ``rain_<h>m``, ``onset_<h>m`` and ``temp_ahead_30m`` to the feature frame,
+    whose windowed features are made as arrays of a chunk (:mod:`.arrays`).
     """
+    from . import arrays
     from .labels import LabelRule, future_onset, future_rain, label_reach, onset_flag
     from .segments import FILLED
 
@@ -375,4 +383,4 @@ def labelled_features(readings: DataFrame, horizons: Sequence[int], names: Seque
     labels = {f"rain_{h}m": future_rain(df, h, rule) for h in horizons}
     labels |= {f"onset_{h}m": future_onset(df, h, "onset", rule) for h in horizons}
     labels["temp_ahead_30m"] = F.when(F.lead(FILLED, 30).over(segment_window()) == 0, F.lead("temp", 30).over(segment_window()))
-    return core_only(add_features(df.withColumns(labels), names)).drop(US, CHUNK, SEG, "_start")
+    return arrays.add_features(df.withColumns(labels), names or feature_names()).drop(US, CHUNK, SEG, "_start")

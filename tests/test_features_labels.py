@@ -1,9 +1,10 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import at, frame, series, us
+from helpers import SCHEMA, at, frame, series, us
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import features as X
@@ -104,3 +105,21 @@ def test_context_marks_missing_sources(spark):
     a, b = X.with_context(df).collect()
     assert (a.wind_direction, a.wind_available, a.nwp_missing, a.nwp_age_seconds_now) == (22.5, 1.0, 1.0, 999999.0)
     assert b.wind_available == 1.0 and math.isclose(b.wind_direction_sin, math.sin(math.radians(40)))
+
+
+
+def test_features_as_arrays_are_those_of_the_expressions(spark):
+    rng = random.Random(8)
+    rows = [(*r[:2], *[v if rng.random() > 0.02 else None for v in r[2:]], *[rng.choice([None, rng.randrange(9000) / 7]) for _ in range(3)])
+            for station in (0, 1) for r in series(station + 3, 1500, steps=(60,) * 60 + (58, 63, 130, 300, 700), station=station)]
+    history = frame(spark, rows, SCHEMA + ", light double, wind_speed double, wind_gust double")
+    names = X.feature_names()
+    made = X.labelled_features(history, (30,), names)
+    # Rows went through hundreds of window frames before; now through one function of a chunk, without a further shuffle.
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and plan.count("Exchange hashpartitioning(station_id") == 1
+    got, want = (df.orderBy("station_id", "ts").select("station_id", "ts", *names).collect() for df in (made, X.feature_frame(history, names)))
+    assert len(got) == len(want) > 3000
+    for a, b in zip(got, want):
+        assert a == b
+    assert all(any(r[n] is not None for r in got) for n in names)
