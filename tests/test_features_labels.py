@@ -123,3 +123,10 @@ def test_features_as_arrays_are_those_of_the_expressions(spark):
     for a, b in zip(got, want):
         assert a == b
     assert all(any(r[n] is not None for r in got) for n in names)
+
+
+def test_chunks_of_a_station_are_dealt_out_however_the_rows_come(spark):
+    rows = spark.range(400).select((F.col("id") % 2).alias("station_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), *[
+        F.lit(1.0).alias(c) for c in ("temp", "humidity", "pressure", "rain_flag")])
+    plan = S.repaired_chunks(rows.repartition(4, "station_id"))._jdf.queryExecution().executedPlan().toString()
+    assert any("_chunk" in e.split(")")[0] for e in plan.split("Exchange hashpartitioning(station_id")[1:])  # by station alone before
