@@ -14,11 +14,12 @@ from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..policy import RAIN_THRESHOLD
+from . import forests
 from .chunks import KEY
 from .coherence import check_nested, coherent
 from .features import check_onset_features, onset_feature_names
@@ -94,8 +95,10 @@ def _classifier(rule: ForestRule):
 
 #: Megabytes that a task may hold of node statistics; up to four forests are fitted side by side in an executor.
 NODE_MB = 512
-#: Most rows of a partition that a forest is fitted on.
+#: Most rows of a partition that Spark ML fits a forest on.
 PART_ROWS = 1_000_000
+#: Most rows that a task may hold as a byte a feature: 0.8 GB with all 202 features.
+TASK_ROWS = 4_000_000
 
 
 def dealt(df: DataFrame, *, side_by_side: bool) -> tuple[DataFrame, int]:
@@ -115,19 +118,27 @@ def dealt(df: DataFrame, *, side_by_side: bool) -> tuple[DataFrame, int]:
 
 
 class Grove(Transformer):
-    """Forests of equal rules fitted side by side, as one forest: ``out`` is the mean over all their trees."""
+    """Forests of equal rules fitted side by side, as one forest: ``out`` is the mean over all their trees.
 
-    def __init__(self, forests: Sequence[Model], out: str):
+    They are kept in Spark's stored form of a model, one folder each.
+    """
+
+    def __init__(self, kind: type, paths: Sequence[str], out: str):
         super().__init__()
-        self.forests, self.out = list(forests), out
+        self.kind, self.paths, self.out = kind, list(paths), out
         self._trees = None
 
+    @property
+    def forests(self) -> list[Model]:
+        """The groups as Spark's own models."""
+        return [self.kind.load(p) for p in self.paths]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         """Rows walk the trees as arrays, a tree at a time for a batch, so that what is read lies close together."""
         spark, out = df.sparkSession, self.out
         if self._trees is None:
-            with ThreadPoolExecutor(len(self.forests)) as pool:
-                read = list(pool.map(inheritable_thread_target(spark)(tree_arrays), self.forests))
+            with ThreadPoolExecutor(len(self.paths)) as pool:
+                read = list(pool.map(inheritable_thread_target(spark)(lambda p: tree_arrays(p, self.kind)), self.paths))
             self._trees = spark.sparkContext.broadcast([tree for forest in read for tree in forest])
         trees = self._trees
 
@@ -143,13 +154,11 @@ class Grove(Transformer):
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def tree_arrays(forest: Model) -> list[Tree]:
-    """The trees of a forest from its saved nodes; a classifier's leaf votes with its share of class 1."""
+def tree_arrays(path: str, kind: type) -> list[Tree]:
+    """The trees of a stored forest; a classifier's leaf votes with its share of class 1."""
     spark = SparkSession.active()
-    path = fresh_path(spark, "forest")  # Spark's own format of a stored model
-    forest.write().save(path)
     split, stats = F.col("nodeData.split"), F.col("nodeData.impurityStats")
-    vote = stats[1] / (stats[0] + stats[1]) if isinstance(forest, RandomForestClassificationModel) else F.col("nodeData.prediction")
+    vote = stats[1] / (stats[0] + stats[1]) if kind is RandomForestClassificationModel else F.col("nodeData.prediction")
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", F.col("nodeData.id").alias("id"), split["featureIndex"].alias("feature"),
         F.coalesce(F.try_element_at(split["leftCategoriesOrThreshold"], F.lit(1)), F.lit(0.0)).alias("threshold"),
@@ -179,17 +188,38 @@ def mean_of_trees(trees: Sequence[Tree], rows: Sequence[np.ndarray], most: int =
 
 
 def _grown(estimator, rows: DataFrame, out: str) -> Grove:
-    """All trees of a forest, in as many groups as there are cores for, each with its own seed."""
-    ready, groups = dealt(rows, side_by_side=True)
-    trees = estimator.getNumTrees()
+    """All trees of a forest, in as many groups as there are cores for, each with its own seed.
+
+    Up to ``TASK_ROWS`` rows each group is grown by a task that holds the bins
+    of all rows (:mod:`.forests`). More rows than that are left in partitions,
+    and Spark ML fits the groups on them.
+    """
+    spark, classes = rows.sparkSession, isinstance(estimator, RandomForestClassifier)
+    n, trees = rows.count(), estimator.getNumTrees()
+    if whole := n <= TASK_ROWS:
+        weight = estimator.getWeightCol() if estimator.isDefined(estimator.weightCol) else None
+        values = forests.as_values(rows, estimator.getFeaturesCol(), estimator.getLabelCol(), weight)
+        points = forests.sampled_points(values, n, estimator.getMaxBins(), estimator.getSeed())
+        rule, groups = forests.rule_of(estimator, len(points), classes), spark.sparkContext.defaultParallelism
+        ready = cut(forests.binned(values, points).repartition(groups), "examples").coalesce(1)
+    else:
+        ready, groups = dealt(rows, side_by_side=True)
     groups = min(groups, trees)
     shares = [trees // groups + (i < trees % groups) for i in range(groups)]
 
-    def fit(i: int) -> Model:
-        return estimator.copy({estimator.numTrees: shares[i], estimator.seed: estimator.getSeed() + i}).fit(ready)
+    def fit(i: int) -> str:
+        path, one = fresh_path(spark, "forest"), estimator.copy({estimator.numTrees: shares[i], estimator.seed: estimator.getSeed() + i})
+        if whole:
+            grow = forests.grower(points, rule, n, range(sum(shares[:i]), sum(shares[:i + 1])))
+            ready.mapInArrow(grow, forests.NODES).write.parquet(f"{path}/data")
+            forests.describe(spark, path, one, classes, len(points))
+        else:
+            one.fit(ready).write().save(path)
+        return path
 
     with ThreadPoolExecutor(groups) as pool:
-        return Grove(list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(groups))), out)
+        paths = list(pool.map(inheritable_thread_target(spark)(fit), range(groups)))
+    return Grove(RandomForestClassificationModel if classes else RandomForestRegressionModel, paths, out)
 
 
 def _fitted(rule: ForestRule, train: DataFrame) -> Transformer:
