@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -97,8 +97,8 @@ def _classifier(rule: ForestRule):
 NODE_MB = 512
 #: Most rows of a partition that Spark ML fits a forest on.
 PART_ROWS = 1_000_000
-#: Most rows that a task may hold as a byte a feature: 0.8 GB with all 202 features.
-TASK_ROWS = 4_000_000
+#: Most bytes of binned rows that a task may hold: 5 million rows of 202 features.
+TASK_BYTES = 700_000_000
 
 
 def dealt(df: DataFrame, *, side_by_side: bool) -> tuple[DataFrame, int]:
@@ -187,23 +187,28 @@ def mean_of_trees(trees: Sequence[Tree], rows: Sequence[np.ndarray], most: int =
     return out / len(trees)
 
 
-def _grown(estimator, rows: DataFrame, out: str) -> Grove:
+def _grown(estimator, rows: DataFrame, out: str, assemble: Callable[[DataFrame], DataFrame] = lambda df: df) -> Grove:
     """All trees of a forest, in as many groups as there are cores for, each with its own seed.
 
-    Up to ``TASK_ROWS`` rows each group is grown by a task that holds the bins
-    of all rows (:mod:`.forests`). More rows than that are left in partitions,
-    and Spark ML fits the groups on them.
+    Up to ``TASK_BYTES`` each group is grown by a task that holds the bins of
+    all rows (:mod:`.forests`). More rows than that are left in partitions,
+    and Spark ML fits the groups on them.  ``assemble`` adds the vectors to
+    ``rows`` that lack them, so that a sample of rows is drawn before.
     """
     spark, classes = rows.sparkSession, isinstance(estimator, RandomForestClassifier)
     n, trees = rows.count(), estimator.getNumTrees()
-    if whole := n <= TASK_ROWS:
-        weight = estimator.getWeightCol() if estimator.isDefined(estimator.weightCol) else None
-        values = forests.as_values(rows, estimator.getFeaturesCol(), estimator.getLabelCol(), weight)
-        points = forests.sampled_points(values, n, estimator.getMaxBins(), estimator.getSeed())
+    weight = estimator.getWeightCol() if estimator.isDefined(estimator.weightCol) else None
+
+    def values(df: DataFrame) -> DataFrame:
+        return forests.as_values(assemble(df), estimator.getFeaturesCol(), estimator.getLabelCol(), weight)
+
+    points = forests.split_points_of(values(forests.sampled(rows, n, estimator.getMaxBins(), estimator.getSeed())), estimator.getMaxBins())
+    if whole := n * 8 * forests.Packing(points, estimator.getMaxBins()).words <= TASK_BYTES:
         rule, groups = forests.rule_of(estimator, len(points), classes), spark.sparkContext.defaultParallelism
-        ready = cut(forests.binned(values, points).repartition(groups), "examples").coalesce(1)
+        ready = cut(forests.binned(values(rows), points, rule.bins).repartition(groups), "examples").coalesce(1)
     else:
-        ready, groups = dealt(rows, side_by_side=True)
+        kept = [c for c in (estimator.getFeaturesCol(), estimator.getLabelCol(), weight) if c]
+        ready, groups = dealt(assemble(rows).select(*kept), side_by_side=True)
     groups = min(groups, trees)
     shares = [trees // groups + (i < trees % groups) for i in range(groups)]
 
@@ -222,11 +227,11 @@ def _grown(estimator, rows: DataFrame, out: str) -> Grove:
     return Grove(RandomForestClassificationModel if classes else RandomForestRegressionModel, paths, out)
 
 
-def _fitted(rule: ForestRule, train: DataFrame) -> Transformer:
-    """The classifier of ``train`` (``features, target, weight``)."""
+def _fitted(rule: ForestRule, train: DataFrame, assemble: Callable[[DataFrame], DataFrame] = lambda df: df) -> Transformer:
+    """The classifier of ``train`` (``features, target, weight`` once assembled)."""
     if rule.kind == "gbt":
-        return _classifier(rule).fit(dealt(train, side_by_side=False)[0])
-    return _grown(_classifier(rule), train, "raw_probability")
+        return _classifier(rule).fit(dealt(assemble(train).select("features", "target", "weight"), side_by_side=False)[0])
+    return _grown(_classifier(rule), train, "raw_probability", assemble)
 
 
 def _voted(forest: Transformer, df: DataFrame) -> DataFrame:
@@ -266,7 +271,7 @@ def fit_horizon(rows: DataFrame, features: Sequence[str], horizon: int, target:
     short = part("too_short").agg(F.count_distinct(KEY).alias("n")).first()["n"]
     train = class_weights(onset_weights(part("train")) if rule.kind == ONSET else part("train"))
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    forest = _fitted(rule, assembler.transform(train).select("features", "target", "weight"))
+    forest = _fitted(rule, train, assembler.transform)
 
     context = [c for c in ("rain_flag", "rain_last_60m") if c in parts.columns]
     # The trees are walked once: the sigmoid is fitted on stored probabilities, and every later stage reads them.
@@ -359,7 +364,7 @@ def fit_temperature(rows: DataFrame, features: Sequence[str], target: str, trees
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed, maxMemoryInMB=memory_mb, cacheNodeIds=True)
     usable = rows.filter(F.col(target).isNotNull() & known(features))
-    return PipelineModel(stages=[assembler, _grown(forest, assembler.transform(usable).select("features", target), "prediction")])
+    return PipelineModel(stages=[assembler, _grown(forest, usable, "prediction", assembler.transform)])
 
 
 def temperature_errors(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:

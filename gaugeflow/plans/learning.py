@@ -81,6 +81,7 @@ def temp_errors(spark, sf):
     """Errors of the temperature forest on the newest fifth of the rows, beside those of persistence."""
     names = feature_names()
     rows = labelled_features(readings(spark, sf).drop("rn"), (30,), names).filter((F.col(FILLED) <= 0) & F.col("temp_ahead_30m").isNotNull())
-    parts = cut(split(rows.select(KEY, "ts", "temp_ahead_30m", *names), 30), "examples")
+    # Stored before they are split: the times of the split and the parts would each make all features again.
+    parts = split(cut(rows.select(KEY, "ts", "temp_ahead_30m", *names), "examples"), 30)
     model = M.fit_temperature(parts.filter("part <> 'test'"), names, "temp_ahead_30m")
     return M.temperature_errors(model, parts.filter("part = 'test'"), "temp_ahead_30m")

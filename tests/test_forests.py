@@ -54,7 +54,7 @@ def test_depth_costs_no_passes(spark, rows):
 
 
 def test_more_rows_than_a_task_holds_stay_in_partitions(rows, monkeypatch):
-    monkeypatch.setattr(M, "TASK_ROWS", 699)
+    monkeypatch.setattr(M, "TASK_BYTES", 8 * 700 - 1)
     grove = M._grown(_estimators(8, 3)["value"], rows, "vote")
     assert sum(f.getNumTrees for f in grove.forests) == 8
     assert grove.transform(rows).select(F.corr("vote", "temp")).first()[0] > 0.5
@@ -65,16 +65,18 @@ def _held(kind, n=500):
     cells = draw.integers(0, 32, (n, 6), dtype=np.uint8)
     label = (cells[:, 0] + draw.integers(0, 20, n) > 25).astype(float) if kind != "value" else cells[:, 1] + draw.random(n)
     weight = draw.random(n) + 0.5 if kind == "uneven" else np.ones(n)
-    batch = forests.pa.RecordBatch.from_pydict({"bins": [c.tobytes() for c in cells], "label": label, "weight": weight}, forests.pa.schema(
+    words = [int(sum(int(b) << 5 * i for i, b in enumerate(row))).to_bytes(8, "little") for row in cells]
+    batch = forests.pa.RecordBatch.from_pydict({"bins": words, "label": label, "weight": weight}, forests.pa.schema(
         [("bins", forests.pa.binary()), ("label", forests.pa.float64()), ("weight", forests.pa.float64())]))
-    return forests.Rows(iter([batch.slice(0, 123), batch.slice(123)]), n, 6, kind != "value")
+    points = [np.arange(31.0)] * 3 + [np.array([])] + [np.arange(31.0)] * 3
+    return forests.Rows(iter([batch.slice(0, 123), batch.slice(123)]), n, points, 32, kind != "value")
 
 
 @pytest.mark.parametrize("kind", ["even", "uneven", "value"])
 def test_the_size_of_a_step_changes_nothing(kind, monkeypatch):
     held, rule = _held(kind), forests.Growth(kind != "value", 7, 2, 0.0, 3, 32, 1, True)
     whole = forests.grow(held, rule, 0)
-    monkeypatch.setattr(forests, "ROW_CELLS", 30)
+    monkeypatch.setattr(forests, "STEP_ROWS", 30)
     monkeypatch.setattr(forests, "NODE_CELLS", 400)
     steps = forests.grow(held, rule, 0)
     assert len(whole["gain"]) > 30
@@ -91,3 +93,18 @@ def test_features_of_a_node_differ():
     tried = forests.drawn_features(np.random.default_rng(0), 4000, 9, 4)
     assert all(len(set(t)) == 4 for t in tried.tolist())
     assert np.bincount(tried.ravel(), minlength=9) == pytest.approx(4000 * 4 / 9, rel=0.06)
+
+
+def test_features_are_made_once_for_the_errors(spark, monkeypatch):
+    from gaugeflow.plans import learning as L
+
+    class Seen(Exception):
+        pass
+
+    def given(df, horizon):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(L, "split", given)
+    with pytest.raises(Seen) as seen:
+        L.temp_errors(spark, "/root/testdata/sf0.001")
+    assert "Relation" in str(seen.value) and "Arrow" not in str(seen.value) and "Window" not in str(seen.value)
